@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cohortsift.operators.joins import LIGHT_KEY_ROWS, join
 from cohortsift.operators.numbering import number_rows
 from cohortsift.sources.review_log import COMMENT, CREATED, DECISION, DELETED, JOB_EVENT, REMARK
 
@@ -96,14 +98,19 @@ def decisions(events: DataFrame, list_size: int = LIST_SIZE) -> DataFrame:
     )
     state = events.groupBy("validation_hash").agg(last.alias("d"))
     remarks = comment_lists(events, ["validation_hash"], list_size)
-    return (
-        state.join(remarks, "validation_hash", "left")
-        .select("validation_hash", *[F.col(f"d.{c}").alias(c) for c in columns], "comment", "comment_part")
-        .select(
-            "validation_hash",
-            *columns[:4],
-            F.coalesce("comment", F.array().cast("array<" + COMMENT.simpleString() + ">")).alias("comment"),
-            "tags",
-            F.coalesce("comment_part", F.lit(0)).alias("comment_part"),
-        )
+    rows = join(
+        state.alias("state"),
+        remarks.alias("remarks"),
+        "state.validation_hash",
+        "remarks.validation_hash",
+        "left",
+        light_rows=max(1, LIGHT_KEY_ROWS // list_size),
+    )
+    no_comments = F.array().cast(T.ArrayType(COMMENT))
+    return rows.select(
+        "state.validation_hash",
+        *[F.col(f"state.d.{c}").alias(c) for c in columns[:4]],
+        F.coalesce("remarks.comment", no_comments).alias("comment"),
+        F.col("state.d.tags").alias("tags"),
+        F.coalesce("remarks.comment_part", F.lit(0)).alias("comment_part"),
     )

@@ -11,13 +11,15 @@ costs time, never rows.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException, PySparkAttributeError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # How many heavy keys a profile reports at most, and the size of its sketch: a
 # key with more than 1 in 28 000 rows is in it for certain.
@@ -26,6 +28,9 @@ SKETCH_SIZE = 100_000
 # A key with fewer rows than this is never worth dealing out.
 LIGHT_KEY_ROWS = 1_000_000
 
+# The table part of a qualified column name.
+_TABLE_OF = re.compile(r"(?:`(?:[^`]|``)*`|[^.`]+)\.")
+
 _LEFT_CELL, _LEFT_COPY = "__left_cell", "__left_copy"
 _RIGHT_CELL, _RIGHT_COPY = "__right_cell", "__right_copy"
 
@@ -78,31 +83,40 @@ def join(
     right_on: str,
     how: str = "inner",
     *,
-    left_profile: DataFrame | None = None,
+    left_profile: Callable[[], KeyProfile] | None = None,
     light_rows: int = LIGHT_KEY_ROWS,
 ) -> DataFrame:
     """Join two aliased relations on ``left_on = right_on``.
 
     Column names are qualified (``main_table.variant_hash``). NULL keys match
-    nothing. ``left_profile`` is a cheaper relation with the same key column to
-    look for heavy keys in, such as the scan a longer chain started from.
+    nothing. ``left_profile`` gives the profile of the left key when it is known
+    or cheaper to find elsewhere, such as in the scan a longer chain started
+    from. ``light_rows`` is smaller where single rows are large.
     """
-    if fits_broadcast(right) and how != "full" and how != "right":
+    if _small_enough(left, right, how):
         return _plain(left, right, left_on, right_on, how)
-    heavy_left = profile_keys(left if left_profile is None else left_profile, left_on, light_rows)
+    heavy_left = left_profile() if left_profile else profile_keys(left, left_on, light_rows)
     if how in ("left_semi", "left_anti"):
         if not heavy_left:
             return _plain(left, right, left_on, right_on, how)
-        keys = right.select(F.col(right_on)).filter(F.col(right_on).isNotNull()).distinct()
-        return _dealt(left, keys, left_on, right_on, how, heavy_left, KeyProfile())
+        return _dealt(left, _keys(right, right_on), left_on, right_on, how, heavy_left, KeyProfile())
     heavy_right = profile_keys(right, right_on, light_rows)
     if not heavy_left and not heavy_right:
         return _plain(left, right, left_on, right_on, how)
-    if how == "inner" or (how == "left" and not heavy_right):
+    if how == "inner" or (how == "left" and not heavy_right.cells):
         return _dealt(left, right, left_on, right_on, how, heavy_left, heavy_right)
     return _outer(left, right, left_on, right_on, how, heavy_left, heavy_right)
 
 
+def _small_enough(left: DataFrame, right: DataFrame, how: str) -> bool:
+    """Whether Spark can broadcast a side of this join, or has little to shuffle."""
+    if how == "inner":
+        return fits_broadcast(right) or fits_broadcast(left)
+    if how == "right":
+        return fits_broadcast(left)
+    return fits_broadcast(right) and (how != "full" or fits_broadcast(left))
+
+
 def _plain(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str) -> DataFrame:
     return left.join(right, F.col(left_on) == F.col(right_on), how)
 
@@ -123,16 +137,20 @@ def _outer(
     """
     rows = _dealt(left, right, left_on, right_on, "inner", heavy_left, heavy_right)
     if how in ("left", "full"):
-        keys = right.select(F.col(right_on)).filter(F.col(right_on).isNotNull()).distinct()
+        keys = _keys(right, right_on)
         misses = _dealt(left, keys, left_on, right_on, "left_anti", heavy_left, KeyProfile())
         rows = rows.union(misses.select(F.expr("*"), *_nulls(right)))
     if how in ("right", "full"):
-        keys = left.select(F.col(left_on)).filter(F.col(left_on).isNotNull()).distinct()
+        keys = _keys(left, left_on)
         misses = _dealt(right, keys, right_on, left_on, "left_anti", heavy_right, KeyProfile())
         rows = rows.union(misses.select(*_nulls(left), F.expr("*")))
     return rows
 
 
+def _keys(df: DataFrame, key: str) -> DataFrame:
+    return df.select(F.col(key)).filter(F.col(key).isNotNull()).distinct()
+
+
 def _nulls(df: DataFrame) -> list[Column]:
     return [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
 
@@ -159,17 +177,18 @@ def _dealt(
 def _cells(df: DataFrame, key: str, own: KeyProfile, other: KeyProfile, cell: str, copy: str) -> DataFrame:
     """Give each row its own cell, and one copy per cell of the other side."""
     heavy = list(dict.fromkeys([*own.cells, *other.cells]))
-    where_row = F.xxhash64(*_row_identity(df))
+    where_row = F.xxhash64(*_row_identity(df, key))
     if not heavy:
         return df.withColumn(cell, _null_cell(key, own, where_row)).withColumn(copy, F.lit(0))
     plan = df.sparkSession.createDataFrame(
-        pa.table(
-            {
-                "__key": heavy,
-                "__own": pa.array([own.cells.get(k, 1) for k in heavy], pa.int32()),
-                "__other": pa.array([other.cells.get(k, 1) for k in heavy], pa.int32()),
-            }
-        )
+        [(k, own.cells.get(k, 1), other.cells.get(k, 1)) for k in heavy],
+        T.StructType(
+            [
+                T.StructField("__key", df.select(F.col(key)).schema[0].dataType),
+                T.StructField("__own", T.IntegerType()),
+                T.StructField("__other", T.IntegerType()),
+            ]
+        ),
     )
     spread = df.select(F.expr("*"), where_row.alias("__row"))
     # Broadcast is safe: two profiles hold at most 2 * REPORTED_KEYS keys.
@@ -189,17 +208,21 @@ def _null_cell(key: str, own: KeyProfile, where_row: Column) -> Column:
     return F.when(F.col(key).isNull(), F.pmod(where_row, F.lit(own.null_cells)).cast("int")).otherwise(0)
 
 
-def _row_identity(df: DataFrame) -> list[Column]:
+def _row_identity(df: DataFrame, key: str) -> list[Column]:
     """Columns that differ between rows and stay the same when a task is rerun.
 
     Rows of a file scan are told apart by file and position, so that equal rows
-    are dealt out too; rows of a derived relation by their values.
+    are dealt out too. Rows of a derived relation are told apart by their values
+    and the partition they are computed in, which a rerun keeps as well.
     """
-    place = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
-    try:
-        df.select(*place)
-        return place
-    except AnalysisException:
-        kinds = ((f.name, f.dataType.simpleString()) for f in df.schema.fields)
-        hashable = [name for name, kind in kinds if "map<" not in kind and "variant" not in kind]
-        return [F.struct(F.expr("*"))] if len(hashable) == len(df.columns) else [F.col(n) for n in hashable]
+    table = _TABLE_OF.match(key)
+    for scan in dict.fromkeys((f"{table.group()}_metadata" if table else "_metadata", "_metadata")):
+        place = [F.col(f"{scan}.file_path"), F.col(f"{scan}.row_index")]
+        try:
+            df.select(*place)
+            return place
+        except AnalysisException:
+            continue
+    row = F.struct("*")
+    has_map = any("map<" in f.dataType.simpleString() for f in df.schema.fields)
+    return [F.spark_partition_id(), F.to_json(row) if has_map else row]

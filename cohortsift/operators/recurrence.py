@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortsift.functions.sqltext import quoted
-from cohortsift.operators.joins import join
+from cohortsift.operators.joins import join, profile_keys
+from cohortsift.plans.spec import MAIN
 
 
 def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
@@ -28,4 +31,7 @@ def with_run_recurrence(
 ) -> DataFrame:
     """``df`` (alias ``main_table``) joined to the recurrence found in ``source``, alias ``rec``."""
     counts = run_recurrence(source, sample, variant, name).alias("rec")
-    return join(df, counts, f"main_table.{quoted(variant)}", f"rec.{quoted(variant)}", left_profile=source.alias("main_table"))
+    key = f"{MAIN}.{quoted(variant)}"
+    # The key is as heavy in df as in the calls it came from, which are cheaper to scan.
+    profile = partial(profile_keys, source.alias(MAIN), key)
+    return join(df, counts, key, f"rec.{quoted(variant)}", left_profile=profile)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache, partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortsift.functions.sqltext import qualified, quoted, reading_division
-from cohortsift.operators.joins import join
+from cohortsift.operators.folds import LIST_SIZE
+from cohortsift.operators.joins import LIGHT_KEY_ROWS, KeyProfile, join, profile_keys
 from cohortsift.operators.paging import PAGE_SIZE, TOP_K_ROWS, page
 from cohortsift.operators.relational import field_column, order, project, restrict, where
 from cohortsift.plans.spec import MAIN, OrderKey, StepSpec
@@ -37,15 +39,24 @@ def step_relation(
     adds_rows = any(t.join.how in ("right", "full") for t in spec.tables)
     sample = f"{MAIN}.{quoted(sample_column)}"
     df = base if samples is None or adds_rows else restrict(base, sample, samples)
+
+    @cache
+    def profile(table: str, key: str) -> KeyProfile:
+        """Looked for in the table itself: the chain so far would be run for it."""
+        return profile_keys(known[table], key)
+
     for table in spec.tables:
         known[table.alias] = lake.table(table)
+        left_table = table.join.left_table
+        left_on = f"{quoted(left_table)}.{quoted(table.join.left_on)}"
+        right_on = f"{quoted(table.alias)}.{quoted(table.join.right_on)}"
         df = join(
             df,
             known[table.alias],
-            f"{quoted(table.join.left_table)}.{quoted(table.join.left_on)}",
-            f"{quoted(table.alias)}.{quoted(table.join.right_on)}",
+            left_on,
+            right_on,
             table.join.how,
-            left_profile=known[table.join.left_table],
+            left_profile=partial(profile, left_table, left_on),
         )
     if samples is not None and adds_rows:
         df = restrict(df, sample, samples)
@@ -94,13 +105,15 @@ def decision_report(
     fields: Sequence[str],
     how: str = "left",
     key: str = "validation_hash",
+    light_rows: int = LIGHT_KEY_ROWS // LIST_SIZE,
 ) -> DataFrame:
     """Rows under review beside what was decided on them.
 
-    ``left`` shows undecided rows too; ``inner`` leaves them out.
+    ``left`` shows undecided rows too; ``inner`` leaves them out. A row of
+    ``decided`` may carry a whole list, so fewer of them make a key heavy.
     """
     left, right = main.alias(MAIN), decided.alias("validation_table")
-    rows = join(left, right, f"{MAIN}.{quoted(key)}", f"validation_table.{quoted(key)}", how, left_profile=left)
+    rows = join(left, right, f"{MAIN}.{quoted(key)}", f"validation_table.{quoted(key)}", how, light_rows=light_rows)
     verdict = [c for c in decided.columns if c not in fields and c != key]
     return rows.select(
         *[qualified(MAIN, f).alias(f) for f in fields],

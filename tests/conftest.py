@@ -13,3 +13,11 @@ def spark():
     session = local_session(8, app="tests")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Keep small shuffles in several partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

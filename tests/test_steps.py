@@ -1,0 +1,180 @@
+"""Steps over the fixture lake: joins, filters, order, samples, pages."""
+
+import json
+
+import lakes
+import pytest
+from pyspark.errors import AnalysisException
+
+from cohortsift.operators.paging import show_page
+from cohortsift.plans.spec import FilterNode, SpecError, StepSpec
+from cohortsift.plans.steps import run_step, step_page, step_relation
+from cohortsift.sources.lake import Lake
+
+
+@pytest.fixture(scope="module")
+def lake(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("lake"))
+    built = Lake(spark, root)
+    built.files = lakes.build(spark, root)
+    return built
+
+
+def step(**changes):
+    return StepSpec.from_json({**lakes.RARE, **changes})
+
+
+def tuples(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_rare_step_filters_and_orders(lake):
+    rows = tuples(run_step(step(), lake, lake.files))
+    # Variant 3 has two count rows and the higher total; NULL impact, the bound
+    # itself, zero and unknown totals and the NULL variant are left out.
+    assert rows[:2] != [] and {r[:3] for r in rows[:2]} == {("run1", None, 100)}
+    assert sorted(r[4] for r in rows[:2]) == [1998, 1999]
+    assert sorted(r[:3] for r in rows[2:]) == [("run1", "alice", 100), ("run1", "bob", 101), ("run2", "alice", 100)]
+
+
+def test_today_output_without_filters(lake):
+    rows = tuples(run_step(step(), lake, lake.files, apply_filters=False, apply_order=False))
+    assert len(rows) == 10  # nine calls have counts, variant 3 twice, NULL never
+
+
+def test_samples_restrict(lake):
+    names = lambda samples: {r[1] for r in tuples(run_step(step(), lake, lake.files, samples))}
+    assert names(["alice"]) == {"alice"}
+    assert names(["o'hara", "bob"]) == {"bob"}  # o'hara is at the bound
+    many = ["bob"] + [f"nobody{i}" for i in range(5000)]
+    assert names(many) == {"bob"}
+
+
+def test_samples_with_full_join_come_last(lake):
+    agg = {**lakes.AGG, "join": {**lakes.AGG["join"], "join_type": "FULL JOIN"}}
+    spec = step(tables=[agg], filters=None)
+    everyone = tuples(run_step(spec, lake, lake.files))
+    assert any(r[0] is None and r[4] == 1 for r in everyone)  # variant 99 has no call
+    assert {r[1] for r in tuples(run_step(spec, lake, lake.files, ["bob"]))} == {"bob"}
+
+
+@pytest.mark.parametrize(
+    ("keyword", "rows"), [("LEFT JOIN", 11), ("RIGHT JOIN", 11), ("FULL OUTER JOIN", 12), ("JOIN", 10)]
+)
+def test_join_kinds(lake, keyword, rows):
+    agg = {**lakes.AGG, "join": {**lakes.AGG["join"], "join_type": keyword}}
+    assert run_step(step(tables=[agg], filters=None), lake, lake.files).count() == rows
+
+
+def test_semi_join_hides_its_columns(lake):
+    agg = {**lakes.AGG, "join": {**lakes.AGG["join"], "join_type": "ANTI JOIN"}}
+    spec = step(tables=[agg], filters=None, order=None or [], fields=[lakes.field("validation_hash")])
+    assert tuples(run_step(spec, lake, lake.files)) == [(15,)]
+    with pytest.raises(SpecError, match="no table 'agg'"):
+        step(tables=[agg])
+
+
+def test_chain_joins_to_an_earlier_alias(spark, lake):
+    genes = spark.createDataFrame([(5, "five"), (1, "one")], "n bigint, word string")
+    named = Lake(spark, lake.root, {"words": genes})
+    word = {"name": "words", "alias": "w", "join": {"left_table": "agg", "left_on": "var_count", "right_on": "n"}}
+    spec = step(tables=[lakes.AGG, word], filters=None, fields=[lakes.field("word", "w"), lakes.field("position")])
+    assert sorted({r[0] for r in tuples(run_step(spec, named, lake.files))}) == ["five", "one"]
+
+
+def test_constant_alias_and_expression_fields(lake):
+    fields = [
+        {"name": "reference_genome", "value": "'hg19'", "is_expression": True},
+        {"name": "{table}.position + 1", "table": "main_table", "is_expression": True, "alias": "next"},
+        {"name": "{table}.var_count / {table}.total_count", "table": "agg", "is_expression": True, "alias": "ratio"},
+        lakes.field("position", alias="at"),
+        lakes.field("position"),
+    ]
+    df = run_step(step(fields=fields, filters=None, order=[]), lake, lake.files)
+    assert df.columns == ["reference_genome", "next", "ratio", "at", "position"]
+    rows = tuples(df)
+    assert all(r[0] == "hg19" and r[1] == r[3] + 1 == r[4] + 1 for r in rows)
+    assert sum(r[2] is None for r in rows) == 2  # over zero, over NULL
+
+
+def test_header_of_an_empty_result(lake):
+    df = run_step(step(filters={"expression": "1 = 0"}), lake, lake.files)
+    assert df.columns[0] == "run_name" and df.count() == 0
+
+
+def test_filter_precedence(spark):
+    numbers = spark.range(8)
+    from cohortsift.operators.relational import where
+
+    mixed = {"$and": ["id < 6", {"$or": ["id = 1", "id = 7 OR id = 3"]}]}
+    assert [r[0] for r in tuples(where(numbers, FilterNode.parse(mixed)))] == [1, 3]
+    either = {"filter_type": "OR", "children": ["id = 1 AND id = 2", {"filter_type": "AND", "children": []}, "id > 6"]}
+    assert [r[0] for r in tuples(where(numbers, FilterNode.parse(either)))] == [7]
+    assert where(numbers, FilterNode.parse({"$or": ["", {"$and": []}]})).count() == 8
+
+
+def test_filter_text_dialect(spark):
+    from cohortsift.operators.relational import where
+
+    odd = spark.createDataFrame([("o'hara", "a\\b", 1), ('say "x"', "c", 2)], "`na me` string, path string, n int")
+    for text, kept in [
+        ("\"na me\" = 'o''hara'", [1]),
+        ("\"na me\" = 'say \"x\"'", [2]),
+        ("path = 'a\\b'", [1]),
+        ("n / (n - 1) IS NULL", [1]),
+        ("NOT (n / 0 > 1)", []),
+    ]:
+        assert [r["n"] for r in where(odd, FilterNode.leaf(text)).collect()] == kept, text
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
+def test_page_orders_by_a_hidden_column(lake):
+    relation = step_relation(step(), lake, lake.files)
+    first = tuples(step_page(step(), relation, 1, 2))
+    assert [r[4] for r in first] == [1998, 1999]
+    assert len(tuples(step_page(step(), relation, 3, 2))) == 1
+    assert tuples(step_page(step(), relation, 9, 2)) == []
+    deep = tuples(step_page(step(), relation, 2, 2, top_k=0))
+    assert deep == tuples(step_page(step(), relation, 2, 2))
+
+
+def test_page_of_fields_with_one_name(lake):
+    fields = [lakes.field("position"), lakes.field("position"), lakes.field("variant_hash", "agg")]
+    spec = step(fields=fields, filters=None)
+    rows = step_page(spec, step_relation(spec, lake, lake.files), 1, 3)
+    assert rows.columns == ["position", "position", "variant_hash"] and rows.count() == 3
+
+
+def test_view_of_an_empty_relation(lake):
+    rows = run_step(step(filters={"expression": "1 = 0"}), lake, lake.files)
+    view = show_page(rows, ["position"], 5)
+    assert (view.number, view.page_count, view.row_count, view.rows.count()) == (1, 1, 0, 0)
+
+
+def test_spec_round_trip():
+    spec = step()
+    assert StepSpec.from_json(json.loads(json.dumps(spec.to_json()))) == spec
+
+
+@pytest.mark.parametrize(
+    ("changes", "reason"),
+    [
+        ({"tables": [lakes.AGG, lakes.AGG]}, "used twice"),
+        ({"tables": [{**lakes.AGG, "join": {**lakes.AGG["join"], "left_table": "later"}}]}, "no earlier table"),
+        ({"tables": [{**lakes.AGG, "join": None}]}, "how to join"),
+        ({"fields": []}, "at least one field"),
+        ({"fields": [lakes.field("x", "nowhere")]}, "no table 'nowhere'"),
+        ({"fields": [{"name": "x"}]}, "names no table"),
+        ({"filters": {"$xor": []}}, "unknown filter form"),
+        ({"order": [{"field": "a", "direction": "up"}]}, "asc or desc"),
+        ({"tables": [{**lakes.AGG, "join": {**lakes.AGG["join"], "join_type": "CROSS JOIN"}}]}, "unsupported join"),
+    ],
+)
+def test_spec_errors(changes, reason):
+    with pytest.raises(SpecError, match=reason):
+        step(**changes)
+
+
+def test_errors_are_not_empty_results(lake):
+    with pytest.raises(AnalysisException):
+        run_step(step(fields=[lakes.field("no_such_column")]), lake, lake.files)
