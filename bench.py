@@ -1,8 +1,8 @@
 """Time every registered query and print one JSON line.
 
 ``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the cores, ``BENCH_RUNS`` the
-timed runs after one warm-up run. The value is the sum of the median seconds.
-With ``BENCH_DUCKDB=1`` the same SQL is timed in DuckDB on as many threads.
+timed runs of each query, after one untimed run of all of them. The value is the
+sum of the median seconds. With ``BENCH_DUCKDB=1`` the same SQL is timed in DuckDB on as many threads.
 """
 
 from __future__ import annotations
@@ -18,23 +18,28 @@ from cohortsift.catalogue import ORACLES, QUERIES
 from cohortsift.session import local_session
 
 
-def timed(run: Callable[[], object], runs: int) -> float:
-    run()
-    seconds = []
-    for _ in range(runs):
-        begin = time.perf_counter()
-        run()
-        seconds.append(time.perf_counter() - begin)
-    return round(statistics.median(seconds), 4)
+def timed(jobs: dict[str, Callable[[], object]], runs: int) -> dict[str, float]:
+    for job in jobs.values():
+        job()
+    medians = {}
+    for name, job in jobs.items():
+        seconds = []
+        for _ in range(runs):
+            begin = time.perf_counter()
+            job()
+            seconds.append(time.perf_counter() - begin)
+        medians[name] = round(statistics.median(seconds), 4)
+    return medians
 
 
 def spark_times(folder: str, cpus: str, runs: int, names: list[str]) -> dict[str, float]:
     spark = local_session(cpus, app="bench")
+
+    def job(name: str) -> Callable[[], None]:
+        return lambda: QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+
     try:
-        return {
-            name: timed(lambda q=QUERIES[name]: q(spark, folder).write.format("noop").mode("overwrite").save(), runs)
-            for name in names
-        }
+        return timed({name: job(name) for name in names}, runs)
     finally:
         spark.stop()
 
@@ -45,7 +50,7 @@ def duckdb_times(folder: str, cpus: str, runs: int, names: list[str]) -> dict[st
     con = duckdb.connect(config={"threads": int(cpus)})
     for file in sorted(os.listdir(folder)):
         con.execute(f"create view {file.removesuffix('.parquet')} as select * from read_parquet('{folder}/{file}')")
-    return {name: timed(lambda s=ORACLES[name]: con.execute(s).to_arrow_table(), runs) for name in names}
+    return timed({name: lambda s=ORACLES[name]: con.execute(s).to_arrow_table() for name in names}, runs)
 
 
 def main() -> None:

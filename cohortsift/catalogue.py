@@ -43,8 +43,31 @@ def query(oracle: str) -> Callable[[Query], Query]:
     return register
 
 
+# The columns of the given tables.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+
+
+def _lake(spark: SparkSession, folder: str, **tables: DataFrame) -> Lake:
+    return Lake(spark, folder, tables, {f"{name}.parquet": schema for name, schema in SCHEMAS.items()})
 
 
 # -- the step query --------------------------------------------------------------
@@ -70,8 +93,8 @@ def _counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _lake(spark: SparkSession, folder: str) -> Lake:
-    return Lake(spark, folder, {"cohort_counts": _counts(spark, folder)})
+def _cohort(spark: SparkSession, folder: str) -> Lake:
+    return _lake(spark, folder, cohort_counts=_counts(spark, folder))
 
 
 _WITH_COUNTS = {
@@ -108,12 +131,12 @@ _STEP_FIELDS = "m.l_orderkey,m.l_linenumber,agg.ref_count,agg.var_count"
 
 @query(f"select {_STEP_FIELDS} {_STEP_FROM} {_STEP_WHERE}")
 def step_query(spark: SparkSession, folder: str) -> DataFrame:
-    return run_step(STEP_SPEC, _lake(spark, folder), ["lineitem.parquet"])
+    return run_step(STEP_SPEC, _cohort(spark, folder), ["lineitem.parquet"])
 
 
 @query(f"select {_STEP_FIELDS} {_STEP_FROM}")
 def step_unfiltered(spark: SparkSession, folder: str) -> DataFrame:
-    lake = _lake(spark, folder)
+    lake = _cohort(spark, folder)
     return run_step(STEP_SPEC, lake, ["lineitem.parquet"], apply_filters=False, apply_order=False)
 
 
@@ -122,7 +145,7 @@ def step_unfiltered(spark: SparkSession, folder: str) -> DataFrame:
     "order by agg.total_count desc nulls last,1,2,3,4 limit 10 offset 20"
 )
 def step_pages(spark: SparkSession, folder: str) -> DataFrame:
-    relation = step_relation(STEP_SPEC, _lake(spark, folder), ["lineitem.parquet"])
+    relation = step_relation(STEP_SPEC, _cohort(spark, folder), ["lineitem.parquet"])
     return step_page(STEP_SPEC, relation, number=3, size=10)
 
 
@@ -132,13 +155,13 @@ def step_pages(spark: SparkSession, folder: str) -> DataFrame:
 )
 def step_for_samples(spark: SparkSession, folder: str) -> DataFrame:
     picks = search(_table(spark, folder, "supplier"), "7", ["s_name"]).select("s_suppkey")
-    lake = _lake(spark, folder)
+    lake = _cohort(spark, folder)
     return run_step(STEP_SPEC, lake, ["lineitem.parquet"], picks, sample_column="l_suppkey", apply_order=False)
 
 
 @query(f"select count(*) as count_star {_STEP_FROM} {_STEP_WHERE}")
 def step_count(spark: SparkSession, folder: str) -> DataFrame:
-    relation = step_relation(STEP_SPEC, _lake(spark, folder), ["lineitem.parquet"])
+    relation = step_relation(STEP_SPEC, _cohort(spark, folder), ["lineitem.parquet"])
     return relation.agg(F.count("*").alias("count_star"))
 
 
@@ -152,7 +175,7 @@ def project_literal(spark: SparkSession, folder: str) -> DataFrame:
         FieldSpec("o_orderkey", MAIN),
         FieldSpec("o_custkey", MAIN),
     ]
-    return project(Lake(spark, folder).main(["orders.parquet"]), fields)
+    return project(_lake(spark, folder).main(["orders.parquet"]), fields)
 
 
 @query("select l_orderkey as order_key,l_extendedprice*(1-l_discount) as revenue from lineitem")
@@ -161,7 +184,7 @@ def project_expression(spark: SparkSession, folder: str) -> DataFrame:
         FieldSpec("l_orderkey", MAIN, alias="order_key"),
         FieldSpec("{table}.l_extendedprice * (1 - {table}.l_discount)", MAIN, alias="revenue", is_expression=True),
     ]
-    return project(Lake(spark, folder).main(["lineitem.parquet"]), fields)
+    return project(_lake(spark, folder).main(["lineitem.parquet"]), fields)
 
 
 @query("select user_id,len(tags) as n,tags[1] as first_tag from (select user_id,string_split(props,':') tags from events)")
@@ -185,7 +208,7 @@ def filter_tree(spark: SparkSession, folder: str) -> DataFrame:
             ]
         }
     )
-    return where(Lake(spark, folder).main(["orders.parquet"]), tree).select("o_orderkey")
+    return where(_lake(spark, folder).main(["orders.parquet"]), tree).select("o_orderkey")
 
 
 @query(
@@ -202,12 +225,12 @@ def filter_any_of(spark: SparkSession, folder: str) -> DataFrame:
             ],
         }
     )
-    return where(Lake(spark, folder).main(["orders.parquet"]), tree).select("o_orderkey")
+    return where(_lake(spark, folder).main(["orders.parquet"]), tree).select("o_orderkey")
 
 
 @query("select o_orderkey,o_orderstatus from orders")
 def filter_empty(spark: SparkSession, folder: str) -> DataFrame:
-    return where(Lake(spark, folder).main(["orders.parquet"]), FilterNode()).select("o_orderkey", "o_orderstatus")
+    return where(_lake(spark, folder).main(["orders.parquet"]), FilterNode()).select("o_orderkey", "o_orderstatus")
 
 
 @query("select p_partkey from part where (p_size/nullif(p_size-1,0))<1.5")
@@ -257,7 +280,7 @@ def join_chain(spark: SparkSession, folder: str) -> DataFrame:
             ],
         }
     )
-    return run_step(spec, Lake(spark, folder), ["lineitem.parquet"])
+    return run_step(spec, _lake(spark, folder), ["lineitem.parquet"])
 
 
 def _labelled(spark: SparkSession, folder: str, kind: str) -> DataFrame:
@@ -267,7 +290,7 @@ def _labelled(spark: SparkSession, folder: str, kind: str) -> DataFrame:
         fields += [{"name": "doc_id", "table": "b"}, {"name": "toxic", "table": "b"}]
     on = {"left_table": MAIN, "left_on": "vec_id", "right_on": "doc_id", "join_type": kind}
     spec = StepSpec.from_json({"tables": [{"name": "'labels.parquet'", "alias": "b", "join": on}], "fields": fields})
-    return run_step(spec, Lake(spark, folder), ["embeddings.parquet"])
+    return run_step(spec, _lake(spark, folder), ["embeddings.parquet"])
 
 
 _PAIRS = "select d.vec_id,d.label,b.doc_id,b.toxic from embeddings d {} join labels b on d.vec_id=b.doc_id"
@@ -321,7 +344,7 @@ def nested_subquery(spark: SparkSession, folder: str) -> DataFrame:
             "fields": [{"name": "o_orderkey", "table": MAIN}, {"name": "c_name", "table": "c"}],
         }
     )
-    return run_step(spec, Lake(spark, folder), inner.select("o_orderkey", "o_custkey"))
+    return run_step(spec, _lake(spark, folder), inner.select("o_orderkey", "o_custkey"))
 
 
 # -- pages -----------------------------------------------------------------------
@@ -425,7 +448,7 @@ def recurrence(spark: SparkSession, folder: str) -> DataFrame:
     "on rec.l_partkey=m.l_partkey"
 )
 def recurrence_joined(spark: SparkSession, folder: str) -> DataFrame:
-    lake = _lake(spark, folder)
+    lake = _cohort(spark, folder)
     main = lake.main(["lineitem.parquet"])
     relation = step_relation(STEP_SPEC, lake, ["lineitem.parquet"], apply_filters=False)
     rows = with_run_recurrence(relation, main, "l_suppkey", "l_partkey")
@@ -659,7 +682,7 @@ def catalog_scan(spark: SparkSession, folder: str) -> DataFrame:
             "fields": [{"name": "n_name", "table": MAIN}, {"name": "r_name", "table": "r"}],
         }
     )
-    return run_step(spec, Lake(spark, folder), ["nation.parquet"])
+    return run_step(spec, _lake(spark, folder), ["nation.parquet"])
 
 
 def _through_csv(spark: SparkSession, rows: DataFrame, schema: str) -> DataFrame:
@@ -694,6 +717,6 @@ EXPORT_SPEC = StepSpec.from_json(
     f"{_STEP_FROM} {_STEP_WHERE}"
 )
 def final_export(spark: SparkSession, folder: str) -> DataFrame:
-    rows = run_step(EXPORT_SPEC, _lake(spark, folder), ["lineitem.parquet"])
+    rows = run_step(EXPORT_SPEC, _cohort(spark, folder), ["lineitem.parquet"])
     schema = "reference_genome string, l_orderkey bigint, l_returnflag string, ref_count bigint, var_count bigint"
     return _through_csv(spark, rows, schema)

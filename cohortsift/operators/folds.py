@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from cohortsift.operators.joins import LIGHT_KEY_ROWS, join
 from cohortsift.operators.numbering import number_rows
-from cohortsift.sources.review_log import COMMENT, CREATED, DECISION, DELETED, JOB_EVENT, REMARK
+from cohortsift.sources.review_log import COMMENT, CREATED, DECISION, DELETED, REMARK
 
 # Most entries one list of a history may have; more go to further rows.
 LIST_SIZE = 1000
@@ -32,22 +32,25 @@ def latest_set(name: str, order: Sequence[str] = _SEQUENCE) -> Column:
 def review_jobs(events: DataFrame) -> DataFrame:
     """One row per job that was created and not deleted, as it stands now."""
     created = F.col("kind") == CREATED
+    given = ["parquet_files", "sample_names", "username", "validation_name", "validation_method"]
     folded = events.groupBy("table_uuid").agg(
-        *[latest_set(name).alias(name) for name in JOB_EVENT.names[4:]],
+        F.max_by(F.struct(*given), F.when(created, F.struct(*_SEQUENCE))).alias("given"),
         F.min(F.when(created, F.col("ts"))).alias("creation_date"),
+        latest_set("completed").alias("completed"),
+        latest_set("last_step").alias("last_step"),
         F.bool_or(F.col("kind") == DELETED).alias("deleted"),
     )
-    alive = folded.filter(F.col("creation_date").isNotNull() & ~F.col("deleted"))
+    alive = folded.filter(F.col("creation_date").isNotNull() & ~F.coalesce("deleted", F.lit(False)))
     return alive.select(
-        "parquet_files",
-        "sample_names",
-        "username",
-        "validation_name",
+        "given.parquet_files",
+        "given.sample_names",
+        "given.username",
+        "given.validation_name",
         "table_uuid",
         "creation_date",
         F.coalesce("completed", F.lit(False)).alias("completed"),
         F.coalesce("last_step", F.lit(0)).alias("last_step"),
-        "validation_method",
+        "given.validation_method",
     )
 
 

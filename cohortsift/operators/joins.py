@@ -11,16 +11,17 @@ costs time, never rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.errors import AnalysisException, PySparkAttributeError
+from pyspark.errors import PySparkAttributeError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortsift.operators.rows import row_hash
+
 # How many heavy keys a profile reports at most, and the size of its sketch: a
 # key with more than 1 in 28 000 rows is in it for certain.
 REPORTED_KEYS = 1000
@@ -28,8 +29,8 @@ SKETCH_SIZE = 100_000
 # A key with fewer rows than this is never worth dealing out.
 LIGHT_KEY_ROWS = 1_000_000
 
-# The table part of a qualified column name.
-_TABLE_OF = re.compile(r"(?:`(?:[^`]|``)*`|[^.`]+)\.")
+# Key types the sketch cannot count; Spark's own skew handling is left to split them.
+_UNPROFILED = (T.ArrayType, T.StructType, T.MapType, T.BinaryType, T.VariantType, T.NullType)
 
 _LEFT_CELL, _LEFT_COPY = "__left_cell", "__left_copy"
 _RIGHT_CELL, _RIGHT_COPY = "__right_cell", "__right_copy"
@@ -57,6 +58,8 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 def profile_keys(df: DataFrame, key: str, light_rows: int = LIGHT_KEY_ROWS) -> KeyProfile:
     """Find the keys of ``df`` that would overload one shuffle partition."""
+    if isinstance(_kind(df, key), _UNPROFILED):
+        return KeyProfile()
     row = (
         df.select(F.col(key).alias("k"))
         .agg(
@@ -66,7 +69,8 @@ def profile_keys(df: DataFrame, key: str, light_rows: int = LIGHT_KEY_ROWS) -> K
         )
         .first()
     )
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    setting = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    partitions = int(setting) if setting.isdigit() else df.sparkSession.sparkContext.defaultParallelism
     share = max(light_rows, row["total"] // (2 * partitions), 1)
     cells = {
         item["item"]: -(-item["count"] // share)
@@ -93,7 +97,7 @@ def join(
     or cheaper to find elsewhere, such as in the scan a longer chain started
     from. ``light_rows`` is smaller where single rows are large.
     """
-    if _small_enough(left, right, how):
+    if _small_enough(left, right, how) or _plan_type(left, right, left_on, right_on) is None:
         return _plain(left, right, left_on, right_on, how)
     heavy_left = left_profile() if left_profile else profile_keys(left, left_on, light_rows)
     if how in ("left_semi", "left_anti"):
@@ -117,6 +121,18 @@ def _small_enough(left: DataFrame, right: DataFrame, how: str) -> bool:
     return fits_broadcast(right) and (how != "full" or fits_broadcast(left))
 
 
+def _kind(df: DataFrame, key: str) -> T.DataType:
+    return df.select(F.col(key)).schema[0].dataType
+
+
+def _plan_type(left: DataFrame, right: DataFrame, left_on: str, right_on: str) -> T.DataType | None:
+    """One type for heavy keys of both sides; None leaves odd pairs to Spark."""
+    ours, theirs = _kind(left, left_on), _kind(right, right_on)
+    if isinstance(ours, T.IntegralType) and isinstance(theirs, T.IntegralType):
+        return T.LongType()
+    return ours if ours == theirs else None
+
+
 def _plain(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str) -> DataFrame:
     return left.join(right, F.col(left_on) == F.col(right_on), how)
 
@@ -177,14 +193,14 @@ def _dealt(
 def _cells(df: DataFrame, key: str, own: KeyProfile, other: KeyProfile, cell: str, copy: str) -> DataFrame:
     """Give each row its own cell, and one copy per cell of the other side."""
     heavy = list(dict.fromkeys([*own.cells, *other.cells]))
-    where_row = F.xxhash64(*_row_identity(df, key))
+    kind, where_row = _kind(df, key), row_hash(df)
     if not heavy:
         return df.withColumn(cell, _null_cell(key, own, where_row)).withColumn(copy, F.lit(0))
     plan = df.sparkSession.createDataFrame(
         [(k, own.cells.get(k, 1), other.cells.get(k, 1)) for k in heavy],
         T.StructType(
             [
-                T.StructField("__key", df.select(F.col(key)).schema[0].dataType),
+                T.StructField("__key", T.LongType() if isinstance(kind, T.IntegralType) else kind),
                 T.StructField("__own", T.IntegerType()),
                 T.StructField("__other", T.IntegerType()),
             ]
@@ -206,23 +222,3 @@ def _null_cell(key: str, own: KeyProfile, where_row: Column) -> Column:
     if own.null_cells == 1:
         return F.lit(0)
     return F.when(F.col(key).isNull(), F.pmod(where_row, F.lit(own.null_cells)).cast("int")).otherwise(0)
-
-
-def _row_identity(df: DataFrame, key: str) -> list[Column]:
-    """Columns that differ between rows and stay the same when a task is rerun.
-
-    Rows of a file scan are told apart by file and position, so that equal rows
-    are dealt out too. Rows of a derived relation are told apart by their values
-    and the partition they are computed in, which a rerun keeps as well.
-    """
-    table = _TABLE_OF.match(key)
-    for scan in dict.fromkeys((f"{table.group()}_metadata" if table else "_metadata", "_metadata")):
-        place = [F.col(f"{scan}.file_path"), F.col(f"{scan}.row_index")]
-        try:
-            df.select(*place)
-            return place
-        except AnalysisException:
-            continue
-    row = F.struct("*")
-    has_map = any("map<" in f.dataType.simpleString() for f in df.schema.fields)
-    return [F.spark_partition_id(), F.to_json(row) if has_map else row]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortsift.operators.rows import sort_all
 from cohortsift.session import new_shared_path
 
 PLACE = "__place"
@@ -18,12 +19,12 @@ _INDEX_BITS = 33
 def write_in_order(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, str]:
     """Sort ``df`` over all executors and keep it as a table in the shared folder.
 
-    The table's ``__place`` column grows with the order. Range partitioning on
-    the full sort key splits a group of any size, and reading the written table
-    cuts the lineage: every later use sees the same places.
+    The table's ``__place`` column grows with the order. Range partitioning splits
+    a group of any size, and reading the written table cuts the lineage: every
+    later use sees the same places.
     """
     path = new_shared_path(df.sparkSession, "ordered")
-    df.orderBy(*order).withColumn(PLACE, F.monotonically_increasing_id()).write.parquet(path)
+    sort_all(df, list(order)).withColumn(PLACE, F.monotonically_increasing_id()).write.parquet(path)
     return df.sparkSession.read.parquet(path), path
 
 

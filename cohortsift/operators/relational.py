@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortsift.functions.sqltext import expression, qualified, quoted, reading_division
 from cohortsift.operators.joins import join
+from cohortsift.operators.rows import sort_all
 from cohortsift.plans.spec import FieldSpec, FilterNode, OrderKey
 
 # Up to this many samples a filter lists them; more are joined as a table.
@@ -66,7 +67,7 @@ def order_columns(keys: Iterable[OrderKey], backwards: bool = False) -> list[Col
 
 
 def order(df: DataFrame, keys: Sequence[OrderKey]) -> DataFrame:
-    return df.orderBy(*order_columns(keys)) if keys else df
+    return sort_all(df, order_columns(keys)) if keys else df
 
 
 def restrict(df: DataFrame, column: str, chosen: Sequence[str] | DataFrame) -> DataFrame:

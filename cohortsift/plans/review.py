@@ -94,15 +94,14 @@ class ReviewStore:
         self._job_event(table_uuid, review_log.DELETED)
 
     def _job_event(self, table_uuid: str, kind: str, **values: Any) -> None:
-        event = {"kind": kind, "table_uuid": table_uuid, **values}
-        self.log.append_job_events(self.log.events("job_events", [event]))
+        self.log.record("job_events", [{"kind": kind, "table_uuid": table_uuid, **values}])
 
     # -- decisions --------------------------------------------------------------
 
     def decide(self, table_uuid: str, rows: Iterable[Mapping[str, Any]]) -> None:
         """Record decisions: ``validation_hash``, ``accepted``, ``tags`` and so on."""
         events = [{"kind": review_log.DECISION, "table_uuid": table_uuid, **row} for row in rows]
-        self.log.append_decision_events(self.log.events("decision_events", events))
+        self.log.record("decision_events", events)
 
     def comment(self, table_uuid: str, validation_hash: int, text: str, username: str) -> None:
         event = {
@@ -112,7 +111,7 @@ class ReviewStore:
             "comment": text,
             "username": username,
         }
-        self.log.append_decision_events(self.log.events("decision_events", [event]))
+        self.log.record("decision_events", [event])
 
     def decisions(self, table_uuid: str) -> DataFrame:
         """Present decisions of one job; only its partition of the log is read."""

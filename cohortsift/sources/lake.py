@@ -21,15 +21,20 @@ _LIST_ITEM = re.compile(r"'((?:[^']|'')*)'")
 _FOOTER_READERS = 16
 
 
-def scan_files(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+def scan_files(spark: SparkSession, files: Sequence[str], schema: T.StructType | str | None = None) -> DataFrame:
     """All rows of ``files`` under the first file's columns, matched by name.
 
     Columns only later files have are left out; a column a later file lacks is
     an error. Files that store the columns with the same types share one scan;
     other types are cast to the first file's. A file named twice counts twice.
+
+    A ``schema`` known beforehand spares the look into every file's footer; then
+    a column some file lacks is NULL there.
     """
     if not files:
         raise ValueError("no files to read")
+    if schema is not None:
+        return spark.read.schema(schema).parquet(*files)
     schemas = _footers(spark, files)
     wanted = schemas[files[0]]
     groups: dict[tuple[str, ...], list[str]] = {}
@@ -67,16 +72,24 @@ def _match(file: str, wanted: T.StructType, found: T.StructType) -> T.StructType
 
 
 class Lake:
-    """Finds the tables a step names: below ``root``, in ``tables`` or the catalog."""
+    """Finds the tables a step names: below ``root``, in ``tables`` or the catalog.
+
+    ``schemas`` declares the columns of files by the name they are asked for.
+    """
 
     def __init__(
-        self, spark: SparkSession, root: str | None = None, tables: Mapping[str, DataFrame] | None = None
+        self,
+        spark: SparkSession,
+        root: str | None = None,
+        tables: Mapping[str, DataFrame] | None = None,
+        schemas: Mapping[str, str] | None = None,
     ) -> None:
         if root is not None and "://" not in root and not os.path.isdir(root.removeprefix("file:")):
             raise NotADirectoryError(f"no lake at {root}")
         self.spark = spark
         self.root = root
         self.tables = dict(tables or {})
+        self.schemas = dict(schemas or {})
 
     def path(self, name: str) -> str:
         if self.root is None or name.startswith("/") or "://" in name:
@@ -85,7 +98,7 @@ class Lake:
 
     def main(self, files: Sequence[str]) -> DataFrame:
         """The files under review, known as ``main_table``."""
-        return scan_files(self.spark, [self.path(file) for file in files]).alias(MAIN)
+        return self._scan(files).alias(MAIN)
 
     def table(self, ref: TableRef) -> DataFrame:
         return self._find(ref).alias(ref.alias)
@@ -97,12 +110,23 @@ class Lake:
             return self.spark.table(quoted(ref.name))
         literal = _PATH_LITERAL.match(ref.name)
         if literal:
-            return self.spark.read.parquet(self.path(_unquote(literal.group(1))))
+            return self._read(_unquote(literal.group(1)))
         call = _READ_CALL.match(ref.name)
         if call:
-            return scan_files(self.spark, [self.path(_unquote(f)) for f in _LIST_ITEM.findall(call.group(1))])
+            return self._scan([_unquote(f) for f in _LIST_ITEM.findall(call.group(1))])
         return self.spark.table(ref.name)
 
+    def _read(self, name: str) -> DataFrame:
+        reader = self.spark.read
+        if name in self.schemas:
+            reader = reader.schema(self.schemas[name])
+        return reader.parquet(self.path(name))
+
+    def _scan(self, names: Sequence[str]) -> DataFrame:
+        declared = {self.schemas.get(name) for name in names}
+        schema = declared.pop() if len(declared) == 1 else None
+        return scan_files(self.spark, [self.path(name) for name in names], schema)
+
 
 def _unquote(text: str) -> str:
     return text.replace("''", "'")

@@ -85,7 +85,12 @@ class ReviewLog:
         self._append(events, "job_events")
 
     def append_decision_events(self, events: DataFrame) -> None:
-        self._append(events, "decision_events")
+        """Append any number of decisions, in few files per ``table_uuid``."""
+        self._append(_rebalanced(events, "decision_events"), "decision_events")
+
+    def record(self, name: str, rows: Iterable[Mapping[str, Any]]) -> None:
+        """Append a handful of events from the caller's values."""
+        self._append(self.events(name, rows), name)
 
     def compact(self, new_root: str) -> ReviewLog:
         """Copy the log to an empty place with few large files per partition.
@@ -94,9 +99,7 @@ class ReviewLog:
         reader ever sees half a log.
         """
         for name in _SCHEMAS:
-            keys = _PARTITIONS[name]
-            # AQE sizes the rebalanced files and splits a table_uuid that is too large.
-            whole = self._read(name).hint("rebalance", *keys)
+            whole = _rebalanced(self._read(name), name)
             self._write(whole, name, new_root.rstrip("/"), "errorifexists")
         return ReviewLog(self.spark, new_root)
 
@@ -123,6 +126,11 @@ class ReviewLog:
         return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.root}/{name}")
 
 
+def _rebalanced(events: DataFrame, name: str) -> DataFrame:
+    """Bring each partition's events together; AQE splits what is too large for one file."""
+    return events.hint("rebalance", *_PARTITIONS[name])
+
+
 def next_event_id() -> str:
     """Unique, and later ids of one writer sort after earlier ones."""
     return f"{time.time_ns():020d}-{uuid.uuid4().hex}"

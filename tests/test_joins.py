@@ -87,7 +87,7 @@ def test_heavy_key_is_spread(spark, no_broadcast, sides):
     """Equal rows of one key end up in many tasks; without dealing, in one."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        one = sides[0].filter("k = 7 and a = 1").alias("l")
+        one = sides[0].alias("l").filter("k = 7 and a = 1")
         right = sides[1].select("k").distinct().alias("r")
         plain = one.join(right, F.col("l.k") == F.col("r.k"))
         dealt = join(one, right, "l.k", "r.k", light_rows=10, left_profile=lambda: KeyProfile({7: 16}))
@@ -112,3 +112,23 @@ def test_small_side_is_left_to_spark(sides, monkeypatch):
     left, right = sides[0].alias("l"), sides[1].alias("r")
     for how in KINDS:
         assert join(left, right, "l.k", "r.k", how).count() >= 0
+
+
+def test_equal_sort_keys_are_spread(spark, many_parts, sides):
+    """All rows have one sort value; a plain sort would put them in one task."""
+    from cohortsift.operators.relational import order
+    from cohortsift.plans.spec import OrderKey
+
+    rows = sides[0].select((F.col("a") * 0).alias("one"))
+    assert heaviest_share(rows.orderBy("one"), spark) == 1.0
+    assert heaviest_share(order(rows, [OrderKey("one")]), spark) < 0.5
+    assert order(rows, [OrderKey("one")]).columns == ["one"]
+
+
+def test_row_of_the_main_table_is_named_in_a_join(sides):
+    from cohortsift.operators.rows import row_hash
+
+    both = sides[0].alias("main_table").join(sides[1].alias("r"), F.col("main_table.k") == F.col("r.k"))
+    assert "row_index" in str(row_hash(both))
+    plan = both.select("main_table.a", row_hash(both).alias("h"))
+    assert plan.distinct().count() > 1000

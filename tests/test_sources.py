@@ -83,3 +83,13 @@ def test_csv_keeps_awkward_values(spark, tmp_path):
     assert found[3] == (None, None, None)
     with pytest.raises(ValueError, match="twice"):
         flatten_for_csv(df.select("n", F.col("t").alias("N")))
+
+
+def test_declared_schema(spark, tmp_path):
+    lakes.write(spark, f"{tmp_path}/1.parquet", [(1, "a")], "n bigint, s string")
+    lakes.write(spark, f"{tmp_path}/2.parquet", [(2,)], "n bigint")
+    both = ["1.parquet", "2.parquet"]
+    lake = Lake(spark, str(tmp_path), schemas=dict.fromkeys(both, "n bigint, s string"))
+    assert sorted(map(tuple, lake.main(both).collect())) == [(1, "a"), (2, None)]
+    with pytest.raises(ValueError, match="lacks the columns"):
+        Lake(spark, str(tmp_path)).main(both)
