@@ -193,9 +193,11 @@ def _dealt(
 def _cells(df: DataFrame, key: str, own: KeyProfile, other: KeyProfile, cell: str, copy: str) -> DataFrame:
     """Give each row its own cell, and one copy per cell of the other side."""
     heavy = list(dict.fromkeys([*own.cells, *other.cells]))
-    kind, where_row = _kind(df, key), row_hash(df)
+    if own:
+        df = df.withColumn("__row", row_hash(df))
     if not heavy:
-        return df.withColumn(cell, _null_cell(key, own, where_row)).withColumn(copy, F.lit(0))
+        return df.withColumn(cell, _null_cell(key, own)).withColumn(copy, F.lit(0)).drop("__row")
+    kind = _kind(df, key)
     plan = df.sparkSession.createDataFrame(
         [(k, own.cells.get(k, 1), other.cells.get(k, 1)) for k in heavy],
         T.StructType(
@@ -206,19 +208,16 @@ def _cells(df: DataFrame, key: str, own: KeyProfile, other: KeyProfile, cell: st
             ]
         ),
     )
-    spread = df.select(F.expr("*"), where_row.alias("__row"))
     # Broadcast is safe: two profiles hold at most 2 * REPORTED_KEYS keys.
-    spread = spread.join(F.broadcast(plan), F.col(key) == F.col("__key"), "left")
-    own_cell = F.when(F.col("__own").isNotNull(), F.pmod("__row", "__own").cast("int"))
-    copies = F.sequence(F.lit(0), F.coalesce("__other", F.lit(1)) - 1)
-    return (
-        spread.withColumn(cell, own_cell.otherwise(_null_cell(key, own, F.col("__row"))))
-        .withColumn(copy, F.explode(copies) if other.cells else F.lit(0))
-        .drop("__row", "__key", "__own", "__other")
-    )
+    planned = df.join(F.broadcast(plan), F.col(key) == F.col("__key"), "left")
+    own_cell = _null_cell(key, own)
+    if own.cells:
+        own_cell = F.when(F.col("__own").isNotNull(), F.pmod("__row", "__own").cast("int")).otherwise(own_cell)
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("__other", F.lit(1)) - 1)) if other.cells else F.lit(0)
+    return planned.withColumn(cell, own_cell).withColumn(copy, copies).drop("__row", "__key", "__own", "__other")
 
 
-def _null_cell(key: str, own: KeyProfile, where_row: Column) -> Column:
+def _null_cell(key: str, own: KeyProfile) -> Column:
     if own.null_cells == 1:
         return F.lit(0)
-    return F.when(F.col(key).isNull(), F.pmod(where_row, F.lit(own.null_cells)).cast("int")).otherwise(0)
+    return F.when(F.col(key).isNull(), F.pmod("__row", F.lit(own.null_cells)).cast("int")).otherwise(0)
