@@ -608,9 +608,11 @@ def review_jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "select user_id validation_hash,max_by(value>20,row(ts,event_id)) filter (where event_type='click') accepted,"
-    "coalesce(string_agg(props,';' order by ts,event_id) filter (where event_type<>'click'),'') said "
-    "from events group by 1"
+    "select d.user_id validation_hash,accepted,coalesce(part,0) part,coalesce(said,'') said from "
+    "(select user_id,max_by(value>20,row(ts,event_id)) filter (where event_type='click') accepted from events group by 1) d "
+    "left join (select user_id,part,string_agg(props,';' order by ts,event_id) said from "
+    "(select *,(row_number() over (partition by user_id order by ts,event_id)-1)//1000 part from events "
+    "where event_type<>'click') group by 1,2) c on d.user_id=c.user_id"
 )
 def review_store(spark: SparkSession, folder: str) -> DataFrame:
     decided = F.col("event_type") == "click"
@@ -629,7 +631,8 @@ def review_store(spark: SparkSession, folder: str) -> DataFrame:
     log = ReviewLog(spark, new_shared_path(spark, "review"))
     log.append_decision_events(events)
     state = folds.decisions(log.decision_events().filter(F.col("table_uuid") == "validation_events"))
-    return state.select("validation_hash", "accepted", F.array_join("comment.comment", ";").alias("said"))
+    said = F.array_join("comment.comment", ";")
+    return state.select("validation_hash", "accepted", F.col("comment_part").alias("part"), said.alias("said"))
 
 
 _LAST_TYPES = "(select user_id,max_by(event_type,row(ts,event_id)) last_type from events group by 1)"

@@ -97,6 +97,10 @@ def join(
     or cheaper to find elsewhere, such as in the scan a longer chain started
     from. ``light_rows`` is smaller where single rows are large.
     """
+    if how == "inner" and fits_broadcast(right):
+        # Of two small sides Spark would pick by estimates, which are poor for
+        # aggregates; the right side is the one looked up in.
+        return _plain(left, F.broadcast(right), left_on, right_on, how)
     if _small_enough(left, right, how) or _plan_type(left, right, left_on, right_on) is None:
         return _plain(left, right, left_on, right_on, how)
     heavy_left = left_profile() if left_profile else profile_keys(left, left_on, light_rows)
@@ -114,9 +118,7 @@ def join(
 
 def _small_enough(left: DataFrame, right: DataFrame, how: str) -> bool:
     """Whether Spark can broadcast a side of this join, or has little to shuffle."""
-    if how == "inner":
-        return fits_broadcast(right) or fits_broadcast(left)
-    if how == "right":
+    if how in ("inner", "right"):
         return fits_broadcast(left)
     return fits_broadcast(right) and (how != "full" or fits_broadcast(left))
 

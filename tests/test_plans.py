@@ -55,3 +55,14 @@ def test_no_python_and_no_cross_join(plan_of, name):
     plan = plan_of(name)
     for word in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert word not in plan
+
+
+def test_counting_or_paging_a_step_does_not_sort_it_first(spark, capsys):
+    from cohortsift import catalogue
+    from cohortsift.operators.paging import page, page_stats
+
+    rows = catalogue.step_query(spark, FOLDER)
+    for df in (page_stats(rows), page(rows, ["var_count"], 2)):
+        capsys.readouterr()
+        df.explain()
+        assert "rangepartitioning" not in capsys.readouterr().out
