@@ -54,13 +54,6 @@ def review_jobs(events: DataFrame) -> DataFrame:
     )
 
 
-def comment_lists(events: DataFrame, keys: Sequence[str], list_size: int = LIST_SIZE) -> DataFrame:
-    """Comments of each key in time order, as a list of COMMENT structs."""
-    said = events.filter((F.col("kind") == REMARK) & F.col("comment").isNotNull())
-    entry = F.struct("comment", "username", F.col("ts").alias("creation_timestamp")).cast(COMMENT)
-    return history_lists(said, keys, _SEQUENCE, entry, "comment", list_size)
-
-
 def history_lists(
     df: DataFrame,
     keys: Sequence[str],
@@ -76,9 +69,7 @@ def history_lists(
     hold a list without bound.
     """
     rows = df.select(*keys, F.struct(*order, entry.alias("__entry")).alias("__row"))
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    longest = sizes.agg(F.max("n").alias("n")).first()["n"] or 0
-    if longest <= list_size:
+    if _largest_group(df, keys) <= list_size:
         parts = rows.withColumn("__part", F.lit(0).cast("bigint"))
     else:
         placed = number_rows(rows, keys, [F.col(f"__row.{c}") for c in order], "__position")
@@ -89,31 +80,47 @@ def history_lists(
     )
 
 
+def _largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+
+
 def decisions(events: DataFrame, list_size: int = LIST_SIZE) -> DataFrame:
     """Last decision per ``validation_hash`` of one job, with all its comments.
 
     A later decision replaces an earlier one, also when it is undecided (NULL);
-    comments add up.
+    comments add up, in lists as :func:`history_lists` makes them.
     """
     columns = ["sample_name", "run_name", "transcript_ID", "accepted", "tags"]
-    last = F.max_by(
-        F.struct(*columns), F.when(F.col("kind") == DECISION, F.struct(*_SEQUENCE))
-    )
-    state = events.groupBy("validation_hash").agg(last.alias("d"))
-    remarks = comment_lists(events, ["validation_hash"], list_size)
-    rows = join(
-        state.alias("state"),
-        remarks.alias("remarks"),
-        "state.validation_hash",
-        "remarks.validation_hash",
-        "left",
-        light_rows=max(1, LIGHT_KEY_ROWS // list_size),
-    )
-    no_comments = F.array().cast(T.ArrayType(COMMENT))
+    decided = F.when(F.col("kind") == DECISION, F.struct(*_SEQUENCE))
+    last = F.max_by(F.struct(*columns), decided).alias("d")
+    spoken = (F.col("kind") == REMARK) & F.col("comment").isNotNull()
+    remark = F.struct("comment", "username", F.col("ts").alias("creation_timestamp")).cast(COMMENT)
+    grouped = events.groupBy("validation_hash")
+    if _largest_group(events.filter(spoken), ["validation_hash"]) <= list_size:
+        said = F.array_sort(F.collect_list(F.when(spoken, F.struct(*_SEQUENCE, remark.alias("__entry")))))
+        rows = grouped.agg(last, said["__entry"].alias("said"), F.lit(0).cast("bigint").alias("part"))
+    else:
+        lists = history_lists(
+            events.filter(spoken), ["validation_hash"], _SEQUENCE, remark, "comment", list_size
+        )
+        rows = join(
+            grouped.agg(last).alias("state"),
+            lists.alias("lists"),
+            "state.validation_hash",
+            "lists.validation_hash",
+            "left",
+            light_rows=max(1, LIGHT_KEY_ROWS // list_size),
+        ).select(
+            "state.validation_hash",
+            "d",
+            F.coalesce("lists.comment", F.array().cast(T.ArrayType(COMMENT))).alias("said"),
+            F.coalesce("lists.comment_part", F.lit(0)).alias("part"),
+        )
     return rows.select(
-        "state.validation_hash",
-        *[F.col(f"state.d.{c}").alias(c) for c in columns[:4]],
-        F.coalesce("remarks.comment", no_comments).alias("comment"),
-        F.col("state.d.tags").alias("tags"),
-        F.coalesce("remarks.comment_part", F.lit(0)).alias("comment_part"),
+        "validation_hash",
+        *[F.col(f"d.{c}").alias(c) for c in columns[:4]],
+        F.col("said").alias("comment"),
+        F.col("d.tags").alias("tags"),
+        F.col("part").alias("comment_part"),
     )

@@ -10,8 +10,10 @@ from cohortsift.plans.spec import StepSpec, parse_method
 
 def read_methods(spark: SparkSession, folder: str) -> DataFrame:
     """One row per method file: its name (the file stem) and its text."""
+    # Spark gives the name as in a URI, where only the plus sign stands for itself.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     return spark.read.text(f"{folder.rstrip('/')}/*.json", wholetext=True).select(
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("method"),
+        F.regexp_replace(name, r"\.json$", "").alias("method"),
         F.col("value").alias("body"),
     )
 

@@ -55,7 +55,10 @@ def test_table_names(spark, tmp_path):
 def test_methods(spark, tmp_path):
     (tmp_path / "rare.json").write_text(json.dumps([lakes.RARE, lakes.ALL_CALLS], indent=1), encoding="utf-8")
     (tmp_path / "final.json").write_text(json.dumps(lakes.ALL_CALLS), encoding="utf-8")
-    assert sorted(r["method"] for r in read_methods(spark, str(tmp_path)).collect()) == ["final", "rare"]
+    (tmp_path / "méthode n° 2+ %.json").write_text(json.dumps([lakes.ALL_CALLS]), encoding="utf-8")
+    names = sorted(r["method"] for r in read_methods(spark, str(tmp_path)).collect())
+    assert names == ["final", "méthode n° 2+ %", "rare"]
+    assert len(load_method(spark, str(tmp_path), "méthode n° 2+ %")) == 1
     assert [s.title for s in load_method(spark, str(tmp_path), "rare")] == ["Rare", "All"]
     assert len(load_method(spark, str(tmp_path), "final")) == 1
     with pytest.raises(LookupError):
