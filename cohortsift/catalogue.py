@@ -19,6 +19,7 @@ from cohortsift.operators.paging import SortedPages, page, page_after, page_stat
 from cohortsift.operators.recurrence import distinct_values, run_recurrence, with_run_recurrence
 from cohortsift.operators.relational import order, project, restrict, where
 from cohortsift.operators.search import search
+from cohortsift.plans.review import ReviewStore
 from cohortsift.plans.spec import MAIN, FieldSpec, FilterNode, OrderKey, StepSpec
 from cohortsift.plans.steps import decision_report, run_step, step_page, step_relation
 from cohortsift.session import new_shared_path
@@ -656,6 +657,62 @@ def decision_report_decided(spark: SparkSession, folder: str) -> DataFrame:
     return _report(spark, folder, "inner")
 
 
+def _calls(spark: SparkSession, folder: str) -> DataFrame:
+    """``lineitem`` under the column names of a run of variant calls."""
+    return _table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("validation_hash"),
+        F.col("l_partkey").alias("variant_hash"),
+        F.col("l_suppkey").cast("string").alias("sample_name"),
+        F.col("l_linestatus").alias("run_name"),
+        F.col("l_returnflag").alias("chromosome"),
+        F.col("l_linenumber").alias("position"),
+        F.lit("A").alias("reference"),
+        F.lit("T").alias("alternate"),
+        F.lit("gene").alias("snpeff_Gene_Name"),
+    )
+
+
+def _verdicts(spark: SparkSession, folder: str, job: str) -> DataFrame:
+    """``orders`` read as decisions of one job, with a comment on the open ones."""
+    status, text = F.col("o_orderstatus"), F.lit(None).cast("string")
+    verdict = F.when(status != "P", F.col("o_totalprice") > 200000)
+    kinds = F.when(status == "P", F.array(F.lit(DECISION), F.lit(REMARK))).otherwise(F.array(F.lit(DECISION)))
+    return _table(spark, folder, "orders").select(
+        F.explode(kinds).alias("kind"),
+        F.lpad(F.col("o_orderkey").cast("string"), 20, "0").alias("event_id"),
+        F.col("o_orderdate").alias("ts"),
+        F.col("o_orderkey").alias("validation_hash"),
+        *[text.alias(c) for c in ("sample_name", "run_name", "transcript_ID")],
+        verdict.alias("accepted"),
+        F.array("o_orderpriority", "o_orderstatus").alias("tags"),
+        F.when(status == "P", F.col("o_orderpriority")).alias("comment"),
+        F.lit("reviewer").alias("username"),
+        F.lit(job).alias("table_uuid"),
+    )
+
+
+@query(
+    "select l_orderkey validation_hash,cast(l_suppkey as varchar) sample_name,l_linenumber as position,"
+    "case when o_orderstatus<>'P' then o_totalprice>200000 end accepted,"
+    "o_orderpriority||', '||o_orderstatus tags,case when o_orderstatus='P' then o_orderpriority end said "
+    "from lineitem left join orders on l_orderkey=o_orderkey"
+)
+def review_report(spark: SparkSession, folder: str) -> DataFrame:
+    """A whole review: create the job, decide, finish it, export the report, read it back."""
+    root = new_shared_path(spark, "lake")
+    _calls(spark, folder).write.parquet(f"{root}/run.parquet")
+    store = ReviewStore(spark, f"{root}/review", Lake(spark))
+    files = [f"{root}/run.parquet"]
+    job = store.new_job("Review 1", "reviewer", files, ["3", "14", "15"], "rare")
+    store.log.append_decision_events(_verdicts(spark, folder, job))
+    report = store.finish(job, [STEP_SPEC])
+    shown = report.withColumn("said", F.array_join("comment.comment", ";")).select(
+        "validation_hash", "sample_name", "position", "accepted", "tags", F.nullif("said", F.lit("")).alias("said")
+    )
+    schema = "validation_hash bigint, sample_name string, position int, accepted boolean, tags string, said string"
+    return _through_csv(spark, shown, schema)
+
+
 # -- sources and sinks ---------------------------------------------------------------
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: letters of any script, blanks and digits, at least one.
-NAME_PATTERN = r"^(\p{L}| |[0-9])+$"
+# Fixed value: letters of any script, blanks and digits, at least one, nothing else.
+# One character class, since Java recurses for each round of a group.
+NAME_PATTERN = r"\A[\p{L} 0-9]+\z"
 
 
 def valid_name(name: Column) -> Column:

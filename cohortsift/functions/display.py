@@ -24,6 +24,16 @@ def stamp_text(stamp: Column) -> Column:
     return F.date_format(stamp, STAMP_FORMAT)
 
 
+def zoneless_stamp_text(stamp: Column) -> Column:
+    """``STAMP_FORMAT`` without a detour by the session's time zone.
+
+    ``date_format`` would move hours that zone skips in spring.
+    """
+    text = stamp.cast("string")
+    day = F.concat_ws("/", F.substring(text, 9, 2), F.substring(text, 6, 2), F.substring(text, 1, 4))
+    return F.concat(day, F.lit(" "), F.substring(text, 12, 8))
+
+
 def path_stem(path: Column) -> Column:
     """File name without its last suffix: ``a/run.1.parquet`` gives ``run.1``."""
     name = F.regexp_extract(path, "([^/]*)/*$", 1)
@@ -44,8 +54,10 @@ def shown(field: T.StructField) -> Column:
     kind = field.dataType
     if isinstance(kind, T.BooleanType):
         value = yes_no(value)
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+    elif isinstance(kind, T.TimestampType):
         value = stamp_text(value)
+    elif isinstance(kind, T.TimestampNTZType):
+        value = zoneless_stamp_text(value)
     elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
         value = path_stems(value) if field.name == PATH_COLUMN else joined(value)
     return value.alias(field.name)

@@ -64,7 +64,7 @@ class ReviewStore:
         """Store a job and return its key."""
         event = {
             "kind": review_log.CREATED,
-            "table_uuid": review_log.new_job_key(self.spark),
+            "table_uuid": review_log.new_job_key(),
             "parquet_files": list(files),
             "sample_names": list(samples),
             "username": username,
@@ -121,29 +121,27 @@ class ReviewStore:
     # -- steps ------------------------------------------------------------------
 
     def show_step(self, table_uuid: str, steps: Sequence[StepSpec], number: int, **options: Any) -> DataFrame:
-        job = self.job(table_uuid)
-        samples = job["sample_names"] or None
-        return run_step(steps[number], self.lake, job["parquet_files"], samples, **options)
+        return self._step(self.job(table_uuid), steps, number, **options)
 
     def resume(self, table_uuid: str, steps: Sequence[StepSpec]) -> DataFrame:
         """Go on where the job stands: its step, or its report when all are done."""
-        reached = self.job(table_uuid)["last_step"]
-        if reached >= len(steps):
-            return self.finish(table_uuid, steps)
-        return self.show_step(table_uuid, steps, reached)
+        job = self.job(table_uuid)
+        if job["last_step"] >= len(steps):
+            return self._finish(job, steps)
+        return self._step(job, steps, job["last_step"])
 
     def next_step(self, table_uuid: str, steps: Sequence[StepSpec]) -> DataFrame:
         """Advance by one step; past the last one the job is finished."""
-        reached = self.job(table_uuid)["last_step"] + 1
+        job = self.job(table_uuid)
+        reached = job["last_step"] + 1
         if reached >= len(steps):
-            return self.finish(table_uuid, steps)
+            return self._finish(job, steps)
         self.record_step(table_uuid, reached)
-        return self.show_step(table_uuid, steps, reached)
+        return self._step(job, steps, reached)
 
     def finish(self, table_uuid: str, steps: Sequence[StepSpec]) -> DataFrame:
-        if not self.job(table_uuid)["completed"]:
-            self.complete(table_uuid, len(steps))
-        return self.report(table_uuid)
+        """Mark the job as completed, once, and show its report."""
+        return self._finish(self.job(table_uuid), steps)
 
     def report(self, table_uuid: str, how: str = "left") -> DataFrame:
         """All rows under review beside their decisions.
@@ -151,15 +149,23 @@ class ReviewStore:
         ``comment_part`` numbers the rows of a decision with a very long list of
         comments; it is 0, or NULL where nothing was decided, everywhere else.
         """
-        main = self.lake.main(self.job(table_uuid)["parquet_files"])
-        decided = self.decisions(table_uuid).select("validation_hash", *REPORT_VERDICT, "comment_part")
+        return self._report(self.job(table_uuid), how)
+
+    def _step(self, job: Row, steps: Sequence[StepSpec], number: int, **options: Any) -> DataFrame:
+        return run_step(steps[number], self.lake, job["parquet_files"], job["sample_names"] or None, **options)
+
+    def _finish(self, job: Row, steps: Sequence[StepSpec]) -> DataFrame:
+        if not job["completed"]:
+            self.complete(job["table_uuid"], len(steps))
+        return self._report(job, "left")
+
+    def _report(self, job: Row, how: str) -> DataFrame:
+        main = self.lake.main(job["parquet_files"])
+        decided = self.decisions(job["table_uuid"]).select("validation_hash", *REPORT_VERDICT, "comment_part")
         return decision_report(main, decided, REPORT_FIELDS, how)
 
     def export(self, table_uuid: str, folder: str, spec: StepSpec | None = None) -> None:
         """Write the report, or the projection ``spec`` asks for, as CSV."""
-        if spec is None:
-            rows = self.report(table_uuid)
-        else:
-            job = self.job(table_uuid)
-            rows = run_step(spec, self.lake, job["parquet_files"], job["sample_names"] or None)
+        job = self.job(table_uuid)
+        rows = self._report(job, "left") if spec is None else self._step(job, [spec], 0)
         export_csv(rows, folder)

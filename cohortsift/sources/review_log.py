@@ -73,7 +73,7 @@ class ReviewLog:
         self.spark = spark
         self.root = root.rstrip("/")
         for name, schema in _SCHEMAS.items():
-            self._write(spark.createDataFrame([], schema), name, self.root, "ignore")
+            self._write(spark.createDataFrame([], schema).coalesce(1), name, self.root, "ignore")
 
     def job_events(self) -> DataFrame:
         return self._read("job_events")
@@ -104,16 +104,17 @@ class ReviewLog:
         return ReviewLog(self.spark, new_root)
 
     def events(self, name: str, rows: Iterable[Mapping[str, Any]]) -> DataFrame:
-        """Events from the caller's values, stamped now. Meant for a handful."""
+        """Events from the caller's values, stamped when written. Meant for a handful."""
         schema = _SCHEMAS[name]
-        stamped = []
-        now = self.spark.range(1).select(F.localtimestamp().alias("now")).first()["now"]
+        filled = []
         for row in rows:
             unknown = set(row) - set(schema.names)
             if unknown:
                 raise ValueError(f"unknown columns {sorted(unknown)}")
-            stamped.append(tuple({"event_id": next_event_id(), "ts": now, **row}.get(n) for n in schema.names))
-        return self.spark.createDataFrame(stamped, schema).coalesce(1)
+            filled.append(tuple({"event_id": next_event_id(), **row}.get(name) for name in schema.names))
+        df = self.spark.createDataFrame(filled, schema).coalesce(1)
+        # One clock reading per write: Spark fixes it when the write is planned.
+        return df.withColumn("ts", F.coalesce("ts", F.localtimestamp()))
 
     def _append(self, events: DataFrame, name: str) -> None:
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in _SCHEMAS[name].fields]
@@ -136,6 +137,6 @@ def next_event_id() -> str:
     return f"{time.time_ns():020d}-{uuid.uuid4().hex}"
 
 
-def new_job_key(spark: SparkSession) -> str:
-    """``validation_`` and a fresh uuid, drawn once so that it stays the same."""
-    return spark.range(1).select(F.concat(F.lit("validation_"), F.expr("uuid()")).alias("k")).first()["k"]
+def new_job_key() -> str:
+    """``validation_`` and a fresh uuid."""
+    return f"validation_{uuid.uuid4()}"
