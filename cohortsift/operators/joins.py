@@ -105,11 +105,14 @@ def join(
         return _plain(left, right, left_on, right_on, how)
     heavy_left = left_profile() if left_profile else profile_keys(left, left_on, light_rows)
     if how in ("left_semi", "left_anti"):
+        # Which keys there are is all that counts, however often the right side repeats them.
+        keys = _keys(right, right_on)
         if not heavy_left:
-            return _plain(left, right, left_on, right_on, how)
-        return _dealt(left, _keys(right, right_on), left_on, right_on, how, heavy_left, KeyProfile())
+            return _plain(left, keys, left_on, right_on, how)
+        return _dealt(left, keys, left_on, right_on, how, heavy_left, KeyProfile())
     heavy_right = profile_keys(right, right_on, light_rows)
-    if not heavy_left and not heavy_right:
+    no_heavy_value = not heavy_left.cells and not heavy_right.cells
+    if no_heavy_value and (how == "inner" or not (heavy_left or heavy_right)):
         return _plain(left, right, left_on, right_on, how)
     if how == "inner" or (how == "left" and not heavy_right.cells):
         return _dealt(left, right, left_on, right_on, how, heavy_left, heavy_right)

@@ -136,6 +136,11 @@ class SortedPages:
         wanted = reduce(or_, ranges) if ranges else F.lit(False)
         return self.table.filter(wanted).orderBy(PLACE).limit(size).drop(PLACE)
 
+    def show(self, request: int | str = 1, *, current: int = 1, size: int = PAGE_SIZE) -> PageView:
+        pages = page_count(self.row_count, size)
+        number = turn_to(request, current, pages)
+        return PageView(self.page(number, size), number, pages, self.row_count)
+
 
 @dataclass(frozen=True)
 class PageView:
@@ -155,10 +160,20 @@ def turn_to(request: int | str, current: int, pages: int) -> int:
 
 
 def show_page(
-    df: DataFrame, order: Order, request: int | str = 1, *, current: int = 1, size: int = PAGE_SIZE
+    df: DataFrame,
+    order: Order,
+    request: int | str = 1,
+    *,
+    current: int = 1,
+    size: int = PAGE_SIZE,
+    row_count: int | None = None,
 ) -> PageView:
-    """Count the rows, then show the wanted page or the nearest there is."""
-    rows = df.count()
+    """Count the rows, then show the wanted page or the nearest there is.
+
+    Who turns pages of one relation can hand on the ``row_count`` of the last
+    view; for pages far in, use :meth:`SortedPages.show`.
+    """
+    rows = df.count() if row_count is None else row_count
     pages = page_count(rows, size)
     number = turn_to(request, current, pages)
     if number == pages and number * size > TOP_K_ROWS:

@@ -44,6 +44,8 @@ def test_sorted_pages_equal_top_k(many_parts, rows, ordered):
     assert pages.row_count == 1003 and len(pages.parts) > 1
     assert [n for p in range(1, 13) for n in ids(pages.page(p, 90))] == ordered
     assert ids(pages.page(13, 90)) == []
+    last = pages.show("last", size=90)
+    assert (last.number, last.page_count, ids(last.rows)) == (12, 12, ordered[990:])
     assert ids(page(rows, ORDER, 7, 100, top_k=50)) == ordered[600:700]
 
 
@@ -72,6 +74,7 @@ def test_show_page_moves(rows, ordered, monkeypatch):
     view = show_page(rows, ORDER, 99, size=100)
     assert (view.number, view.page_count, view.row_count) == (11, 11, 1003)
     assert ids(view.rows) == ordered[1000:]
+    assert show_page(rows, ORDER, 99, size=100, row_count=250).number == 3
     monkeypatch.setattr(paging, "TOP_K_ROWS", 10)
     assert ids(show_page(rows, ORDER, "last", size=100).rows) == ordered[1000:]
 
