@@ -609,7 +609,7 @@ def review_jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "select d.user_id validation_hash,accepted,coalesce(part,0) part,coalesce(said,'') said from "
+    "select d.user_id validation_hash,cast(accepted as varchar) accepted,coalesce(part,0) part,coalesce(said,'') said from "
     "(select user_id,max_by(value>20,row(ts,event_id)) filter (where event_type='click') accepted from events group by 1) d "
     "left join (select user_id,part,string_agg(props,';' order by ts,event_id) said from "
     "(select *,(row_number() over (partition by user_id order by ts,event_id)-1)//1000 part from events "
@@ -633,7 +633,8 @@ def review_store(spark: SparkSession, folder: str) -> DataFrame:
     log.append_decision_events(events)
     state = folds.decisions(log.decision_events().filter(F.col("table_uuid") == "validation_events"))
     said = F.array_join("comment.comment", ";")
-    return state.select("validation_hash", "accepted", F.col("comment_part").alias("part"), said.alias("said"))
+    accepted = F.col("accepted").cast("string").alias("accepted")
+    return state.select("validation_hash", accepted, F.col("comment_part").alias("part"), said.alias("said"))
 
 
 _LAST_TYPES = "(select user_id,max_by(event_type,row(ts,event_id)) last_type from events group by 1)"
@@ -693,7 +694,7 @@ def _verdicts(spark: SparkSession, folder: str, job: str) -> DataFrame:
 
 @query(
     "select l_orderkey validation_hash,cast(l_suppkey as varchar) sample_name,l_linenumber as position,"
-    "case when o_orderstatus<>'P' then o_totalprice>200000 end accepted,"
+    "cast(case when o_orderstatus<>'P' then o_totalprice>200000 end as varchar) accepted,"
     "o_orderpriority||', '||o_orderstatus tags,case when o_orderstatus='P' then o_orderpriority end said "
     "from lineitem left join orders on l_orderkey=o_orderkey"
 )
@@ -709,7 +710,7 @@ def review_report(spark: SparkSession, folder: str) -> DataFrame:
     shown = report.withColumn("said", F.array_join("comment.comment", ";")).select(
         "validation_hash", "sample_name", "position", "accepted", "tags", F.nullif("said", F.lit("")).alias("said")
     )
-    schema = "validation_hash bigint, sample_name string, position int, accepted boolean, tags string, said string"
+    schema = "validation_hash bigint, sample_name string, position int, accepted string, tags string, said string"
     return _through_csv(spark, shown, schema)
 
 
