@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cohortsift.llm import language, pii
 from cohortsift.llm.packing import packed
-from cohortsift.llm.shared import table
+from cohortsift.llm.shared import fold_of, table
 from cohortsift.llm.token_files import write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +24,12 @@ def query(run: Query) -> Query:
     return run
 
 
+@query
+def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document, plain and disguised."""
+    return pii.find(table(spark, folder, "documents"))
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document and its place in a sequence of at most 2048 tokens."""
@@ -32,3 +40,14 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's place in the token files, read back from them."""
     return write_token_files(table(spark, folder, "documents"), end_id=2).documents()
+
+
+@query
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from the rows that are not held out."""
+    docs = table(spark, folder, "documents")
+    fold = fold_of(F.col("doc_id"), 3)
+    model = language.fit(docs.where(fold != 1))
+    return docs.select(
+        "doc_id", F.coalesce(fold == 1, F.lit(True)).alias("held_out"), model.column().alias("found")
+    ).select("doc_id", "held_out", "found.*")

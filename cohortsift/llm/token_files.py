@@ -2,7 +2,8 @@
 
 A dataset is a folder of shards in ascending document order. Shard ``k`` is
 
-* ``<k>.ids``: the token ids of its documents, little-endian unsigned 32-bit;
+* ``<k>.ids``: the token ids of its documents, little-endian unsigned integers of 16 bits
+  if the vocabulary and the end id fit in them, else of 32;
 * ``<k>.idx``: the offsets (``n + 1`` signed 64-bit, in ids, from 0), then the document
   ids (``n`` signed 64-bit), then one byte for each document, 1 where its id is NULL;
 * a row of the manifest (Parquet): shard, documents, ids.
@@ -31,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortsift.llm.tokens import default_vocabulary, encoder
+from cohortsift.llm.tokens import default_vocabulary, encoder, vocabulary_size
 from cohortsift.session import new_shared_path
 
 #: Texts encoded at once.
 BATCH = 256
-MANIFEST = "shard int, n_docs long, n_ids long"
+MANIFEST = "shard int, n_docs long, n_ids long, id_bytes int"
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -64,10 +65,10 @@ class TokenFiles:
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, folder = place(root)
             for batch in batches:
-                for shard, n, base in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    yield from _read_shard(store, f"{folder}/{shard}", n, base)
+                for shard, n, base, width in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    yield from _read_shard(store, f"{folder}/{shard}", n, base, width)
 
-        each = self.shards.select("shard", "n_docs", "base")
+        each = self.shards.select("shard", "n_docs", "base", "id_bytes")
         spread = each.repartition(max(1, each.sparkSession.sparkContext.defaultParallelism), "shard")
         return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -81,14 +82,16 @@ def _mapped(store: fs.FileSystem, name: str) -> memoryview:
         return memoryview(source.read_buffer())
 
 
-def _read_shard(store: fs.FileSystem, name: str, n: int, base: int) -> Iterator[pa.RecordBatch]:
+def _read_shard(store: fs.FileSystem, name: str, n: int, base: int, width: int) -> Iterator[pa.RecordBatch]:
     index, ids = _mapped(store, f"{name}.idx"), _mapped(store, f"{name}.ids")
     offsets = np.frombuffer(index, "<i8", n + 1)
     doc_ids = np.frombuffer(index, "<i8", n, 8 * (n + 1))
     null = np.frombuffer(index, "u1", n, 8 * (2 * n + 1)).astype(bool)
-    for a in range(0, n, 10_000):
-        b = min(n, a + 10_000)
-        crc = [zlib.crc32(ids[4 * offsets[i] : 4 * offsets[i + 1]]) for i in range(a, b)]
+    for a in range(0, n, 1000):
+        b = min(n, a + 1000)
+        wide = np.frombuffer(ids, f"<u{width}", offsets[b] - offsets[a], width * offsets[a]).astype("<u4").tobytes()
+        at = (4 * (offsets[a : b + 1] - offsets[a])).tolist()
+        crc = [zlib.crc32(memoryview(wide)[x:y]) for x, y in zip(at, at[1:], strict=False)]
         columns = [pa.array(doc_ids[a:b], mask=null[a:b]), base + offsets[a:b], np.diff(offsets[a : b + 1]), pa.array(crc, pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -101,6 +104,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 2,
     spark = docs.sparkSession
     path = path or new_shared_path(spark, "token-files")
     vocabulary, root, end = vocabulary or default_vocabulary(), f"{path}/shards", np.array([end_id], "<u4").tobytes()
+    width = 2 if max(vocabulary_size(vocabulary), end_id + 1) <= 1 << 16 else 4
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = place(root)
@@ -113,7 +117,8 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 2,
                 for a in range(0, batch.num_rows, BATCH):
                     part = batch.slice(a, BATCH)
                     encoded = [ids + end for ids in encode(part.column(1).to_pylist())]
-                    out.write(b"".join(encoded))
+                    ids = b"".join(encoded)
+                    out.write(ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
                     counts.append(np.array([len(ids) // 4 for ids in encoded], "<i8"))
                     null.append(part.column(0).is_null().to_numpy(zero_copy_only=False))
                     doc_ids.append(part.column(0).fill_null(0).to_numpy())
@@ -127,7 +132,8 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 2,
             for kind in ("ids", "idx"):
                 store.move(f"{mine}.{kind}", f"{name}.{kind}")
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([n_docs]), pa.array([int(offsets[-1])])], ["shard", "n_docs", "n_ids"]
+                [pa.array([shard], pa.int32()), pa.array([n_docs]), pa.array([int(offsets[-1])]), pa.array([width], pa.int32())],
+                ["shard", "n_docs", "n_ids", "id_bytes"],
             )
         else:
             store.delete_file(f"{mine}.ids")

@@ -3,21 +3,31 @@
 A byte-level BPE vocabulary never merges over the start of a run of white space: its
 pre-tokenizer starts a new piece there. So a text is cut before every such run, the
 distinct cuts are encoded by the library, and a text's ids are the ids of its cuts.
-Texts with white space beyond ASCII go to the library whole.
+Where words are parted by single spaces or line ends, a cut at each space is one of
+those; other texts are cut by a pattern, and texts with white space beyond ASCII go to
+the library whole. A word of letters is one piece to the pre-tokenizer, so it goes to
+the library's model at once.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
-#: Distinct cuts remembered by one Python worker; beyond it the memory starts anew.
-REMEMBERED = 400_000
-#: Longer cuts are encoded each time and not remembered.
-LONGEST = 64
+#: Words one Python worker remembers, twice: those met lately, and those met before them.
+REMEMBERED = 300_000
+#: Longer words are encoded each time and not remembered.
+LONGEST = 48
 
 _CUTS = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+_TWO_SPACES = re.compile(r"[ \t\n\r\x0b\x0c]{2}")
+
+#: The sign that byte-level vocabularies have for each byte: itself if it is printable, else the next one from U+0100 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_HIDDEN = [b for b in range(256) if b not in _PRINTABLE]
+_BYTE_SIGNS = [chr(b) if b in _PRINTABLE else chr(256 + _HIDDEN.index(b)) for b in range(256)]
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -36,6 +46,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
@@ -43,7 +59,14 @@ class Encoder:
 
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True  # their names in a text are ordinary text
-        self._known: dict[str, bytes] = {}
+        self._model = self._library.model
+        # the short way for words of letters holds where it gives what the library does
+        sample = ["Word", "naïve", "of.", "straße,", "слово"]
+        self._tails: dict[str, bytes] = {}
+        self._by_word = True
+        self._by_word = self._spaced(sample) == self._ids([f" {w}" for w in sample])
+        self._late: dict[str, bytes] = {}  # a word's ids after a space
+        self._before: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -51,16 +74,74 @@ class Encoder:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _word(self, letters: str) -> bytes:
+        """The ids of letters after a space, which the pre-tokenizer leaves in one piece."""
+        piece = letters if letters.isascii() else "".join(map(_BYTE_SIGNS.__getitem__, letters.encode()))
+        return array("I", [t.id for t in self._model.tokenize("\u0120" + piece)]).tobytes()
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """The ids of each word after a space."""
+        found, odd = [], []
+        for k, w in enumerate(words):
+            letters = w.rstrip(".,")
+            if self._by_word and letters.isalpha():
+                tail = w[len(letters) :]
+                found.append(self._word(letters) + (self._tail(tail) if tail else b""))
+            else:
+                odd.append(k)
+                found.append(b"")
+        for k, ids in zip(odd, self._ids([f" {words[k]}" for k in odd]), strict=True):
+            found[k] = ids
+        return found
+
+    def _tail(self, signs: str) -> bytes:
+        if signs not in self._tails:
+            self._tails[signs] = self._ids([signs])[0]
+        return self._tails[signs]
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Make all words known; returns those that are too long to remember."""
+        late, before = self._late, self._before
+        if len(late) > REMEMBERED:
+            self._before, self._late = before, late = late, {}
+        new = words.difference(late)
+        if before:
+            again = new.intersection(before)
+            for w in again:
+                late[w] = before[w]
+            new -= again
+        new = list(new)
+        once = {}
+        for w, ids in zip(new, self._spaced(new), strict=True):
+            (late if len(w) <= LONGEST else once)[w] = ids
+        return once
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none for NULL."""
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        known = self._known
-        cut = [[] if t is None else [t] if _OTHER_SPACE.search(t) else _CUTS.findall(t) for t in texts]
-        new = list({x for cuts in cut for x in cuts if x not in known})
-        once = {}
-        for text, ids in zip(new, self._ids(new), strict=True):
-            (known if len(text) <= LONGEST else once)[text] = ids
-        if once:
-            return [b"".join([known[x] if x in known else once[x] for x in cuts]) for cuts in cut]
-        return [b"".join([known[x] for x in cuts]) for cuts in cut]
+        out, whole, cut = [b""] * len(texts), [], []
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if not text.isascii() and _OTHER_SPACE.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+                whole.append(k)
+            elif text[0] == " " or text[-1] == " " or _TWO_SPACES.search(text):
+                cut.append((k, ["", *_CUTS.findall(text)], True))
+            else:
+                cut.append((k, text.split(" "), False))
+        words, heads = set(), []
+        for k, parts, odd in cut:
+            if odd:
+                heads += parts
+            else:
+                heads.append(parts[0])
+                words.update(parts[1:])
+        once = self._learn(words)
+        known = self._late if not once else {**{w: self._late[w] for w in words if w not in once}, **once}
+        apart = list(set(heads))
+        first = dict(zip(apart, self._ids(apart), strict=True))
+        for k, parts, odd in cut:
+            rest = map((first if odd else known).__getitem__, parts[1:])
+            out[k] = first[parts[0]] + b"".join(rest)
+        for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
+            out[k] = ids
+        return out
