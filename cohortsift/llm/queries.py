@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortsift.llm import language, pii
+from cohortsift.llm import exact_topk, language, multi_index, pii
 from cohortsift.llm.packing import packed
 from cohortsift.llm.shared import fold_of, table
 from cohortsift.llm.token_files import write_token_files
@@ -42,6 +42,32 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return write_token_files(table(spark, folder, "documents"), end_id=2).documents()
 
 
+@query
+def op6_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Five near neighbours by cosine of every fiftieth vector."""
+    return multi_index.search(table(spark, folder, "embeddings"), every=50, k=5)
+
+
+@query
+def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    return exact_topk.search(table(spark, folder, "embeddings"), every=50, k=5)
+
+
+ORACLES["op9_exact_topk"] = """
+with v as (
+  select vec_id, [cast(floor(256 * cast(x as double)) as double) for x in embedding] as w
+  from embeddings where embedding is not null and vec_id is not null
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.w, c.w) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+)
+select * from r where rank <= 5
+"""
+
+
 @query
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learned from the rows that are not held out."""
