@@ -33,7 +33,7 @@ from cohortsift.llm.shared import stored
 from cohortsift.llm.tokens import default_vocabulary, encoder
 
 #: Texts encoded at once.
-BATCH = 256
+BATCH = 1024
 #: Parts in which the pieces of one length are ranked.
 SALTS = 1024
 

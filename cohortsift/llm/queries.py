@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortsift.llm import exact_topk, language, multi_index, pii
+from cohortsift.llm import exact_topk, language, mixing, multi_index, pii
 from cohortsift.llm.packing import packed
 from cohortsift.llm.shared import fold_of, table
 from cohortsift.llm.token_files import write_token_files
@@ -36,6 +36,57 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"), size=2048, end_id=0)
 
 
+@query
+def op3_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every document in the mix of all sources, weighted by their size to the power of 0.8."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, exponent=0.8, slots=1000, block=8).select("doc_id", "source", "__mix.*")
+
+
+ORACLES["op3_mixed_sources"] = """
+with recursive src as (
+  select source, count(*) as n, row_number() over (order by count(*) desc, source nulls first) as pool from documents group by source
+), q as (
+  select *, (1000 - count(*) over ()) * (pow(cast(n as double), 0.8) / sum(pow(cast(n as double), 0.8)) over ()) as quota from src
+), f as (
+  select *, cast(floor(quota) as bigint) + 1 as least_parts, quota - floor(quota) as rest from q
+), p as (
+  select source, n, pool, least_parts + case when row_number() over (order by rest desc, pool)
+    <= 1000 - sum(least_parts) over () then 1 else 0 end as parts from f
+), a as (
+  select list(cast(parts as bigint) order by pool) as parts from p
+), run(t, parts, served, pick) as (
+  select 0, parts, [cast(0 as bigint) for x in parts], cast(0 as bigint) from a
+  union all
+  select t + 1, parts,
+    [case when i = pick_now then served[i] + 1 else served[i] end for i in generate_series(1, len(parts))], pick_now
+  from (
+    select *, list_position(due, list_min(due)) as pick_now from (
+      select *, [case when served[i] < parts[i] and (served[i] * 1000) // parts[i] <= t
+        then ((served[i] + 1) * 1000 + parts[i] - 1) // parts[i] else 1000000 end for i in generate_series(1, len(parts))] as due
+      from run where t < 1000))
+), tab as (
+  select pick as pool, t - 1 as slot, row_number() over (partition by pick order by t) - 1 as turn from run where t > 0
+), fin as (
+  select max(((p.n - 1) // 8) // p.parts * 1000 + tab.slot + 1) as e
+  from p join tab on tab.pool = p.pool and tab.turn = ((p.n - 1) // 8) % p.parts
+), served_docs as (
+  select p.source, p.n, p.pool, p.parts, 8 * ((e // 1000) * p.parts + (select count(*) from tab where tab.pool = p.pool and tab.slot < e % 1000)) as docs
+  from p, fin
+), r as (
+  select doc_id, source, row_number() over (partition by source order by md5(coalesce(cast(doc_id as varchar), '')), doc_id nulls first, text nulls first) - 1 as place
+  from documents
+), x as (
+  select r.doc_id, r.source, s.pool, s.parts, unnest(generate_series(0, (s.docs - 1 - r.place) // s.n)) as epoch, r.place, s.n
+  from r join served_docs s on r.source is not distinct from s.source
+)
+select x.doc_id, x.source, cast(x.epoch as bigint) as epoch, cast((place + epoch * n) // 8 as bigint) as block,
+  cast(((place + epoch * n) // 8) // parts * 1000 + tab.slot as bigint) as slot,
+  cast((((place + epoch * n) // 8) // parts * 1000 + tab.slot) * 8 + (place + epoch * n) % 8 as bigint) as position
+from x join tab on tab.pool = x.pool and tab.turn = ((place + epoch * n) // 8) % parts
+"""
+
+
 @query
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's place in the token files, read back from them."""

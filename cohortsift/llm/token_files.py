@@ -36,7 +36,7 @@ from cohortsift.llm.tokens import default_vocabulary, encoder, vocabulary_size
 from cohortsift.session import new_shared_path
 
 #: Texts encoded at once.
-BATCH = 256
+BATCH = 1024
 MANIFEST = "shard int, n_docs long, n_ids long, id_bytes int"
 
 

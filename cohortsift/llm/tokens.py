@@ -16,7 +16,7 @@ import re
 from array import array
 
 #: Words one Python worker remembers, twice: those met lately, and those met before them.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Longer words are encoded each time and not remembered.
 LONGEST = 48
 
@@ -61,10 +61,10 @@ class Encoder:
         self._library.encode_special_tokens = True  # their names in a text are ordinary text
         self._model = self._library.model
         # the short way for words of letters holds where it gives what the library does
-        sample = ["Word", "naïve", "of.", "straße,", "слово"]
+        sample = ["Word", "naïve", "of.", "straße,", "слово", "\nLine", "\née."]
         self._tails: dict[str, bytes] = {}
         self._by_word = True
-        self._by_word = self._spaced(sample) == self._ids([f" {w}" for w in sample])
+        self._by_word = self._spaced(sample) == self._ids([w if w[0] == "\n" else f" {w}" for w in sample])
         self._late: dict[str, bytes] = {}  # a word's ids after a space
         self._before: dict[str, bytes] = {}
 
@@ -74,23 +74,25 @@ class Encoder:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _word(self, letters: str) -> bytes:
-        """The ids of letters after a space, which the pre-tokenizer leaves in one piece."""
+    def _word(self, before: str, letters: str) -> bytes:
+        """The ids of letters, after a space or nothing, which the pre-tokenizer leaves in one piece."""
         piece = letters if letters.isascii() else "".join(map(_BYTE_SIGNS.__getitem__, letters.encode()))
-        return array("I", [t.id for t in self._model.tokenize("\u0120" + piece)]).tobytes()
+        return array("I", [t.id for t in self._model.tokenize(before + piece)]).tobytes()
 
     def _spaced(self, words: list[str]) -> list[bytes]:
-        """The ids of each word after a space."""
+        """The ids of each word after a space, or, if it begins with a line end, after that."""
         found, odd = [], []
         for k, w in enumerate(words):
             letters = w.rstrip(".,")
+            tail = w[len(letters) :]
             if self._by_word and letters.isalpha():
-                tail = w[len(letters) :]
-                found.append(self._word(letters) + (self._tail(tail) if tail else b""))
+                found.append(self._word("\u0120", letters) + (self._tail(tail) if tail else b""))
+            elif self._by_word and w[0] == "\n" and letters[1:].isalpha():
+                found.append(self._tail("\n") + self._word("", letters[1:]) + (self._tail(tail) if tail else b""))
             else:
                 odd.append(k)
                 found.append(b"")
-        for k, ids in zip(odd, self._ids([f" {words[k]}" for k in odd]), strict=True):
+        for k, ids in zip(odd, self._ids([words[k] if words[k][0] == "\n" else f" {words[k]}" for k in odd]), strict=True):
             found[k] = ids
         return found
 
@@ -127,7 +129,7 @@ class Encoder:
             elif text[0] == " " or text[-1] == " " or _TWO_SPACES.search(text):
                 cut.append((k, ["", *_CUTS.findall(text)], True))
             else:
-                cut.append((k, text.split(" "), False))
+                cut.append((k, text.replace("\n", " \n").split(" "), False))
         words, heads = set(), []
         for k, parts, odd in cut:
             if odd:
