@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortsift.llm import exact_topk, language, mixing, multi_index, pii
+from cohortsift.llm import exact_topk, language, mixing, multi_index, pii, toxicity
 from cohortsift.llm.packing import packed
 from cohortsift.llm.shared import fold_of, table
 from cohortsift.llm.token_files import write_token_files
@@ -93,6 +93,16 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return write_token_files(table(spark, folder, "documents"), end_id=2).documents()
 
 
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document, learned from the labelled rows that are not held out."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    fold = fold_of(F.col("doc_id"), 4)
+    model = toxicity.fit(docs, labels.where(fold != 2))
+    scored = docs.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), model.column().alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 @query
 def op6_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Five near neighbours by cosine of every fiftieth vector."""
