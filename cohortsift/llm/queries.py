@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortsift.llm import exact_topk, language, mixing, multi_index, pii, toxicity
+from cohortsift.llm.near_copies import near_copies
 from cohortsift.llm.packing import packed
 from cohortsift.llm.shared import fold_of, table
 from cohortsift.llm.token_files import write_token_files
@@ -109,6 +110,12 @@ def op6_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.search(table(spark, folder, "embeddings"), every=50, k=5)
 
 
+@query
+def op8_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """The near copies of every document: sets of three words, 85 hundredths alike."""
+    return near_copies(table(spark, folder, "documents"), words=3, percent=85)
+
+
 @query
 def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The five best inner products of every fiftieth vector with all others."""
