@@ -9,7 +9,8 @@ language of the centroid with the largest cosine. It is rejected if its cosine l
 below the language's limit: ``tolerance`` times the lowest cosine of the language's sample.
 
 Defined results: NULL texts and texts without a letter get ``und``, score 0, and are
-rejected; so is everything if there is no learning row. Rows with a NULL id or language
+rejected. Without a learning row every text gets ``und`` and score 0, and none with letters is
+rejected. Rows with a NULL id or language
 are never learned from. Equal cosines go to the smaller language name. Repeated rows are
 judged one by one.
 """
@@ -90,9 +91,9 @@ class LanguageModel:
         found = []
         for a in range(0, len(texts), BLOCK):
             counted = counts(texts[a : a + BLOCK])
-            some = counted.any(axis=1) & bool(self.languages)
+            some = counted.any(axis=1)
             if not self.languages:
-                found.append(pd.DataFrame({"lang_pred": UNKNOWN, "score": 0.0, "rejected": True}, index=range(len(counted))))
+                found.append(pd.DataFrame({"lang_pred": UNKNOWN, "score": 0.0, "rejected": ~some}))
                 continue
             cosines = self.vectors(counted) @ self.centroids.T
             best = cosines.argmax(axis=1)

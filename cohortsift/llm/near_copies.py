@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortsift.llm.graph import components
@@ -121,7 +121,7 @@ def _overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (size of its set), class and band keys of each row; no class or keys for the empty set."""
+    """doc_id, tie (a hash of the text), n (size of its set), class and band keys of each row; no class or keys for the empty set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,14 +130,14 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(part.column(1), words)
                 keys = band_keys(registers(sets))
                 columns = [
-                    part.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                    part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([k.tolist() if len(s) else None for k, s in zip(keys, sets, strict=True)], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "class", "keys"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "n", "class", "keys"])
 
-    schema = "doc_id long, n long, class long, keys array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, schema)
+    schema = "doc_id long, tie long, n long, class long, keys array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie")).mapInArrow(sketch, schema)
 
 
 def _hubs(classes: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def _between(hub_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links), kept (whether it is the own id).
+    """doc_id, tie, n_shingles, component_id (the smallest id reachable by links), kept (whether it is the own id).
 
     Two sets are linked if their intersection is at least ``percent`` hundredths of their union.
     """
@@ -259,8 +259,19 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     of_class = of_class.select("class", "doc_id", F.coalesce("label", "class").alias("label"))
     smallest = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     component = of_class.join(smallest, "label").select(F.col("class").alias("own"), "component_id")
-    joined = found.select("doc_id", "n", "class").join(component, (F.col("class") == F.col("own")) & F.col("doc_id").isNotNull(), "left")
+    joined = found.select("doc_id", "tie", "n", "class").join(component, (F.col("class") == F.col("own")) & F.col("doc_id").isNotNull(), "left")
     reached = F.coalesce("component_id", "doc_id")
     return joined.select(
-        "doc_id", F.col("n").alias("n_shingles"), reached.alias("component_id"), F.coalesce(F.col("doc_id") == reached, F.lit(True)).alias("kept")
+        "doc_id", "tie", F.col("n").alias("n_shingles"), reached.alias("component_id"), F.coalesce(F.col("doc_id") == reached, F.lit(True)).alias("kept")
     )
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose document is kept; of rows equal in id and text one stays, rows with a NULL id all stay."""
+    found = near_copies(docs, words, percent)
+    gone = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("tie").alias("__gone_tie")).distinct(), "gone")
+    keyed = docs.withColumn("__tie", F.xxhash64("text"))
+    left = keyed.join(gone, (F.col("doc_id").cast("long") == F.col("__gone")) & (F.col("__tie") == F.col("__gone_tie")), "left_anti")
+    repeat = F.row_number().over(Window.partitionBy("doc_id", "__tie").orderBy("__tie"))
+    one = left.withColumn("__repeat", repeat).where((F.col("__repeat") == 1) | F.col("doc_id").isNull())
+    return one.select(*(F.col(f"`{c}`") for c in docs.columns))

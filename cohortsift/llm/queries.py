@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortsift.llm import exact_topk, language, mixing, multi_index, pii, toxicity
 from cohortsift.llm.near_copies import near_copies
 from cohortsift.llm.packing import packed
+from cohortsift.llm.repeats import repeated_words
 from cohortsift.llm.shared import fold_of, table
 from cohortsift.llm.token_files import write_token_files
 
@@ -110,10 +111,16 @@ def op6_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.search(table(spark, folder, "embeddings"), every=50, k=5)
 
 
+@query
+def op7_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the runs of 13 words that start in an earlier one."""
+    return repeated_words(table(spark, folder, "documents"), window=13, with_text=False)
+
+
 @query
 def op8_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     """The near copies of every document: sets of three words, 85 hundredths alike."""
-    return near_copies(table(spark, folder, "documents"), words=3, percent=85)
+    return near_copies(table(spark, folder, "documents"), words=3, percent=85).drop("tie")
 
 
 @query

@@ -65,12 +65,16 @@ class Words:
         whole = np.maximum(self.count - n + 1, 0)
         text = np.repeat(np.arange(self.texts), whole)
         at = np.arange(len(text)) - np.repeat(np.cumsum(whole) - whole, whole)
+        return self.hash_runs(text, at, n, seed), text, at
+
+    def hash_runs(self, text: np.ndarray, at: np.ndarray, n: int, seed: int) -> np.ndarray:
+        """The hash of the n words of each text from each place on."""
         first = self.begin[text] + at
         total = np.zeros(len(text), np.uint64)
         weight = powers(int(mixed(np.array([seed + 77], np.uint64))[0]) | 1, n)
         for k in range(n):
             total += self.hash[first + k] * weight[k : k + 1]
-        return mixed(total + np.uint64(n)), text, at
+        return mixed(total + np.uint64(n))
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
