@@ -9,19 +9,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortsift.functions.checks import job_is_complete, valid_name
 from cohortsift.functions.display import display, joined, path_stems
 from cohortsift.operators import folds
+from cohortsift.operators.joins import join
+from cohortsift.operators.numbering import number_rows
 from cohortsift.operators.paging import SortedPages, page, page_after, page_stats, show_page
 from cohortsift.operators.recurrence import distinct_values, run_recurrence, with_run_recurrence
 from cohortsift.operators.relational import order, project, restrict, where
 from cohortsift.operators.search import search
 from cohortsift.plans.review import ReviewStore
 from cohortsift.plans.spec import MAIN, FieldSpec, FilterNode, OrderKey, StepSpec
-from cohortsift.plans.steps import decision_report, run_step, step_page, step_relation
+from cohortsift.plans.steps import StepPages, decision_report, run_step, step_page, step_relation
 from cohortsift.session import new_shared_path
 from cohortsift.sources.csv_report import export_csv
 from cohortsift.sources.lake import Lake, scan_files
@@ -166,6 +169,50 @@ def step_count(spark: SparkSession, folder: str) -> DataFrame:
     return relation.agg(F.count("*").alias("count_star"))
 
 
+def _step_rows(spark: SparkSession, folder: str) -> StepPages:
+    return StepPages.of(STEP_SPEC, step_relation(STEP_SPEC, _cohort(spark, folder), ["lineitem.parquet"]))
+
+
+_STEP_RANKED = (
+    f"select {_STEP_FIELDS},row_number() over (order by agg.total_count desc nulls last,1,2,3,4) r,count(*) over () n "
+    f"{_STEP_FROM} {_STEP_WHERE}"
+).replace("nulls last,1,2,3,4", "nulls last,m.l_orderkey,m.l_linenumber,agg.ref_count,agg.var_count")
+_STEP_LAST = f"select l_orderkey,l_linenumber,ref_count,var_count from ({_STEP_RANKED}) where r>((n-1)//10)*10"
+
+
+@query(_STEP_LAST)
+def step_view_last(spark: SparkSession, folder: str) -> DataFrame:
+    return _step_rows(spark, folder).show("last", size=10).rows
+
+
+@query(_STEP_LAST)
+def step_view_past_end(spark: SparkSession, folder: str) -> DataFrame:
+    """Read from the table sorted once; a page past the end is the last one."""
+    return _step_rows(spark, folder).sorted().show(10**6, size=10).rows
+
+
+@query(f"select l_orderkey,l_linenumber,ref_count,var_count from ({_STEP_RANKED}) where r>10 and r<=20")
+def step_after(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _step_rows(spark, folder)
+    tenth = page(pages.rows, pages.order, 10, 1).first()
+    return pages.after(tenth.asDict(), 10)
+
+
+@query("select l_orderkey,l_linenumber,l_linenumber+1 next,l_extendedprice/nullif(l_linenumber-1,0) ratio,'a/b' slash,"
+       "case when l_linenumber%2=0 then -l_quantity/2 end half from lineitem")
+def project_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    """Divisions beside other arithmetic and a stroke in a literal."""
+    fields = [
+        FieldSpec("l_orderkey", MAIN),
+        FieldSpec("l_linenumber", MAIN),
+        FieldSpec("{table}.l_linenumber + 1", MAIN, alias="next", is_expression=True),
+        FieldSpec("{table}.l_extendedprice / ({table}.l_linenumber - 1)", MAIN, alias="ratio", is_expression=True),
+        FieldSpec("slash", value="'a/b'", is_expression=True),
+        FieldSpec("case when l_linenumber % 2 = 0 then -l_quantity / 2 end", MAIN, alias="half", is_expression=True),
+    ]
+    return project(_lake(spark, folder).main(["lineitem.parquet"]), fields)
+
+
 # -- projection, filter, order -----------------------------------------------------
 
 
@@ -348,6 +395,60 @@ def nested_subquery(spark: SparkSession, folder: str) -> DataFrame:
     return run_step(spec, _lake(spark, folder), inner.select("o_orderkey", "o_custkey"))
 
 
+def _dealt_pairs(spark: SparkSession, folder: str, how: str) -> DataFrame:
+    """Orders and the events of customers, the keys' weights looked up and heavy ones dealt over tasks; NULL keys on both sides."""
+    orders = _table(spark, folder, "orders").select(
+        F.when(F.col("o_orderstatus") != "P", F.pmod("o_custkey", F.lit(40))).alias("k"), "o_orderkey"
+    )
+    events = _table(spark, folder, "events").filter("event_id % 100 < 4").select(
+        F.when(F.col("event_type") != "error", F.pmod("user_id", F.lit(50))).alias("key"), "event_id"
+    )
+    return join(orders.alias("a"), events.alias("b"), "a.k", "b.key", how, light_rows=50, may_broadcast=False)
+
+
+_DEALT = (
+    "(select case when o_orderstatus<>'P' then o_custkey%40 end k,o_orderkey from orders) a {} join "
+    "(select case when event_type<>'error' then user_id%50 end as key,event_id from events where event_id%100<4) b on a.k=b.key"
+)
+
+
+@query("select k,count(*) n,sum(o_orderkey+event_id) s from " + _DEALT.format("inner") + " group by 1")
+def join_dealt_inner(spark: SparkSession, folder: str) -> DataFrame:
+    return _dealt_sums(_dealt_pairs(spark, folder, "inner"))
+
+
+@query("select k,count(*) n,sum(o_orderkey+coalesce(event_id,0)) s from " + _DEALT.format("left") + " group by 1")
+def join_dealt_left(spark: SparkSession, folder: str) -> DataFrame:
+    return _dealt_sums(_dealt_pairs(spark, folder, "left"))
+
+
+@query("select key as k,count(*) n,sum(coalesce(o_orderkey,0)+event_id) s from " + _DEALT.format("right") + " group by 1")
+def join_dealt_right(spark: SparkSession, folder: str) -> DataFrame:
+    return _dealt_sums(_dealt_pairs(spark, folder, "right"), "key")
+
+
+@query("select coalesce(k,key) as k,count(*) n,sum(coalesce(o_orderkey,0)+coalesce(event_id,0)) s from " + _DEALT.format("full") + " group by 1")
+def join_dealt_full(spark: SparkSession, folder: str) -> DataFrame:
+    both = _dealt_pairs(spark, folder, "full").withColumn("k", F.coalesce("k", "key"))
+    return _dealt_sums(both)
+
+
+@query("select k,o_orderkey from " + _DEALT.format("semi"))
+def join_dealt_semi(spark: SparkSession, folder: str) -> DataFrame:
+    return _dealt_pairs(spark, folder, "left_semi").select("k", "o_orderkey")
+
+
+@query("select k,o_orderkey from " + _DEALT.format("anti"))
+def join_dealt_anti(spark: SparkSession, folder: str) -> DataFrame:
+    return _dealt_pairs(spark, folder, "left_anti").select("k", "o_orderkey")
+
+
+def _dealt_sums(pairs: DataFrame, key: str = "k") -> DataFrame:
+    total = F.coalesce("o_orderkey", F.lit(0)) + F.coalesce("event_id", F.lit(0))
+    sums = pairs.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"), F.sum(total).cast("decimal(38,0)").alias("s"))
+    return sums
+
+
 # -- pages -----------------------------------------------------------------------
 
 _BY_PRICE = [("o_totalprice", "desc"), ("o_orderkey", "asc")]
@@ -476,6 +577,15 @@ def search_shown(spark: SparkSession, folder: str) -> DataFrame:
     return search(_table(spark, folder, "orders"), "12/1995").select("o_orderkey")
 
 
+@query(
+    "select o_orderkey,o_totalprice*1024 as big from orders where contains(cast(o_totalprice*1024 as varchar),'2345')"
+)
+def search_large(spark: SparkSession, folder: str) -> DataFrame:
+    """Doubles of 1e7 and more are searched in plain decimal signs."""
+    big = _table(spark, folder, "orders").select("o_orderkey", (F.col("o_totalprice") * 1024).alias("big"))
+    return search(big, "2345", ["big"])
+
+
 @query("select o_orderkey from orders where contains(lower(cast(o_orderdate as varchar)),'1995-12')")
 def search_stored(spark: SparkSession, folder: str) -> DataFrame:
     return search(_table(spark, folder, "orders"), "1995-12", ["o_orderdate"], raw=True).select("o_orderkey")
@@ -537,39 +647,64 @@ def stem_display(spark: SparkSession, folder: str) -> DataFrame:
 # -- review log ----------------------------------------------------------------------
 
 
-@query("select user_id,max_by(event_type,row(ts,event_id)) last_type,max(event_id) m from events group by 1")
+def _said(spark: SparkSession, folder: str, decided: Column) -> DataFrame:
+    """``events`` read as the decisions of one job (where ``decided``) and comments on them."""
+    return _table(spark, folder, "events").select(
+        F.lpad(F.col("event_id").cast("string"), 20, "0").alias("event_id"),
+        F.col("ts").cast("timestamp").alias("at"),
+        "ts",
+        F.when(decided, DECISION).otherwise(REMARK).alias("kind"),
+        F.col("user_id").alias("validation_hash"),
+        F.lit(None).cast("string").alias("sample_name"),
+        F.col("event_type").alias("run_name"),
+        F.lit(None).cast("string").alias("transcript_ID"),
+        F.when(decided, F.col("value") > 20).alias("accepted"),
+        F.array("event_type").alias("tags"),
+        F.when(~decided, F.col("props")).alias("comment"),
+        F.lit("reviewer").alias("username"),
+        F.lit("validation_events").alias("table_uuid"),
+    )
+
+
+@query("select user_id,max_by(event_type,row(ts,event_id)) last_type from events group by 1")
 def latest_state(spark: SparkSession, folder: str) -> DataFrame:
-    events = _table(spark, folder, "events")
-    return events.groupBy("user_id").agg(folds.latest("event_type").alias("last_type"), F.max("event_id").alias("m"))
+    now = folds.decisions(_said(spark, folder, F.lit(True)))
+    return now.select(F.col("validation_hash").alias("user_id"), F.col("run_name").alias("last_type"))
 
 
 @query(
-    "select user_id,part,count(*) n,string_agg(event_type,',' order by ts,event_id) j from "
-    "(select *,(row_number() over (partition by user_id order by ts,event_id)-1)//1000 part from events) "
-    "group by 1,2"
+    "select user_id validation_hash,props comment,lpad(cast(event_id as varchar),20,'0') event_id,"
+    "cast(row_number() over (partition by user_id order by ts,event_id) as bigint) turn from events where event_type<>'click'"
 )
 def comment_history(spark: SparkSession, folder: str) -> DataFrame:
-    events = _table(spark, folder, "events")
-    lists = folds.history_lists(events, ["user_id"], ["ts", "event_id"], F.col("event_type"), "said")
-    return lists.select(
-        "user_id",
-        F.col("said_part").alias("part"),
-        F.size("said").cast("bigint").alias("n"),
-        F.array_join("said", ",").alias("j"),
-    )
+    """All comments in the order in which they were made, through the log."""
+    said = folds.comments(_said(spark, folder, F.col("event_type") == "click"))
+    numbered = number_rows(said, ["validation_hash"], [F.col("at"), F.col("event_id")], "turn")
+    return numbered.select("validation_hash", "comment", "event_id", (F.col("turn") + 1).alias("turn"))
 
 
 @query(
-    "select user_id,cast(sum(case when event_type='click' then 1 else 0 end) as bigint) last_step, "
-    "sum(case when event_type='click' then 1 else 0 end)>=20 completed from events group by 1"
+    "select 'validation_'||user_id table_uuid,cast(sum(case when event_type='click' then 1 else 0 end) as integer) last_step, "
+    "sum(case when event_type='click' then 1 else 0 end)>=20 completed from events group by user_id"
 )
 def progress(spark: SparkSession, folder: str) -> DataFrame:
-    steps = F.count_if(F.col("event_type") == "click")
-    return (
-        _table(spark, folder, "events")
-        .groupBy("user_id")
-        .agg(steps.alias("last_step"), (steps >= 20).alias("completed"))
+    """Jobs that count their clicks as steps and end with the twentieth, folded from their events."""
+    clicks = F.sum(F.when(F.col("event_type") == "click", 1).otherwise(0)).over(
+        Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     )
+    events = _table(spark, folder, "events").select(
+        F.lpad(F.col("event_id").cast("string"), 20, "0").alias("event_id"),
+        F.col("ts").cast("timestamp").alias("at"),
+        "ts",
+        F.lit(CREATED).alias("kind"),
+        F.concat(F.lit("validation_"), F.col("user_id")).alias("table_uuid"),
+        F.array("props").alias("parquet_files"),
+        F.array("props").alias("sample_names"),
+        *[F.col("event_type").alias(c) for c in ("username", "validation_name", "validation_method")],
+        clicks.cast("int").alias("last_step"),
+        (clicks >= 20).alias("completed"),
+    )
+    return folds.review_jobs(events).select("table_uuid", "last_step", "completed")
 
 
 def _job_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -578,6 +713,7 @@ def _job_events(spark: SparkSession, folder: str) -> DataFrame:
     drop = (kind == "error") & (F.col("value") > 100)
     return _table(spark, folder, "events").select(
         F.lpad(F.col("event_id").cast("string"), 20, "0").alias("event_id"),
+        F.col("ts").cast("timestamp").alias("at"),
         F.col("ts").cast("timestamp_ntz").alias("ts"),
         F.when(kind == "signup", CREATED)
         .when(kind == "click", STEP)
@@ -609,32 +745,14 @@ def review_jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "select d.user_id validation_hash,cast(accepted as varchar) accepted,coalesce(part,0) part,coalesce(said,'') said from "
-    "(select user_id,max_by(value>20,row(ts,event_id)) filter (where event_type='click') accepted from events group by 1) d "
-    "left join (select user_id,part,string_agg(props,';' order by ts,event_id) said from "
-    "(select *,(row_number() over (partition by user_id order by ts,event_id)-1)//1000 part from events "
-    "where event_type<>'click') group by 1,2) c on d.user_id=c.user_id"
+    "select user_id validation_hash,cast(max_by(value>20,row(ts,event_id)) filter (where event_type='click') as varchar) accepted,"
+    "max_by(event_type,row(ts,event_id)) filter (where event_type='click') tag from events group by 1"
 )
 def review_store(spark: SparkSession, folder: str) -> DataFrame:
-    decided = F.col("event_type") == "click"
-    events = _table(spark, folder, "events").select(
-        F.lpad(F.col("event_id").cast("string"), 20, "0").alias("event_id"),
-        "ts",
-        F.when(decided, DECISION).otherwise(REMARK).alias("kind"),
-        F.col("user_id").alias("validation_hash"),
-        *[F.lit(None).cast("string").alias(c) for c in ("sample_name", "run_name", "transcript_ID")],
-        F.when(decided, F.col("value") > 20).alias("accepted"),
-        F.array("event_type").alias("tags"),
-        F.when(~decided, F.col("props")).alias("comment"),
-        F.lit("reviewer").alias("username"),
-        F.lit("validation_events").alias("table_uuid"),
-    )
     log = ReviewLog(spark, new_shared_path(spark, "review"))
-    log.append_decision_events(events)
+    log.append_decision_events(_said(spark, folder, F.col("event_type") == "click"))
     state = folds.decisions(log.decision_events().filter(F.col("table_uuid") == "validation_events"))
-    said = F.array_join("comment.comment", ";")
-    accepted = F.col("accepted").cast("string").alias("accepted")
-    return state.select("validation_hash", accepted, F.col("comment_part").alias("part"), said.alias("said"))
+    return state.select("validation_hash", F.col("accepted").cast("string").alias("accepted"), F.col("tags")[0].alias("tag"))
 
 
 _LAST_TYPES = "(select user_id,max_by(event_type,row(ts,event_id)) last_type from events group by 1)"
@@ -681,6 +799,7 @@ def _verdicts(spark: SparkSession, folder: str, job: str) -> DataFrame:
     return _table(spark, folder, "orders").select(
         F.explode(kinds).alias("kind"),
         F.lpad(F.col("o_orderkey").cast("string"), 20, "0").alias("event_id"),
+        F.col("o_orderdate").cast("timestamp").alias("at"),
         F.col("o_orderdate").alias("ts"),
         F.col("o_orderkey").alias("validation_hash"),
         *[text.alias(c) for c in ("sample_name", "run_name", "transcript_ID")],
@@ -695,8 +814,8 @@ def _verdicts(spark: SparkSession, folder: str, job: str) -> DataFrame:
 @query(
     "select l_orderkey validation_hash,cast(l_suppkey as varchar) sample_name,l_linenumber as position,"
     "cast(case when o_orderstatus<>'P' then o_totalprice>200000 end as varchar) accepted,"
-    "o_orderpriority||', '||o_orderstatus tags,case when o_orderstatus='P' then o_orderpriority end said "
-    "from lineitem left join orders on l_orderkey=o_orderkey"
+    "'[\"'||o_orderpriority||'\",\"'||o_orderstatus||'\"]' tags "
+    "from lineitem left join orders on l_orderkey=o_orderkey where l_suppkey in (3,14,15)"
 )
 def review_report(spark: SparkSession, folder: str) -> DataFrame:
     """A whole review: create the job, decide, finish it, export the report, read it back."""
@@ -706,11 +825,8 @@ def review_report(spark: SparkSession, folder: str) -> DataFrame:
     files = [f"{root}/run.parquet"]
     job = store.new_job("Review 1", "reviewer", files, ["3", "14", "15"], "rare")
     store.log.append_decision_events(_verdicts(spark, folder, job))
-    report = store.finish(job, [STEP_SPEC])
-    shown = report.withColumn("said", F.array_join("comment.comment", ";")).select(
-        "validation_hash", "sample_name", "position", "accepted", "tags", F.nullif("said", F.lit("")).alias("said")
-    )
-    schema = "validation_hash bigint, sample_name string, position int, accepted string, tags string, said string"
+    shown = store.finish(job, [STEP_SPEC]).select("validation_hash", "sample_name", "position", "accepted", "tags")
+    schema = "validation_hash bigint, sample_name string, position int, accepted string, tags string"
     return _through_csv(spark, shown, schema)
 
 
@@ -743,7 +859,9 @@ def catalog_scan(spark: SparkSession, folder: str) -> DataFrame:
             "fields": [{"name": "n_name", "table": MAIN}, {"name": "r_name", "table": "r"}],
         }
     )
-    return run_step(spec, _lake(spark, folder), ["nation.parquet"])
+    rows = run_step(spec, _lake(spark, folder), ["nation.parquet"])
+    spark.catalog.dropTempView("regions_of_the_lake")  # the rows hold what it stood for
+    return rows
 
 
 def _through_csv(spark: SparkSession, rows: DataFrame, schema: str) -> DataFrame:
@@ -752,7 +870,7 @@ def _through_csv(spark: SparkSession, rows: DataFrame, schema: str) -> DataFrame
     return spark.read.schema(schema).options(header=True, quote='"', escape='"').csv(target)
 
 
-@query("select p_partkey,p_name,array_to_string(string_split(p_name,' '),', ') tags from part")
+@query("select p_partkey,p_name,'[\"'||array_to_string(string_split(p_name,' '),'\",\"')||'\"]' tags from part")
 def csv_export(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "part").select("p_partkey", "p_name", F.split("p_name", " ").alias("tags"))
     return _through_csv(spark, rows, "p_partkey bigint, p_name string, tags string")

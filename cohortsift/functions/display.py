@@ -29,9 +29,19 @@ def zoneless_stamp_text(stamp: Column) -> Column:
 
     ``date_format`` would move hours that zone skips in spring.
     """
-    text = stamp.cast("string")
-    day = F.concat_ws("/", F.substring(text, 9, 2), F.substring(text, 6, 2), F.substring(text, 1, 4))
-    return F.concat(day, F.lit(" "), F.substring(text, 12, 8))
+    return F.regexp_replace(stamp.cast("string"), r"^(.{4,6})-(..)-(..) (.{8}).*$", "$3/$2/$1 $4")
+
+
+def number_text(value: Column) -> Column:
+    """A float or double in plain decimal signs: ``12345678.5``, not ``1.23456785E7``.
+
+    Numbers below 1e-6 or from 1e16 on keep the short form with an exponent.
+    """
+    text = value.cast("string")
+    size = F.abs(value.cast("double"))
+    plain = F.when((size >= 1e-6) & (size < 1e16), text).try_cast("decimal(38,20)").cast("string")
+    trimmed = F.regexp_replace(plain, r"(\.\d+?)0+$", "$1")
+    return F.when(F.contains(text, F.lit("E")), F.coalesce(trimmed, text)).otherwise(text)
 
 
 def path_stem(path: Column) -> Column:
@@ -73,6 +83,8 @@ def shown_text(field: T.StructField, raw: bool = False) -> Column:
         isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StringType)
     ):
         return F.to_json(value)
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        return number_text(value)
     return shown(field).cast("string")
 
 

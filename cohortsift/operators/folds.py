@@ -6,38 +6,39 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cohortsift.operators.joins import LIGHT_KEY_ROWS, join
-from cohortsift.operators.numbering import number_rows
-from cohortsift.sources.review_log import COMMENT, CREATED, DECISION, DELETED, REMARK
+from cohortsift.sources.review_log import CREATED, DECISION, DELETED, REMARK
 
-# Most entries one list of a history may have; more go to further rows.
-LIST_SIZE = 1000
 
-_SEQUENCE = ("ts", "event_id")
+def when_said(events: DataFrame) -> Column:
+    """What orders events: the instant of each, then its id.
+
+    ``ts`` is for display only: it has no zone and repeats an hour each autumn.
+    Events without an instant are placed by it, read in the session's zone.
+    """
+    stamp = F.col("ts").cast("timestamp")
+    instant = F.coalesce("at", stamp) if "at" in events.columns else stamp
+    return F.struct(instant.alias("at"), "event_id")
 
 
-def latest(value: Column | str, order: Sequence[str] = _SEQUENCE) -> Column:
+def latest(value: Column | str, order: Sequence[str] = ("ts", "event_id")) -> Column:
     """Aggregate: the value of the last row; filter before to skip rows."""
     return F.max_by(value, F.struct(*order))
 
 
-def latest_set(name: str, order: Sequence[str] = _SEQUENCE) -> Column:
-    """Aggregate: the last value of a column that is not NULL."""
-    known = F.col(name).isNotNull()
-    return F.max_by(F.col(name), F.when(known, F.struct(*order)))
-
-
 def review_jobs(events: DataFrame) -> DataFrame:
     """One row per job that was created and not deleted, as it stands now."""
-    created = F.col("kind") == CREATED
+    created, said = F.col("kind") == CREATED, when_said(events)
+
+    def latest_set(name: str) -> Column:
+        return F.max_by(F.col(name), F.when(F.col(name).isNotNull(), said)).alias(name)
+
     given = ["parquet_files", "sample_names", "username", "validation_name", "validation_method"]
     folded = events.groupBy("table_uuid").agg(
-        F.max_by(F.struct(*given), F.when(created, F.struct(*_SEQUENCE))).alias("given"),
-        F.min(F.when(created, F.col("ts"))).alias("creation_date"),
-        latest_set("completed").alias("completed"),
-        latest_set("last_step").alias("last_step"),
+        F.max_by(F.struct(*given), F.when(created, said)).alias("given"),
+        F.min_by("ts", F.when(created, said)).alias("creation_date"),
+        latest_set("completed"),
+        latest_set("last_step"),
         F.bool_or(F.col("kind") == DELETED).alias("deleted"),
     )
     alive = folded.filter(F.col("creation_date").isNotNull() & ~F.coalesce("deleted", F.lit(False)))
@@ -54,73 +55,31 @@ def review_jobs(events: DataFrame) -> DataFrame:
     )
 
 
-def history_lists(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    entry: Column,
-    name: str,
-    list_size: int = LIST_SIZE,
-) -> DataFrame:
-    """The entries of each key in order, in lists of at most ``list_size``.
+def decisions(events: DataFrame) -> DataFrame:
+    """Last decision per ``validation_hash`` of one job, one row each.
 
-    A key has one row with ``<name>_part`` 0 and its whole list. A key with more
-    entries goes on in parts 1, 2 ...: nothing is cut, and no task or row has to
-    hold a list without bound.
+    A later decision replaces an earlier one, also when it is undecided (NULL). A
+    hash that was only commented on has a row without a verdict. Comments are
+    :func:`comments`.
     """
-    rows = df.select(*keys, F.struct(*order, entry.alias("__entry")).alias("__row"))
-    if _largest_group(df, keys) <= list_size:
-        parts = rows.withColumn("__part", F.lit(0).cast("bigint"))
-    else:
-        placed = number_rows(rows, keys, [F.col(f"__row.{c}") for c in order], "__position")
-        parts = placed.withColumn("__part", F.floor(F.col("__position") / list_size))
-    lists = parts.groupBy(*keys, "__part").agg(F.array_sort(F.collect_list("__row")).alias("__rows"))
-    return lists.select(
-        *keys, F.col("__part").alias(f"{name}_part"), F.col("__rows.__entry").alias(name)
-    )
-
-
-def _largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+    columns = ["sample_name", "run_name", "transcript_ID", "accepted", "tags"]
+    decided = F.when(F.col("kind") == DECISION, when_said(events))
+    last = F.max_by(F.struct(*columns), decided).alias("d")
+    spoken = events.filter((F.col("kind") == DECISION) | _is_remark())
+    grouped = spoken.groupBy("validation_hash").agg(last)
+    return grouped.select("validation_hash", *[F.col(f"d.{c}").alias(c) for c in columns])
 
 
-def decisions(events: DataFrame, list_size: int = LIST_SIZE) -> DataFrame:
-    """Last decision per ``validation_hash`` of one job, with all its comments.
+def comments(events: DataFrame) -> DataFrame:
+    """Every comment, a row each: what it is about, when and by whom it was made.
 
-    A later decision replaces an earlier one, also when it is undecided (NULL);
-    comments add up, in lists as :func:`history_lists` makes them.
+    Sort by ``at`` and ``event_id`` for the order in which they were made.
     """
-    columns = ["sample_name", "run_name", "transcript_ID", "accepted", "tags"]
-    decided = F.when(F.col("kind") == DECISION, F.struct(*_SEQUENCE))
-    last = F.max_by(F.struct(*columns), decided).alias("d")
-    spoken = (F.col("kind") == REMARK) & F.col("comment").isNotNull()
-    remark = F.struct("comment", "username", F.col("ts").alias("creation_timestamp")).cast(COMMENT)
-    grouped = events.groupBy("validation_hash")
-    if _largest_group(events.filter(spoken), ["validation_hash"]) <= list_size:
-        said = F.array_sort(F.collect_list(F.when(spoken, F.struct(*_SEQUENCE, remark.alias("__entry")))))
-        rows = grouped.agg(last, said["__entry"].alias("said"), F.lit(0).cast("bigint").alias("part"))
-    else:
-        lists = history_lists(
-            events.filter(spoken), ["validation_hash"], _SEQUENCE, remark, "comment", list_size
-        )
-        rows = join(
-            grouped.agg(last).alias("state"),
-            lists.alias("lists"),
-            "state.validation_hash",
-            "lists.validation_hash",
-            "left",
-            light_rows=max(1, LIGHT_KEY_ROWS // list_size),
-        ).select(
-            "state.validation_hash",
-            "d",
-            F.coalesce("lists.comment", F.array().cast(T.ArrayType(COMMENT))).alias("said"),
-            F.coalesce("lists.comment_part", F.lit(0)).alias("part"),
-        )
-    return rows.select(
-        "validation_hash",
-        *[F.col(f"d.{c}").alias(c) for c in columns[:4]],
-        F.col("said").alias("comment"),
-        F.col("d.tags").alias("tags"),
-        F.col("part").alias("comment_part"),
+    at = when_said(events)["at"]
+    return events.filter(_is_remark()).select(
+        "validation_hash", "comment", "username", F.col("ts").alias("creation_timestamp"), at.alias("at"), "event_id"
     )
+
+
+def _is_remark() -> Column:
+    return (F.col("kind") == REMARK) & F.col("comment").isNotNull()

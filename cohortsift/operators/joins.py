@@ -22,15 +22,18 @@ from pyspark.sql import types as T
 
 from cohortsift.operators.rows import row_hash
 
-# How many heavy keys a profile reports at most, and the size of its sketch: a
-# key with more than 1 in 28 000 rows is in it for certain.
-REPORTED_KEYS = 1000
+# The size of a profile's sketch: a key with more than 1 in 28 000 rows is in it for
+# certain. It reports twice as many keys as there are shuffle partitions, since no
+# more can be above the share of one, and as many as the sketch holds at most.
 SKETCH_SIZE = 100_000
 # A key with fewer rows than this is never worth dealing out.
 LIGHT_KEY_ROWS = 1_000_000
 
 # Key types the sketch cannot count; Spark's own skew handling is left to split them.
-_UNPROFILED = (T.ArrayType, T.StructType, T.MapType, T.BinaryType, T.VariantType, T.NullType)
+_UNPROFILED = (
+    T.ArrayType, T.StructType, T.MapType, T.BinaryType, T.VariantType, T.NullType,
+    T.DayTimeIntervalType, T.YearMonthIntervalType, T.CalendarIntervalType,
+)
 
 _LEFT_CELL, _LEFT_COPY = "__left_cell", "__left_copy"
 _RIGHT_CELL, _RIGHT_COPY = "__right_cell", "__right_copy"
@@ -60,17 +63,18 @@ def profile_keys(df: DataFrame, key: str, light_rows: int = LIGHT_KEY_ROWS) -> K
     """Find the keys of ``df`` that would overload one shuffle partition."""
     if isinstance(_kind(df, key), _UNPROFILED):
         return KeyProfile()
+    setting = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    partitions = int(setting) if setting.isdigit() else df.sparkSession.sparkContext.defaultParallelism
+    reported = min(max(1000, 2 * partitions), SKETCH_SIZE)
     row = (
         df.select(F.col(key).alias("k"))
         .agg(
             F.count("*").alias("total"),
             F.count_if(F.col("k").isNull()).alias("nulls"),
-            F.expr(f"approx_top_k(k, {REPORTED_KEYS}, {SKETCH_SIZE})").alias("top"),
+            F.expr(f"approx_top_k(k, {reported}, {SKETCH_SIZE})").alias("top"),
         )
         .first()
     )
-    setting = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    partitions = int(setting) if setting.isdigit() else df.sparkSession.sparkContext.defaultParallelism
     share = max(light_rows, row["total"] // (2 * partitions), 1)
     cells = {
         item["item"]: -(-item["count"] // share)
@@ -89,19 +93,21 @@ def join(
     *,
     left_profile: Callable[[], KeyProfile] | None = None,
     light_rows: int = LIGHT_KEY_ROWS,
+    may_broadcast: bool = True,
 ) -> DataFrame:
     """Join two aliased relations on ``left_on = right_on``.
 
     Column names are qualified (``main_table.variant_hash``). NULL keys match
     nothing. ``left_profile`` gives the profile of the left key when it is known
     or cheaper to find elsewhere, such as in the scan a longer chain started
-    from. ``light_rows`` is smaller where single rows are large.
+    from. ``light_rows`` is smaller where single rows are large. Without
+    ``may_broadcast`` keys are profiled even if a side looks small.
     """
-    if how == "inner" and fits_broadcast(right):
+    if may_broadcast and how == "inner" and fits_broadcast(right):
         # Of two small sides Spark would pick by estimates, which are poor for
         # aggregates; the right side is the one looked up in.
         return _plain(left, F.broadcast(right), left_on, right_on, how)
-    if _small_enough(left, right, how) or _plan_type(left, right, left_on, right_on) is None:
+    if may_broadcast and _small_enough(left, right, how) or _plan_type(left, right, left_on, right_on) is None:
         return _plain(left, right, left_on, right_on, how)
     heavy_left = left_profile() if left_profile else profile_keys(left, left_on, light_rows)
     if how in ("left_semi", "left_anti"):
@@ -213,7 +219,7 @@ def _cells(df: DataFrame, key: str, own: KeyProfile, other: KeyProfile, cell: st
             ]
         ),
     )
-    # Broadcast is safe: two profiles hold at most 2 * REPORTED_KEYS keys.
+    # Broadcast is safe: two profiles hold at most 2 * SKETCH_SIZE keys.
     planned = df.join(F.broadcast(plan), F.col(key) == F.col("__key"), "left")
     own_cell = _null_cell(key, own)
     if own.cells:

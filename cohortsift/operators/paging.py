@@ -1,10 +1,9 @@
 """Pages of an ordered relation, their count, and ways to reach a deep page.
 
-A shallow page is Spark's top-k: every task keeps the rows up to the page's end
-and the driver merges them. That stops being cheap when the end lies deep, so
-deep pages are read from a table sorted once (:class:`SortedPages`), the last
-page is taken from the other end, and :func:`page_after` goes on from the last
-row seen.
+A page is Spark's top-k: every task keeps the rows up to the page's end and the
+driver merges them. That stops being cheap when the end lies deep. Who turns to
+deep pages asks for a table sorted once (:class:`SortedPages`) or goes on from the
+last row seen (:func:`page_after`); the last page is taken from the other end.
 """
 
 from __future__ import annotations
@@ -25,8 +24,6 @@ from cohortsift.operators.relational import order_columns
 from cohortsift.plans.spec import OrderKey
 
 PAGE_SIZE = 10
-# Rows up to the end of a page that top-k may keep per task.
-TOP_K_ROWS = 100_000
 
 Order = Sequence[OrderKey | str | tuple[str, str]]
 
@@ -48,13 +45,11 @@ def _sortable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
 
 
-def page(df: DataFrame, order: Order, number: int = 1, size: int = PAGE_SIZE, top_k: int = TOP_K_ROWS) -> DataFrame:
-    """Page ``number`` (from 1) of ``size`` rows; past the end it is empty."""
+def page(df: DataFrame, order: Order, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+    """Page ``number`` (from 1) of ``size`` rows; past the end it is empty. Nothing is written."""
     if number < 1 or size < 0:
         raise ValueError("pages are counted from 1 and have no negative size")
     keys = total_order(df, order)
-    if number * size > top_k:
-        return SortedPages.of(df, order).page(number, size)
     return df.orderBy(*order_columns(keys)).offset((number - 1) * size).limit(size)
 
 
@@ -160,7 +155,7 @@ def turn_to(request: int | str, current: int, pages: int) -> int:
 
 
 def show_page(
-    df: DataFrame,
+    df: DataFrame | SortedPages,
     order: Order,
     request: int | str = 1,
     *,
@@ -171,11 +166,13 @@ def show_page(
     """Count the rows, then show the wanted page or the nearest there is.
 
     Who turns pages of one relation can hand on the ``row_count`` of the last
-    view; for pages far in, use :meth:`SortedPages.show`.
+    view, or :class:`SortedPages` in place of the relation for pages far in.
     """
+    if isinstance(df, SortedPages):
+        return df.show(request, current=current, size=size)
     rows = df.count() if row_count is None else row_count
     pages = page_count(rows, size)
     number = turn_to(request, current, pages)
-    if number == pages and number * size > TOP_K_ROWS:
+    if number == pages:
         return PageView(last_page(df, order, rows, size), number, pages, rows)
     return PageView(page(df, order, number, size), number, pages, rows)

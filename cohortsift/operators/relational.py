@@ -6,16 +6,15 @@ from collections.abc import Iterable, Sequence
 from functools import reduce
 from operator import and_, or_
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortsift.functions.sqltext import expression, qualified, quoted, reading_division
+from cohortsift.functions.sqltext import expression, qualified, quoted
 from cohortsift.operators.joins import join
 from cohortsift.operators.rows import sort_all
 from cohortsift.plans.spec import FieldSpec, FilterNode, OrderKey
 
-# Up to this many samples a filter lists them; more are joined as a table.
+# Up to this many samples a filter lists them; more are joined as a table, with the same result.
 LISTED_SAMPLES = 1000
 
 
@@ -31,9 +30,7 @@ def field_column(item: FieldSpec) -> Column:
 
 
 def project(df: DataFrame, fields: Sequence[FieldSpec]) -> DataFrame:
-    texts = [f.value or f.name for f in fields if f.is_expression or f.value is not None]
-    with reading_division(df.sparkSession, texts):
-        return df.select(*[field_column(f) for f in fields])
+    return df.select(*[field_column(f) for f in fields])
 
 
 def condition(node: FilterNode) -> Column | None:
@@ -48,10 +45,7 @@ def condition(node: FilterNode) -> Column | None:
 
 def where(df: DataFrame, node: FilterNode) -> DataFrame:
     wanted = condition(node)
-    if wanted is None:
-        return df
-    with reading_division(df.sparkSession, node.texts()):
-        return df.filter(wanted)
+    return df if wanted is None else df.filter(wanted)
 
 
 def order_columns(keys: Iterable[OrderKey], backwards: bool = False) -> list[Column]:
@@ -71,10 +65,17 @@ def order(df: DataFrame, keys: Sequence[OrderKey]) -> DataFrame:
 
 
 def restrict(df: DataFrame, column: str, chosen: Sequence[str] | DataFrame) -> DataFrame:
-    """Rows whose ``column`` is among the chosen values; NULL never is."""
+    """Rows whose ``column`` is among the chosen values; NULL never is.
+
+    Listed values are read as the column's type, whatever type they come in; one
+    that cannot be is an error.
+    """
     if not isinstance(chosen, DataFrame):
-        if len(chosen) <= LISTED_SAMPLES:
-            return df.filter(F.col(column).isin(list(chosen)))
-        chosen = df.sparkSession.createDataFrame(pa.table({"chosen": list(chosen)}))
+        kind = df.select(F.col(column)).schema[0].dataType
+        texts = list(dict.fromkeys(str(value) for value in chosen if value is not None))
+        if len(texts) <= LISTED_SAMPLES:
+            return df.filter(F.col(column).isin([F.lit(t).cast(kind) for t in texts]))
+        listed = df.sparkSession.createDataFrame([(t,) for t in texts], "chosen string")
+        chosen = listed.select(F.col("chosen").cast(kind).alias("chosen"))
     picks = chosen.select(F.col(quoted(chosen.columns[0])).alias("chosen")).alias("chosen_values")
     return join(df, picks, column, "chosen_values.chosen", "left_semi")

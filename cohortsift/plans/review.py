@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from cohortsift.functions.checks import job_is_complete, valid_name
 from cohortsift.operators import folds
 from cohortsift.operators.recurrence import distinct_values
+from cohortsift.operators.relational import restrict
 from cohortsift.operators.search import search
-from cohortsift.plans.spec import StepSpec
+from cohortsift.plans.spec import MAIN, StepSpec
 from cohortsift.plans.steps import SAMPLE_COLUMN, decision_report, run_step
 from cohortsift.sources import review_log
 from cohortsift.sources.csv_report import export_csv
@@ -30,15 +31,19 @@ REPORT_FIELDS = (
     "alternate",
     "snpeff_Gene_Name",
 )
-REPORT_VERDICT = ("accepted", "comment", "tags")
+REPORT_VERDICT = ("accepted", "tags")
 
 
 class ReviewStore:
     """Review jobs kept in a log below ``root``, over the tables of ``lake``."""
 
-    def __init__(self, spark: SparkSession, root: str, lake: Lake) -> None:
+    def __init__(
+        self, spark: SparkSession, root: str, lake: Lake, report_fields: Sequence[str] = REPORT_FIELDS
+    ) -> None:
+        """``report_fields`` are the columns of the reviewed files that a report shows."""
         self.spark = spark
         self.lake = lake
+        self.report_fields = tuple(report_fields)
         self.log = ReviewLog(spark, root)
 
     # -- jobs -----------------------------------------------------------------
@@ -115,8 +120,14 @@ class ReviewStore:
 
     def decisions(self, table_uuid: str) -> DataFrame:
         """Present decisions of one job; only its partition of the log is read."""
-        events = self.log.decision_events().filter(F.col("table_uuid") == table_uuid)
-        return folds.decisions(events)
+        return folds.decisions(self._decision_events(table_uuid))
+
+    def comments(self, table_uuid: str) -> DataFrame:
+        """All comments of one job, a row each."""
+        return folds.comments(self._decision_events(table_uuid))
+
+    def _decision_events(self, table_uuid: str) -> DataFrame:
+        return self.log.decision_events().filter(F.col("table_uuid") == table_uuid)
 
     # -- steps ------------------------------------------------------------------
 
@@ -143,13 +154,13 @@ class ReviewStore:
         """Mark the job as completed, once, and show its report."""
         return self._finish(self.job(table_uuid), steps)
 
-    def report(self, table_uuid: str, how: str = "left") -> DataFrame:
-        """All rows under review beside their decisions.
+    def report(self, table_uuid: str, how: str = "left", *, apply_samples: bool = True) -> DataFrame:
+        """The rows of the job's samples beside their decisions, a row each.
 
-        ``comment_part`` numbers the rows of a decision with a very long list of
-        comments; it is 0, or NULL where nothing was decided, everywhere else.
+        With ``apply_samples`` off, the rows of all samples of the files. Comments are
+        a table of their own (:meth:`comments`).
         """
-        return self._report(self.job(table_uuid), how)
+        return self._report(self.job(table_uuid), how, apply_samples)
 
     def _step(self, job: Row, steps: Sequence[StepSpec], number: int, **options: Any) -> DataFrame:
         return run_step(steps[number], self.lake, job["parquet_files"], job["sample_names"] or None, **options)
@@ -159,13 +170,17 @@ class ReviewStore:
             self.complete(job["table_uuid"], len(steps))
         return self._report(job, "left")
 
-    def _report(self, job: Row, how: str) -> DataFrame:
+    def _report(self, job: Row, how: str, apply_samples: bool = True) -> DataFrame:
         main = self.lake.main(job["parquet_files"])
-        decided = self.decisions(job["table_uuid"]).select("validation_hash", *REPORT_VERDICT, "comment_part")
-        return decision_report(main, decided, REPORT_FIELDS, how)
+        if apply_samples and job["sample_names"]:
+            main = restrict(main, f"{MAIN}.{SAMPLE_COLUMN}", job["sample_names"])
+        decided = self.decisions(job["table_uuid"]).select("validation_hash", *REPORT_VERDICT)
+        return decision_report(main, decided, self.report_fields, how)
 
-    def export(self, table_uuid: str, folder: str, spec: StepSpec | None = None) -> None:
-        """Write the report, or the projection ``spec`` asks for, as CSV."""
+    def export(self, table_uuid: str, folder: str, spec: StepSpec | None = None, comments: str | None = None) -> None:
+        """Write the report, or the projection ``spec`` asks for, as CSV; the comments too if ``comments`` names a folder."""
         job = self.job(table_uuid)
+        if comments is not None:
+            export_csv(self.comments(table_uuid).drop("at"), comments)
         rows = self._report(job, "left") if spec is None else self._step(job, [spec], 0)
         export_csv(rows, folder)

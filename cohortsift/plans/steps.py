@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 from functools import cache, partial
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortsift.functions.sqltext import qualified, quoted, reading_division
-from cohortsift.operators.folds import LIST_SIZE
+from cohortsift.functions.sqltext import qualified, quoted
 from cohortsift.operators.joins import LIGHT_KEY_ROWS, KeyProfile, join, profile_keys
-from cohortsift.operators.paging import PAGE_SIZE, TOP_K_ROWS, page
+from cohortsift.operators.paging import PAGE_SIZE, PageView, SortedPages, page, page_after, show_page
 from cohortsift.operators.relational import field_column, order, project, restrict, where
 from cohortsift.plans.spec import MAIN, OrderKey, StepSpec
 from cohortsift.sources.lake import Lake
@@ -80,23 +81,63 @@ def run_step(
     return project(df, spec.fields)
 
 
-def step_page(
-    spec: StepSpec, relation: DataFrame, number: int = 1, size: int = PAGE_SIZE, top_k: int = TOP_K_ROWS
-) -> DataFrame:
-    """One page of a step's relation, in the step's order and then by its fields.
+@dataclass(frozen=True)
+class StepPages:
+    """The pages of a step's relation, in the step's order and then by its fields.
 
-    Order columns need not be among the fields, and fields may share a name.
+    Order columns need not be among the fields, and fields may share a name. With
+    ``keep`` the relation is cached for the count and the pages that follow; call
+    ``rows.unpersist()`` when done.
     """
-    shown = [f"f{i}" for i in range(len(spec.fields))]
-    ranks = [OrderKey(f"o{i}", key.direction) for i, key in enumerate(spec.order)]
-    texts = [f.value or f.name for f in spec.fields if f.is_expression or f.value is not None]
-    with reading_division(relation.sparkSession, texts):
+
+    spec: StepSpec
+    rows: DataFrame  # fields as f0, f1 ..., order columns as o0, o1 ...
+    order: tuple[OrderKey, ...]
+
+    @classmethod
+    def of(cls, spec: StepSpec, relation: DataFrame, keep: bool = False) -> StepPages:
+        ranks = tuple(OrderKey(f"o{i}", key.direction) for i, key in enumerate(spec.order))
         named = relation.select(
-            *[field_column(f).alias(n) for f, n in zip(spec.fields, shown, strict=True)],
+            *[field_column(f).alias(f"f{i}") for i, f in enumerate(spec.fields)],
             *[F.col(key.field).alias(rank.field) for key, rank in zip(spec.order, ranks, strict=True)],
         )
-    rows = page(named, ranks, number, size, top_k)
-    return rows.select(*[F.col(n).alias(f.output) for f, n in zip(spec.fields, shown, strict=True)])
+        return cls(spec, named.persist() if keep else named, ranks)
+
+    def _shown(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(f"f{i}").alias(f.output) for i, f in enumerate(self.spec.fields)])
+
+    def page(self, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+        return self._shown(page(self.rows, self.order, number, size))
+
+    def show(self, request: int | str = 1, **options: Any) -> PageView:
+        """The page with its number and the counts; a request past the end gets the last page."""
+        view = show_page(self.rows, self.order, request, **options)
+        return replace(view, rows=self._shown(view.rows))
+
+    def after(self, last: Mapping[str, Any], size: int = PAGE_SIZE) -> DataFrame:
+        """The rows that follow one of ``rows``, given by all its values."""
+        return self._shown(page_after(self.rows, self.order, last, size))
+
+    def sorted(self) -> StepPages:
+        """The same pages over a table sorted once, for pages far in."""
+        return SortedStepPages(self.spec, self.rows, self.order, SortedPages.of(self.rows, self.order))
+
+
+@dataclass(frozen=True)
+class SortedStepPages(StepPages):
+    table: SortedPages
+
+    def page(self, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+        return self._shown(self.table.page(number, size))
+
+    def show(self, request: int | str = 1, **options: Any) -> PageView:
+        view = self.table.show(request, **options)
+        return replace(view, rows=self._shown(view.rows))
+
+
+def step_page(spec: StepSpec, relation: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+    """One page of a step's relation; past the end it is empty (:meth:`StepPages.show` turns back)."""
+    return StepPages.of(spec, relation).page(number, size)
 
 
 def decision_report(
@@ -105,12 +146,11 @@ def decision_report(
     fields: Sequence[str],
     how: str = "left",
     key: str = "validation_hash",
-    light_rows: int = LIGHT_KEY_ROWS // LIST_SIZE,
+    light_rows: int = LIGHT_KEY_ROWS,
 ) -> DataFrame:
     """Rows under review beside what was decided on them.
 
-    ``left`` shows undecided rows too; ``inner`` leaves them out. A row of
-    ``decided`` may carry a whole list, so fewer of them make a key heavy.
+    ``left`` shows undecided rows too; ``inner`` leaves them out.
     """
     left, right = main.alias(MAIN), decided.alias("validation_table")
     rows = join(left, right, f"{MAIN}.{quoted(key)}", f"validation_table.{quoted(key)}", how, light_rows=light_rows)

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortsift.functions.display import joined
 from cohortsift.functions.sqltext import quoted
 
 
 def flatten_for_csv(df: DataFrame) -> DataFrame:
-    """Nested columns as text: lists of strings joined, everything else as JSON."""
+    """Nested columns as JSON, so that a list's entries stay apart and NULL among them stays."""
     twice = [name for name, n in Counter(name.lower() for name in df.columns).items() if n > 1]
     if twice:
         raise ValueError(f"a CSV file cannot have the columns {twice} twice; give one an alias")
@@ -23,9 +22,7 @@ def flatten_for_csv(df: DataFrame) -> DataFrame:
 def _flat(field: T.StructField) -> F.Column:
     value = F.col(quoted(field.name))
     kind = field.dataType
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
-        value = joined(value)
-    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         value = F.to_json(value)
     elif isinstance(kind, T.BinaryType):
         value = F.base64(value)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -74,7 +73,8 @@ def _match(file: str, wanted: T.StructType, found: T.StructType) -> T.StructType
 class Lake:
     """Finds the tables a step names: below ``root``, in ``tables`` or the catalog.
 
-    ``schemas`` declares the columns of files by the name they are asked for.
+    ``schemas`` declares the columns of files by the name they are asked for. A root
+    that is not there shows when a table below it is read.
     """
 
     def __init__(
@@ -84,8 +84,6 @@ class Lake:
         tables: Mapping[str, DataFrame] | None = None,
         schemas: Mapping[str, str] | None = None,
     ) -> None:
-        if root is not None and "://" not in root and not os.path.isdir(root.removeprefix("file:")):
-            raise NotADirectoryError(f"no lake at {root}")
         self.spark = spark
         self.root = root
         self.tables = dict(tables or {})
@@ -123,8 +121,14 @@ class Lake:
         return reader.parquet(self.path(name))
 
     def _scan(self, names: Sequence[str]) -> DataFrame:
-        declared = {self.schemas.get(name) for name in names}
-        schema = declared.pop() if len(declared) == 1 else None
+        declared = list(dict.fromkeys(self.schemas.get(name) for name in names))
+        if len(declared) > 1 and None not in declared:
+            by_schema = [[name for name in names if self.schemas[name] == schema] for schema in declared]
+            parts = [self._scan(group) for group in by_schema]
+            first = self._scan(names[:1]).schema
+            same = [p.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in first.fields]) for p in parts]
+            return reduce(DataFrame.unionByName, same)
+        schema = declared[0] if len(declared) == 1 else None
         return scan_files(self.spark, [self.path(name) for name in names], schema)
 
 

@@ -3,7 +3,8 @@
 Nothing is updated in place. A change is one more event; the present state is
 what :mod:`cohortsift.operators.folds` makes of all events. Each append is one
 Spark write and so appears whole or not at all, but plain Parquet gives no order
-between writers: events are ordered by ``ts``, then by ``event_id``.
+between writers: events are ordered by the instant ``at``, then by ``event_id``;
+``ts`` is the writer's wall clock, for display.
 """
 
 from __future__ import annotations
@@ -17,17 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-COMMENT = T.StructType(
-    [
-        T.StructField("comment", T.StringType()),
-        T.StructField("username", T.StringType()),
-        T.StructField("creation_timestamp", T.TimestampNTZType()),
-    ]
-)
-
+# The names of the columns that describe jobs and decisions.
 JOB_EVENT = T.StructType(
     [
         T.StructField("event_id", T.StringType()),
+        T.StructField("at", T.TimestampType()),
         T.StructField("ts", T.TimestampNTZType()),
         T.StructField("kind", T.StringType()),
         T.StructField("table_uuid", T.StringType()),
@@ -44,6 +39,7 @@ JOB_EVENT = T.StructType(
 DECISION_EVENT = T.StructType(
     [
         T.StructField("event_id", T.StringType()),
+        T.StructField("at", T.TimestampType()),
         T.StructField("ts", T.TimestampNTZType()),
         T.StructField("kind", T.StringType()),
         T.StructField("validation_hash", T.LongType()),
@@ -96,13 +92,21 @@ class ReviewLog:
         """Copy the log to an empty place with few large files per partition.
 
         Readers keep the old place until they are pointed to the new one, so no
-        reader ever sees half a log.
+        reader ever sees half a log. What is appended to the old place meanwhile is
+        fetched by :meth:`take_over`, once its writers have moved.
         """
         for name in _SCHEMAS:
             whole = _rebalanced(self._read(name), name)
             self._write(whole, name, new_root.rstrip("/"), "errorifexists")
         return ReviewLog(self.spark, new_root)
 
+    def take_over(self, old: ReviewLog) -> None:
+        """Append the events of ``old`` that this log lacks; a second call finds none."""
+        for name in _SCHEMAS:
+            known = self._read(name).select("event_id")
+            missing = old._read(name).join(known, "event_id", "left_anti")
+            self._append(_rebalanced(missing, name), name)
+
     def events(self, name: str, rows: Iterable[Mapping[str, Any]]) -> DataFrame:
         """Events from the caller's values, stamped when written. Meant for a handful."""
         schema = _SCHEMAS[name]
@@ -114,9 +118,12 @@ class ReviewLog:
             filled.append(tuple({"event_id": next_event_id(), **row}.get(name) for name in schema.names))
         df = self.spark.createDataFrame(filled, schema).coalesce(1)
         # One clock reading per write: Spark fixes it when the write is planned.
-        return df.withColumn("ts", F.coalesce("ts", F.localtimestamp()))
+        stamped = df.withColumn("ts", F.coalesce("ts", F.localtimestamp()))
+        return stamped.withColumn("at", F.coalesce("at", F.current_timestamp()))
 
     def _append(self, events: DataFrame, name: str) -> None:
+        if "at" not in events.columns:
+            events = events.withColumn("at", F.col("ts").cast("timestamp"))
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in _SCHEMAS[name].fields]
         self._write(events.select(*columns), name, self.root, "append")
 

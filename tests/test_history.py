@@ -1,12 +1,10 @@
-"""Positions and lists within a group, small or holding most rows."""
+"""Positions within a group, small or holding most rows."""
 
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from cohortsift.operators import folds
-from cohortsift.operators.folds import history_lists
 from cohortsift.operators.numbering import number_rows
 
 
@@ -37,28 +35,3 @@ def test_positions(many_parts, said, wanted):
     for r in numbered.collect():
         found[r["k"]][r["position"]] = r["comment"]
     assert {k: [v[i] for i in range(len(v))] for k, v in found.items()} == wanted
-
-
-def gathered(lists):
-    parts = defaultdict(dict)
-    for r in lists.collect():
-        parts[r["k"]][r["said_part"]] = r["said"]
-    return parts
-
-
-@pytest.mark.parametrize("size", [7, 500, 5000])
-def test_lists_hold_everything_in_order(many_parts, said, wanted, size):
-    parts = gathered(history_lists(said, ["k"], ["ts", "event_id"], F.col("comment"), "said", size))
-    assert {k: sum((p[i] for i in range(len(p))), []) for k, p in parts.items()} == wanted
-    assert max(len(e) for p in parts.values() for e in p.values()) <= size
-    assert len(parts[1]) == -(-2000 // size)
-
-
-def test_small_groups_need_no_table(said, monkeypatch):
-    monkeypatch.setattr(folds, "number_rows", lambda *a: pytest.fail("all groups are small"))
-    lists = history_lists(said, ["k"], ["ts", "event_id"], F.col("comment"), "said", 2000)
-    assert {r["said_part"] for r in lists.collect()} == {0}
-
-
-def test_no_rows(said):
-    assert history_lists(said.filter("k = -1"), ["k"], ["ts"], F.col("comment"), "said").collect() == []

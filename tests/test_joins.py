@@ -132,3 +132,11 @@ def test_row_of_the_main_table_is_named_in_a_join(sides):
     assert "row_index" in str(row_hash(both))
     plan = both.select("main_table.a", row_hash(both).alias("h"))
     assert plan.distinct().count() > 1000
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "full"])
+def test_interval_keys_join_without_broadcast(spark, how):
+    """The sketch cannot count intervals: such a join is Spark's own."""
+    days = spark.range(40).select(F.expr("make_dt_interval(id % 4)").alias("k"), "id")
+    rows = join(days.alias("l"), days.alias("r"), "l.k", "r.k", how, light_rows=1, may_broadcast=False)
+    assert rows.count() == 400

@@ -46,7 +46,7 @@ def test_sorted_pages_equal_top_k(many_parts, rows, ordered):
     assert ids(pages.page(13, 90)) == []
     last = pages.show("last", size=90)
     assert (last.number, last.page_count, ids(last.rows)) == (12, 12, ordered[990:])
-    assert ids(page(rows, ORDER, 7, 100, top_k=50)) == ordered[600:700]
+    assert ids(show_page(pages, ORDER, 7, size=100).rows) == ordered[600:700]
 
 
 def test_deep_page_skips_files(rows, capsys):
@@ -69,13 +69,17 @@ def test_last_page_from_the_end(rows, ordered):
     assert ids(last_page(rows, ORDER, 1003, 17)) == ordered[-17:]
 
 
-def test_show_page_moves(rows, ordered, monkeypatch):
+def test_pages_write_nothing(rows, ordered, monkeypatch):
+    monkeypatch.setattr(paging, "write_in_order", lambda *a: pytest.fail("a page was written"))
+    assert ids(page(rows, ORDER, 3, 400)) == ordered[800:]
+
+
+def test_show_page_moves(rows, ordered):
     assert (show_page(rows, ORDER, "next", current=2, size=100).number, turn_to("previous", 1, 11)) == (3, 1)
     view = show_page(rows, ORDER, 99, size=100)
     assert (view.number, view.page_count, view.row_count) == (11, 11, 1003)
     assert ids(view.rows) == ordered[1000:]
     assert show_page(rows, ORDER, 99, size=100, row_count=250).number == 3
-    monkeypatch.setattr(paging, "TOP_K_ROWS", 10)
     assert ids(show_page(rows, ORDER, "last", size=100).rows) == ordered[1000:]
 
 

@@ -1,11 +1,11 @@
 """The life of review jobs on the fixture lake."""
 
+import datetime
 import json
 
 import lakes
 import pytest
 
-from cohortsift.operators.folds import decisions
 from cohortsift.operators.search import search
 from cohortsift.functions.display import display
 from cohortsift.plans.review import ReviewStore
@@ -76,11 +76,11 @@ def test_steps_resume_and_finish(store):
     assert store.job(key)["last_step"] == 1
     assert store.resume(key, STEPS).columns == second.columns
     report = store.next_step(key, STEPS)
-    assert report.columns[:2] == ["validation_hash", "sample_name"] and report.count() == 10
+    assert report.columns[:2] == ["validation_hash", "sample_name"] and report.count() == 6
     job = store.job(key)
     assert (job["last_step"], job["completed"]) == (2, True)
     events = store.log.job_events().filter(f"table_uuid = '{key}'").count()
-    assert store.resume(key, STEPS).count() == 10
+    assert store.resume(key, STEPS).count() == 6
     assert store.log.job_events().filter(f"table_uuid = '{key}'").count() == events  # finished once only
 
 
@@ -114,27 +114,73 @@ def test_decisions_and_report(store, capsys):
     now = {r["validation_hash"]: r for r in store.decisions(key).collect()}
     assert set(now) == {11, 12, 13, 21}
     assert (now[11]["accepted"], now[11]["tags"]) == (False, ["seen", "odd"])
-    assert [(c["comment"], c["username"]) for c in now[11]["comment"]] == [('it\'s "fine"', "ann"), ("or not", "ben")]
-    assert (now[12]["accepted"], now[13]["accepted"], now[13]["tags"], now[12]["comment"]) == (False, None, [], [])
+    said = store.comments(key).orderBy("at", "event_id").collect()
+    assert [(c["validation_hash"], c["comment"], c["username"]) for c in said] == [
+        (11, 'it\'s "fine"', "ann"), (11, "or not", "ben"), (21, "no decision yet", "ann"),
+    ]
+    assert (now[12]["accepted"], now[13]["accepted"], now[13]["tags"]) == (False, None, [])
     everything = store.report(key)
     assert everything.columns == [
         "validation_hash", "sample_name", "run_name", "chromosome", "position", "reference", "alternate",
-        "snpeff_Gene_Name", "accepted", "comment", "tags", "comment_part",
+        "snpeff_Gene_Name", "accepted", "tags",
     ]
-    assert everything.count() == 10
+    assert everything.count() == 6
     assert sorted(r[0] for r in store.report(key, "inner").collect()) == [11, 12, 13, 21]
     store.decisions(key).explain()
     assert f"PartitionFilters: [isnotnull(table_uuid" in capsys.readouterr().out
 
 
-def test_very_long_comment_list_goes_on_in_parts(spark, store):
+def test_a_long_discussion_repeats_no_row(store):
     key = new(store, "Talk")
     store.decide(key, [{"validation_hash": 11, "accepted": True}])
-    for i in range(5):
-        store.comment(key, 11, f"c{i}", "ann")
-    events = store.log.decision_events().filter(f"table_uuid = '{key}'")
-    parts = {r["comment_part"]: [c["comment"] for c in r["comment"]] for r in decisions(events, 2).collect()}
-    assert parts == {0: ["c0", "c1"], 1: ["c2", "c3"], 2: ["c4"]}
+    rows = [{"kind": "comment", "table_uuid": key, "validation_hash": 11, "comment": f"c{i}"} for i in range(1200)]
+    store.log.record("decision_events", rows)
+    assert store.decisions(key).count() == 1
+    assert store.report(key, "inner").count() == 1
+    said = store.comments(key).orderBy("at", "event_id").collect()
+    assert [r["comment"] for r in said] == [f"c{i}" for i in range(1200)]
+
+
+def test_later_instants_win_in_any_zone(spark, store):
+    key = new(store, "Zones")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone, verdict in (("Asia/Tokyo", True), ("UTC", False)):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            store.decide(key, [{"validation_hash": 11, "accepted": verdict}])
+        assert store.decisions(key).first()["accepted"] is False
+        # 01:30 comes twice in New York on that day, the second time half an hour after 01:59:59.
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        for stamp, verdict in (("2024-11-03T05:50:00Z", True), ("2024-11-03T06:30:00Z", None)):
+            event = {"kind": "decision", "table_uuid": key, "validation_hash": 12, "accepted": verdict}
+            event["at"] = datetime.datetime.fromisoformat(stamp)
+            store.log.record("decision_events", [event])
+        assert {r["validation_hash"]: r["accepted"] for r in store.decisions(key).collect()}[12] is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_report_holds_the_chosen_samples(store):
+    key = new(store, "Some", ["alice"])
+    assert {r["sample_name"] for r in store.report(key).collect()} == {"alice"}
+    assert store.report(key, apply_samples=False).count() == 10
+
+
+def test_report_fields_can_be_chosen(spark, store):
+    other = ReviewStore(spark, store.log.root, store.lake, report_fields=["validation_hash", "sample_name"])
+    assert other.report(new(store, "Few")).columns == ["validation_hash", "sample_name", "accepted", "tags"]
+
+
+def test_events_appended_meanwhile_are_taken_over(spark, store, tmp_path):
+    key = new(store, "Moving")
+    copy = store.log.compact(f"{tmp_path}/moved")
+    store.decide(key, [{"validation_hash": 13, "accepted": True}])
+    moved = ReviewStore(spark, copy.root, store.lake)
+    assert moved.decisions(key).count() == 0
+    for _ in range(2):
+        copy.take_over(store.log)
+    assert [r["accepted"] for r in moved.decisions(key).collect()] == [True]
+    assert copy.decision_events().count() == store.log.decision_events().count()
 
 
 def test_job_table_as_displayed(store):
@@ -168,11 +214,12 @@ def test_export(spark, store, tmp_path):
     key = new(store, "Out")
     store.decide(key, [{"validation_hash": 11, "accepted": True, "tags": ["a", "b"]}])
     store.comment(key, 11, "good, really", "ann")
-    store.export(key, f"{tmp_path}/report")
+    store.export(key, f"{tmp_path}/report", comments=f"{tmp_path}/comments")
     rows = spark.read.options(header=True, quote='"', escape='"').csv(f"{tmp_path}/report").collect()
     kept = {r["validation_hash"]: r for r in rows}
-    assert len(kept) == 10 and kept["11"]["tags"] == "a, b" and kept["11"]["accepted"] == "true"
-    assert json.loads(kept["11"]["comment"])[0]["comment"] == "good, really"
+    assert len(kept) == 6 and json.loads(kept["11"]["tags"]) == ["a", "b"] and kept["11"]["accepted"] == "true"
+    said = spark.read.options(header=True, quote='"', escape='"').csv(f"{tmp_path}/comments").collect()
+    assert [(r["validation_hash"], r["comment"]) for r in said] == [("11", "good, really")]
     constant = {"name": "reference_genome", "value": "'hg19'", "is_expression": True}
     final = StepSpec.from_json({**lakes.RARE, "fields": [constant, *lakes.RARE["fields"]], "order": []})
     store.export(key, f"{tmp_path}/final", final)

@@ -48,8 +48,8 @@ def test_table_names(spark, tmp_path):
     assert count("read_parquet(['it''s.parquet', 'it''s.parquet'])") == 2
     assert count("three_rows") == count("three_rows", quoted=True) == 3
     assert count("given") == 4
-    with pytest.raises(NotADirectoryError):
-        Lake(spark, f"{tmp_path}/nowhere")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        Lake(spark, f"{tmp_path}/nowhere").table(TableRef("'t.parquet'", "t", False))
 
 
 def test_methods(spark, tmp_path):
@@ -59,7 +59,7 @@ def test_methods(spark, tmp_path):
     names = sorted(r["method"] for r in read_methods(spark, str(tmp_path)).collect())
     assert names == ["final", "méthode n° 2+ %", "rare"]
     assert len(load_method(spark, str(tmp_path), "méthode n° 2+ %")) == 1
-    assert [s.title for s in load_method(spark, str(tmp_path), "rare")] == ["Rare", "All"]
+    assert [s.title for s in load_method(spark, str(tmp_path), "rare")] == ["Seldom seen", "All"]
     assert len(load_method(spark, str(tmp_path), "final")) == 1
     with pytest.raises(LookupError):
         load_method(spark, str(tmp_path), "none")
@@ -68,10 +68,10 @@ def test_methods(spark, tmp_path):
 def test_csv_keeps_awkward_values(spark, tmp_path):
     schema = "n int, t string, tags array<string>, said array<struct<a:string,b:int>>"
     rows = [
-        (1, 'say "hi", twice', ["x", "y"], [("q", 1)]),
+        (1, 'say "hi", twice', ["x, y", None], [("q", 1)]),
         (2, "line\nbreak", [], []),
         (3, None, None, None),
-        (4, "", ["z"], [("'", None)]),
+        (4, "", ["x", "y"], [("'", None)]),
     ]
     df = spark.createDataFrame(rows, schema)
     export_csv(df, f"{tmp_path}/out")
@@ -81,7 +81,8 @@ def test_csv_keeps_awkward_values(spark, tmp_path):
         .csv(f"{tmp_path}/out")
     )
     found = {r["n"]: tuple(r)[1:] for r in back.collect()}
-    assert found[1] == ('say "hi", twice', "x, y", '[{"a":"q","b":1}]')
+    assert found[1] == ('say "hi", twice', '["x, y",null]', '[{"a":"q","b":1}]')
+    assert found[4][1] == '["x","y"]'
     assert found[2][0] == "line\nbreak"
     assert found[3] == (None, None, None)
     with pytest.raises(ValueError, match="twice"):

@@ -7,8 +7,9 @@ import pytest
 from pyspark.errors import AnalysisException
 
 from cohortsift.operators.paging import show_page
+from cohortsift.operators.relational import restrict
 from cohortsift.plans.spec import FilterNode, SpecError, StepSpec
-from cohortsift.plans.steps import run_step, step_page, step_relation
+from cohortsift.plans.steps import StepPages, run_step, step_page, step_relation
 from cohortsift.sources.lake import Lake
 
 
@@ -70,14 +71,14 @@ def test_semi_join_hides_its_columns(lake):
     agg = {**lakes.AGG, "join": {**lakes.AGG["join"], "join_type": "ANTI JOIN"}}
     spec = step(tables=[agg], filters=None, order=None or [], fields=[lakes.field("validation_hash")])
     assert tuples(run_step(spec, lake, lake.files)) == [(15,)]
-    with pytest.raises(SpecError, match="no table 'agg'"):
+    with pytest.raises(SpecError, match="no table 'seen'"):
         step(tables=[agg])
 
 
 def test_chain_joins_to_an_earlier_alias(spark, lake):
     genes = spark.createDataFrame([(5, "five"), (1, "one")], "n bigint, word string")
     named = Lake(spark, lake.root, {"words": genes})
-    word = {"name": "words", "alias": "w", "join": {"left_table": "agg", "left_on": "var_count", "right_on": "n"}}
+    word = {"name": "words", "alias": "w", "join": {"left_table": "seen", "left_on": "var_count", "right_on": "n"}}
     spec = step(tables=[lakes.AGG, word], filters=None, fields=[lakes.field("word", "w"), lakes.field("position")])
     assert sorted({r[0] for r in tuples(run_step(spec, named, lake.files))}) == ["five", "one"]
 
@@ -86,7 +87,7 @@ def test_constant_alias_and_expression_fields(lake):
     fields = [
         {"name": "reference_genome", "value": "'hg19'", "is_expression": True},
         {"name": "{table}.position + 1", "table": "main_table", "is_expression": True, "alias": "next"},
-        {"name": "{table}.var_count / {table}.total_count", "table": "agg", "is_expression": True, "alias": "ratio"},
+        {"name": "{table}.var_count / {table}.total_count", "table": "seen", "is_expression": True, "alias": "ratio"},
         lakes.field("position", alias="at"),
         lakes.field("position"),
     ]
@@ -134,12 +135,12 @@ def test_page_orders_by_a_hidden_column(lake):
     assert [r[4] for r in first] == [1998, 1999]
     assert len(tuples(step_page(step(), relation, 3, 2))) == 1
     assert tuples(step_page(step(), relation, 9, 2)) == []
-    deep = tuples(step_page(step(), relation, 2, 2, top_k=0))
+    deep = tuples(StepPages.of(step(), relation).sorted().page(2, 2))
     assert deep == tuples(step_page(step(), relation, 2, 2))
 
 
 def test_page_of_fields_with_one_name(lake):
-    fields = [lakes.field("position"), lakes.field("position"), lakes.field("variant_hash", "agg")]
+    fields = [lakes.field("position"), lakes.field("position"), lakes.field("variant_hash", "seen")]
     spec = step(fields=fields, filters=None)
     rows = step_page(spec, step_relation(spec, lake, lake.files), 1, 3)
     assert rows.columns == ["position", "position", "variant_hash"] and rows.count() == 3
@@ -178,3 +179,23 @@ def test_spec_errors(changes, reason):
 def test_errors_are_not_empty_results(lake):
     with pytest.raises(AnalysisException):
         run_step(step(fields=[lakes.field("no_such_column")]), lake, lake.files)
+
+
+@pytest.mark.parametrize("more", [0, 2000])
+def test_listed_values_take_the_columns_type(spark, more):
+    """A short list is a filter and a long one a join; both read values as the column's type."""
+    chosen = [3, "3", "4", *range(10**6, 10**6 + more)]
+    rows = restrict(spark.range(10).alias("t"), "t.id", chosen)
+    assert sorted(r["id"] for r in rows.collect()) == [3, 4]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        restrict(spark.range(10).alias("t"), "t.id", ["x", *chosen]).collect()
+
+
+def test_step_pages_count_and_turn_back(lake):
+    pages = StepPages.of(step(), step_relation(step(), lake, lake.files), keep=True)
+    try:
+        view = pages.show(99, size=2)
+        assert (view.number, view.page_count, view.row_count, len(tuples(view.rows))) == (3, 3, 5, 1)
+        assert tuples(pages.sorted().show("last", size=2).rows) == tuples(view.rows)
+    finally:
+        pages.rows.unpersist()
