@@ -97,7 +97,19 @@ def exact_fill(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
 
 
 def plan(counts: dict[int, int], size: int) -> list[Kind]:
-    """Kinds of sequence that use every piece; ``counts`` has the pieces of each length."""
+    """Kinds of sequence that use every piece; ``counts`` has the pieces of each length.
+
+    Should best fit alone need fewer sequences, it is the plan.
+    """
+    left = np.zeros(size + 1, dtype=np.int64)
+    for length, n in counts.items():
+        left[length] = n
+    plans = [_exact_first(counts, size), _best_fit(left, size)]
+    return min(plans, key=lambda kinds: sum(n for _, n in kinds))
+
+
+def _exact_first(counts: dict[int, int], size: int) -> list[Kind]:
+    """Exact combinations as long as there are any, then best fit."""
     left = np.zeros(size + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n

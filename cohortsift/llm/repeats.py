@@ -35,6 +35,8 @@ from cohortsift.llm.shingles import Words
 BATCH = 2000
 #: Runs of one bucket, packed: column by column, little-endian.
 PACKED = "bucket int, known binary, hashes binary, more binary, docs binary, ties binary, places binary"
+#: What ``known`` holds in a row of settled places.
+SETTLED = b"\x02"
 _PACKED_NAMES = ["bucket", "known", "hashes", "more", "docs", "ties", "places"]
 
 
@@ -86,6 +88,18 @@ def _packed(bucket: np.ndarray, buckets: int, columns: dict[str, np.ndarray]) ->
         )
 
 
+def _settled(docs: np.ndarray, ties: np.ndarray, places: np.ndarray, which: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row of places that need no comparison, as ranges: the docs, ties, and pairs of first and last + 1 in ``places``."""
+    for batch in _by_doc(docs[which], ties[which], places[which]):
+        pairs = [np.frombuffer(r, "<i4").reshape(-1, 2) for r in batch.column(2).to_pylist()]
+        times = [len(p) for p in pairs]
+        columns = [np.repeat(batch.column(k).to_numpy(), times).tobytes() for k in range(2)]
+        row = [0, SETTLED, b"", b"", *columns, np.concatenate(pairs).tobytes()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([c], t) for c, t in zip(row, [pa.int32()] + [pa.binary()] * 6, strict=True)], _PACKED_NAMES
+        )
+
+
 def _in_several(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order by key and doc, and for each sorted entry whether its key has several docs."""
     order = np.lexsort((doc, key))
@@ -123,12 +137,15 @@ def _opened(ranges: bytes) -> np.ndarray:
     return np.repeat(pairs[:, 0] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The entries of each bucket; rows come sorted by bucket."""
+def _by_bucket(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The entries of each bucket; rows come sorted by bucket. Rows of settled places go to ``passed``, as ranges by document."""
     kinds = {"known": "u1", "hashes": "<u8", "more": "<u8", "docs": "<i8", "ties": "<i8", "places": "<i4"}
     held: list[tuple] = []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[1] == SETTLED:
+                passed.append(_ranges_by_doc(*(np.frombuffer(row[k], kind) for k, kind in ((4, "<i8"), (5, "<i8"), (6, "<i4")))))
+                continue
             if held and held[0][0] != row[0]:
                 yield {n: np.concatenate([np.frombuffer(r[k + 1], kind) for r in held]) for k, (n, kind) in enumerate(kinds.items())}
                 held = []
@@ -137,6 +154,18 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarr
         yield {n: np.concatenate([np.frombuffer(r[k + 1], kind) for r in held]) for k, (n, kind) in enumerate(kinds.items())}
 
 
+def _ranges_by_doc(docs: np.ndarray, ties: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+    start = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (ties[1:] != ties[:-1])))
+    edges = np.append(start, len(docs))
+    own = [pairs[2 * a : 2 * b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(docs[start]), pa.array(ties[start]), pa.array(own, pa.binary())], ["doc_id", "tie", "ranges"])
+
+
+def _drained(passed: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    while passed:
+        yield passed.pop()
+
+
 def _dealt(packed: DataFrame) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket")
 
@@ -157,20 +186,19 @@ def repeated_words(docs: DataFrame, window: int = 13, with_text: bool = True) ->
             mine, doc, tie = mine[order], doc[order], tie[order]
             key = found.hash[mine]
             one = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-            sent = ~several | one
-            # a run met in several documents here is sent once, as known, and its places as settled
+            # a run met in several documents here is sent once, as known, and its other places as settled
+            sent = np.flatnonzero(~several | one)
+            sent = sent[np.argsort(mine[sent])]  # by document, which packs well
             yield from _packed((key[sent] % np.uint64(buckets)).astype(np.int64), buckets, {
                 "known": several[sent].astype("u1"), "hashes": key[sent], "docs": doc[sent], "ties": tie[sent],
                 "places": found.at[mine[sent]].astype("<i4"),
             })
-            rest = several & ~one
-            yield from _packed(np.zeros(int(rest.sum()), np.int64), 1, {
-                "known": np.full(int(rest.sum()), 2, "u1"), "hashes": key[rest], "docs": doc[rest], "ties": tie[rest],
-                "places": found.at[mine[rest]].astype("<i4"),
-            })
+            yield from _settled(doc, tie, found.at[mine], several & ~one)
 
     def surviving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _by_bucket(batches):
+        passed: list[pa.RecordBatch] = []
+        for x in _by_bucket(batches, passed):
+            yield from _drained(passed)
             order, several = _in_several(x["hashes"], x["docs"])
             known = x["known"][order]
             key = x["hashes"][order]
@@ -178,10 +206,11 @@ def repeated_words(docs: DataFrame, window: int = 13, with_text: bool = True) ->
             any_known = np.repeat(np.maximum.reduceat(known, start) > 0, np.diff(np.append(start, len(key)))) if len(key) else several
             kept = order[several | any_known]
             yield from _by_doc(x["docs"][kept], x["ties"][kept], x["places"][kept])
+        yield from _drained(passed)
 
     spread = F.when(F.col("settled"), F.pmod(F.xxhash64("docs"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
     packed = known_ids.select("doc_id", "text", "tie").mapInArrow(runs, PACKED)
-    settled = packed.withColumn("settled", F.substring("known", 1, 1) == F.lit(b"\x02"))
+    settled = packed.withColumn("settled", F.col("known") == F.lit(SETTLED))
     survivors = _dealt(settled.withColumn("bucket", spread).drop("settled")).mapInArrow(surviving, _RANGES)
 
     same = known_ids.select("doc_id", "tie", F.md5("text").alias("digest"))
@@ -214,24 +243,26 @@ def repeated_words(docs: DataFrame, window: int = 13, with_text: bool = True) ->
             mine = doc == least
             # what a smaller document of the batch holds too is settled; the rest asks the others
             columns = {"hashes": one, "more": two, "docs": doc, "ties": tie, "places": at.astype("<i4")}
-            yield from _packed((one[mine] % np.uint64(buckets)).astype(np.int64), buckets, {"known": np.zeros(int(mine.sum()), "u1")} | {n: c[mine] for n, c in columns.items()})
-            late = ~mine
-            yield from _packed(np.zeros(int(late.sum()), np.int64), 1, {"known": np.full(int(late.sum()), 2, "u1")} | {n: c[late] for n, c in columns.items()})
+            asked = np.flatnonzero(mine)
+            asked = asked[np.lexsort((at[asked], doc[asked]))]
+            yield from _packed((one[asked] % np.uint64(buckets)).astype(np.int64), buckets, {"known": np.zeros(len(asked), "u1")} | {n: c[asked] for n, c in columns.items()})
+            yield from _settled(doc, tie, at, ~mine)
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _by_bucket(batches):
-            sure = x["known"] == 2
-            asked = np.flatnonzero(~sure)
-            one, two, doc = x["hashes"][asked], x["more"][asked], x["docs"][asked]
+        passed: list[pa.RecordBatch] = []
+        for x in _by_bucket(batches, passed):
+            yield from _drained(passed)
+            one, two, doc = x["hashes"], x["more"], x["docs"]
             order = np.lexsort((doc, two, one))
             one, two, doc = one[order], two[order], doc[order]
             start = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))) if len(one) else np.zeros(0, np.int64)
             least = np.repeat(doc[start], np.diff(np.append(start, len(one)))) if len(one) else doc
-            gone = np.concatenate([np.flatnonzero(sure), asked[order[doc > least]]])
+            gone = order[doc > least]
             yield from _by_doc(x["docs"][gone], x["ties"][gone], x["places"][gone])
+        yield from _drained(passed)
 
     searched = known_ids.join(marked, "doc_id").select("doc_id", "text", "tie", "found")
-    second = searched.mapInArrow(windows, PACKED).withColumn("settled", F.substring("known", 1, 1) == F.lit(b"\x02"))
+    second = searched.mapInArrow(windows, PACKED).withColumn("settled", F.col("known") == F.lit(SETTLED))
     gone = _dealt(second.withColumn("bucket", spread).drop("settled")).mapInArrow(later, _RANGES)
     removed = gone.unionByName(copies).groupBy("doc_id").agg(
         F.collect_list(F.struct("tie", F.coalesce("ranges", F.lit(b"copy")).alias("ranges"))).alias("gone")
