@@ -105,19 +105,22 @@ def mix(
         salts.join(sources.select(F.col("source").alias("s"), "pool"), F.col("source").eqNullSafe(F.col("s")))
         .withColumn("base", F.coalesce(F.sum("rows").over(in_pool), F.lit(0)))
         .join(F.broadcast(served), "pool")  # a row for each pool, slots // 2 at most
-        .select(F.col("source").alias("__source"), F.col("__salt").alias("__own"), "base", "n", "pool", "parts", "documents")
+        .select(
+            F.col("source").alias("__source"), F.col("__salt").alias("__own"),
+            *(F.col(c).alias(f"__{c}") for c in ("base", "n", "pool", "parts", "documents")),
+        )
     )
     within = Window.partitionBy("source", "__salt").orderBy("__key", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     ranked = keyed.withColumn("__rank", F.row_number().over(within).cast("long") - 1)
     joined = ranked.join(based, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__own")))
-    place = F.col("__rank") + F.col("base")
-    last = F.floor((F.col("documents") - 1 - place) / F.col("n"))
+    place = F.col("__rank") + F.col("__base")
+    last = F.floor((F.col("__documents") - 1 - place) / F.col("__n"))
     each = joined.withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    index = place + F.col("__epoch") * F.col("n")
+    index = place + F.col("__epoch") * F.col("__n")
     blocks = each.withColumn("__block", F.floor(index / block)).withColumn("__in", index % block)
-    blocks = blocks.withColumn("__turn", F.col("__block") % F.col("parts")).withColumn("__round", F.floor(F.col("__block") / F.col("parts")))
-    turns = F.broadcast(table.select(F.col("pool").alias("__pool"), F.col("turn"), F.col("slot").alias("__first")))  # ``slots`` rows
-    found = blocks.join(turns, (F.col("pool") == F.col("__pool")) & (F.col("__turn") == F.col("turn")))
+    blocks = blocks.withColumn("__turn", F.col("__block") % F.col("__parts")).withColumn("__round", F.floor(F.col("__block") / F.col("__parts")))
+    turns = F.broadcast(table.select(F.col("pool").alias("__its_pool"), F.col("turn").alias("__its_turn"), F.col("slot").alias("__first")))  # ``slots`` rows
+    found = blocks.join(turns, (F.col("__pool") == F.col("__its_pool")) & (F.col("__turn") == F.col("__its_turn")))
     slot = F.col("__round") * slots + F.col("__first")
     decided = F.struct(
         F.col("__epoch").alias("epoch"), F.col("__block").alias("block"), slot.alias("slot"), (slot * block + F.col("__in")).alias("position")
