@@ -11,7 +11,7 @@ from cohortsift.operators.recurrence import distinct_values, run_recurrence, wit
 from cohortsift.operators.search import search
 from cohortsift.plans.review import ReviewStore
 from cohortsift.plans.spec import FieldSpec, FilterNode, JoinSpec, OrderKey, StepSpec, TableRef
-from cohortsift.plans.steps import run_step, step_page, step_relation
+from cohortsift.plans.steps import StepPages, run_step, step_page, step_relation
 from cohortsift.sources.csv_report import export_csv
 from cohortsift.sources.lake import Lake, scan_files
 from cohortsift.sources.methods import load_method, read_methods
@@ -25,6 +25,7 @@ __all__ = [
     "PageView",
     "ReviewStore",
     "SortedPages",
+    "StepPages",
     "StepSpec",
     "TableRef",
     "distinct_values",

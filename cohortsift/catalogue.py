@@ -7,6 +7,7 @@ review log. Each query reads whole tables.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,7 @@ from cohortsift.plans.steps import StepPages, decision_report, run_step, step_pa
 from cohortsift.session import new_shared_path
 from cohortsift.sources.csv_report import export_csv
 from cohortsift.sources.lake import Lake, scan_files
+from cohortsift.sources.methods import load_method, read_methods
 from cohortsift.sources.review_log import COMPLETED, CREATED, DECISION, DELETED, REMARK, STEP, ReviewLog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -830,6 +832,55 @@ def review_report(spark: SparkSession, folder: str) -> DataFrame:
     return _through_csv(spark, shown, schema)
 
 
+def _stepped(spark: SparkSession, folder: str) -> tuple[ReviewStore, str, list[StepSpec]]:
+    """A job over three samples whose method, kept as a JSON file, has two steps."""
+    root = new_shared_path(spark, "lake")
+    _calls(spark, folder).write.parquet(f"{root}/run.parquet")
+    fields = [{"name": c, "table": MAIN} for c in ("validation_hash", "sample_name", "position")]
+    body = F.lit(json.dumps({"title": "Odd places", "tables": [], "fields": fields, "filters": {"expression": "position % 2 = 1"}}))
+    method = spark.range(1).select(F.from_json(body, F.schema_of_json(body)).alias("m")).select("m.*")
+    method.coalesce(1).write.json(f"{root}/methods")
+    name = read_methods(spark, f"{root}/methods").first()["method"]
+    steps = load_method(spark, f"{root}/methods", name)
+    first = StepSpec.from_json({"title": "All", "tables": [], "fields": fields})
+    store = ReviewStore(spark, f"{root}/review", Lake(spark))
+    job = store.new_job("Review 2", "reviewer", [f"{root}/run.parquet"], ["3", "14", "15"], name)
+    return store, job, [first, *steps]
+
+
+_CHOSEN = (
+    "select l_orderkey validation_hash,cast(l_suppkey as varchar) sample_name,l_linenumber as position "
+    "from lineitem where l_suppkey in (3,14,15)"
+)
+
+
+@query(_CHOSEN + " and l_linenumber%2=1")
+def method_next_step(spark: SparkSession, folder: str) -> DataFrame:
+    """A method read from its file, taken to its second step and resumed there."""
+    store, job, steps = _stepped(spark, folder)
+    store.next_step(job, steps)
+    return store.resume(job, steps)
+
+
+@query("select validation_hash,sample_name,position from (" + _CHOSEN + ")")
+def job_export(spark: SparkSession, folder: str) -> DataFrame:
+    """A job taken to its end step by step, its report exported and read back."""
+    store, job, steps = _stepped(spark, folder)
+    store.record_step(job, len(steps) - 1)
+    store.next_step(job, steps)
+    target = new_shared_path(spark, "report")
+    store.export(job, target)
+    back = spark.read.options(header=True, quote='"', escape='"').csv(target)
+    return back.select(F.col("validation_hash").cast("bigint"), "sample_name", F.col("position").cast("int"))
+
+
+@query(f"select {_STEP_FIELDS} {_STEP_FROM} {_STEP_WHERE} and m.l_suppkey in (3,14,15)")
+def step_dealt(spark: SparkSession, folder: str) -> DataFrame:
+    """A step whose join keys are weighed, in the chosen samples' rows, and dealt over tasks."""
+    options = {"sample_column": "l_suppkey", "light_rows": 3, "may_broadcast": False}
+    return run_step(STEP_SPEC, _cohort(spark, folder), ["lineitem.parquet"], [3, 14, 15], **options)
+
+
 # -- sources and sinks ---------------------------------------------------------------
 
 

@@ -92,15 +92,16 @@ def join(
     how: str = "inner",
     *,
     left_profile: Callable[[], KeyProfile] | None = None,
+    right_profile: Callable[[], KeyProfile] | None = None,
     light_rows: int = LIGHT_KEY_ROWS,
     may_broadcast: bool = True,
 ) -> DataFrame:
     """Join two aliased relations on ``left_on = right_on``.
 
     Column names are qualified (``main_table.variant_hash``). NULL keys match
-    nothing. ``left_profile`` gives the profile of the left key when it is known
-    or cheaper to find elsewhere, such as in the scan a longer chain started
-    from. ``light_rows`` is smaller where single rows are large. Without
+    nothing. ``left_profile`` and ``right_profile`` give the profile of a key when it
+    is known or cheaper to find elsewhere, such as in the scan a longer chain
+    started from. ``light_rows`` is smaller where single rows are large. Without
     ``may_broadcast`` keys are profiled even if a side looks small.
     """
     if may_broadcast and how == "inner" and fits_broadcast(right):
@@ -116,7 +117,7 @@ def join(
         if not heavy_left:
             return _plain(left, keys, left_on, right_on, how)
         return _dealt(left, keys, left_on, right_on, how, heavy_left, KeyProfile())
-    heavy_right = profile_keys(right, right_on, light_rows)
+    heavy_right = right_profile() if right_profile else profile_keys(right, right_on, light_rows)
     no_heavy_value = not heavy_left.cells and not heavy_right.cells
     if no_heavy_value and (how == "inner" or not (heavy_left or heavy_right)):
         return _plain(left, right, left_on, right_on, how)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import cache, partial
+from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -28,23 +28,31 @@ def step_relation(
     *,
     sample_column: str = SAMPLE_COLUMN,
     apply_filters: bool = True,
+    light_rows: int = LIGHT_KEY_ROWS,
+    may_broadcast: bool = True,
 ) -> DataFrame:
     """The joined and filtered tables of a step, every column still there.
 
     ``main`` is the list of files under review or a relation to stand for them.
     Filters hold after all joins; Catalyst moves what it can to the scans.
+    ``light_rows`` and ``may_broadcast`` are those of :func:`join`.
     """
     base = main.alias(MAIN) if isinstance(main, DataFrame) else lake.main(main)
-    known = {MAIN: base}
     # Outer joins that add rows without a main row must come before the choice of samples.
     adds_rows = any(t.join.how in ("right", "full") for t in spec.tables)
     sample = f"{MAIN}.{quoted(sample_column)}"
     df = base if samples is None or adds_rows else restrict(base, sample, samples)
+    known = {MAIN: df}
 
-    @cache
     def profile(table: str, key: str) -> KeyProfile:
-        """Looked for in the table itself: the chain so far would be run for it."""
-        return profile_keys(known[table], key)
+        """Looked for in the table itself, of the chosen samples: the chain so far would be run for it.
+
+        The lake remembers it for the pages and steps that follow.
+        """
+        mark = (known[table].semanticHash(), key, light_rows)
+        if mark not in lake.profiles:
+            lake.profiles[mark] = profile_keys(known[table], key, light_rows)
+        return lake.profiles[mark]
 
     for table in spec.tables:
         known[table.alias] = lake.table(table)
@@ -58,6 +66,9 @@ def step_relation(
             right_on,
             table.join.how,
             left_profile=partial(profile, left_table, left_on),
+            right_profile=partial(profile, table.alias, right_on),
+            light_rows=light_rows,
+            may_broadcast=may_broadcast,
         )
     if samples is not None and adds_rows:
         df = restrict(df, sample, samples)
@@ -73,9 +84,14 @@ def run_step(
     sample_column: str = SAMPLE_COLUMN,
     apply_filters: bool = True,
     apply_order: bool = True,
+    light_rows: int = LIGHT_KEY_ROWS,
+    may_broadcast: bool = True,
 ) -> DataFrame:
     """The rows a step shows: its relation in its order, its fields only."""
-    df = step_relation(spec, lake, main, samples, sample_column=sample_column, apply_filters=apply_filters)
+    df = step_relation(
+        spec, lake, main, samples, sample_column=sample_column, apply_filters=apply_filters,
+        light_rows=light_rows, may_broadcast=may_broadcast,
+    )
     if apply_order:
         df = order(df, spec.order)
     return project(df, spec.fields)

@@ -88,6 +88,8 @@ class Lake:
         self.root = root
         self.tables = dict(tables or {})
         self.schemas = dict(schemas or {})
+        #: Key profiles of the joins so far, by relation and key. An old one costs balance, not rows.
+        self.profiles: dict[tuple, object] = {}
 
     def path(self, name: str) -> str:
         if self.root is None or name.startswith("/") or "://" in name:

@@ -2,7 +2,10 @@
 
 import pytest
 
+from cohortsift import catalogue
 from cohortsift.catalogue import QUERIES
+from cohortsift.operators import joins
+from cohortsift.plans import steps
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -66,3 +69,16 @@ def test_counting_or_paging_a_step_does_not_sort_it_first(spark, capsys):
         capsys.readouterr()
         df.explain()
         assert "rangepartitioning" not in capsys.readouterr().out
+
+
+def test_a_profile_reads_the_chosen_samples_once(spark, monkeypatch):
+    """The sample filter reaches the profile's scan, and the next page finds the profile on the lake."""
+    seen = []
+    monkeypatch.setattr(steps, "profile_keys", lambda df, key, light: seen.append((df, key)) or joins.profile_keys(df, key, light))
+    lake = catalogue._cohort(spark, FOLDER)
+    options = {"sample_column": "l_suppkey", "may_broadcast": False}
+    for _ in range(2):
+        steps.run_step(catalogue.STEP_SPEC, lake, ["lineitem.parquet"], [3, 14], **options)
+    assert sorted(key for _, key in seen) == ["`agg`.`l_partkey`", "`main_table`.`l_partkey`"]
+    plan = next(df for df, key in seen if "main_table" in key)._jdf.queryExecution().executedPlan().toString()
+    assert "In(l_suppkey, [14,3])" in plan or "In(l_suppkey, [3,14])" in plan
