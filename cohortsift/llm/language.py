@@ -57,6 +57,14 @@ def counts(texts: list[str | None]) -> np.ndarray:
     out = np.zeros((len(texts), DIMENSIONS), dtype=np.int64)
     is_letter, flat = _letters(), out.reshape(-1)
     buffered: list[tuple[int, np.ndarray]] = []
+
+    def add() -> None:
+        rows = np.repeat([r for r, _ in buffered], [len(c) for _, c in buffered])
+        for n, place in enumerate(_places(np.concatenate([c for _, c in buffered]))):
+            inside = rows[: len(rows) - n] == rows[n:]  # no n-gram over the end of a text
+            np.add(flat, np.bincount((rows[n:] * DIMENSIONS + place)[inside], minlength=len(flat)), out=flat)
+        buffered.clear()
+
     for row, text in enumerate(texts):
         for a in range(0, len(text or ""), STRIDE):
             codes = np.frombuffer(text[a : a + STRIDE + 2].lower().encode("utf-32-le", "replace"), "<u4")
@@ -66,11 +74,10 @@ def counts(texts: list[str | None]) -> np.ndarray:
                 kept = letter.copy()
                 kept[1:] |= letter[:-1]  # the first of each run of non-letters
                 buffered.append((row, codes[kept]))
+                if sum(len(c) for _, c in buffered) >= STRIDE:
+                    add()
     if buffered:
-        rows = np.repeat([r for r, _ in buffered], [len(c) for _, c in buffered])
-        for n, place in enumerate(_places(np.concatenate([c for _, c in buffered]))):
-            inside = rows[: len(rows) - n] == rows[n:]  # no n-gram over the end of a text
-            flat += np.bincount((rows[n:] * DIMENSIONS + place)[inside], minlength=len(flat))
+        add()
     return out
 
 
@@ -152,10 +159,10 @@ def _clusters(vectors: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 def fit(learn: DataFrame, fit_rows: int = 256, per_language: int = 3, tolerance: float = 0.25) -> LanguageModel:
     """The model of the rows of ``learn`` (``text``, ``lang``) that have a language."""
-    learn = learn.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    learn = learn.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     idf = _idf(learn)
     sizes = learn.groupBy("lang").agg(F.count("*").alias("__rows"))
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = learn.join(F.broadcast(sizes), "lang").where(share * F.col("__rows") < fit_rows)  # a row for each language
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

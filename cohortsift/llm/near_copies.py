@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 
 from cohortsift.llm.graph import components
 from cohortsift.llm.shared import stored
-from cohortsift.llm.shingles import mixed, shingle_sets
+from cohortsift.llm.shingles import mixed, parts, shingle_sets
 
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 BASE = 1.02
-#: Documents sketched at once, and values of their sets.
-BATCH, CHUNK = 512, 1 << 15
+#: Values of sets sketched at once.
+CHUNK = 1 << 15
 #: Members of a hub in one block.
 BLOCK = 256
 #: Standard errors below the least similarity at which an estimate rules a link out.
@@ -124,17 +124,15 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, tie (a hash of the text), n (size of its set), class and band keys of each row; no class or keys for the empty set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, BATCH):
-                part = batch.slice(a, BATCH)
-                sets = shingle_sets(part.column(1), words)
-                keys = band_keys(registers(sets))
-                columns = [
-                    part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([k.tolist() if len(s) else None for k, s in zip(keys, sets, strict=True)], pa.list_(pa.int64())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "n", "class", "keys"])
+        for part in parts(batches):
+            sets = shingle_sets(part.column(1), words)
+            keys = band_keys(registers(sets))
+            columns = [
+                part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()),
+                pa.array([k.tolist() if len(s) else None for k, s in zip(keys, sets, strict=True)], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "n", "class", "keys"])
 
     schema = "doc_id long, tie long, n long, class long, keys array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie")).mapInArrow(sketch, schema)
@@ -154,15 +152,13 @@ def _sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """class, n, sketch and set of the classes named, from a text of each."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, BATCH):
-                part = batch.slice(a, BATCH)
-                sets = shingle_sets(part.column(1), words)
-                rows = zip(part.column(0).to_pylist(), sets, registers(sets), strict=True)
-                own = [(c, len(s), r.tobytes(), s.tobytes()) for c, s, r in rows if len(s) and fingerprint(s) == c]
-                columns = list(zip(*own, strict=True)) or [(), (), (), ()]
-                types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["class", "n", "sketch", "set"])
+        for part in parts(batches):
+            sets = shingle_sets(part.column(1), words)
+            rows = zip(part.column(0).to_pylist(), sets, registers(sets), strict=True)
+            own = [(c, len(s), r.tobytes(), s.tobytes()) for c, s, r in rows if len(s) and fingerprint(s) == c]
+            columns = list(zip(*own, strict=True)) or [(), (), (), ()]
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["class", "n", "sketch", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(classes, "doc_id").select("class", "text")
     found = texts.mapInArrow(read, "class long, n long, sketch binary, set binary")

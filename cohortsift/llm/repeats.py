@@ -29,10 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortsift.llm.shared import partitions
-from cohortsift.llm.shingles import Words
+from cohortsift.llm.shingles import Words, parts
 
-#: Texts read at once.
-BATCH = 2000
 #: Runs of one bucket, packed: column by column, little-endian.
 PACKED = "bucket int, known binary, hashes binary, more binary, docs binary, ties binary, places binary"
 #: What ``known`` holds in a row of settled places.
@@ -67,12 +65,6 @@ class _Runs:
         return np.flatnonzero(mark)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, BATCH):
-            yield batch.slice(a, BATCH)
-
-
 def _packed(bucket: np.ndarray, buckets: int, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Rows of packed columns, one for each bucket that has entries."""
     order = np.argsort(bucket, kind="stable")
@@ -178,7 +170,7 @@ def repeated_words(docs: DataFrame, window: int = 13, with_text: bool = True) ->
     )
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
+        for part in parts(batches):
             found = _Runs(part.column(1), window)
             mine = found.chosen_runs()
             doc, tie = part.column(0).to_numpy()[found.text[mine]], part.column(2).to_numpy()[found.text[mine]]
@@ -219,7 +211,7 @@ def repeated_words(docs: DataFrame, window: int = 13, with_text: bool = True) ->
     marked = survivors.unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("tie", F.coalesce("ranges", F.lit(b"copy")).alias("ranges"))).alias("found"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
+        for part in parts(batches):
             ties, found = part.column(2).to_pylist(), part.column(3).to_pylist()
             copied = np.array([any(f["ranges"] == b"copy" and f["tie"] == t for f in own) for t, own in zip(ties, found, strict=True)], bool)
             searched = np.flatnonzero(~copied)
@@ -269,7 +261,7 @@ def repeated_words(docs: DataFrame, window: int = 13, with_text: bool = True) ->
     )
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
+        for part in parts(batches):
             rows = []
             texts = part.column(1).cast(pa.binary()).to_pylist()
             for text, tie, gone in zip(texts, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space between words.
 _SPACE = np.zeros(256, dtype=bool)
@@ -11,9 +14,27 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: Bytes hashed at once.
+STRIDE = 1 << 22
+#: Bytes of texts and texts taken together, at most; a longer text is alone.
+TOGETHER, TEXTS = 1 << 23, 2000
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def parts(batches: Iterator[pa.RecordBatch], texts: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold a bounded number of bytes in the column ``texts``."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        a = 0
+        while a < batch.num_rows:
+            before = ends[a - 1] if a else 0
+            b = int(np.clip(np.searchsorted(ends, before + TOGETHER, side="right"), a + 1, a + TEXTS))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A one-to-one scramble of 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -49,16 +70,17 @@ class Words:
         if not len(starts):
             self.hash = np.zeros(0, np.uint64)
             return
-        signs = (_LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1)
-        signs[~inside] = 0
-        place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw)))) if starts[0] == 0 else None
-        if place is None:
-            place = np.arange(starts[0], len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
-            signs = signs[starts[0] :]
-        longest = int(place.max()) + 1
         base = int(mixed(np.array([seed], np.uint64))[0]) | 1
-        signs *= powers(base, longest)[place]
-        self.hash = mixed(np.add.reduceat(signs, starts - starts[0]) + np.uint64(seed))
+        self.hash = np.empty(len(starts), np.uint64)
+        groups = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(raw), STRIDE)), len(starts)))
+        for a, b in zip(groups, groups[1:], strict=False):  # of words, STRIDE bytes or so each
+            own = starts[a:b]
+            begin, end = own[0], starts[b] if b < len(starts) else len(raw)
+            signs = (_LOWER[raw[begin:end]] if lower else raw[begin:end]).astype(np.uint64) + np.uint64(1)
+            signs[~inside[begin:end]] = 0
+            place = np.arange(begin, end) - np.repeat(own, np.diff(np.append(own, end)))
+            signs *= powers(base, int(place.max()) + 1)[place]
+            self.hash[a:b] = mixed(np.add.reduceat(signs, own - begin) + np.uint64(seed))
 
     def runs(self, n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The hash, text number and first word of each run of n words."""

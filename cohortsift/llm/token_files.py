@@ -73,6 +73,16 @@ class TokenFiles:
         return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _settle(store: fs.FileSystem, mine: str, name: str) -> None:
+    """Move a written file to its name; one that another attempt has put there holds the same."""
+    try:
+        store.move(mine, name)
+    except OSError:
+        if store.get_file_info(name).type != fs.FileType.File:
+            raise
+        store.delete_file(mine)
+
+
 def _mapped(store: fs.FileSystem, name: str) -> memoryview:
     """The bytes of a file, mapped if it is a local one."""
     if isinstance(store, fs.LocalFileSystem):
@@ -130,7 +140,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 2,
                 out.write(np.concatenate(doc_ids).astype("<i8").tobytes())
                 out.write(np.concatenate(null).astype("u1").tobytes())
             for kind in ("ids", "idx"):
-                store.move(f"{mine}.{kind}", f"{name}.{kind}")
+                _settle(store, f"{mine}.{kind}", f"{name}.{kind}")
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([n_docs]), pa.array([int(offsets[-1])]), pa.array([width], pa.int32())],
                 ["shard", "n_docs", "n_ids", "id_bytes"],
