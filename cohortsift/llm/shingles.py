@@ -15,9 +15,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 #: Bytes hashed at once.
-STRIDE = 1 << 22
+STRIDE = 1 << 20
 #: Bytes of texts and texts taken together, at most; a longer text is alone.
-TOGETHER, TEXTS = 1 << 23, 2000
+TOGETHER, TEXTS = 1 << 21, 2000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
