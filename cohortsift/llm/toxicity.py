@@ -203,11 +203,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, most_voters: i
         return ToxicityModel(np.zeros(PLACES, np.float32), 30.0 if share else -30.0)
     sizes = [len(r[2]) // 4 for r in rows]
     sparse = _Rows(
-        np.repeat(np.arange(len(rows)), sizes),
-        np.concatenate([np.frombuffer(r[2], "<u4") for r in rows]).astype(np.int64),
-        np.concatenate([np.frombuffer(r[3], "<u2") for r in rows]).astype(np.float64),
+        np.repeat(np.arange(len(rows), dtype=np.int32), sizes),
+        np.concatenate([np.frombuffer(r[2], "<u4") for r in rows]).astype(np.int32),
+        np.concatenate([np.frombuffer(r[3], "<u2") for r in rows]).astype(np.float32),
         len(rows),
     )
+    rows.clear()  # their bytes are in the arrays now
     votes = choose_voters(sparse, toxic, most_voters)
     posterior = label_model(votes, toxic)
     kept = telling(sparse, posterior, least_z)[sparse.place]
