@@ -117,12 +117,55 @@ def op7_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_words(table(spark, folder, "documents"), window=13, with_text=False)
 
 
+ORACLES["op7_repeated_passages"] = r"""
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), win as (
+  select doc_id, p, array_to_string(ws[p:p + 12], ' ') as k from w, unnest(generate_series(1, len(ws) - 12)) t(p)
+), least_id as (
+  select k, min(doc_id) as d from win group by k
+), covered as (
+  select distinct win.doc_id, p + o as i from win join least_id on win.k = least_id.k and d < doc_id, generate_series(0, 12) t(o)
+), kept as (
+  select w.doc_id, i, ws[i] as x from w, unnest(generate_series(1, len(ws))) t(i)
+  where not exists (select 1 from covered c where c.doc_id = w.doc_id and c.i = t.i)
+), joined as (
+  select doc_id, count(*) as n, string_agg(x, ' ' order by i) as kept from kept group by doc_id
+)
+select w.doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join joined on w.doc_id = joined.doc_id
+"""
+
+
 @query
 def op8_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     """The near copies of every document: sets of three words, 85 hundredths alike."""
     return near_copies(table(spark, folder, "documents"), words=3, percent=85).drop("tie")
 
 
+ORACLES["op8_near_copies"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+  select distinct doc_id, array_to_string(ws[p:p + 2], ' ') as g from w, unnest(generate_series(1, greatest(len(ws) - 2, 1))) t(p)
+  where len(ws) > 0
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), links as (
+  select x, y from (
+    select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
+  ) p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)
+), reached(a, b) as (
+  select doc_id, doc_id from documents union select r.a, l.y from reached r join links l on r.b = l.x
+), comp as (
+  select a, min(b) as component_id from reached group by a
+)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, component_id, w.doc_id = component_id as kept
+from w left join n on n.doc_id = w.doc_id join comp on comp.a = w.doc_id
+"""
+
+
 @query
 def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The five best inner products of every fiftieth vector with all others."""

@@ -115,9 +115,10 @@ def test_components_of_a_long_chain(spark):
     assert components(links.where("false")).collect() == []
 
 
-def test_mix_is_the_sql(spark):
+@pytest.mark.parametrize("name", ["op3_mixed_sources", "op7_repeated_passages", "op8_near_copies"])
+def test_queries_are_their_sql(spark, name):
     small = "/root/testdata/sf0.01"
-    assert spark_rows(QUERIES["op3_mixed_sources"](spark, small)) == duck_rows(connect(small), ORACLES["op3_mixed_sources"])
+    assert spark_rows(QUERIES[name](spark, small)) == duck_rows(connect(small), ORACLES[name])
 
 
 @pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 3.0, "c": 1.0, None: 1.0}])
