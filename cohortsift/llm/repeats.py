@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortsift.llm.shared import partitions
-from cohortsift.llm.shingles import Words, parts
+from cohortsift.llm.shingles import Words, mixed, parts
 
 #: Runs of one bucket, packed: column by column, little-endian.
 PACKED = "bucket int, known binary, hashes binary, more binary, docs binary, ties binary, places binary"
@@ -80,9 +80,13 @@ def _packed(bucket: np.ndarray, buckets: int, columns: dict[str, np.ndarray]) ->
         )
 
 
+def _single(places: np.ndarray) -> np.ndarray:
+    return np.column_stack([places, places + 1])
+
+
 def _settled(docs: np.ndarray, ties: np.ndarray, places: np.ndarray, which: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row of places that need no comparison, as ranges: the docs, ties, and pairs of first and last + 1 in ``places``."""
-    for batch in _by_doc(docs[which], ties[which], places[which]):
+    """A row of places that need no comparison: the docs, ties, and pairs of first and last + 1 in ``places``."""
+    for batch in _by_doc(docs[which], ties[which], _single(places[which])):
         pairs = [np.frombuffer(r, "<i4").reshape(-1, 2) for r in batch.column(2).to_pylist()]
         times = [len(p) for p in pairs]
         columns = [np.repeat(batch.column(k).to_numpy(), times).tobytes() for k in range(2)]
@@ -102,17 +106,16 @@ def _in_several(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, np.repeat(several, sizes)
 
 
-def _by_doc(docs: np.ndarray, ties: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """doc_id, tie and the places of each document as ranges (first, last + 1)."""
+def _by_doc(docs: np.ndarray, ties: np.ndarray, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """doc_id, tie and the places of each document as ranges (first, last + 1), joined where they touch."""
     if not len(docs):
         return
-    order = np.lexsort((places, ties, docs))
-    d, t, p = docs[order], ties[order], places[order].astype(np.int64)
-    cut = np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]))
-    jump = cut | np.append(True, p[1:] > p[:-1] + 1)
+    order = np.lexsort((pairs[:, 0], ties, docs))
+    d, t, p = docs[order], ties[order], pairs[order].astype(np.int64)
+    cut = np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]))  # places of a document are distinct or nested in order
+    jump = cut | np.append(True, p[1:, 0] > p[:-1, 1])
     first = np.flatnonzero(jump)
-    last = np.append(first[1:], len(p)) - 1
-    ranges = np.column_stack([p[first], p[last] + 1]).astype("<i4")
+    ranges = np.column_stack([p[first, 0], np.maximum.reduceat(p[:, 1], first)]).astype("<i4")
     groups = np.flatnonzero(cut[first])
     edges = np.append(groups, len(first))
     own = [ranges[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
@@ -121,6 +124,40 @@ def _by_doc(docs: np.ndarray, ties: np.ndarray, places: np.ndarray) -> Iterator[
 
 
 _RANGES = "doc_id long, tie long, ranges binary"
+#: Places of documents dealt by document: ids, ties, and pairs of first place and last + 1.
+_GROUPED = "bucket int, docs binary, ties binary, pairs binary"
+
+
+def _by_group(docs: np.ndarray, ties: np.ndarray, pairs: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """One row for each group of documents that has places."""
+    if not len(docs):
+        return
+    group = (mixed(docs.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((pairs[:, 0], docs, group))
+    edges = np.searchsorted(group[order], np.arange(buckets + 1))
+    d, t, p = docs[order], ties[order], pairs[order].astype("<i4")
+    rows = [(g, d[a:b].tobytes(), t[a:b].tobytes(), p[a:b].tobytes()) for g, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 3, strict=True)]
+    yield pa.RecordBatch.from_arrays(columns, ["bucket", "docs", "ties", "pairs"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of each group, with all its places; rows come sorted by group."""
+    held: list[tuple] = []
+
+    def merge() -> Iterator[pa.RecordBatch]:
+        docs, ties = (np.concatenate([np.frombuffer(r[k], "<i8") for r in held]) for k in (1, 2))
+        pairs = np.concatenate([np.frombuffer(r[3], "<i4").reshape(-1, 2) for r in held])
+        yield from _by_doc(docs, ties, pairs)
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][0] != row[0]:
+                yield from merge()
+                held.clear()
+            held.append(row)
+    if held:
+        yield from merge()
 
 
 def _opened(ranges: bytes) -> np.ndarray:
@@ -129,33 +166,31 @@ def _opened(ranges: bytes) -> np.ndarray:
     return np.repeat(pairs[:, 0] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The entries of each bucket; rows come sorted by bucket. Rows of settled places go to ``passed``, as ranges by document."""
+def _by_bucket(batches: Iterator[pa.RecordBatch], passed: list[tuple]) -> Iterator[dict[str, np.ndarray]]:
+    """The entries of each bucket; rows come sorted by bucket. Docs, ties and pairs of settled places go to ``passed``."""
     kinds = {"known": "u1", "hashes": "<u8", "more": "<u8", "docs": "<i8", "ties": "<i8", "places": "<i4"}
     held: list[tuple] = []
+
+    def entries() -> dict[str, np.ndarray]:
+        return {n: np.concatenate([np.frombuffer(r[k + 1], kind) for r in held]) for k, (n, kind) in enumerate(kinds.items())}
+
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[1] == SETTLED:
-                passed.append(_ranges_by_doc(*(np.frombuffer(row[k], kind) for k, kind in ((4, "<i8"), (5, "<i8"), (6, "<i4")))))
+                passed.append((np.frombuffer(row[4], "<i8"), np.frombuffer(row[5], "<i8"), np.frombuffer(row[6], "<i4").reshape(-1, 2)))
                 continue
             if held and held[0][0] != row[0]:
-                yield {n: np.concatenate([np.frombuffer(r[k + 1], kind) for r in held]) for k, (n, kind) in enumerate(kinds.items())}
+                yield entries()
                 held = []
             held.append(row)
     if held:
-        yield {n: np.concatenate([np.frombuffer(r[k + 1], kind) for r in held]) for k, (n, kind) in enumerate(kinds.items())}
-
+        yield entries()
 
-def _ranges_by_doc(docs: np.ndarray, ties: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
-    start = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (ties[1:] != ties[:-1])))
-    edges = np.append(start, len(docs))
-    own = [pairs[2 * a : 2 * b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-    return pa.RecordBatch.from_arrays([pa.array(docs[start]), pa.array(ties[start]), pa.array(own, pa.binary())], ["doc_id", "tie", "ranges"])
 
-
-def _drained(passed: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    while passed:
-        yield passed.pop()
+def _drained(passed: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+    if passed:
+        yield from _by_group(*(np.concatenate(c) for c in zip(*passed, strict=True)), buckets)
+        passed.clear()
 
 
 def _dealt(packed: DataFrame) -> DataFrame:
@@ -165,9 +200,9 @@ def _dealt(packed: DataFrame) -> DataFrame:
 def repeated_words(docs: DataFrame, window: int = 13, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with ``with_text``, kept (the words left, joined by single spaces)."""
     buckets = partitions(docs.sparkSession)
-    known_ids = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie")
-    )
+    # No cast where none is needed: an alias would keep Spark from using one shuffle of the texts twice.
+    own_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    known_ids = docs.where(F.col("doc_id").isNotNull()).select(own_id, "text", F.xxhash64("text").alias("tie"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
@@ -188,22 +223,23 @@ def repeated_words(docs: DataFrame, window: int = 13, with_text: bool = True) ->
             yield from _settled(doc, tie, found.at[mine], several & ~one)
 
     def surviving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed: list[pa.RecordBatch] = []
+        passed: list[tuple] = []
         for x in _by_bucket(batches, passed):
-            yield from _drained(passed)
+            yield from _drained(passed, buckets)
             order, several = _in_several(x["hashes"], x["docs"])
             known = x["known"][order]
             key = x["hashes"][order]
             start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
             any_known = np.repeat(np.maximum.reduceat(known, start) > 0, np.diff(np.append(start, len(key)))) if len(key) else several
             kept = order[several | any_known]
-            yield from _by_doc(x["docs"][kept], x["ties"][kept], x["places"][kept])
-        yield from _drained(passed)
+            yield from _by_group(x["docs"][kept], x["ties"][kept], _single(x["places"][kept]), buckets)
+        yield from _drained(passed, buckets)
 
     spread = F.when(F.col("settled"), F.pmod(F.xxhash64("docs"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
     packed = known_ids.select("doc_id", "text", "tie").mapInArrow(runs, PACKED)
     settled = packed.withColumn("settled", F.col("known") == F.lit(SETTLED))
-    survivors = _dealt(settled.withColumn("bucket", spread).drop("settled")).mapInArrow(surviving, _RANGES)
+    survivors = _dealt(settled.withColumn("bucket", spread).drop("settled")).mapInArrow(surviving, _GROUPED)
+    survivors = _dealt(survivors).mapInArrow(_merged, _RANGES)
 
     same = known_ids.select("doc_id", "tie", F.md5("text").alias("digest"))
     first = same.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last"))
@@ -241,21 +277,22 @@ def repeated_words(docs: DataFrame, window: int = 13, with_text: bool = True) ->
             yield from _settled(doc, tie, at, ~mine)
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed: list[pa.RecordBatch] = []
+        passed: list[tuple] = []
         for x in _by_bucket(batches, passed):
-            yield from _drained(passed)
+            yield from _drained(passed, buckets)
             one, two, doc = x["hashes"], x["more"], x["docs"]
             order = np.lexsort((doc, two, one))
             one, two, doc = one[order], two[order], doc[order]
             start = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))) if len(one) else np.zeros(0, np.int64)
             least = np.repeat(doc[start], np.diff(np.append(start, len(one)))) if len(one) else doc
             gone = order[doc > least]
-            yield from _by_doc(x["docs"][gone], x["ties"][gone], x["places"][gone])
-        yield from _drained(passed)
+            yield from _by_group(x["docs"][gone], x["ties"][gone], _single(x["places"][gone]), buckets)
+        yield from _drained(passed, buckets)
 
     searched = known_ids.join(marked, "doc_id").select("doc_id", "text", "tie", "found")
     second = searched.mapInArrow(windows, PACKED).withColumn("settled", F.col("known") == F.lit(SETTLED))
-    gone = _dealt(second.withColumn("bucket", spread).drop("settled")).mapInArrow(later, _RANGES)
+    gone = _dealt(second.withColumn("bucket", spread).drop("settled")).mapInArrow(later, _GROUPED)
+    gone = _dealt(gone).mapInArrow(_merged, _RANGES)
     removed = gone.unionByName(copies).groupBy("doc_id").agg(
         F.collect_list(F.struct("tie", F.coalesce("ranges", F.lit(b"copy")).alias("ranges"))).alias("gone")
     )
