@@ -30,10 +30,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortsift.llm.shared import stored
+from cohortsift.llm.shingles import parts
 from cohortsift.llm.tokens import default_vocabulary, encoder
 
-#: Texts encoded at once.
-BATCH = 1024
 #: Parts in which the pieces of one length are ranked.
 SALTS = 1024
 
@@ -50,21 +49,19 @@ def pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
-        for batch in batches:
-            for a in range(0, batch.num_rows, BATCH):
-                part = batch.slice(a, BATCH)
-                rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    edges = [0, *range(n % size or min(size, n), n + 1, size)]
-                    for k, (b, e) in enumerate(zip(edges, edges[1:], strict=False)):
-                        own = ids[4 * b : 4 * e]
-                        rows.append((doc_id, k, b, e - b, zlib.crc32(own), *([own] if with_ids else [])))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
-                columns = list(zip(*rows, strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
+        for part in parts(batches):
+            rows = []
+            for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                ids += end
+                n = len(ids) // 4
+                edges = [0, *range(n % size or min(size, n), n + 1, size)]
+                for k, (b, e) in enumerate(zip(edges, edges[1:], strict=False)):
+                    own = ids[4 * b : 4 * e]
+                    rows.append((doc_id, k, b, e - b, zlib.crc32(own), *([own] if with_ids else [])))
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 
