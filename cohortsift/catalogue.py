@@ -445,6 +445,56 @@ def join_dealt_anti(spark: SparkSession, folder: str) -> DataFrame:
     return _dealt_pairs(spark, folder, "left_anti").select("k", "o_orderkey")
 
 
+def _dealt_whole(spark: SparkSession, folder: str, how: str) -> DataFrame:
+    """All orders and all events. Heavy keys: -1 (urgent orders, few events), -2 (purchases, few orders) and NULL; others are unique."""
+    orders = _table(spark, folder, "orders").select(
+        F.when(F.col("o_orderpriority") == "1-URGENT", -1).when(F.col("o_orderkey") < 3, -2)
+        .when(F.col("o_orderstatus") != "P", F.col("o_orderkey")).alias("k"), "o_orderkey"
+    )
+    events = _table(spark, folder, "events").select(
+        F.when(F.col("event_type") == "purchase", -2).when(F.col("event_id") < 3, -1)
+        .when(F.col("event_type") != "error", F.col("event_id")).alias("key"), "event_id"
+    )
+    return join(orders.alias("a"), events.alias("b"), "a.k", "b.key", how, light_rows=50, may_broadcast=False)
+
+
+_WHOLE = (
+    "(select case when o_orderpriority='1-URGENT' then -1 when o_orderkey<3 then -2 when o_orderstatus<>'P' then o_orderkey end k,"
+    "o_orderkey from orders) a {} join (select case when event_type='purchase' then -2 when event_id<3 then -1 "
+    "when event_type<>'error' then event_id end as key,event_id from events) b on a.k=b.key"
+)
+
+
+@query("select k,key,o_orderkey,event_id from " + _WHOLE.format("inner"))
+def join_dealt_whole_inner(spark: SparkSession, folder: str) -> DataFrame:
+    return _dealt_whole(spark, folder, "inner")
+
+
+@query("select k,key,o_orderkey,event_id from " + _WHOLE.format("left"))
+def join_dealt_whole_left(spark: SparkSession, folder: str) -> DataFrame:
+    return _dealt_whole(spark, folder, "left")
+
+
+@query("select k,key,o_orderkey,event_id from " + _WHOLE.format("right"))
+def join_dealt_whole_right(spark: SparkSession, folder: str) -> DataFrame:
+    return _dealt_whole(spark, folder, "right")
+
+
+@query("select k,key,o_orderkey,event_id from " + _WHOLE.format("full"))
+def join_dealt_whole_full(spark: SparkSession, folder: str) -> DataFrame:
+    return _dealt_whole(spark, folder, "full")
+
+
+@query("select k,o_orderkey from " + _WHOLE.format("semi"))
+def join_dealt_whole_semi(spark: SparkSession, folder: str) -> DataFrame:
+    return _dealt_whole(spark, folder, "left_semi")
+
+
+@query("select k,o_orderkey from " + _WHOLE.format("anti"))
+def join_dealt_whole_anti(spark: SparkSession, folder: str) -> DataFrame:
+    return _dealt_whole(spark, folder, "left_anti")
+
+
 def _dealt_sums(pairs: DataFrame, key: str = "k") -> DataFrame:
     total = F.coalesce("o_orderkey", F.lit(0)) + F.coalesce("event_id", F.lit(0))
     sums = pairs.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"), F.sum(total).cast("decimal(38,0)").alias("s"))

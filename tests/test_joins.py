@@ -140,3 +140,14 @@ def test_interval_keys_join_without_broadcast(spark, how):
     days = spark.range(40).select(F.expr("make_dt_interval(id % 4)").alias("k"), "id")
     rows = join(days.alias("l"), days.alias("r"), "l.k", "r.k", how, light_rows=1, may_broadcast=False)
     assert rows.count() == 400
+
+
+def test_whole_tables_reach_the_dealt_join(spark, capsys):
+    from cohortsift.catalogue import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    rows = QUERIES["join_dealt_whole_full"](spark, folder)
+    rows.explain()
+    assert "__left_cell" in capsys.readouterr().out
+    found = rows.agg(F.count_distinct("o_orderkey"), F.count_distinct("event_id")).first()
+    assert tuple(found) == tuple(spark.read.parquet(f"{folder}/{t}.parquet").count() for t in ("orders", "events"))
