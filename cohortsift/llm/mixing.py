@@ -1,12 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Target weights become whole parts of ``slots``. Block k of a source with p parts is released
+Target weights become whole parts of a round of slots, the largest remainders rounded up; no
+part is given for free. The round has ``slots`` slots if that puts no source more than one
+``COARSE``-th off its weight. Otherwise it grows with the least weight, until the least source
+has ``FINE`` parts or the whole mix is one round, so each source keeps its own weight, however
+many there are and however small. Block k of a source with p parts is released
 at slot floor(k slots / p) and due at ceil((k + 1) slots / p); one block is placed in each
 slot, of those released the one due first. Every block then keeps its window, so that at
 any slot each source has been served its share of the slots so far, give or take less
 than one block. The schedule repeats after ``slots`` slots, in which each source is served its
 parts: one such round is computed, as a fold over the slots, and block k of any source
-finds its slot by k // p and k % p. No step is serial in the documents.
+finds its slot by k // p and k % p. A grown round is at most as long as the mix.
 
 Documents of a source come in the order of a hash, ranked within salts; each salt starts at the
 sum of those before it. The mix ends when each source has been served whole once; a source
@@ -14,8 +18,7 @@ that has fewer documents than its weight asks for begins again meanwhile (``epoc
 no document is dropped and the weights hold to the end.
 
 Defined results: a NULL source is a source of its own; rows with equal hashes come by id, then
-text, and repeated rows are placed one by one; an empty table gives no rows. Beyond
-``slots // 2`` sources the smallest are served as one, in the order of their hashes.
+text, and repeated rows are placed one by one; an empty table gives no rows. A given weight must be positive.
 """
 
 from __future__ import annotations
@@ -25,35 +28,51 @@ from pyspark.sql import functions as F
 
 #: Hexadecimal digits of the hash that name a salt.
 SALT_DIGITS = 3
+#: A round is kept if each part is within one COARSE-th of its weight; a grown one has FINE parts for the least weight.
+COARSE, FINE = 8, 50
+#: Slots whose picks are gathered in one array before they are put together.
+STRETCH = 1000
 
 
 def _order_key() -> Column:
     return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
 
-def source_parts(counts: DataFrame, slots: int, exponent: float, weights: dict[str | None, float] | None) -> DataFrame:
-    """pool, n and parts (summing to ``slots``) of each source; ``counts`` has pool and n, and source where it is one.
+def _rounded(quotas: DataFrame, slots: Column) -> DataFrame:
+    """``parts``, summing to ``slots``: each share of them rounded down, or up for the largest remainders."""
+    all_rows = Window.partitionBy()  # a row for each source
+    quota = F.col("share") * slots
+    floors = quotas.withColumn("least", F.floor(quota).cast("long")).withColumn("rest", quota - F.floor(quota))
+    left = slots - F.sum("least").over(all_rows)
+    by_rest = Window.partitionBy().orderBy(F.col("rest").desc(), "pool")
+    return floors.withColumn("parts", F.col("least") + (F.row_number().over(by_rest) <= left).cast("long"))
+
+
+def source_parts(counts: DataFrame, slots: int, exponent: float, weights: dict[str | None, float] | None, block: int = 1) -> DataFrame:
+    """pool, n, parts of each source and the ``slots`` they sum to; ``counts`` has pool, source and n.
 
     A weight is the one given, else (n / rows) ** exponent.
     """
     weight = F.pow(F.col("n").cast("double"), F.lit(exponent))
     for source, given in (weights or {}).items():
+        if not given > 0:
+            raise ValueError(f"the weight of {source!r} is not positive: {given!r}")
         weight = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(float(given))).otherwise(weight)
-    all_rows = Window.partitionBy()  # a row for each source, slots // 2 at most
-    share = F.col("weight") / F.sum("weight").over(all_rows)
-    quota = (F.lit(slots) - F.count("*").over(all_rows)) * share
-    quotas = counts.withColumn("weight", weight).withColumn("quota", quota)
-    floors = quotas.withColumn("least", (F.floor("quota") + 1).cast("long")).withColumn("rest", F.col("quota") - F.floor("quota"))
-    left = F.lit(slots) - F.sum("least").over(all_rows)
-    by_rest = Window.partitionBy().orderBy(F.col("rest").desc(), "pool")
-    extra = (F.row_number().over(by_rest) <= left).cast("long")
-    return floors.select("pool", "n", (F.col("least") + extra).alias("parts"))
+    all_rows = Window.partitionBy()  # a row for each source
+    shares = counts.withColumn("weight", weight).withColumn("share", F.col("weight") / F.sum("weight").over(all_rows))
+    kept = _rounded(shares, F.lit(slots).cast("long"))
+    off = F.max(F.abs(F.col("parts") / (F.col("share") * slots) - 1)).over(all_rows)
+    whole = F.max(F.ceil(F.ceil(F.col("n") / block) / F.col("share"))).over(all_rows)  # slots of the mix
+    grown = F.least(F.ceil(F.lit(FINE) / F.min("share").over(all_rows)), whole)
+    sized = kept.select("pool", "n", "share", F.when(off * COARSE > 1, F.greatest(F.lit(slots), grown)).otherwise(slots).cast("long").alias("slots"))
+    return _rounded(sized, F.col("slots")).select("pool", "n", "parts", "slots")
 
 
-def schedule(parts: DataFrame, slots: int) -> DataFrame:
+def schedule(parts: DataFrame) -> DataFrame:
     """pool, turn (0 .. parts - 1) and slot of each block of one round, earliest deadline first."""
-    one = parts.agg(F.sort_array(F.collect_list(F.struct("pool", "parts"))).alias("all"))
-    one = one.select(F.col("all.pool").alias("pools"), F.col("all.parts").alias("parts"))
+    one = parts.agg(F.sort_array(F.collect_list(F.struct("pool", "parts"))).alias("all"), F.max("slots").alias("slots"))
+    one = one.select(F.col("all.pool").alias("pools"), F.col("all.parts").alias("parts"), "slots")
+    slots = F.col("slots")
 
     def let(value: Column, then) -> Column:  # evaluates the value once
         return F.transform(F.array(value), then)[0]
@@ -73,10 +92,19 @@ def schedule(parts: DataFrame, slots: int) -> DataFrame:
             ),
         )
 
+    def stretch(done: Column, first: Column) -> Column:
+        own = F.struct(done["served"].alias("served"), F.array().cast("array<int>").alias("picks"))
+        last = F.least(first + STRETCH, slots) - 1
+        return let(
+            F.aggregate(F.sequence(first, last), own, place),
+            lambda after: F.struct(after["served"].alias("served"), F.concat(done["picks"], F.array(after["picks"])).alias("picks")),
+        )
+
     nothing = F.struct(
-        F.transform("parts", lambda p: F.lit(0).cast("long")).alias("served"), F.array().cast("array<int>").alias("picks")
+        F.transform("parts", lambda p: F.lit(0).cast("long")).alias("served"), F.array().cast("array<array<int>>").alias("picks")
     )
-    folded = one.where(F.size("parts") > 0).select("pools", F.aggregate(F.sequence(F.lit(0), F.lit(slots - 1)), nothing, place)["picks"].alias("picks"))
+    firsts = F.sequence(F.lit(0).cast("long"), slots - 1, F.lit(STRETCH).cast("long"))
+    folded = one.where(F.size("parts") > 0).select("pools", F.flatten(F.aggregate(firsts, nothing, stretch)["picks"]).alias("picks"))
     placed = folded.select("pools", F.posexplode("picks").alias("slot", "pick")).select(F.col("pools")[F.col("pick")].alias("pool"), "slot")
     turn = F.row_number().over(Window.partitionBy("pool").orderBy("slot")) - 1
     return placed.select("pool", turn.cast("long").alias("turn"), F.col("slot").cast("long").alias("slot"))
@@ -88,26 +116,24 @@ def mix(
     """The rows of ``docs`` with ``__mix``, a struct of epoch, block (of the source), slot and position (in the mix).
 
     ``weights`` gives the target weight of a source; of others it is their count to the power
-    of ``exponent``. ``block`` is the documents in a block.
+    of ``exponent``. ``slots`` is the least length of a round, ``block`` the documents in a block.
     """
     keyed = docs.select("*", _order_key().alias("__key")).withColumn("__salt", F.substring("__key", 1, SALT_DIGITS))
     salts = keyed.groupBy(F.col("source").alias("source"), "__salt").agg(F.count("*").alias("rows"))
     by_size = Window.partitionBy().orderBy(F.col("n").desc(), F.col("source").asc_nulls_first())
     sources = salts.groupBy("source").agg(F.sum("rows").alias("n"))
-    sources = sources.withColumn("pool", F.least(F.row_number().over(by_size), F.lit(slots // 2)).cast("long"))
-    named = F.when(F.count("*") == 1, F.max("source"))
-    pools = sources.groupBy("pool").agg(F.sum("n").alias("n"), named.alias("source"))
-    parts = source_parts(pools, slots, exponent, weights)
-    table = schedule(parts, slots)
-    served = _served(parts, table, slots, block)
-    in_pool = Window.partitionBy("pool").orderBy("__salt", F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sources = sources.withColumn("pool", F.row_number().over(by_size).cast("long"))
+    parts = source_parts(sources, slots, exponent, weights, block)
+    table = schedule(parts)
+    served = _served(parts, table, block)
+    in_pool = Window.partitionBy("pool").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     based = (
         salts.join(sources.select(F.col("source").alias("s"), "pool"), F.col("source").eqNullSafe(F.col("s")))
         .withColumn("base", F.coalesce(F.sum("rows").over(in_pool), F.lit(0)))
-        .join(F.broadcast(served), "pool")  # a row for each pool, slots // 2 at most
+        .join(F.broadcast(served), "pool")  # a row for each source
         .select(
             F.col("source").alias("__source"), F.col("__salt").alias("__own"),
-            *(F.col(c).alias(f"__{c}") for c in ("base", "n", "pool", "parts", "documents")),
+            *(F.col(c).alias(f"__{c}") for c in ("base", "n", "pool", "parts", "slots", "documents")),
         )
     )
     within = Window.partitionBy("source", "__salt").orderBy("__key", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
@@ -119,25 +145,25 @@ def mix(
     index = place + F.col("__epoch") * F.col("__n")
     blocks = each.withColumn("__block", F.floor(index / block)).withColumn("__in", index % block)
     blocks = blocks.withColumn("__turn", F.col("__block") % F.col("__parts")).withColumn("__round", F.floor(F.col("__block") / F.col("__parts")))
-    turns = F.broadcast(table.select(F.col("pool").alias("__its_pool"), F.col("turn").alias("__its_turn"), F.col("slot").alias("__first")))  # ``slots`` rows
+    turns = F.broadcast(table.select(F.col("pool").alias("__its_pool"), F.col("turn").alias("__its_turn"), F.col("slot").alias("__first")))  # a row for each slot of a round
     found = blocks.join(turns, (F.col("__pool") == F.col("__its_pool")) & (F.col("__turn") == F.col("__its_turn")))
-    slot = F.col("__round") * slots + F.col("__first")
+    slot = F.col("__round") * F.col("__slots") + F.col("__first")
     decided = F.struct(
         F.col("__epoch").alias("epoch"), F.col("__block").alias("block"), slot.alias("slot"), (slot * block + F.col("__in")).alias("position")
     )
     return found.select(*(F.col(f"`{c}`") for c in docs.columns), decided.alias("__mix"))
 
 
-def _served(parts: DataFrame, table: DataFrame, slots: int, block: int) -> DataFrame:
-    """pool, n, parts, and the documents of each pool that the whole mix places, repeats included."""
+def _served(parts: DataFrame, table: DataFrame, block: int) -> DataFrame:
+    """pool, n, parts, slots, and the documents of each source that the whole mix places, repeats included."""
     last = parts.withColumn("last", F.floor((F.col("n") - 1) / block))
     ends = last.join(table, "pool").where(F.col("turn") == F.col("last") % F.col("parts"))
-    slot = F.floor(F.col("last") / F.col("parts")) * slots + F.col("slot")
-    end = F.max(slot + 1).over(Window.partitionBy())  # a row for each pool
-    ended = ends.select("pool", "n", "parts", end.alias("end"))
-    begun = ended.join(table, "pool").groupBy("pool", "n", "parts", "end").agg(F.count_if(F.col("slot") < F.col("end") % slots).alias("begun"))
-    blocks = F.floor(F.col("end") / slots) * F.col("parts") + F.col("begun")
-    return begun.select("pool", "n", "parts", (blocks * block).alias("documents"))
+    slot = F.floor(F.col("last") / F.col("parts")) * F.col("slots") + F.col("slot")
+    end = F.max(slot + 1).over(Window.partitionBy())  # a row for each source
+    ended = ends.select("pool", "n", "parts", "slots", end.alias("end"))
+    begun = ended.join(table, "pool").groupBy("pool", "n", "parts", "slots", "end").agg(F.count_if(F.col("slot") < F.col("end") % F.col("slots")).alias("begun"))
+    blocks = F.floor(F.col("end") / F.col("slots")) * F.col("parts") + F.col("begun")
+    return begun.select("pool", "n", "parts", "slots", (blocks * block).alias("documents"))
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

@@ -156,3 +156,29 @@ def test_mix_of_odd_rows(spark):
     assert mixing.mix(messy.documents(spark, [])).collect() == []
     crowd = messy.documents(spark, [(k, "x", "en", f"s{k}") for k in range(40)])
     assert mixing.mix(crowd, slots=20, block=1).select("doc_id").distinct().count() == 40  # more sources than the slots hold
+
+
+def off_target(rows, share):
+    """By how many blocks any source is off its weight at most, after any slot."""
+    served, most = dict.fromkeys(share, 0), 0
+    for slot, r in enumerate(sorted(rows, key=lambda r: r["slot"])):
+        assert r["slot"] == slot
+        served[r["source"]] += 1
+        most = max(most, *(abs(served[s] - (slot + 1) * w) for s, w in share.items()))
+    return most
+
+
+@pytest.mark.parametrize("sizes", [
+    {f"s{k}": 1 + k % 2 for k in range(599)} | {None: 2},
+    {"hot": 3000, "warm": 300, "one": 1},
+], ids=["600 sources", "one document beside a hot source"])
+def test_every_source_keeps_its_own_weight(spark, sizes):
+    docs = spark.createDataFrame([(k, f"t{k}", s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, {None: 40.0} if None in sizes else None, 0.8, 100, 1).select("source", "__mix.slot").collect()
+    weight = {s: 40.0 if s is None else n**0.8 for s, n in sizes.items()}
+    assert off_target(rows, {s: w / sum(weight.values()) for s, w in weight.items()}) < 2
+
+
+def test_weights_must_be_positive(spark):
+    with pytest.raises(ValueError, match="not positive"):
+        mixing.mix(messy.documents(spark), {"a": 0.0})
