@@ -5,7 +5,8 @@ transducers rewrites the text and keeps for every piece where it came from: look
 characters become ASCII and invisible ones vanish, spelled digits become digits, and
 ``(at)``, `` at ``, ``(dot)``, `` dot `` and ``plus`` become signs. Identifiers found in
 the rewritten text are mapped back to the characters they came from. Such a span is
-added if it uses a rewritten piece and meets no span of its kind that is there already.
+added if it uses a rewritten piece and reaches beyond the spans of its kind that it meets;
+those that are plain stay beside it.
 
 Spans are (kind, start, end) in code points, the end exclusive, ordered by start, then
 by the order of ``KINDS``. Defined results: NULL and empty texts have no span; repeated
@@ -18,8 +19,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -212,22 +213,34 @@ def rewritten(text: str) -> Rewritten:
     return plain.rewrite(_PLUS, lambda m: "+") if "plus " in lower else plain
 
 
+def _union(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the spans cover, in order and apart."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """The base spans, and with them those found behind disguises."""
     base = base_spans(text)
     plain = rewritten(text)
     if plain.text is text:
         return base, base
-    taken = {kind: sorted((a, b) for k, a, b in base if k == kind) for kind in KINDS}
+    taken = {kind: _union((a, b) for k, a, b in base if k == kind) for kind in KINDS}
     more: list[Span] = []
+    reached = dict.fromkeys(KINDS, 0)  # the end of those added
     for kind, a, b in base_spans(plain.text):
         start, end, new = plain.source(a, b)
         own = taken[kind]
-        k = bisect_left(own, (start, start))
-        meets = (k < len(own) and own[k][0] < end) or (k > 0 and own[k - 1][1] > start)
-        if new and not meets:
+        k = bisect_right(own, start, key=lambda s: s[0])
+        inside = k > 0 and own[k - 1][1] >= end
+        if new and not inside and end > reached[kind]:
             more.append((kind, start, end))
-            own.insert(k, (start, end))
+            reached[kind] = end
     return base, _ordered(base + more)
 
 

@@ -68,6 +68,24 @@ def test_disguises_map_back_to_the_source(text, kind, source):
     assert pii.redact(text) == text.replace(source, f"<{kind.upper()}>")
 
 
+@pytest.mark.parametrize(
+    ("kind", "source", "plain"),
+    [
+        ("email", "p\u0430ul.smith@example.com", "ul.smith@example.com"),
+        ("email", "john@example.c\u043em", "john@example.c"),
+        ("email", "jo\u200bhn@example.com", "hn@example.com"),
+        ("email", "ann@mail.example.com (dot) au", "ann@mail.example.com"),
+        ("phone", "+49 171 123456\uff17", "+49 171 123456"),
+    ],
+)
+def test_a_plain_remainder_does_not_hide_the_disguised_whole(kind, source, plain):
+    text = f"so {source}, said bob@example.org"
+    base, every = pii.all_spans(text)
+    assert [text[a:b] for _, a, b in base] == [plain, "bob@example.org"]
+    assert [(k, text[a:b]) for k, a, b in every if (k, a, b) not in base] == [(kind, source)] and set(base) <= set(every)
+    assert pii.redact(text) == f"so <{kind.upper()}>, said <EMAIL>"
+
+
 @pytest.mark.parametrize("text", ["look at the dot", "meet me at noon. dot the i", "one two three", "un un un", "at 5 dot", "", "Arbeit (at) home"])
 def test_ordinary_text_is_left_alone(text):
     assert pii.all_spans(text) == ([], []) and pii.redact(text) == text
