@@ -119,6 +119,8 @@ _ALIKE_RUN = re.compile("[" + re.escape("".join(_ALIKE) + _INVISIBLE) + "]")
 _WORD = "|".join(sorted(_WORDS, key=len, reverse=True))
 #: Words for digits that follow each other are one number.
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:{_WORD})(?:[ -](?:{_WORD}))*(?!\w)")
+_RUN = re.compile(r"\w+")
+_FOLDED = str.maketrans("ſİı", "sii")
 _AT = re.compile(
     r"(?i)[ ]?[\[({<][ ]?at[ ]?[\])}>][ ]?"
     r"|(?<=[a-z0-9])[ ]at[ ](?=[a-z0-9-]+(?:[ ]dot[ ]|[ ]?[\[({<][ ]?dot[ ]?[\])}>][ ]?|\.)[a-z]{2})"
@@ -194,10 +196,14 @@ def _may_look_alike(text: str) -> bool:
     return "\xa0" in text or "\xad" in text
 
 
+def _lower(text: str) -> str:
+    """In small letters, with those that ``(?i)`` takes for ASCII ones."""
+    return (text if text.isascii() else text.translate(_FOLDED)).lower()
+
+
 def _may_be_spelled(lower: str) -> bool:
-    """Whether a digit stands there as a word; the French or Spanish article alone is none."""
-    words = lower.replace("-", " ").split()
-    return not _WORDS.keys().isdisjoint(words) and bool(_WORDS.keys() & set(words) - {"un"})
+    """Whether a digit stands there as a word, between any characters that are not of words."""
+    return not _WORDS.keys().isdisjoint(_RUN.findall(lower))
 
 
 def rewritten(text: str) -> Rewritten:
@@ -205,9 +211,9 @@ def rewritten(text: str) -> Rewritten:
     plain = Rewritten(text)
     if _may_look_alike(text):
         plain = plain.rewrite(_ALIKE_RUN, lambda m: _ALIKE.get(m[0], ""))
-    lower = plain.text.lower()
+    lower = _lower(plain.text)
     if _may_be_spelled(lower):
-        plain = plain.rewrite(_SPELLED, lambda m: "".join(str(_WORDS[w]) for w in re.split("[ -]", m[0].lower())))
+        plain = plain.rewrite(_SPELLED, lambda m: "".join(str(_WORDS[w]) for w in re.split("[ -]", _lower(m[0]))))
     if " dot " in lower or " at " in lower and "." in lower and _AT.search(plain.text) or any(b in lower for b in "[({<") and _BRACKETED.search(lower):
         plain = plain.rewrite(_AT, lambda m: "@").rewrite(_DOT, lambda m: ".")
     return plain.rewrite(_PLUS, lambda m: "+") if "plus " in lower else plain

@@ -86,6 +86,19 @@ def test_a_plain_remainder_does_not_hide_the_disguised_whole(kind, source, plain
     assert pii.redact(text) == f"so <{kind.upper()}>, said <EMAIL>"
 
 
+@pytest.mark.parametrize(
+    ("kind", "text"),
+    [
+        ("ip", "127.zero.zero.one"), ("ip", "192.168.one.five"), ("ip", "(127.0.0.un)"), ("ip", "10.1.2.\u017fix"),
+        ("phone", "+49.one.seven.one.two.three.four.five.six"),
+    ],
+)
+def test_spelled_digits_touch_any_sign(kind, text):
+    alone = [(k, text[a:b]) for k, a, b in pii.all_spans(text)[1]]
+    beside = f"{text} and two"
+    assert (kind, text.strip("()")) in alone and alone == [(k, beside[a:b]) for k, a, b in pii.all_spans(beside)[1]]
+
+
 @pytest.mark.parametrize("text", ["look at the dot", "meet me at noon. dot the i", "one two three", "un un un", "at 5 dot", "", "Arbeit (at) home"])
 def test_ordinary_text_is_left_alone(text):
     assert pii.all_spans(text) == ([], []) and pii.redact(text) == text
