@@ -6,7 +6,10 @@ to three characters are hashed into ``DIMENSIONS`` places. Weights are
 all learning rows. Each language gets several centroids by spherical k-means over a
 bounded sample of its learning rows (``fit_rows``, chosen by a hash). A text gets the
 language of the centroid with the largest cosine. It is rejected if its cosine lies
-below the language's limit: ``tolerance`` times the lowest cosine of the language's sample.
+below the limit of its language and length: ``share`` of the low ``quantile`` of the cosines that
+all learning rows of that language and length (in powers of two) have with their own centroids.
+A length with fewer than ``LEAST_ROWS`` such rows counts those of all languages, then shorter ones too;
+texts shorter than all learning rows have ``tolerance`` of the quantile of the shortest.
 
 Defined results: NULL texts and texts without a letter get ``und``, score 0, and are
 rejected. Without a learning row every text gets ``und`` and score 0, and none with letters is
@@ -18,7 +21,7 @@ judged one by one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -32,6 +35,8 @@ BLOCK = 64
 #: Characters of a text whose n-grams are counted at once.
 STRIDE = 1 << 20
 UNKNOWN = "und"
+#: Lengths that are told apart, in powers of two of n-grams; bins of a cosine; rows for a quantile.
+LENGTHS, BINS, LEAST_ROWS = 32, 100, 40
 
 _LETTERS: list[np.ndarray] = []
 
@@ -81,10 +86,15 @@ def counts(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def _length(counted: np.ndarray) -> np.ndarray:
+    """The power of two of each row's n-grams."""
+    return np.minimum(np.log2(np.maximum(counted.sum(axis=1), 1)).astype(np.int64), LENGTHS - 1)
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     languages: list[str]  # of each centroid
-    limits: np.ndarray
+    limits: np.ndarray  # of each centroid and length
     centroids: np.ndarray
     idf: np.ndarray
 
@@ -106,7 +116,7 @@ class LanguageModel:
             best = cosines.argmax(axis=1)
             score = np.clip(cosines[np.arange(len(best)), best].astype(np.float64), 0, 1)
             names = np.where(some, np.array(self.languages, dtype=object)[best], UNKNOWN)
-            rejected = ~some | (score < self.limits[best])
+            rejected = ~some | (score < self.limits[best, _length(counted)])
             found.append(pd.DataFrame({"lang_pred": names, "score": np.where(some, score, 0.0), "rejected": rejected}))
         return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"lang_pred": [], "score": [], "rejected": []})
 
@@ -157,13 +167,54 @@ def _clusters(vectors: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return centroids
 
 
-def fit(learn: DataFrame, fit_rows: int = 256, per_language: int = 3, tolerance: float = 0.25) -> LanguageModel:
+def _cosines(learn: DataFrame, model: LanguageModel) -> dict[str, np.ndarray]:
+    """Of each language, how many of all its rows there are of each length and bin of the cosine with its own centroids."""
+    own_centroids = {lang: np.array([name == lang for name in model.languages]) for lang in set(model.languages)}
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = (np.array(batch.column(i).to_pylist(), dtype=object) for i in range(2))
+            for lang in sorted(set(names) & own_centroids.keys()):
+                own, centroids = texts[names == lang].tolist(), model.centroids[own_centroids[lang]]
+                for a in range(0, len(own), BLOCK):
+                    counted = counts(own[a : a + BLOCK])
+                    counted = counted[counted.any(axis=1)]
+                    cosine = (model.vectors(counted) @ centroids.T).max(axis=1)
+                    bins = np.clip((cosine * BINS).astype(np.int64), 0, BINS - 1)
+                    cell, n = np.unique(_length(counted) * BINS + bins, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cell), pa.string()), pa.array(cell), pa.array(n)], ["lang", "cell", "n"])
+
+    binned_rows = learn.select("lang", "text").mapInArrow(binned, "lang string, cell long, n long")
+    found = {lang: np.zeros((LENGTHS, BINS), np.int64) for lang in own_centroids}
+    for r in binned_rows.groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect():  # LENGTHS * BINS for each language at most
+        found[r.lang].reshape(-1)[r.cell] = r.n
+    return found
+
+
+def _limits(own: np.ndarray, every: np.ndarray, quantile: float, share: float, tolerance: float) -> np.ndarray:
+    """The limit of each length."""
+
+    def low(rows: np.ndarray) -> float:
+        return (int((np.cumsum(rows) > quantile * rows.sum()).argmax())) / BINS
+
+    out, shortest = np.zeros(LENGTHS), np.flatnonzero(own.any(axis=1))[0]
+    for length in range(LENGTHS):
+        if length < shortest:
+            out[length] = tolerance * low(own[shortest])
+            continue
+        wider = [rows[a : length + 1].sum(axis=0) for a in range(length, -1, -1) for rows in (own, every)]
+        enough = next((rows for rows in wider if rows.sum() >= LEAST_ROWS), wider[-1])
+        out[length] = share * low(enough)
+    return out
+
+
+def fit(learn: DataFrame, fit_rows: int = 256, per_language: int = 3, tolerance: float = 0.25, quantile: float = 0.05, share: float = 0.5) -> LanguageModel:
     """The model of the rows of ``learn`` (``text``, ``lang``) that have a language."""
     learn = learn.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     idf = _idf(learn)
     sizes = learn.groupBy("lang").agg(F.count("*").alias("__rows"))
-    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = learn.join(F.broadcast(sizes), "lang").where(share * F.col("__rows") < fit_rows)  # a row for each language
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = learn.join(F.broadcast(sizes), "lang").where(draw * F.col("__rows") < fit_rows)  # a row for each language
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +234,7 @@ def fit(learn: DataFrame, fit_rows: int = 256, per_language: int = 3, tolerance:
     for lang, places, times in sorted(map(tuple, rows)):
         if len(places):
             by.setdefault(lang, []).append((places, times))
-    languages, limits, centroids = [], [], []
+    languages, centroids = [], []
     shape = LanguageModel([], np.zeros(0), np.zeros((0, DIMENSIONS)), idf)
     for lang, own in by.items():
         counted = np.zeros((len(own), DIMENSIONS), np.int64)
@@ -191,8 +242,11 @@ def fit(learn: DataFrame, fit_rows: int = 256, per_language: int = 3, tolerance:
             row[np.frombuffer(places, "<u2")] = np.frombuffer(times, "<u4")
         vectors = shape.vectors(counted)
         found = _clusters(vectors, per_language)
-        limit = tolerance * float((vectors @ found.T).max(axis=1).min())
         languages += [lang] * len(found)
-        limits += [limit] * len(found)
         centroids += list(found)
-    return LanguageModel(languages, np.array(limits), np.array(centroids, np.float32).reshape(-1, DIMENSIONS), idf)
+    model = LanguageModel(languages, np.zeros((len(languages), LENGTHS)), np.array(centroids, np.float32).reshape(-1, DIMENSIONS), idf)
+    if not languages:
+        return model
+    by_length = _cosines(learn, model)
+    limits = {lang: _limits(by_length[lang], sum(by_length.values()), quantile, share, tolerance) for lang in by_length}
+    return replace(model, limits=np.array([limits[lang] for lang in languages]))

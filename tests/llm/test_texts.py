@@ -136,6 +136,23 @@ def test_language_of_odd_rows(spark):
     assert [tuple(r[0]) for r in docs.where("doc_id in (1, 8)").select(nobody.column()).collect()] == [("und", 0.0, False), ("und", 0.0, True)]
 
 
+def test_unlearned_texts_are_rejected(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.fit(docs)
+    draw = random.Random(3)
+    unlearned = [
+        "To jest zdanie po polsku, które opowiada o codziennym życiu w naszych miastach i wsiach oraz o ludziach. " * 3,
+        "Tämä on suomenkielinen lause, joka kertoo jokapäiväisestä elämästä kaupungeissamme ja kylissämme. " * 3,
+        *("".join(draw.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(n)) for n in (300, 600, 2000)),
+    ]
+    assert model.judge(unlearned)["rejected"].all()
+    junk = [(10_000 + k, t, lang) for k, (t, lang) in enumerate((t, lang) for t in ("A.", "De.", "xqzw kjv") for lang in ("de", "en", "es", "fr"))]
+    spoiled = language.fit(docs.select("doc_id", "text", "lang").union(spark.createDataFrame(junk, "doc_id long, text string, lang string")))
+    assert spoiled.judge(unlearned)["rejected"].all()  # some junk rows do not set the limits
+    clean = [r["text"] for r in docs.collect() if len(r["text"] or "") > 100]
+    assert model.judge(clean)["rejected"].mean() < 0.003
+
+
 def test_ngrams_match_a_plain_count():
     text = "Ab1c  ÀB"
     codes = [ord(c) for c in "ab c àb"]
