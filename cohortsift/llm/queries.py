@@ -1,18 +1,22 @@
-"""The ten operators as queries over the given tables, with production parameters."""
+"""The operators as queries over the given tables, with production parameters."""
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortsift.llm import exact_topk, language, mixing, multi_index, pii, toxicity
+from cohortsift.llm.fertility import MEASURES, judged
 from cohortsift.llm.near_copies import near_copies
 from cohortsift.llm.packing import packed
+from cohortsift.llm.periods import periodic_runs
 from cohortsift.llm.repeats import repeated_words
 from cohortsift.llm.shared import fold_of, table
 from cohortsift.llm.token_files import write_token_files
+from cohortsift.llm.variants import spelling_variants, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -195,3 +199,137 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(
         "doc_id", F.coalesce(fold == 1, F.lit(True)).alias("held_out"), model.column().alias("found")
     ).select("doc_id", "held_out", "found.*")
+
+
+#: A word, to Java and to DuckDB.
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _with_runs(doc_id: Column, text: Column) -> Column:
+    """The text, in one of ten documents made periodic from some word on, as the contract of op11 asks."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def periodic(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+        return F.when(n > 0, F.array_join(F.transform(place, lambda i: F.get(words, i.cast("int"))), " "))
+
+    altered = F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), periodic)[0]  # finds the words once
+    return F.when(h % 10 == 0, altered).otherwise(text)
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The periodic runs of at least 12 words of every document, one in ten made periodic first."""
+    docs = table(spark, folder, "documents").select("doc_id", _with_runs(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs(docs, least=12, with_text=False)
+    order = F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"]))
+    top = F.array_min(order)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), (-top["col1"]).alias("length"),
+        top["period"].alias("period"), F.floor(-1000 * top["col1"] / top["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.col("collapsed_sha256"),
+    )
+
+
+#: crc32 of a text of ASCII or Latin letters, by its definition, as DuckDB SQL.
+CRC32 = """
+  xor(list_reduce(list_prepend(cast(4294967295 as bigint), {bytes}), lambda c, b: list_reduce(
+    [xor(c, b), 0, 1, 2, 3, 4, 5, 6, 7], lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295)
+"""
+DIGITS = "list_transform(string_split(cast(doc_id as varchar), ''), lambda d: cast(ascii(d) as bigint))"
+
+ORACLES["op11_periodic_runs"] = rf"""
+with h as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') as ws, {CRC32.format(bytes=DIGITS)} as h from documents
+), g as (
+  select *, len(ws) as n, h // 10 as g, case when len(ws) > 0 then (h // 10) % len(ws) end as a from h
+), p as (
+  select *, 1 + (n - a) // (3 + g % 8) as p from g
+), d as (
+  select doc_id, n, case when h % 10 = 0 and n > 0 then
+    list_transform(generate_series(0, n - 1), lambda i: ws[1 + case when i < a then i else a + (i - a) % p end]) else ws end as ws from p
+), w as (
+  select doc_id, i - 1 as i, ws[i] as x, n from d, unnest(generate_series(1, n)) t(i)
+), same as (
+  select u.doc_id, v.i - u.i as q, u.i from w u join w v on u.doc_id = v.doc_id and u.x = v.x and u.i < v.i and 2 * (v.i - u.i) <= u.n
+), stretch as (
+  select doc_id, q, min(i) as s, max(i) + 1 + q as e from (
+    select *, i - row_number() over (partition by doc_id, q order by i) as part from same) group by doc_id, q, part
+  having count(*) + q >= greatest(12, 2 * q)
+), runs as (
+  select doc_id, s, e, min(q) as q, e - s as l from stretch group by doc_id, s, e
+), digest as (
+  select doc_id, count(*) as n_runs, sha256(string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q)) as runs_sha256,
+    arg_min(struct_pack(s := s, l := l, q := q), struct_pack(l := -l, s := s, q := q)) as top from runs group by doc_id
+), gone as (
+  select distinct doc_id, i from runs, unnest(generate_series(s + q, e - 1)) t(i)
+), kept as (
+  select w.doc_id, string_agg(x, ' ' order by w.i) as kept from w anti join gone on w.doc_id = gone.doc_id and w.i = gone.i group by w.doc_id
+)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, top.s as start, top.l as length, top.q as period,
+  1000 * top.l // top.q as exponent_milli, coalesce(runs_sha256, sha256('')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from d left join digest on d.doc_id = digest.doc_id left join kept on d.doc_id = kept.doc_id
+"""
+
+
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """word: the Latin words of every document, some with a letter less, as the contract of op12 asks."""
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    run = docs.select("doc_id", F.explode(F.regexp_extract_all(lower, F.lit(r"[a-zÀ-ÿ]+"), F.lit(0))).alias("run"))
+    hashed = run.select("run", F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))).alias("h"))
+    place = (F.col("h") % F.length("run")).cast("int")
+    less = F.concat(F.substr("run", F.lit(1), place), F.substr("run", place + 2, F.length("run")))
+    return hashed.select(F.when(F.col("h") % 199 == 0, less).otherwise(F.col("run")).alias("word"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of six letters and five occurrences with its near words, form and root."""
+    docs = table(spark, folder, "documents")
+    return spelling_variants(vocabulary(_occurrences(docs), least_length=6, least_count=5), ratio=5)
+
+
+LETTERS = """flatten(list_transform(string_split(doc_id || ':' || run, ''),
+  lambda d: case when unicode(d) < 128 then [cast(unicode(d) as bigint)] else [195, unicode(d) - 64] end))"""
+
+ORACLES["op12_spelling_variants"] = rf"""
+with recursive r as (
+  select coalesce(cast(doc_id as varchar), '') as doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) as run from documents
+), d as (
+  select doc_id, run, count(*) as n, {CRC32.format(bytes=LETTERS)} as h from r group by doc_id, run
+), o as (
+  select case when h % 199 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word, n from d
+), v as (
+  select word, cast(sum(n) as bigint) as n from o where length(word) >= 6 group by word having sum(n) >= 5
+), cut as (
+  select word, n, i, word[:i - 1] || word[i + 1:] as less from v, unnest(generate_series(1, length(word))) t(i)
+), pair as (
+  select a.word, b.word as near, b.n from cut a join cut b on a.less = b.less and a.i = b.i and a.word <> b.word
+  union select cut.word, v.word, v.n from cut join v on cut.less = v.word
+  union select v.word, cut.word, cut.n from cut join v on cut.less = v.word
+), best as (
+  select word, count(*) as n_near, arg_min(struct_pack(near := near, n := n), struct_pack(n := -n, near := near)) as best from pair group by word
+), f as (
+  select v.word, case when best.n >= 5 * v.n then best.near end as form, v.n, coalesce(n_near, 0) as n_near,
+    case when best.n >= 5 * v.n then best.n end as form_n from v left join best on v.word = best.word
+), chain(word, root) as (
+  select word, word from f union all select chain.word, f.form from chain join f on chain.root = f.word where f.form is not null
+), ends as (
+  select chain.word, chain.root from chain join f on chain.root = f.word where f.form is null
+)
+select f.word, form, root, n, n_near, form_n from f join ends on f.word = ends.word
+"""
+
+
+@query
+def op13_tokeniser_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    """The base counts of every document and whether its tokens lie within the bands of its script."""
+    found = judged(table(spark, folder, "documents"))
+    counts = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", "n_words", *counts, "base_failed", "kept", "outside", *MEASURES)

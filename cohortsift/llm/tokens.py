@@ -118,6 +118,10 @@ class Encoder:
             (late if len(w) <= LONGEST else once)[w] = ids
         return once
 
+    def after_space(self, words: list[str]) -> list[bytes]:
+        """The ids of each word after a space, not remembered; words hold no white space of ASCII."""
+        return self._spaced(words)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none for NULL."""
         out, whole, cut = [b""] * len(texts), [], []

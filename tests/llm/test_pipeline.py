@@ -14,7 +14,7 @@ TINY = "/root/testdata/sf0.001"
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert [name for name, _ in corpus_pipeline.STAGES] == [
