@@ -8,7 +8,8 @@ part that holds it, and the next pass divides that one. When the interval is one
 the last pass keeps the scores that reach it, at most k of a block and query, and the
 best k of these, ties to the smaller id, are the result.
 
-Defined results: see ``vectors.clean`` for rows that take no part. A shorter vector counts
+Defined results: see ``vectors.clean`` for rows that take no part. Rows that repeat an id are rows of their own:
+each is asked for, and only the very row that asks is left out. A shorter vector counts
 as ending in zeros. With fewer than k candidates all are returned. Scores beyond the range
 of a long are held at its ends.
 """
@@ -43,10 +44,10 @@ def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, query ids, scores, and which pairs count: all but a query's own."""
+    """ids, query ids, scores, and which pairs count."""
     ids, matrix = vectors.unpack(row)
     queries, asked = vectors.unpack(row, "q_")
-    return ids, queries, inner_products(matrix, asked), ids[:, None] != queries[None, :]
+    return ids, queries, inner_products(matrix, asked), vectors.others(row, ids, queries)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -56,26 +57,26 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+    held: dict[tuple[bytes, bytes], tuple[np.ndarray, ...]] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
-        for queries, lo, hi, counts in held.values():
+        for queries, own, lo, hi, counts in held.values():
             q, part = np.nonzero(counts)
             step = _step(lo, hi)[q]
             first = (lo[q].astype(np.uint64) + part.astype(np.uint64) * step).astype(np.int64)
             last = np.where(hi[q].astype(np.uint64) - first.astype(np.uint64) < step, hi[q], first + (step - np.uint64(1)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (queries[q], first, last, counts[q, part])], ["query_id", "lo", "hi", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (queries[q], own[q], first, last, counts[q, part])], ["query_id", "query_row", "lo", "hi", "n"])
         held.clear()
 
     for row in _rows(batches):
         _, queries, scores, counts = _scores(row)
-        key = row["q_ids"]
+        key = (row["q_ids"], row["q_row"])
         if key not in held:
             if len(held) >= HELD:
                 yield from out()
-            lo, hi = (np.frombuffer(row[c], "<i8") for c in ("q_lo", "q_hi"))
-            held[key] = (queries, lo, hi, np.zeros((len(queries), BINS), np.int64))
-        _, lo, hi, total = held[key]
+            own, lo, hi = (np.frombuffer(row[c], "<i8") for c in ("q_row", "q_lo", "q_hi"))
+            held[key] = (queries, own, lo, hi, np.zeros((len(queries), BINS), np.int64))
+        _, _, lo, hi, total = held[key]
         inside = counts & (scores >= lo) & (scores <= hi)
         q = np.nonzero(inside)[1]
         part = (scores[inside].astype(np.uint64) - lo[q].astype(np.uint64)) // _step(lo, hi)[q]
@@ -90,35 +91,37 @@ def _step(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def search(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each row whose id is divisible by ``every``."""
-    rows = stored(vectors.clean(table, id_column, vector_column), "vectors")
-    blocks = stored(vectors.pack(rows, whole=True), "vector-blocks")
+    rows = stored(vectors.clean(table, id_column, vector_column, k), "vectors")
+    blocks = stored(vectors.pack(rows, ("row",), whole=True), "vector-blocks")
     whole = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.pow(F.abs(256 * x) + 1, F.lit(2.0)))
     largest = rows.agg(F.max(whole)).first()[0] or 0.0  # no score is beyond the square of the longest vector
     bound = MOST if largest >= 2.0**62 else int(largest) + 1
     queries = rows.where(vectors.is_query(every))
-    state = queries.select("vec_id", F.lit(-bound).cast("long").alias("lo"), F.lit(bound).cast("long").alias("hi"), F.lit(0).cast("long").alias("above"))
+    state = queries.select("vec_id", "row", F.lit(-bound).cast("long").alias("lo"), F.lit(bound).cast("long").alias("hi"), F.lit(0).cast("long").alias("above"))
 
     def asked(state: DataFrame) -> DataFrame:
-        return vectors.query_blocks(queries.join(state, "vec_id"), ("lo", "hi"), whole=True)
+        return vectors.query_blocks(queries.join(state, ["vec_id", "row"]), ("row", "lo", "hi"), whole=True)
 
     width = 2 * bound + 1
-    down = Window.partitionBy("query_id").orderBy(F.col("hi").desc())
+    own = ["query_id", "query_row"]
+    down = Window.partitionBy(*own).orderBy(F.col("hi").desc())
     while width > 1:
-        parts = vectors.meet(blocks, asked(state)).mapInArrow(_counted, "query_id long, lo long, hi long, n long")
-        summed = parts.groupBy("query_id", "lo", "hi").agg(F.sum("n").alias("n"))
+        parts = vectors.meet(blocks, asked(state)).mapInArrow(_counted, "query_id long, query_row long, lo long, hi long, n long")
+        summed = parts.groupBy(*own, "lo", "hi").agg(F.sum("n").alias("n"))
         reached = summed.withColumn("reached", F.sum("n").over(down))
-        before = state.select(F.col("vec_id").alias("query_id"), "above", F.col("lo").alias("least"))
+        before = state.select(F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), "above", F.col("lo").alias("least"))
         holds = (
-            reached.join(before, "query_id")
+            reached.join(before, own)
             .where(F.col("above") + F.col("reached") >= k)
-            .groupBy("query_id")
+            .groupBy(*own)
             .agg(F.max(F.struct("hi", "lo", (F.col("above") + F.col("reached") - F.col("n")).alias("above"))).alias("part"))
         )
-        found = before.join(holds, "query_id", "left")
+        found = before.join(holds, own, "left")
         # fewer than k candidates: everything from the least score on
         state = stored(
             found.select(
                 F.col("query_id").alias("vec_id"),
+                F.col("query_row").alias("row"),
                 F.coalesce("part.lo", "least").alias("lo"),
                 F.coalesce("part.hi", "least").alias("hi"),
                 F.coalesce("part.above", "above").alias("above"),
@@ -136,8 +139,10 @@ def search(table: DataFrame, id_column: str = "vec_id", vector_column: str = "em
             v, q, found = v[order], q[order], found[order]
             first = np.searchsorted(q, q, side="left")
             best = np.arange(len(q)) - first < k
-            yield pa.RecordBatch.from_arrays([pa.array(asking[q[best]]), pa.array(ids[v[best]]), pa.array(found[best])], ["query_id", "vec_id", "score"])
+            columns = [asking[q[best]], np.frombuffer(row["q_row"], "<i8")[q[best]], ids[v[best]], found[best]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "query_row", "vec_id", "score"])
 
-    final = vectors.meet(blocks, asked(state)).mapInArrow(kept, "query_id long, vec_id long, score long")
-    ranks = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return final.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    final = vectors.meet(blocks, asked(state)).mapInArrow(kept, "query_id long, query_row long, vec_id long, score long")
+    ranks = Window.partitionBy(*own).orderBy(F.col("score").desc(), "vec_id")
+    best = final.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
+    return vectors.repeated(best, queries).select("query_id", "rank", "vec_id", "score")

@@ -13,7 +13,8 @@ without the index, and r is the distance within which ``recall`` of their true n
 lie. A query that finds fewer than k rows is compared with all rows, so every result has k
 rows if there are as many.
 
-Defined results: see ``vectors.clean`` for rows that take no part; a shorter vector counts
+Defined results: see ``vectors.clean`` for rows that take no part; rows that repeat an id are rows of
+their own, of which only the one that asks is left out; a shorter vector counts
 as ending in zeros; ties go to the smaller id; with k candidates or fewer all are returned.
 """
 
@@ -34,7 +35,7 @@ BITS, BYTES = 64, 8
 PACKED = 1 << 14
 #: Found pairs that a task holds before it drops all but the best of each query.
 HELD = 200_000
-FOUND = "query_id long, vec_id long, score double, distance long"
+FOUND = "query_id long, query_row long, vec_id long, score double, distance long"
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
 
 
@@ -105,16 +106,19 @@ class _Best:
                 self.held = max(0, len(self.parts[0][0]) - HELD // 2)  # so that a large rest isn't sorted at each call
 
     def _pruned(self) -> tuple[np.ndarray, ...]:
-        query, vec, score, distance = (np.concatenate(c) for c in zip(*self.parts, strict=True))
-        order = np.lexsort((vec, -score, query))
-        query, vec, score, distance = query[order], vec[order], score[order], distance[order]
-        best = np.arange(len(query)) - np.searchsorted(query, query, side="left") < self.k
-        return query[best], vec[best], score[best], distance[best]
+        columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
+        query, row, vec, score, _ = columns
+        order = np.lexsort((vec, -score, row, query))
+        query, row = query[order], row[order]
+        fresh = np.append(True, (query[1:] != query[:-1]) | (row[1:] != row[:-1]))
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+        best = order[np.arange(len(order)) - first < self.k]
+        return tuple(c[best] for c in columns)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
             columns = [pa.array(c) for c in self._pruned()]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "distance"])
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "query_row", "vec_id", "score", "distance"])
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -134,19 +138,19 @@ def compare_all(blocks: DataFrame, queries: DataFrame, k: int, rotation: np.ndar
             dim = min(matrix.shape[1], asked.shape[1])
             a, b = even(matrix), even(asked)
             rough = a[:, :dim] @ b[:, :dim].T / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(b, axis=1)
-            rough[ids[:, None] == asking[None, :]] = -np.inf
+            rough[~vectors.others(row, ids, asking)] = -np.inf
             limit = np.partition(rough, max(0, len(ids) - k), axis=0)[max(0, len(ids) - k)]
             v, q = np.nonzero((rough >= limit - 1e-9) & (rough > -np.inf))
             mine, theirs = codes(matrix, rotation), codes(asked, rotation)
             distance = _POPCOUNT[mine[v] ^ theirs[q]].sum(axis=1).astype(np.int64)
-            best.add(asking[q], ids[v], cosines(matrix[v], asked[q]), distance)
+            best.add(asking[q], np.frombuffer(row["q_row"], "<i8")[q], ids[v], cosines(matrix[v], asked[q]), distance)
         yield from best.batches()
 
-    return vectors.meet(blocks, vectors.query_blocks(queries)).mapInArrow(compared, FOUND)
+    return vectors.meet(blocks, vectors.query_blocks(queries, ("row",))).mapInArrow(compared, FOUND)
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
-    ranks = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    ranks = Window.partitionBy("query_id", "query_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
 
 
@@ -164,8 +168,9 @@ def _entries(rows: DataFrame, rotation: np.ndarray, values: Callable[[int], list
             yield from _file(held)
 
     def _file(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = vectors._block(held, (), False).to_pylist()[0]
+        block = vectors._block(held, ("row",), False).to_pylist()[0]
         ids, matrix = vectors.unpack(block)
+        numbers = np.frombuffer(block["row"], "<i8")
         code = codes(matrix, rotation)
         slim = matrix.astype("<f4")
         if not (slim == matrix).all():
@@ -173,14 +178,14 @@ def _entries(rows: DataFrame, rotation: np.ndarray, values: Callable[[int], list
         width = slim.dtype.itemsize
         for byte in range(BYTES):
             under = [(v, np.flatnonzero(np.isin(code[:, byte], near))) for v, near in enumerate(values(byte))]
-            out = [(byte, v, len(own), matrix.shape[1], width, ids[own].tobytes(), slim[own].tobytes(), code[own].tobytes()) for v, own in under if len(own)]
-            names = ["byte", "value", "n", "dim", "width", "ids", "matrix", "codes"]
-            types = [pa.int32()] * 5 + [pa.binary()] * 3
+            out = [(byte, v, len(own), matrix.shape[1], width, ids[own].tobytes(), numbers[own].tobytes(), slim[own].tobytes(), code[own].tobytes()) for v, own in under if len(own)]
+            names = ["byte", "value", "n", "dim", "width", "ids", "row", "matrix", "codes"]
+            types = [pa.int32()] * 5 + [pa.binary()] * 4
             for a in range(0, len(out), 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 16], strict=True), types, strict=True)], names)
 
-    return rows.select("vec_id", "vector").mapInArrow(
-        filed, "byte int, value int, n int, dim int, width int, ids binary, matrix binary, codes binary"
+    return rows.select("vec_id", "vector", "row").mapInArrow(
+        filed, "byte int, value int, n int, dim int, width int, ids binary, row binary, matrix binary, codes binary"
     )
 
 
@@ -201,7 +206,7 @@ def probe(rows: DataFrame, queries: DataFrame, rotation: np.ndarray, radius: int
 
     index = _entries(rows, rotation, lambda byte: [every[v : v + 1] for v in range(256)])
     probes = _entries(queries, rotation, near)
-    asked = probes.select("byte", "value", *(F.col(c).alias(f"q_{c}") for c in ("n", "dim", "width", "ids", "matrix", "codes")))
+    asked = probes.select("byte", "value", *(F.col(c).alias(f"q_{c}") for c in ("n", "dim", "width", "ids", "row", "matrix", "codes")))
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(k)
@@ -209,11 +214,11 @@ def probe(rows: DataFrame, queries: DataFrame, rotation: np.ndarray, radius: int
             ids, matrix, mine = _opened(row)
             asking, asked_for, theirs = _opened(row, "q_")
             apart = np.bitwise_count(mine.view(np.uint64) ^ theirs.view(np.uint64).T)
-            v, q = np.nonzero((apart <= radius) & (ids[:, None] != asking[None, :]))
+            v, q = np.nonzero((apart <= radius) & vectors.others(row, ids, asking))
             by_byte = _POPCOUNT[mine[v] ^ theirs[q]]
             first = ~(by_byte[:, : row["byte"]] <= far[: row["byte"]]).any(axis=1)  # an earlier byte has brought the others
             v, q = v[first], q[first]
-            best.add(asking[q], ids[v], cosines(matrix[v].astype(np.float64), asked_for[q].astype(np.float64)), apart[v, q].astype(np.int64))
+            best.add(asking[q], np.frombuffer(row["q_row"], "<i8")[q], ids[v], cosines(matrix[v].astype(np.float64), asked_for[q].astype(np.float64)), apart[v, q].astype(np.int64))
         yield from best.batches()
 
     return index.join(asked, ["byte", "value"]).mapInArrow(ranked, FOUND)
@@ -224,7 +229,7 @@ def search(
     fit_rows: int = 4096, measured: int = 64, recall: float = 0.97,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: k near neighbours of each row whose id is divisible by ``every``."""
-    rows = stored(vectors.clean(table, id_column, vector_column, nonzero=True), "vectors")
+    rows = stored(vectors.clean(table, id_column, vector_column, k, nonzero=True), "vectors")
     total = rows.count()
     draw = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.where(draw * total < fit_rows).select("vector").limit(2 * fit_rows).collect()
@@ -233,14 +238,14 @@ def search(
     known = even(known)
     rotation = learn_rotation(known / np.linalg.norm(known, axis=1, keepdims=True)) if len(known) else np.eye(dim, BITS)
     packed = rows.repartition(max(1, -(-total // PACKED)))
-    blocks = stored(vectors.pack(rows), "vector-blocks")
+    blocks = stored(vectors.pack(rows, ("row",)), "vector-blocks")
     queries = rows.where(vectors.is_query(every))
     trial = compare_all(blocks, queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(measured), k, rotation)
     distances = [r.distance for r in best_of(trial, k).select("distance").collect()]  # measured x k numbers at most
     radius = int(np.quantile(distances, recall, method="higher")) if distances else 0
     found = stored(best_of(probe(packed, queries, rotation, radius, k), k), "near-found")
-    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    rest = queries.join(enough, queries.vec_id == enough.query_id, "left_anti")
+    enough = found.groupBy("query_id", "query_row").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    rest = queries.join(enough, (queries.vec_id == enough.query_id) & (queries.row == enough.query_row), "left_anti")
     exact = best_of(compare_all(blocks, rest, k, rotation), k)
-    done = found.join(enough, "query_id", "left_semi")
-    return done.unionByName(exact).select("query_id", "rank", "vec_id", "score")
+    done = found.join(enough, ["query_id", "query_row"], "left_semi")
+    return vectors.repeated(done.unionByName(exact), queries).select("query_id", "rank", "vec_id", "score")

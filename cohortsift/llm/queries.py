@@ -177,16 +177,18 @@ def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op9_exact_topk"] = """
-with v as (
-  select vec_id, [cast(floor(256 * cast(x as double)) as double) for x in embedding] as w
-  from embeddings where embedding is not null and vec_id is not null
+with f as (
+  select vec_id, row_number() over () as r, [cast(floor(256 * cast(x as double)) as double) for x in embedding] as w
+  from embeddings where embedding is not null and vec_id is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), v as (
+  select vec_id, r, list_resize(w, (select greatest(max(len(w)), 1) from f), 0) as w from f
 ), s as (
-  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.w, c.w) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
-), r as (
-  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+  select q.r, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.w, c.w) as bigint) as score
+  from v q join v c on q.r <> c.r where q.vec_id % 50 = 0
+), n as (
+  select query_id, cast(row_number() over (partition by r order by score desc, vec_id) as integer) as rank, vec_id, score from s
 )
-select * from r where rank <= 5
+select * from n where rank <= 5
 """
 
 

@@ -4,8 +4,8 @@ A byte-level BPE vocabulary never merges over the start of a run of white space:
 pre-tokenizer starts a new piece there. So a text is cut before every such run, the
 distinct cuts are encoded by the library, and a text's ids are the ids of its cuts.
 Where words are parted by single spaces or line ends, a cut at each space is one of
-those; other texts are cut by a pattern, and texts with white space beyond ASCII go to
-the library whole. A word of letters is one piece to the pre-tokenizer, so it goes to
+those; other texts are cut by a pattern. Texts with white space beyond ASCII, and those
+that hold the name of an added token (which has an id of its own), go to the library whole. A word of letters is one piece to the pre-tokenizer, so it goes to
 the library's model at once.
 """
 
@@ -58,8 +58,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True  # their names in a text are ordinary text
         self._model = self._library.model
+        self._added = [t.content for t in self._library.get_added_tokens_decoder().values()]
         # the short way for words of letters holds where it gives what the library does
         sample = ["Word", "naïve", "of.", "straße,", "слово", "\nLine", "\née."]
         self._tails: dict[str, bytes] = {}
@@ -128,7 +128,7 @@ class Encoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if not text.isascii() and _OTHER_SPACE.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            if not text.isascii() and _OTHER_SPACE.search(text) or any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f", *self._added)):
                 whole.append(k)
             elif text[0] == " " or text[-1] == " " or _TWO_SPACES.search(text):
                 cut.append((k, ["", *_CUTS.findall(text)], True))

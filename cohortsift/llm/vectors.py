@@ -20,9 +20,11 @@ from cohortsift.llm.shared import partitions
 BLOCK = 1024
 
 
-def clean(table: DataFrame, id_column: str, vector_column: str, nonzero: bool = False) -> DataFrame:
-    """vec_id and vector (doubles), one row for each id: rows that repeat an id count once, as the smallest vector.
+def clean(table: DataFrame, id_column: str, vector_column: str, k: int, nonzero: bool = False) -> DataFrame:
+    """vec_id, vector (doubles), row and copies of all rows; ``row`` tells rows of an id apart, by a hash of vector and number.
 
+    Rows equal in id and vector have equal results. So they are asked for once, by the row whose ``copies`` says
+    how many there are (others have 0), and found as k + 1 rows at most, as no result holds more of them.
     Vectors that are NULL or hold a NULL or non-finite component are left out, as are rows
     without an id and, with ``nonzero``, vectors without a component other than zero.
     """
@@ -31,7 +33,19 @@ def clean(table: DataFrame, id_column: str, vector_column: str, nonzero: bool =
     kept = F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(whole, F.lit(False))
     if nonzero:
         kept &= F.exists("vector", lambda x: x != 0)
-    return rows.where(kept).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    counted = rows.where(kept).groupBy("vec_id", "vector").agg(F.count("*").alias("copies"))
+    number = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("copies"), F.lit(k + 1)) - 1))
+    each = counted.select("vec_id", "vector", "copies", number.alias("number"))
+    copies = F.when(F.col("number") == 0, F.col("copies")).otherwise(0)
+    return each.select("vec_id", "vector", F.xxhash64("vector", "number").alias("row"), copies.alias("copies"))
+
+
+def repeated(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """``found`` (query_id, query_row, ...) once for each row that its query stands for, without query_row."""
+    more = queries.where("copies > 1").select(F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), "copies")
+    joined = found.join(more, ["query_id", "query_row"], "left")
+    times = F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long")))
+    return joined.withColumn("copies", F.explode(times)).drop("copies", "query_row")
 
 
 def pack(rows: DataFrame, longs: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
@@ -95,4 +109,10 @@ def unpack(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
 
 
 def is_query(every: int) -> Column:
-    return F.col("vec_id") % every == 0
+    return (F.col("vec_id") % every == 0) & (F.col("copies") > 0)
+
+
+def others(row: dict, ids: np.ndarray, asking: np.ndarray) -> np.ndarray:
+    """Which pairs of a row's vectors and queries count: all but a query with itself."""
+    own, asked = np.frombuffer(row["row"], "<i8"), np.frombuffer(row["q_row"], "<i8")
+    return (ids[:, None] != asking[None, :]) | (own[:, None] != asked[None, :])

@@ -6,6 +6,7 @@ import zlib
 import messy
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from cohortsift.llm.packing import exact_fill, packed, pieces, plan
 from cohortsift.llm.token_files import TokenFiles, write_token_files
@@ -17,18 +18,23 @@ def encoder():
     return Encoder(default_vocabulary())
 
 
+_FRESH = Tokenizer.from_file(default_vocabulary())
+
+
 def ids(encoder, text):
-    return encoder._library.encode(text or "", add_special_tokens=False).ids
+    """What the library gives as it is loaded, apart from the encoder's own."""
+    return _FRESH.encode(text or "", add_special_tokens=False).ids
 
 
 def test_cut_texts_get_the_librarys_ids(encoder):
     draw = random.Random(3)
     signs = ["a", "foo", " ", " ", "\n", "\t", "'s", "  ", "é", "　", "12", ".", "\x1c", "\xa0", "<|endoftext|>", "日本", ",", "x" * 60]
     texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 16))) for _ in range(3000)]
-    texts += ["The cat sat.\nThe dog, too, sat.\nÉté naïve.", None, "", "y" * 50_000, messy.LONG]
+    texts += ["The cat sat.\nThe dog, too, sat.\nÉté naïve.", None, "", "y" * 50_000, messy.LONG, "a <|endoftext|> b", "<|endoftext|>"]
     wanted = [np.array(ids(encoder, t), "<u4").tobytes() for t in texts]
     for _ in range(2):  # from the library, then from memory
         assert encoder.encode(texts) == wanted
+    assert wanted[-1] == np.array([50256], "<u4").tobytes() and encoder.encode(["a <|endoftext|> b"])[0] == np.array([64, 220, 50256, 275], "<u4").tobytes()
 
 
 def crc(values):
