@@ -45,51 +45,61 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
     """The place of every document in the mix of all sources, weighted by their size to the power of 0.8."""
-    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs, exponent=0.8, slots=1000, block=8).select("doc_id", "source", "__mix.*")
+    docs = table(spark, folder, "documents").select("doc_id", "source", mixing.content_order().alias("order"))
+    return mixing.mix(docs, exponent=0.8, block=8, order=F.col("order")).select("row.doc_id", "row.source", "place.*")
 
 
+#: The same rule where each source weighs at least one in 998; frames of 1000 slots, each run to find its end, then within its bounds.
 ORACLES["op3_mixed_sources"] = """
 with recursive src as (
   select source, count(*) as n, row_number() over (order by count(*) desc, source nulls first) as pool from documents group by source
-), q as (
-  select *, (1000 - count(*) over ()) * (pow(cast(n as double), 0.8) / sum(pow(cast(n as double), 0.8)) over ()) as quota from src
-), f as (
-  select *, cast(floor(quota) as bigint) + 1 as least_parts, quota - floor(quota) as rest from q
-), p as (
-  select source, n, pool, least_parts + case when row_number() over (order by rest desc, pool)
-    <= 1000 - sum(least_parts) over () then 1 else 0 end as parts from f
+), w as (
+  select *, greatest(1, cast(round(pow(cast(n as double), 0.8) / sum(pow(cast(n as double), 0.8)) over () * 1000000000000) as hugeint)) as v from src
 ), a as (
-  select list(cast(parts as bigint) order by pool) as parts from p
-), run(t, parts, served, pick) as (
-  select 0, parts, [cast(0 as bigint) for x in parts], cast(0 as bigint) from a
+  select list(v order by pool) as v, cast(sum(v) as hugeint) as d from w
+), size as (
+  select max((cast(ceil(n / 8.0) as hugeint) * d + w.v - 1) // w.v) as slots from w, a
+), f as (
+  select f, v, d, [(f * 1000 * x) // d for x in v] as due, [(f * 1000 * x) % d for x in v] as rest
+  from a, size, unnest(generate_series(0, cast((slots - 1) // 1000 as bigint))) t(f)
+), ahead as (
+  select *, cast(f * 1000 - list_sum(due) as bigint) as e, list_sort([struct_pack(b := (d - rest[i] + v[i] - 1) // v[i], i := i)
+    for i in generate_series(1, len(v)) if rest[i] > 0]) as begun from f
+), run(f, t, v, d, due, rest, u, pick) as (
+  select f, 0, v, d, due, rest, [case when list_contains([x.i for x in begun[1:e]], i) then cast(1 as hugeint) else 0 end
+    for i in generate_series(1, len(v))], cast(0 as bigint) from ahead
+  union all
+  select f, t + 1, v, d, due, rest, [case when i = now then u[i] + 1 else u[i] end for i in generate_series(1, len(v))], now
+  from (
+    select *, list_position(b, list_min(b)) as now from (
+      select *, [case when u[i] * d < rest[i] + (t + 1) * v[i] then ((u[i] + 1) * d - rest[i] + v[i] - 1) // v[i] end
+        for i in generate_series(1, len(v))] as b from run where t < 1000))
+), ends as (
+  select f, [u[i] + due[i] for i in generate_series(1, len(u))] as till from run where t = 1000
+), within(f, t, v, d, due, rest, u, stop, pick, k) as (
+  select f.f, 0, v, d, due, rest, [case when s.till is null then 0 else s.till[i] - due[i] end for i in generate_series(1, len(v))],
+    [z.till[i] - due[i] for i in generate_series(1, len(v))], cast(0 as bigint), cast(0 as hugeint)
+  from f join ends z on z.f = f.f left join ends s on s.f = f.f - 1
   union all
-  select t + 1, parts,
-    [case when i = pick_now then served[i] + 1 else served[i] end for i in generate_series(1, len(parts))], pick_now
+  select f, t + 1, v, d, due, rest, [case when i = now then u[i] + 1 else u[i] end for i in generate_series(1, len(v))], stop, now, u[now] + due[now]
   from (
-    select *, list_position(due, list_min(due)) as pick_now from (
-      select *, [case when served[i] < parts[i] and (served[i] * 1000) // parts[i] <= t
-        then ((served[i] + 1) * 1000 + parts[i] - 1) // parts[i] else 1000000 end for i in generate_series(1, len(parts))] as due
-      from run where t < 1000))
+    select *, list_position(b, list_min(b)) as now from (
+      select *, [case when u[i] * d < rest[i] + (t + 1) * v[i] and u[i] < stop[i] then ((u[i] + 1) * d - rest[i] + v[i] - 1) // v[i] end
+        for i in generate_series(1, len(v))] as b from within where t < 1000))
 ), tab as (
-  select pick as pool, t - 1 as slot, row_number() over (partition by pick order by t) - 1 as turn from run where t > 0
-), fin as (
-  select max(((p.n - 1) // 8) // p.parts * 1000 + tab.slot + 1) as e
-  from p join tab on tab.pool = p.pool and tab.turn = ((p.n - 1) // 8) % p.parts
-), served_docs as (
-  select p.source, p.n, p.pool, p.parts, 8 * ((e // 1000) * p.parts + (select count(*) from tab where tab.pool = p.pool and tab.slot < e % 1000)) as docs
-  from p, fin
+  select pick as pool, cast(k as bigint) as block, f * 1000 + t - 1 as slot from within, size where t > 0 and f * 1000 + t - 1 < slots
+), most as (
+  select pool, max(block) + 1 as blocks from tab group by pool
 ), r as (
-  select doc_id, source, row_number() over (partition by source order by md5(coalesce(cast(doc_id as varchar), '')), doc_id nulls first, text nulls first) - 1 as place
-  from documents
+  select doc_id, source, row_number() over (partition by source
+    order by md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, ''))) - 1 as place from documents
 ), x as (
-  select r.doc_id, r.source, s.pool, s.parts, unnest(generate_series(0, (s.docs - 1 - r.place) // s.n)) as epoch, r.place, s.n
-  from r join served_docs s on r.source is not distinct from s.source
+  select r.doc_id, r.source, w.pool, w.n, place, unnest(generate_series(0, (blocks * 8 - 1 - place) // n)) as epoch
+  from r join w on r.source is not distinct from w.source join most on most.pool = w.pool where blocks * 8 > place
 )
-select x.doc_id, x.source, cast(x.epoch as bigint) as epoch, cast((place + epoch * n) // 8 as bigint) as block,
-  cast(((place + epoch * n) // 8) // parts * 1000 + tab.slot as bigint) as slot,
-  cast((((place + epoch * n) // 8) // parts * 1000 + tab.slot) * 8 + (place + epoch * n) % 8 as bigint) as position
-from x join tab on tab.pool = x.pool and tab.turn = ((place + epoch * n) // 8) % parts
+select x.doc_id, x.source, cast(epoch as bigint) as epoch, tab.block, cast(slot as bigint) as slot,
+  cast(slot * 8 + (place + epoch * n) % 8 as bigint) as position
+from x join tab on tab.pool = x.pool and tab.block = (place + epoch * n) // 8
 """
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import duckdb
 import messy
 import numpy as np
 import pytest
@@ -121,62 +122,85 @@ def test_queries_are_their_sql(spark, name):
     assert spark_rows(QUERIES[name](spark, small)) == duck_rows(connect(small), ORACLES[name])
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 3.0, "c": 1.0, None: 1.0}])
+def off_target(rows, share):
+    """By how many blocks any source is off its weight at most, after any slot; checks that blocks come in order."""
+    served, most = dict.fromkeys(share, 0), 0
+    for slot, (at, source, block) in enumerate(sorted((r["slot"], r["source"], r["block"]) for r in rows)):
+        assert (at, block) == (slot, served[source])
+        served[source] += 1
+        most = max(most, *(abs(served[s] - (slot + 1) * w) for s, w in share.items()))
+    return most
+
+
+def shares(sizes, weights=None):
+    weight = {s: (weights or {}).get(s, n**0.8) for s, n in sizes.items()}
+    return {s: w / sum(weight.values()) for s, w in weight.items()}
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 1.0, "b": 2.0, "c": 3.0, None: 4.0}])
 def test_no_source_is_a_block_off(spark, weights):
     sizes = {"a": 300, "b": 100, "c": 40, None: 9}
     docs = messy.documents(spark, [(k, f"t{k}", "en", s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))])
-    slots, block = 50, 2
-    rows = mixing.mix(docs, weights, 0.8, slots, block).select("doc_id", "source", "__mix.*").orderBy("position").collect()
-    assert {r["doc_id"] for r in rows} == set(range(449))
-    last = rows[-1]["slot"]
-    by_slot = {r["slot"]: r["source"] for r in rows}
-    assert sorted(by_slot) == list(range(last + 1)) and len(rows) == block * (last + 1)
-    total = {s: sum(v == s for k, v in by_slot.items() if k < slots) for s in sizes}  # parts of one round
-    served = dict.fromkeys(sizes, 0)
-    for slot in range(last + 1):
-        served[by_slot[slot]] += 1
-        for s in sizes:
-            assert abs(served[s] - (slot + 1) * total[s] / slots) < 1
-    if weights:
-        assert all(abs(total[s] - slots * weights[s] / 10) <= 2 for s in sizes)
+    mixed = mixing.mix(docs, weights, 0.8, 2, 32).select("row.doc_id", "row.source", "place.*")  # several frames
+    rows = mixed.orderBy("position").collect()
+    assert {r["doc_id"] for r in rows} == set(range(449)) and [r["position"] for r in rows] == list(range(len(rows)))
+    assert all(r["slot"] == r["position"] // 2 for r in rows)
+    assert off_target(rows[::2], shares(sizes, weights)) < 1
     for s in sizes:  # each round of a source's documents is whole before the next begins
-        order = [r["doc_id"] for r in rows if r["source"] == s]
-        assert len(set(order[: sizes[s]])) == sizes[s]
+        order = [(r["doc_id"], r["epoch"]) for r in rows if r["source"] == s]
+        assert len({i for i, _ in order[: sizes[s]]}) == sizes[s] and [e for _, e in order] == [k // sizes[s] for k in range(len(order))]
 
 
 def test_mix_of_odd_rows(spark):
     docs = messy.documents(spark)
-    mixed = mixing.mix(docs, slots=20, block=1)
-    assert mixed.columns == [*docs.columns, "__mix"]
-    rows = mixed.where("__mix.epoch = 0").collect()
+    mixed = mixing.mix(docs, block=1, frame=20)
+    assert mixed.columns == ["row", "place"]
+    rows = mixed.where("place.epoch = 0").collect()
     assert len(rows) == len(messy.ROWS)
-    every = [r["__mix"]["position"] for r in mixed.collect()]
+    every = [r["place"]["position"] for r in mixed.collect()]
     assert sorted(every) == list(range(len(every)))
     assert mixing.in_order(mixed).columns == docs.columns
     assert mixing.mix(messy.documents(spark, [])).collect() == []
     crowd = messy.documents(spark, [(k, "x", "en", f"s{k}") for k in range(40)])
-    assert mixing.mix(crowd, slots=20, block=1).select("doc_id").distinct().count() == 40  # more sources than the slots hold
-
-
-def off_target(rows, share):
-    """By how many blocks any source is off its weight at most, after any slot."""
-    served, most = dict.fromkeys(share, 0), 0
-    for slot, r in enumerate(sorted(rows, key=lambda r: r["slot"])):
-        assert r["slot"] == slot
-        served[r["source"]] += 1
-        most = max(most, *(abs(served[s] - (slot + 1) * w) for s, w in share.items()))
-    return most
+    assert mixing.mix(crowd, block=1, frame=20).select("row.doc_id").distinct().count() == 40  # more sources than a frame has slots
 
 
 @pytest.mark.parametrize("sizes", [
     {f"s{k}": 1 + k % 2 for k in range(599)} | {None: 2},
     {"hot": 3000, "warm": 300, "one": 1},
-], ids=["600 sources", "one document beside a hot source"])
+    {"a": 200_000, "b": 9000, "c": 1500, "d": 1200},
+    {"hot": 3_000_000, "few": 40, "one": 1},
+], ids=["600 sources", "one document beside a hot source", "four sources", "windows longer than frames"])
 def test_every_source_keeps_its_own_weight(spark, sizes):
-    docs = spark.createDataFrame([(k, f"t{k}", s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, text string, source string")
-    rows = mixing.mix(docs, {None: 40.0} if None in sizes else None, 0.8, 100, 1).select("source", "__mix.slot").collect()
-    weight = {s: 40.0 if s is None else n**0.8 for s, n in sizes.items()}
-    assert off_target(rows, {s: w / sum(weight.values()) for s, w in weight.items()}) < 2
+    """Over up to hundreds of frames, one block to a slot, as schedules of the sources alone."""
+    given = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, n long")
+    known = mixing.weighed(given, 0.8, {None: 40.0} if None in sizes else None)
+    known = known.selectExpr("source", "v", "ceil(n / 8) blocks", "row_number() over (order by n desc, source) pool").collect()
+    sources = spark.createDataFrame([(r["pool"], r["v"], r["blocks"]) for r in known], "pool long, v long, blocks long")
+    names = {r["pool"]: r["source"] for r in known}
+    rows = [{"slot": r["slot"], "source": names[r["pool"]], "block": r["block"]} for r in mixing.schedule(sources).collect()]
+    assert off_target(rows, shares(sizes, {None: 40.0} if None in sizes else None)) < 1
+    assert all(sum(r["source"] == s for r in rows) >= -(-n // 8) for s, n in sizes.items())
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_random_weights_over_many_frames(spark, seed):
+    draw = random.Random(seed)
+    weight = [draw.choice([1, 1, 2, 7, 30]) * (1 + draw.random() * draw.choice([0, 1])) for _ in range(draw.randint(2, 9))]
+    whole = [round(w / sum(weight) * 10**12) for w in weight]
+    sources = spark.createDataFrame([(k, v, draw.randint(1, 90)) for k, v in enumerate(whole)], "pool long, v long, blocks long")
+    rows = [{"slot": r["slot"], "source": r["pool"], "block": r["block"]} for r in mixing.schedule(sources, 100).collect()]
+    assert len(rows) > 100 and off_target(rows, {k: v / sum(whole) for k, v in enumerate(whole)}) < 1.01
+
+
+@pytest.mark.parametrize("sizes", [{"a": 600, "b": 60, None: 6}, {"a": 9000, "b": 2500, "c": 700, "d": 90}], ids=["one frame", "several"])
+def test_mix_is_its_sql_on_unequal_sources(spark, tmp_path, sizes):
+    own = [(None if k % 10 else k, f"t{k % 997}", "en", s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]  # nine ids in ten are NULL
+    messy.documents(spark, own).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = spark_rows(QUERIES["op3_mixed_sources"](spark, str(tmp_path)))
+    assert found == duck_rows(duck, ORACLES["op3_mixed_sources"]) and sum(found.values()) >= sum(sizes.values())
 
 
 def test_weights_must_be_positive(spark):
