@@ -265,9 +265,11 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document is kept; of rows equal in id and text one stays, rows with a NULL id all stay."""
     found = near_copies(docs, words, percent)
-    gone = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("tie").alias("__gone_tie")).distinct(), "gone")
-    keyed = docs.withColumn("__tie", F.xxhash64("text"))
-    left = keyed.join(gone, (F.col("doc_id").cast("long") == F.col("__gone")) & (F.col("__tie") == F.col("__gone_tie")), "left_anti")
-    repeat = F.row_number().over(Window.partitionBy("doc_id", "__tie").orderBy("__tie"))
-    one = left.withColumn("__repeat", repeat).where((F.col("__repeat") == 1) | F.col("doc_id").isNull())
-    return one.select(*(F.col(f"`{c}`") for c in docs.columns))
+    apart = F.lit(0).cast("long").alias("apart")
+    gone = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("id"), "tie", apart).distinct(), "gone")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # its names are its own
+    without = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0).alias("apart")  # each alone
+    keyed = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tie"), without)
+    left = keyed.join(gone, ["id", "tie", "apart"], "left_anti")
+    repeat = F.row_number().over(Window.partitionBy("id", "tie", "apart").orderBy("tie"))
+    return left.withColumn("repeat", repeat).where("repeat = 1").select("row.*")

@@ -178,8 +178,8 @@ def _slots(kinds: list[Kind]) -> dict[int, np.ndarray]:
 
 
 def pack(cut: DataFrame, size: int = 2048) -> DataFrame:
-    """``cut`` (columns of ``pieces``, stored) with sequence_id and offset."""
-    salted = cut.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
+    """``cut`` (columns of ``pieces`` and ``salt``, stored) with sequence_id and offset."""
+    salted = cut.withColumnRenamed("salt", "__salt")
     # at most size x SALTS rows; summed on the executors, one row for each length comes to the driver
     sizes = stored(salted.groupBy("length", "__salt").agg(F.count("*").alias("n")), "piece-counts")
     totals = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -188,9 +188,9 @@ def pack(cut: DataFrame, size: int = 2048) -> DataFrame:
     bases = sizes.select("length", "__salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
     within = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = salted.withColumn("__rank", F.row_number().over(within) - 1).join(bases, ["length", "__salt"])
-    kept = cut.columns
+    kept = [c for c in cut.columns if c != "salt"]
     columns = [*kept, (F.col("__rank") + F.col("__base")).alias("__rank")]
-    schema = cut.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", sequence_id long, offset long"
+    schema = cut.drop("salt").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", sequence_id long, offset long"
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,4 +209,6 @@ def pack(cut: DataFrame, size: int = 2048) -> DataFrame:
 
 def packed(docs: DataFrame, size: int = 2048, end_id: int = 0, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """The pieces of ``docs`` and their places in sequences of at most ``size`` tokens."""
-    return pack(stored(pieces(docs, size, end_id, vocabulary, with_ids), "pieces"), size)
+    cut = pieces(docs, size, end_id, vocabulary, with_ids)
+    row = F.monotonically_increasing_id()  # so that equal rows are dealt out as well; written once, it stays
+    return pack(stored(cut.withColumn("salt", F.pmod(F.xxhash64("ids_crc32", row), F.lit(SALTS))), "pieces"), size)

@@ -2,7 +2,9 @@
 
 import re
 
-CLASHING = ["piece", "start", "length", "tie", "n", "class", "keys", "score", "position", "epoch", "pool", "base", "n_rows", "rank", "label"]
+CLASHING = ["piece", "start", "length", "tie", "n", "class", "keys", "score", "position", "epoch", "pool", "base", "n_rows", "rank", "label",
+            "row", "place", "own", "key", "salt", "id", "apart", "repeat", "clean", "language", "order", "turns", "text_", "__key", "__salt", "__rank",
+            "__mix", "__tie", "__gone", "__language", "__clean"]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in CLASHING)
 
 LONG = "Von den Dingen und der Welt. " * 4000

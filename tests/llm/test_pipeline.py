@@ -2,6 +2,7 @@
 
 import messy
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -30,6 +31,7 @@ def test_stages_take_odd_tables(spark, rows):
         docs = stored(stage(spark, docs, TINY), name)
         if name != "packed_sequences":
             assert docs.columns == columns and docs.dtypes == kinds, name
+            assert docs.where(" or ".join(f"`{c}` <> 'x' or `{c}` is null" for c in messy.CLASHING)).isEmpty(), name
     assert (docs.count() > 0) == bool(rows)
 
 
@@ -57,3 +59,13 @@ def test_the_whole(spark):
     for r in rows:
         used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
     assert rows and max(used.values()) <= 2048 and len(used) <= -(-sum(used.values()) // 2048) + 2
+
+
+def test_rows_without_ids_are_spread(spark, many_parts):
+    """Nine rows in ten have no id, and most of those the same text: none is lost, and no task holds them all."""
+    rows = [(None if k % 10 else k, messy.TALE if k % 3 else f"{messy.TALE} {k}", "en", "a") for k in range(900)]
+    docs = messy.documents(spark, rows).repartition(6)
+    one = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, TINY)
+    parts = [r["n"] for r in one.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(r[0] is None for r in rows) < sum(parts) <= sum(r[0] is None for r in rows) + 31
+    assert max(parts) < sum(parts) / 3
