@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortsift.llm import language, mixing, packing, pii
@@ -18,15 +18,16 @@ from cohortsift.llm.shared import ship, stored
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _columns(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select(*(F.col(f"`{c}`") for c in names))
+def _row(docs: DataFrame) -> Column:
+    """The columns of a document as one, so that what stages add cannot clash with their names."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Without the documents that language identification rejects."""
     ship(spark)
     model = language.fit(docs)
-    return _columns(docs.withColumn("__language", model.column()).where(~F.col("__language.rejected")), docs.columns)
+    return docs.select(_row(docs), model.column().alias("language")).where(~F.col("language.rejected")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -38,17 +39,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """With personal data replaced by its kind; ``n_chars`` follows where a text changed."""
     ship(spark)
-    clean = docs.withColumn("__clean", pii.redacted())
-    changed = ~F.col("__clean").eqNullSafe(F.col("text"))
-    new = {"text": F.col("__clean")}
+    clean = docs.select(_row(docs), pii.redacted().alias("clean"))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("__clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return clean.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+        changed = ~F.col("clean").eqNullSafe(F.col("row.text"))
+        new["n_chars"] = F.when(changed, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return clean.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """In the order of the mix; sources with fewer documents than their weight asks for recur."""
-    return mixing.in_order(mixing.mix(docs, exponent=0.8, slots=1000, block=8))
+    return mixing.in_order(mixing.mix(docs, exponent=0.8, block=8))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
