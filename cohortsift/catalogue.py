@@ -31,6 +31,7 @@ from cohortsift.sources.csv_report import export_csv
 from cohortsift.sources.lake import Lake, scan_files
 from cohortsift.sources.methods import load_method, read_methods
 from cohortsift.sources.review_log import COMPLETED, CREATED, DECISION, DELETED, REMARK, STEP, ReviewLog
+from cohortsift.streaming.snapshot import FoldedLog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -397,54 +398,6 @@ def nested_subquery(spark: SparkSession, folder: str) -> DataFrame:
     return run_step(spec, _lake(spark, folder), inner.select("o_orderkey", "o_custkey"))
 
 
-def _dealt_pairs(spark: SparkSession, folder: str, how: str) -> DataFrame:
-    """Orders and the events of customers, the keys' weights looked up and heavy ones dealt over tasks; NULL keys on both sides."""
-    orders = _table(spark, folder, "orders").select(
-        F.when(F.col("o_orderstatus") != "P", F.pmod("o_custkey", F.lit(40))).alias("k"), "o_orderkey"
-    )
-    events = _table(spark, folder, "events").filter("event_id % 100 < 4").select(
-        F.when(F.col("event_type") != "error", F.pmod("user_id", F.lit(50))).alias("key"), "event_id"
-    )
-    return join(orders.alias("a"), events.alias("b"), "a.k", "b.key", how, light_rows=50, may_broadcast=False)
-
-
-_DEALT = (
-    "(select case when o_orderstatus<>'P' then o_custkey%40 end k,o_orderkey from orders) a {} join "
-    "(select case when event_type<>'error' then user_id%50 end as key,event_id from events where event_id%100<4) b on a.k=b.key"
-)
-
-
-@query("select k,count(*) n,sum(o_orderkey+event_id) s from " + _DEALT.format("inner") + " group by 1")
-def join_dealt_inner(spark: SparkSession, folder: str) -> DataFrame:
-    return _dealt_sums(_dealt_pairs(spark, folder, "inner"))
-
-
-@query("select k,count(*) n,sum(o_orderkey+coalesce(event_id,0)) s from " + _DEALT.format("left") + " group by 1")
-def join_dealt_left(spark: SparkSession, folder: str) -> DataFrame:
-    return _dealt_sums(_dealt_pairs(spark, folder, "left"))
-
-
-@query("select key as k,count(*) n,sum(coalesce(o_orderkey,0)+event_id) s from " + _DEALT.format("right") + " group by 1")
-def join_dealt_right(spark: SparkSession, folder: str) -> DataFrame:
-    return _dealt_sums(_dealt_pairs(spark, folder, "right"), "key")
-
-
-@query("select coalesce(k,key) as k,count(*) n,sum(coalesce(o_orderkey,0)+coalesce(event_id,0)) s from " + _DEALT.format("full") + " group by 1")
-def join_dealt_full(spark: SparkSession, folder: str) -> DataFrame:
-    both = _dealt_pairs(spark, folder, "full").withColumn("k", F.coalesce("k", "key"))
-    return _dealt_sums(both)
-
-
-@query("select k,o_orderkey from " + _DEALT.format("semi"))
-def join_dealt_semi(spark: SparkSession, folder: str) -> DataFrame:
-    return _dealt_pairs(spark, folder, "left_semi").select("k", "o_orderkey")
-
-
-@query("select k,o_orderkey from " + _DEALT.format("anti"))
-def join_dealt_anti(spark: SparkSession, folder: str) -> DataFrame:
-    return _dealt_pairs(spark, folder, "left_anti").select("k", "o_orderkey")
-
-
 def _dealt_whole(spark: SparkSession, folder: str, how: str) -> DataFrame:
     """All orders and all events. Heavy keys: -1 (urgent orders, few events), -2 (purchases, few orders) and NULL; others are unique."""
     orders = _table(spark, folder, "orders").select(
@@ -495,12 +448,6 @@ def join_dealt_whole_anti(spark: SparkSession, folder: str) -> DataFrame:
     return _dealt_whole(spark, folder, "left_anti")
 
 
-def _dealt_sums(pairs: DataFrame, key: str = "k") -> DataFrame:
-    total = F.coalesce("o_orderkey", F.lit(0)) + F.coalesce("event_id", F.lit(0))
-    sums = pairs.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"), F.sum(total).cast("decimal(38,0)").alias("s"))
-    return sums
-
-
 # -- pages -----------------------------------------------------------------------
 
 _BY_PRICE = [("o_totalprice", "desc"), ("o_orderkey", "asc")]
@@ -807,6 +754,37 @@ def review_store(spark: SparkSession, folder: str) -> DataFrame:
     return state.select("validation_hash", F.col("accepted").cast("string").alias("accepted"), F.col("tags")[0].alias("tag"))
 
 
+def _in_three(rows: DataFrame, kind: str, first: list[str], second: list[str]) -> list[DataFrame]:
+    """The rows in three appends, by kind, each with early and late ones."""
+    own = F.coalesce(kind, F.lit(""))
+    return [rows.filter(own.isin(first)), rows.filter(own.isin(second)), rows.filter(~own.isin(first + second))]
+
+
+@query(ORACLES["review_jobs"])
+def snapshot_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """The jobs of a log appended in three, of which the first two are in a snapshot."""
+    log = ReviewLog(spark, new_shared_path(spark, "review"))
+    kept = FoldedLog(log, "job_events", folds.JOBS)
+    for number, part in enumerate(_in_three(_job_events(spark, folder), "kind", [STEP, DELETED], [CREATED])):
+        log.append_job_events(part)
+        if number < 2:
+            kept.advance()
+    return kept.now().select("table_uuid", "validation_name", "completed", "last_step")
+
+
+@query(ORACLES["review_store"])
+def snapshot_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """The decisions of a job whose events were appended in three, of which the first two are in a snapshot."""
+    log = ReviewLog(spark, new_shared_path(spark, "review"))
+    kept = FoldedLog(log, "decision_events", folds.DECISIONS)
+    for number, part in enumerate(_in_three(_said(spark, folder, F.col("event_type") == "click"), "run_name", ["signup"], ["click"])):
+        log.append_decision_events(part)
+        if number < 2:
+            kept.advance()
+    state = kept.now("validation_events")
+    return state.select("validation_hash", F.col("accepted").cast("string").alias("accepted"), F.col("tags")[0].alias("tag"))
+
+
 _LAST_TYPES = "(select user_id,max_by(event_type,row(ts,event_id)) last_type from events group by 1)"
 
 

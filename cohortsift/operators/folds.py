@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,35 +27,90 @@ def latest(value: Column | str, order: Sequence[str] = ("ts", "event_id")) -> Co
     return F.max_by(value, F.struct(*order))
 
 
-def review_jobs(events: DataFrame) -> DataFrame:
-    """One row per job that was created and not deleted, as it stands now."""
-    created, said = F.col("kind") == CREATED, when_said(events)
-
-    def latest_set(name: str) -> Column:
-        return F.max_by(F.col(name), F.when(F.col(name).isNotNull(), said)).alias(name)
-
-    given = ["parquet_files", "sample_names", "username", "validation_name", "validation_method"]
-    folded = events.groupBy("table_uuid").agg(
-        F.max_by(F.struct(*given), F.when(created, said)).alias("given"),
-        F.min_by("ts", F.when(created, said)).alias("creation_date"),
-        latest_set("completed"),
-        latest_set("last_step"),
-        F.bool_or(F.col("kind") == DELETED).alias("deleted"),
-    )
-    alive = folded.filter(F.col("creation_date").isNotNull() & ~F.coalesce("deleted", F.lit(False)))
+@dataclass(frozen=True)
+class Fold:
+    """A fold whose intermediate states merge: in any order, and with the same events again, they give the same.
+
+    ``parts`` gives each event's share of every state column, ``merges`` what joins the shares and the states.
+    """
+
+    keys: tuple[str, ...]
+    parts: Callable[[DataFrame], dict[str, Column]]
+    merges: dict[str, Callable[[str], Column]]
+    present: Callable[[DataFrame], DataFrame]
+
+    def of(self, events: DataFrame) -> DataFrame:
+        """The state the events add up to, a row for each key."""
+        shares = self.parts(events)
+        return self.merged(events.select(*self.keys, *(share.alias(name) for name, share in shares.items())))
+
+    def merged(self, states: DataFrame) -> DataFrame:
+        return states.groupBy(*self.keys).agg(*(merge(name).alias(name) for name, merge in self.merges.items()))
+
+
+_GIVEN = ("parquet_files", "sample_names", "username", "validation_name", "validation_method")
+
+
+def _job_parts(events: DataFrame) -> dict[str, Column]:
+    created, said = F.col("kind") == CREATED, when_said(events).alias("said")
+
+    def set_by(name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), F.struct(said, F.col(name).alias("value")))
+
+    return {
+        "given": F.when(created, F.struct(said, *_GIVEN)),
+        "first": F.when(created, F.struct(said, "ts")),
+        "completed": set_by("completed"),
+        "last_step": set_by("last_step"),
+        "deleted": F.col("kind") == DELETED,
+    }
+
+
+def _jobs_now(state: DataFrame) -> DataFrame:
+    alive = state.filter(F.col("first.ts").isNotNull() & ~F.coalesce("deleted", F.lit(False)))
     return alive.select(
         "given.parquet_files",
         "given.sample_names",
         "given.username",
         "given.validation_name",
         "table_uuid",
-        "creation_date",
-        F.coalesce("completed", F.lit(False)).alias("completed"),
-        F.coalesce("last_step", F.lit(0)).alias("last_step"),
+        F.col("first.ts").alias("creation_date"),
+        F.coalesce("completed.value", F.lit(False)).alias("completed"),
+        F.coalesce("last_step.value", F.lit(0)).alias("last_step"),
         "given.validation_method",
     )
 
 
+JOBS = Fold(
+    ("table_uuid",),
+    _job_parts,
+    {"given": F.max, "first": F.min, "completed": F.max, "last_step": F.max, "deleted": F.bool_or},
+    _jobs_now,
+)
+
+_VERDICT = ("sample_name", "run_name", "transcript_ID", "accepted", "tags")
+
+
+def _decision_parts(events: DataFrame) -> dict[str, Column]:
+    said = when_said(events).alias("said")
+    decided = F.col("kind") == DECISION
+    return {"last": F.when(decided, F.struct(said, *_VERDICT)), "spoken": decided | _is_remark()}
+
+
+def _decisions_now(state: DataFrame) -> DataFrame:
+    return state.filter("spoken").select("validation_hash", *[F.col(f"last.{c}").alias(c) for c in _VERDICT])
+
+
+DECISIONS = Fold(
+    ("table_uuid", "validation_hash"), _decision_parts, {"last": F.max, "spoken": F.bool_or}, _decisions_now
+)
+
+
+def review_jobs(events: DataFrame) -> DataFrame:
+    """One row per job that was created and not deleted, as it stands now."""
+    return JOBS.present(JOBS.of(events))
+
+
 def decisions(events: DataFrame) -> DataFrame:
     """Last decision per ``validation_hash`` of one job, one row each.
 
@@ -62,12 +118,7 @@ def decisions(events: DataFrame) -> DataFrame:
     hash that was only commented on has a row without a verdict. Comments are
     :func:`comments`.
     """
-    columns = ["sample_name", "run_name", "transcript_ID", "accepted", "tags"]
-    decided = F.when(F.col("kind") == DECISION, when_said(events))
-    last = F.max_by(F.struct(*columns), decided).alias("d")
-    spoken = events.filter((F.col("kind") == DECISION) | _is_remark())
-    grouped = spoken.groupBy("validation_hash").agg(last)
-    return grouped.select("validation_hash", *[F.col(f"d.{c}").alias(c) for c in columns])
+    return DECISIONS.present(DECISIONS.of(events))
 
 
 def comments(events: DataFrame) -> DataFrame:

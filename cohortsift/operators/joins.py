@@ -37,6 +37,8 @@ _UNPROFILED = (
 
 _LEFT_CELL, _LEFT_COPY = "__left_cell", "__left_copy"
 _RIGHT_CELL, _RIGHT_COPY = "__right_cell", "__right_copy"
+_LEFT_COPIED, _RIGHT_COPIED = "__left_copied", "__right_copied"
+_ADDED = (_LEFT_CELL, _LEFT_COPY, _LEFT_COPIED, _RIGHT_CELL, _RIGHT_COPY, _RIGHT_COPIED)
 
 
 @dataclass(frozen=True)
@@ -158,32 +160,50 @@ def _outer(
     heavy_left: KeyProfile,
     heavy_right: KeyProfile,
 ) -> DataFrame:
-    """An outer join as its matches and the rows without one.
+    """An outer join of dealt sides, each shuffled once.
 
-    A row an outer join keeps must not be repeated, so matches and misses are
-    found apart: the misses by an anti join against distinct keys.
+    A row is repeated only for a key that is heavy on the other side, and so found there: it has
+    a match, and copies of it that met an empty cell are dropped. A row that may be a miss has no
+    copies. Whether a heavy key is on a side is looked up exactly, as profiles may be older than it.
     """
-    rows = _dealt(left, right, left_on, right_on, "inner", heavy_left, heavy_right)
+    heavy_left, heavy_right = _there(left, left_on, heavy_left), _there(right, right_on, heavy_right)
+    rows = _meet(left, right, left_on, right_on, how, heavy_left, heavy_right)
     if how in ("left", "full"):
-        keys = _keys(right, right_on)
-        misses = _dealt(left, keys, left_on, right_on, "left_anti", heavy_left, KeyProfile())
-        rows = rows.union(misses.select(F.expr("*"), *_nulls(right)))
+        rows = rows.filter(F.col(_RIGHT_CELL).isNotNull() | ~F.col(_LEFT_COPIED))
     if how in ("right", "full"):
-        keys = _keys(left, left_on)
-        misses = _dealt(right, keys, right_on, left_on, "left_anti", heavy_right, KeyProfile())
-        rows = rows.union(misses.select(*_nulls(left), F.expr("*")))
-    return rows
+        rows = rows.filter(F.col(_LEFT_CELL).isNotNull() | ~F.col(_RIGHT_COPIED))
+    return rows.drop(*_ADDED)
+
+
+def _there(df: DataFrame, key: str, profile: KeyProfile) -> KeyProfile:
+    """The profile without the keys that no row of ``df`` has."""
+    if not profile.cells:
+        return profile
+    kind = _heavy_type(df, key)
+    heavy = df.sparkSession.createDataFrame([(k,) for k in profile.cells], T.StructType([T.StructField("__key", kind)]))
+    # Broadcast is safe: a profile holds at most SKETCH_SIZE keys.
+    found = df.select(F.col(key).alias("k")).join(F.broadcast(heavy), F.col("k") == F.col("__key")).select("__key").distinct()
+    seen = {row[0] for row in found.collect()}
+    return KeyProfile({k: n for k, n in profile.cells.items() if k in seen}, profile.null_cells)
 
 
 def _keys(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key)).filter(F.col(key).isNotNull()).distinct()
 
 
-def _nulls(df: DataFrame) -> list[Column]:
-    return [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+def _dealt(
+    left: DataFrame,
+    right: DataFrame,
+    left_on: str,
+    right_on: str,
+    how: str,
+    heavy_left: KeyProfile,
+    heavy_right: KeyProfile,
+) -> DataFrame:
+    return _meet(left, right, left_on, right_on, how, heavy_left, heavy_right).drop(*_ADDED)
 
 
-def _dealt(
+def _meet(
     left: DataFrame,
     right: DataFrame,
     left_on: str,
@@ -192,29 +212,33 @@ def _dealt(
     heavy_left: KeyProfile,
     heavy_right: KeyProfile,
 ) -> DataFrame:
-    dealt_left = _cells(left, left_on, heavy_left, heavy_right, _LEFT_CELL, _LEFT_COPY)
-    dealt_right = _cells(right, right_on, heavy_right, heavy_left, _RIGHT_CELL, _RIGHT_COPY)
+    dealt_left = _cells(left, left_on, heavy_left, heavy_right, _LEFT_CELL, _LEFT_COPY, _LEFT_COPIED)
+    dealt_right = _cells(right, right_on, heavy_right, heavy_left, _RIGHT_CELL, _RIGHT_COPY, _RIGHT_COPIED)
     meet = (
         (F.col(left_on) == F.col(right_on))
         & (F.col(_LEFT_CELL) == F.col(_RIGHT_COPY))
         & (F.col(_LEFT_COPY) == F.col(_RIGHT_CELL))
     )
-    return dealt_left.join(dealt_right, meet, how).drop(_LEFT_CELL, _LEFT_COPY, _RIGHT_CELL, _RIGHT_COPY)
+    return dealt_left.join(dealt_right, meet, how)
 
 
-def _cells(df: DataFrame, key: str, own: KeyProfile, other: KeyProfile, cell: str, copy: str) -> DataFrame:
-    """Give each row its own cell, and one copy per cell of the other side."""
+def _heavy_type(df: DataFrame, key: str) -> T.DataType:
+    kind = _kind(df, key)
+    return T.LongType() if isinstance(kind, T.IntegralType) else kind
+
+
+def _cells(df: DataFrame, key: str, own: KeyProfile, other: KeyProfile, cell: str, copy: str, copied: str) -> DataFrame:
+    """Give each row its own cell, one copy per cell of the other side, and whether there are several."""
     heavy = list(dict.fromkeys([*own.cells, *other.cells]))
     if own:
         df = df.withColumn("__row", row_hash(df))
     if not heavy:
-        return df.withColumn(cell, _null_cell(key, own)).withColumn(copy, F.lit(0)).drop("__row")
-    kind = _kind(df, key)
+        return df.withColumn(cell, _null_cell(key, own)).withColumn(copy, F.lit(0)).withColumn(copied, F.lit(False)).drop("__row")
     plan = df.sparkSession.createDataFrame(
         [(k, own.cells.get(k, 1), other.cells.get(k, 1)) for k in heavy],
         T.StructType(
             [
-                T.StructField("__key", T.LongType() if isinstance(kind, T.IntegralType) else kind),
+                T.StructField("__key", _heavy_type(df, key)),
                 T.StructField("__own", T.IntegerType()),
                 T.StructField("__other", T.IntegerType()),
             ]
@@ -226,7 +250,8 @@ def _cells(df: DataFrame, key: str, own: KeyProfile, other: KeyProfile, cell: st
     if own.cells:
         own_cell = F.when(F.col("__own").isNotNull(), F.pmod("__row", "__own").cast("int")).otherwise(own_cell)
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("__other", F.lit(1)) - 1)) if other.cells else F.lit(0)
-    return planned.withColumn(cell, own_cell).withColumn(copy, copies).drop("__row", "__key", "__own", "__other")
+    dealt = planned.withColumn(copied, F.coalesce(F.col("__other") > 1, F.lit(False)))
+    return dealt.withColumn(cell, own_cell).withColumn(copy, copies).drop("__row", "__key", "__own", "__other")
 
 
 def _null_cell(key: str, own: KeyProfile) -> Column:

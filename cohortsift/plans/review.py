@@ -19,6 +19,7 @@ from cohortsift.sources import review_log
 from cohortsift.sources.csv_report import export_csv
 from cohortsift.sources.lake import Lake
 from cohortsift.sources.review_log import ReviewLog
+from cohortsift.streaming.snapshot import FoldedLog
 
 # The columns of the reviewed files and of the decisions in a report.
 REPORT_FIELDS = (
@@ -45,16 +46,22 @@ class ReviewStore:
         self.lake = lake
         self.report_fields = tuple(report_fields)
         self.log = ReviewLog(spark, root)
+        self.job_state = FoldedLog(self.log, "job_events", folds.JOBS)
+        self.decision_state = FoldedLog(self.log, "decision_events", folds.DECISIONS)
 
     # -- jobs -----------------------------------------------------------------
 
+    def advance(self) -> None:
+        """Take what was appended lately into the snapshots, which later looks start from."""
+        self.job_state.advance()
+        self.decision_state.advance()
+
     def jobs(self) -> DataFrame:
-        return folds.review_jobs(self.log.job_events())
+        return self.job_state.now()
 
     def job(self, table_uuid: str) -> Row:
         """The one job with this key."""
-        events = self.log.job_events().filter(F.col("table_uuid") == table_uuid)
-        found = folds.review_jobs(events).first()
+        found = self.job_state.now(table_uuid).first()
         if found is None:
             raise LookupError(f"no review job {table_uuid!r}")
         return found
@@ -119,15 +126,15 @@ class ReviewStore:
         self.log.record("decision_events", [event])
 
     def decisions(self, table_uuid: str) -> DataFrame:
-        """Present decisions of one job; only its partition of the log is read."""
-        return folds.decisions(self._decision_events(table_uuid))
+        """Present decisions of one job; only its part of the snapshot and of the log is read."""
+        return self.decision_state.now(table_uuid)
 
     def comments(self, table_uuid: str) -> DataFrame:
         """All comments of one job, a row each."""
         return folds.comments(self._decision_events(table_uuid))
 
     def _decision_events(self, table_uuid: str) -> DataFrame:
-        return self.log.decision_events().filter(F.col("table_uuid") == table_uuid)
+        return self.log.events_of("decision_events", table_uuid)
 
     # -- steps ------------------------------------------------------------------
 

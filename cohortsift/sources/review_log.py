@@ -9,12 +9,14 @@ between writers: events are ordered by the instant ``at``, then by ``event_id``;
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from collections.abc import Iterable, Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,16 +62,16 @@ DECISION, REMARK = "decision", "comment"
 
 _PARTITIONS = {"job_events": [], "decision_events": ["table_uuid"]}
 _SCHEMAS = {"job_events": JOB_EVENT, "decision_events": DECISION_EVENT}
+# Keys that a partition's folder is named by as they are.
+_PLAIN_KEY = re.compile(r"[A-Za-z0-9_.-]+")
 
 
 class ReviewLog:
-    """The two event datasets below ``root``, created when absent."""
+    """The two event datasets below ``root``; one that was never appended to is empty."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
-        for name, schema in _SCHEMAS.items():
-            self._write(spark.createDataFrame([], schema).coalesce(1), name, self.root, "ignore")
 
     def job_events(self) -> DataFrame:
         return self._read("job_events")
@@ -131,7 +133,30 @@ class ReviewLog:
         df.write.mode(mode).partitionBy(*_PARTITIONS[name]).parquet(f"{root}/{name}")
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.root}/{name}")
+        return _or_empty(self.spark, self.spark.read, f"{self.root}/{name}", _SCHEMAS[name])
+
+    def events_of(self, name: str, table_uuid: str | None = None) -> DataFrame:
+        """The events of a dataset, of one job only if it is given.
+
+        Where the dataset has a folder for each job, that folder alone is listed and read.
+        """
+        if table_uuid is None:
+            return self._read(name)
+        if not _PARTITIONS[name] or not _PLAIN_KEY.fullmatch(table_uuid):
+            return self._read(name).filter(F.col("table_uuid") == table_uuid)
+        base = f"{self.root}/{name}"
+        reader = self.spark.read.option("basePath", base)
+        return _or_empty(self.spark, reader, f"{base}/table_uuid={table_uuid}", _SCHEMAS[name])
+
+
+def _or_empty(spark: SparkSession, reader: DataFrameReader, path: str, schema: T.StructType) -> DataFrame:
+    """What is stored at ``path``; no rows if there is nothing."""
+    try:
+        return reader.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def _rebalanced(events: DataFrame, name: str) -> DataFrame:

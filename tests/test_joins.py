@@ -142,6 +142,24 @@ def test_interval_keys_join_without_broadcast(spark, how):
     assert rows.count() == 400
 
 
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+def test_an_outer_join_shuffles_each_side_once(no_broadcast, sides, how, capsys):
+    left, right = sides[0].alias("l"), sides[1].alias("r")
+    join(left, right, "l.k", "r.k", how, light_rows=5).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Join") - plan.count("BroadcastHashJoin") == 1
+
+
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+def test_profiles_of_other_rows_lose_no_miss(no_broadcast, sides, how):
+    """A profile may name keys that a side does not have, or miss some it has; cells may be empty."""
+    left, right = sides[0].filter("k <> 8 or k is null").alias("l"), sides[1].filter("k <> 7 or k is null").alias("r")
+    profiles = {"left_profile": lambda: KeyProfile({8: 50, 9: 40, 5: 7, -1: 3}, 4), "right_profile": lambda: KeyProfile({7: 30, 9: 500, -1: 2}, 2)}
+    found = join(left, right, "l.k", "r.k", how, **profiles)
+    wanted = left.join(right, F.col("l.k") == F.col("r.k"), how)
+    assert spark_rows(numbered(found)) == spark_rows(numbered(wanted))
+
+
 def test_whole_tables_reach_the_dealt_join(spark, capsys):
     from cohortsift.catalogue import QUERIES
 
