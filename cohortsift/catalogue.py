@@ -23,6 +23,7 @@ from cohortsift.operators.paging import SortedPages, page, page_after, page_stat
 from cohortsift.operators.recurrence import distinct_values, run_recurrence, with_run_recurrence
 from cohortsift.operators.relational import order, project, restrict, where
 from cohortsift.operators.search import search
+from cohortsift.operators.selection import deep_page
 from cohortsift.plans.review import ReviewStore
 from cohortsift.plans.spec import MAIN, FieldSpec, FilterNode, OrderKey, StepSpec
 from cohortsift.plans.steps import StepPages, decision_report, run_step, step_page, step_relation
@@ -474,9 +475,28 @@ def page_nulls_last(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("select o_orderkey,o_totalprice from orders order by o_totalprice desc nulls last,o_orderkey limit 10 offset 2990")
 def page_deep(spark: SparkSession, folder: str) -> DataFrame:
+    """Found by rank: a sketch bounds the prices, exact counts correct it."""
+    return deep_page(_prices(spark, folder), _BY_PRICE, 300, 10, band_rows=200)
+
+
+@query(ORACLES["page_deep"])
+def page_sorted(spark: SparkSession, folder: str) -> DataFrame:
     return SortedPages.of(_prices(spark, folder), _BY_PRICE).page(300, 10)
 
 
+@query(
+    "select event_type,user_id,event_id from events order by event_type='click' desc,case when event_type='click' then user_id end desc nulls last,"
+    "event_id limit 50 offset 4950"
+)
+def page_among_ties(spark: SparkSession, folder: str) -> DataFrame:
+    """A page far in, by keys that most rows share or lack."""
+    click = F.col("event_type") == "click"
+    rows = _table(spark, folder, "events").select(
+        click.alias("first"), F.when(click, F.col("user_id")).alias("second"), "event_id", "event_type", "user_id"
+    )
+    return deep_page(rows, ["first desc", "second desc", "event_id"], 100, 50, band_rows=200).select("event_type", "user_id", "event_id")
+
+
 @query(
     "select o_orderkey,o_totalprice from (select o_orderkey,o_totalprice,count(*) over () n,"
     "row_number() over (order by o_totalprice desc nulls last,o_orderkey) r from orders) where r>((n-1)//10)*10"

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortsift.operators import paging
+from cohortsift.operators.selection import deep_page
 from cohortsift.operators.paging import SortedPages, last_page, page, page_after, page_count, show_page, turn_to
 
 ORDER = ["g desc", "x"]
@@ -91,3 +92,29 @@ def test_shallow_page_is_top_k(rows, capsys):
     page(rows, ORDER, 5, 10).explain()
     plan = capsys.readouterr().out
     assert "TakeOrderedAndProject(limit=50, offset=40" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("band_rows", [20, 200, 20_000])
+def test_deep_pages_by_rank(rows, ordered, band_rows):
+    """Ties over half the rows, NULLs and NaN: the pages of a full sort."""
+    for number, size in ((1, 10), (6, 100), (50, 7), (11, 100), (2, 501)):
+        assert ids(deep_page(rows, ORDER, number, size, band_rows)) == ordered[(number - 1) * size : number * size]
+    assert ids(deep_page(rows, ORDER, 102, 10, band_rows)) == [] == ids(deep_page(rows, ORDER, 1, 0, band_rows))
+
+
+@pytest.mark.parametrize("key", ["n desc", "d", "t desc", "p desc", "f", "b desc", "s", "one", "x desc"])
+def test_keys_of_every_kind_guide_a_deep_page(spark, key):
+    table = spark.range(700).selectExpr(
+        "case when id % 9 = 0 then null else id * 37 % 700 end n", "date_add(date'2020-01-01', cast(id * 31 % 90 as int)) d",
+        "timestamp_micros(id * 7919 % 700 * 1000003) t", "cast(id * 53 % 700 / 100 as decimal(9,2)) p", "cast(id * 17 % 50 as float) / 3 f",
+        "id % 3 = 0 b", "concat('s', id % 40) s", "1 one", "case id % 4 when 0 then double('nan') when 1 then -0.0d when 2 then double('inf') else id / 7 end x", "id",
+    )
+    for number in (1, 30, 70):
+        assert [r["id"] for r in deep_page(table, [key, "id"], number, 10, 30).collect()] == [r["id"] for r in page(table, [key, "id"], number, 10).collect()]
+
+
+def test_a_deep_page_writes_nothing_and_narrows(rows, monkeypatch, capsys):
+    monkeypatch.setattr(paging, "write_in_order", lambda *a: pytest.fail("a page was written"))
+    deep_page(rows, ["n"], 60, 10, 20).explain()
+    plan = capsys.readouterr().out
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan and "n#" in plan and ">= " in plan
