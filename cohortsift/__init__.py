@@ -9,16 +9,19 @@ from cohortsift.operators.joins import join
 from cohortsift.operators.paging import PageView, SortedPages, page, page_after, page_stats, show_page
 from cohortsift.operators.recurrence import distinct_values, run_recurrence, with_run_recurrence
 from cohortsift.operators.search import search
+from cohortsift.operators.selection import deep_page
 from cohortsift.plans.review import ReviewStore
 from cohortsift.plans.spec import FieldSpec, FilterNode, JoinSpec, OrderKey, StepSpec, TableRef
 from cohortsift.plans.steps import StepPages, run_step, step_page, step_relation
 from cohortsift.sources.csv_report import export_csv
 from cohortsift.sources.lake import Lake, scan_files
 from cohortsift.sources.methods import load_method, read_methods
+from cohortsift.streaming.snapshot import FoldedLog
 
 __all__ = [
     "FieldSpec",
     "FilterNode",
+    "FoldedLog",
     "JoinSpec",
     "Lake",
     "OrderKey",
@@ -28,6 +31,7 @@ __all__ = [
     "StepPages",
     "StepSpec",
     "TableRef",
+    "deep_page",
     "distinct_values",
     "export_csv",
     "join",
