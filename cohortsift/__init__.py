@@ -13,12 +13,14 @@ from cohortsift.operators.selection import deep_page
 from cohortsift.plans.review import ReviewStore
 from cohortsift.plans.spec import FieldSpec, FilterNode, JoinSpec, OrderKey, StepSpec, TableRef
 from cohortsift.plans.steps import StepPages, run_step, step_page, step_relation
+from cohortsift.sources.cohort import Cohort
 from cohortsift.sources.csv_report import export_csv
 from cohortsift.sources.lake import Lake, scan_files
 from cohortsift.sources.methods import load_method, read_methods
 from cohortsift.streaming.snapshot import FoldedLog
 
 __all__ = [
+    "Cohort",
     "FieldSpec",
     "FilterNode",
     "FoldedLog",

@@ -28,6 +28,7 @@ from cohortsift.plans.review import ReviewStore
 from cohortsift.plans.spec import MAIN, FieldSpec, FilterNode, OrderKey, StepSpec
 from cohortsift.plans.steps import StepPages, decision_report, run_step, step_page, step_relation
 from cohortsift.session import new_shared_path
+from cohortsift.sources.cohort import Cohort
 from cohortsift.sources.csv_report import export_csv
 from cohortsift.sources.lake import Lake, scan_files
 from cohortsift.sources.methods import load_method, read_methods
@@ -576,6 +577,36 @@ def recurrence_joined(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("main_table.l_orderkey", "agg.var_count", "rec.run_recurr")
 
 
+def _kept(spark: SparkSession, folder: str, sample: Column) -> Cohort:
+    """The calls taken into a cohort in three runs."""
+    calls = _table(spark, folder, "lineitem").select(sample.alias("sn"), "l_partkey", "l_returnflag")
+    rules = {"var_count": "l_returnflag = 'R'", "ref_count": "l_returnflag <> 'R'"}
+    cohort = Cohort.create(spark, new_shared_path(spark, "cohort"), calls, "sn", "l_partkey", rules, buckets=8)
+    for run, flag in (("returned", F.col("l_returnflag") == "R"), ("accepted", F.col("l_returnflag") == "A")):
+        cohort.add(run, calls.filter(flag))
+    cohort.add("others", calls.filter("coalesce(l_returnflag, '') not in ('R', 'A')"))
+    return cohort
+
+
+@query(ORACLES["recurrence"])
+def cohort_recurrence(spark: SparkSession, folder: str) -> DataFrame:
+    return _kept(spark, folder, F.nullif("l_suppkey", F.lit(5))).recurrence(name="rr")
+
+
+@query("select distinct nullif(l_suppkey,5) sn,l_partkey from lineitem")
+def cohort_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return _kept(spark, folder, F.nullif("l_suppkey", F.lit(5))).pairs()
+
+
+@query(
+    f"select m.l_orderkey,m.l_linenumber,agg.var_count,agg.ref_count,agg.total_count,rec.run_recurr {_STEP_FROM} "
+    "join (select l_partkey,count(distinct l_suppkey) run_recurr from lineitem group by 1) rec on rec.l_partkey=m.l_partkey"
+)
+def cohort_joined(spark: SparkSession, folder: str) -> DataFrame:
+    calls = _table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return _kept(spark, folder, F.col("l_suppkey")).joined(calls, "l_partkey").drop("l_partkey")
+
+
 # -- search, display and checks ------------------------------------------------------
 
 
