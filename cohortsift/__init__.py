@@ -16,6 +16,7 @@ from cohortsift.plans.steps import StepPages, run_step, step_page, step_relation
 from cohortsift.sources.cohort import Cohort
 from cohortsift.sources.csv_report import export_csv
 from cohortsift.sources.lake import Lake, scan_files
+from cohortsift.sources.manifest import Manifest
 from cohortsift.sources.methods import load_method, read_methods
 from cohortsift.streaming.snapshot import FoldedLog
 
@@ -26,6 +27,7 @@ __all__ = [
     "FoldedLog",
     "JoinSpec",
     "Lake",
+    "Manifest",
     "OrderKey",
     "PageView",
     "ReviewStore",

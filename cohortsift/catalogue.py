@@ -7,6 +7,7 @@ review log. Each query reads whole tables.
 
 from __future__ import annotations
 
+import datetime
 import json
 from collections.abc import Callable
 
@@ -31,6 +32,7 @@ from cohortsift.session import new_shared_path
 from cohortsift.sources.cohort import Cohort
 from cohortsift.sources.csv_report import export_csv
 from cohortsift.sources.lake import Lake, scan_files
+from cohortsift.sources.manifest import Manifest
 from cohortsift.sources.methods import load_method, read_methods
 from cohortsift.sources.review_log import COMPLETED, CREATED, DECISION, DELETED, REMARK, STEP, ReviewLog
 from cohortsift.streaming.snapshot import FoldedLog
@@ -973,6 +975,31 @@ def multi_file_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_files(spark, [first, second])
 
 
+@query("select o_orderkey,o_orderdate,o_totalprice from orders where o_orderdate between '1994-06-15' and '1995-03-01'")
+def manifest_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders in a folder for each year, of which a range of days reads two."""
+    orders, years = _table(spark, folder, "orders"), new_shared_path(spark, "years")
+    by_year = orders.withColumn("year", F.year("o_orderdate")).repartition("year")
+    by_year.write.partitionBy("year").parquet(years)
+    manifest = Manifest(spark, new_shared_path(spark, "manifest"))
+    manifest.take([years])
+    days = {"o_orderdate": (datetime.datetime(1994, 6, 15), datetime.datetime(1995, 3, 1))}
+    return manifest.scan([years], days).select("o_orderkey", "o_orderdate", "o_totalprice")
+
+
+@query("select case when o_orderstatus='F' then 'final' else 'open' end part,count(*) n from orders group by 1")
+def manifest_counts(spark: SparkSession, folder: str) -> DataFrame:
+    orders, runs = _table(spark, folder, "orders"), new_shared_path(spark, "runs")
+    final = F.coalesce(F.col("o_orderstatus") == "F", F.lit(False))
+    names = [f"{runs}/final.parquet", f"{runs}/open.parquet"]
+    orders.filter(final).write.parquet(names[0])
+    orders.filter(~final).write.parquet(names[1])
+    manifest = Manifest(spark, new_shared_path(spark, "manifest"))
+    manifest.take(names)
+    part = F.regexp_extract("name", r"(\w+)\.parquet$", 1).alias("part")
+    return manifest.counts(names).select(part, F.col("rows").alias("n"))
+
+
 @query("select n_name,r_name from nation join region on n_regionkey=r_regionkey")
 def catalog_scan(spark: SparkSession, folder: str) -> DataFrame:
     _table(spark, folder, "region").createOrReplaceTempView("regions_of_the_lake")

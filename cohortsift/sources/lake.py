@@ -6,6 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from pyspark.sql import types as T
 from cohortsift.functions.sqltext import quoted
 from cohortsift.plans.spec import MAIN, TableRef
 
+if TYPE_CHECKING:
+    from cohortsift.sources.manifest import Manifest
+
 _PATH_LITERAL = re.compile(r"^'((?:[^']|'')*)'$")
 _READ_CALL = re.compile(r"^read_parquet\(\s*\[(.*)\]\s*\)$", re.IGNORECASE | re.DOTALL)
 _LIST_ITEM = re.compile(r"'((?:[^']|'')*)'")
@@ -35,7 +39,13 @@ def scan_files(spark: SparkSession, files: Sequence[str], schema: T.StructType |
     if schema is not None:
         return spark.read.schema(schema).parquet(*files)
     schemas = _footers(spark, files)
-    wanted = schemas[files[0]]
+    return united(spark, files, schemas, schemas[files[0]])
+
+
+def united(
+    spark: SparkSession, files: Sequence[str], schemas: Mapping[str, T.StructType], wanted: T.StructType
+) -> DataFrame:
+    """The rows of files whose schemas are known, under the columns of ``wanted``."""
     groups: dict[tuple[str, ...], list[str]] = {}
     stored: dict[tuple[str, ...], T.StructType] = {}
     for file in files:
@@ -73,8 +83,9 @@ def _match(file: str, wanted: T.StructType, found: T.StructType) -> T.StructType
 class Lake:
     """Finds the tables a step names: below ``root``, in ``tables`` or the catalog.
 
-    ``schemas`` declares the columns of files by the name they are asked for. A root
-    that is not there shows when a table below it is read.
+    ``schemas`` declares the columns of files by the name they are asked for; of others a
+    ``manifest`` knows them, or their footers are read. A root that is not there shows when a
+    table below it is read.
     """
 
     def __init__(
@@ -83,8 +94,10 @@ class Lake:
         root: str | None = None,
         tables: Mapping[str, DataFrame] | None = None,
         schemas: Mapping[str, str] | None = None,
+        manifest: Manifest | None = None,
     ) -> None:
         self.spark = spark
+        self.manifest = manifest
         self.root = root
         self.tables = dict(tables or {})
         self.schemas = dict(schemas or {})
@@ -131,7 +144,10 @@ class Lake:
             same = [p.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in first.fields]) for p in parts]
             return reduce(DataFrame.unionByName, same)
         schema = declared[0] if len(declared) == 1 else None
-        return scan_files(self.spark, [self.path(name) for name in names], schema)
+        files = [self.path(name) for name in names]
+        if schema is None and self.manifest is not None:
+            return self.manifest.scan(files)
+        return scan_files(self.spark, files, schema)
 
 
 def _unquote(text: str) -> str:
