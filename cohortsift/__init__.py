@@ -18,6 +18,7 @@ from cohortsift.sources.csv_report import export_csv
 from cohortsift.sources.lake import Lake, scan_files
 from cohortsift.sources.manifest import Manifest
 from cohortsift.sources.methods import load_method, read_methods
+from cohortsift.sources.search_index import SearchIndex
 from cohortsift.streaming.snapshot import FoldedLog
 
 __all__ = [
@@ -31,6 +32,7 @@ __all__ = [
     "OrderKey",
     "PageView",
     "ReviewStore",
+    "SearchIndex",
     "SortedPages",
     "StepPages",
     "StepSpec",

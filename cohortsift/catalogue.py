@@ -35,6 +35,7 @@ from cohortsift.sources.lake import Lake, scan_files
 from cohortsift.sources.manifest import Manifest
 from cohortsift.sources.methods import load_method, read_methods
 from cohortsift.sources.review_log import COMPLETED, CREATED, DECISION, DELETED, REMARK, STEP, ReviewLog
+from cohortsift.sources.search_index import SearchIndex
 from cohortsift.streaming.snapshot import FoldedLog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -612,6 +613,18 @@ def cohort_joined(spark: SparkSession, folder: str) -> DataFrame:
 # -- search, display and checks ------------------------------------------------------
 
 
+@query("select o_orderkey from orders where strftime(o_orderdate,'%d/%m/%Y %H:%M:%S') like '%11/1995%'")
+def search_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders in a folder for each year, of which those that cannot hold the text are not read."""
+    years = new_shared_path(spark, "years")
+    by_year = _table(spark, folder, "orders").withColumn("year", F.year("o_orderdate")).repartition("year")
+    by_year.write.partitionBy("year").parquet(years)
+    orders = spark.read.schema(f"{SCHEMAS['orders']}, year int").parquet(years)
+    index = SearchIndex(spark, new_shared_path(spark, "index"))
+    index.take(orders, ["o_orderdate"])
+    return index.search(orders, "11/1995", ["o_orderdate"]).select("o_orderkey")
+
+
 @query(
     "select s_suppkey,s_name from supplier where contains(lower(cast(s_suppkey as varchar)),'1') "
     "or contains(lower(s_name),'1') or contains(lower(cast(s_nationkey as varchar)),'1') "
