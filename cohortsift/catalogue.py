@@ -610,6 +610,26 @@ def cohort_joined(spark: SparkSession, folder: str) -> DataFrame:
     return _kept(spark, folder, F.col("l_suppkey")).joined(calls, "l_partkey").drop("l_partkey")
 
 
+_DIALECT = [
+    "strftime(o_orderdate, '%Y-%m') = '1995-11'",
+    "regexp_matches(o_orderpriority, '^[12]') or list_contains(string_split(o_orderpriority, '-'), 'LOW')",
+    "not suffix(o_orderpriority, 'H')",
+]
+
+
+@query(f"select o_orderkey from orders where {' and '.join(f'({text})' for text in _DIALECT)}")
+def filter_dialect(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf text with functions Spark does not have: the same text as the SQL."""
+    spec = StepSpec.from_json(
+        {
+            "tables": [],
+            "fields": [{"name": "o_orderkey", "table": MAIN}],
+            "filters": {"$and": [{"expression": text} for text in _DIALECT]},
+        }
+    )
+    return run_step(spec, _lake(spark, folder), ["orders.parquet"])
+
+
 # -- search, display and checks ------------------------------------------------------
 
 

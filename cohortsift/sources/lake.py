@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortsift.functions.dialect import register
 from cohortsift.functions.sqltext import quoted
 from cohortsift.plans.spec import MAIN, TableRef
 
@@ -96,6 +97,7 @@ class Lake:
         schemas: Mapping[str, str] | None = None,
         manifest: Manifest | None = None,
     ) -> None:
+        register(spark)
         self.spark = spark
         self.manifest = manifest
         self.root = root
