@@ -2,8 +2,8 @@
 
 Plain identifiers are found in the source itself (``base_spans``). Then a chain of
 transducers rewrites the text and keeps for every piece where it came from: look-alike
-characters become ASCII and invisible ones vanish, spelled digits become digits, and
-``(at)``, `` at ``, ``(dot)``, `` dot `` and ``plus`` become signs. Identifiers found in
+characters become ASCII and invisible ones vanish, spelled digits and numbers become digits, and
+``(at)``, `` at ``, ``(dot)``, `` dot ``, ``plus`` and the like become signs. Identifiers found in
 the rewritten text are mapped back to the characters they came from. Such a span is
 added if it uses a rewritten piece and reaches beyond the spans of its kind that it meets;
 those that are plain stay beside it.
@@ -100,12 +100,32 @@ def base_spans(text: str) -> list[Span]:
 
 # Cyrillic and Greek letters that look like Latin ones.
 _ALIKE = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅαοενικρτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqwABEKMHOPCTYXIJSaoevikptuABEZHIKMNOPTYX", strict=True))
-# Signs in other widths or shapes.
-_ALIKE |= {"＠": "@", "﹫": "@", "．": ".", "。": ".", "․": ".", "＋": "+", "‐": "-", "‑": "-", "–": "-", "−": "-", "\xa0": " "}
-_INVISIBLE = "​‌‍⁠﻿\xad"
-for _start in (0xFF10, 0xFF21, 0xFF41, 0x0660, 0x06F0, 0x0966, 0x1D7CE):  # digits and letters of other widths and scripts
-    for _code in range(_start, _start + (26 if _start in (0xFF21, 0xFF41) else 10)):
-        _ALIKE[chr(_code)] = unicodedata.normalize("NFKC", chr(_code)) if _start in (0xFF21, 0xFF41) else str(unicodedata.digit(chr(_code)))
+# Letters of other scripts and of phonetic alphabets that look like Latin ones.
+_ALIKE |= dict(zip("кмтгвпзԍӏүɑɡıɩοᴏⅼօսցհոքᎪᏴᏟᎬᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃ", "kmtrbn3gly" "agiiool" "oughnq" "ABCEHJKLMPSTVWZ", strict=True))
+# Signs in other shapes that have no ASCII form of their own.
+_ALIKE |= {"。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "\xa0": " "}
+#: Kinds of compatibility forms that are their character in another shape; raised, lowered and joined ones are not.
+_SHAPES = {"<font>", "<wide>", "<narrow>", "<circle>", "<square>", "<small>", "<compat>"}
+_PLAIN = re.compile(r"[A-Za-z0-9@.+-]")
+
+
+def _known_shape(char: str) -> str | None:
+    """What a character is another shape of: an ASCII letter, digit or sign, or nothing if it can't be seen."""
+    if unicodedata.category(char) == "Cf" or "\ufe00" <= char <= "\ufe0f" or char == "\u034f":
+        return ""
+    digit = unicodedata.decimal(char, None)
+    if digit is not None:
+        return str(digit)
+    form = unicodedata.decomposition(char).split(" ", 1)
+    if form[0] in _SHAPES:
+        plain = unicodedata.normalize("NFKC", char)
+        return plain if _PLAIN.fullmatch(plain) else None
+    return None
+
+
+for _char in map(chr, range(0x80, 0x20000)):
+    if _char not in _ALIKE and (_shape := _known_shape(_char)) is not None:
+        _ALIKE[_char] = _shape
 
 # Digits as words in English, German, French and Spanish.
 _WORDS = {
@@ -115,19 +135,64 @@ _WORDS = {
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
 
-_ALIKE_RUN = re.compile("[" + re.escape("".join(_ALIKE) + _INVISIBLE) + "]")
-_WORD = "|".join(sorted(_WORDS, key=len, reverse=True))
+# Numbers below a hundred as words, and words that repeat the digit after them.
+_TEENS = {"ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19}
+_TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
+_TIMES = {"double": 2, "triple": 3, "treble": 3, "doppel": 2, "doble": 2}
+
+_ALIKE_RUN = re.compile("[" + re.escape("".join(_ALIKE)) + "]")
+
+
+def _any_of(words: Iterable[str]) -> str:
+    return "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
+
+
+_NUMBER = rf"(?:(?:{_any_of(_TIMES)}[ -])?{_any_of(_WORDS)}|{_any_of(_TEENS)}|{_any_of(_TENS)})(?!\w)"
 #: Words for digits that follow each other are one number.
-_SPELLED = re.compile(rf"(?i)(?<!\w)(?:{_WORD})(?:[ -](?:{_WORD}))*(?!\w)")
+_SPELLED = re.compile(rf"(?i)(?<!\w){_NUMBER}(?:[ -]{_NUMBER})*")
+_DIGIT_WORDS = frozenset({*_WORDS, *_TEENS, *_TENS})
 _RUN = re.compile(r"\w+")
 _FOLDED = str.maketrans("ſİı", "sii")
+# At and dot as words in several languages. The first of each are also read between blanks.
+_AT_SAID, _AT_WORDS = ("at", "arroba", "arobase", "chiocciola", "klammeraffe", "aet"), ("ät", "a", "@")
+_DOT_SAID, _DOT_WORDS = ("dot", "punkt", "punto", "point", "ponto", "punt"), (r"\.",)
+
+
+def _bracketed(words: Iterable[str]) -> str:
+    return rf"[ ]?[\[({{<][ ]?{_any_of(words)}[ ]?[\])}}>][ ]?"
+
+
+#: What parts the labels of a domain after "at", a common word, and after the other signs.
+_STRICT = rf"(?:{_bracketed((*_DOT_SAID, *_DOT_WORDS))}|[ ]dot[ ]|\.)"
+_LOOSE = rf"(?:{_bracketed((*_DOT_SAID, *_DOT_WORDS))}|[ ]{_any_of(_DOT_SAID)}[ ]|[ ]\.[ ]|\.)"
+_THEN = r"(?=[a-z0-9-]++{}[a-z]{{2}})"
+#: What stands for the sign of an address; before a label and a dot unless its brackets leave no doubt.
 _AT = re.compile(
-    r"(?i)[ ]?[\[({<][ ]?at[ ]?[\])}>][ ]?"
-    r"|(?<=[a-z0-9])[ ]at[ ](?=[a-z0-9-]+(?:[ ]dot[ ]|[ ]?[\[({<][ ]?dot[ ]?[\])}>][ ]?|\.)[a-z]{2})"
+    rf"(?i){_bracketed(('at',))}|(?<=[a-z0-9])(?:[ ]at[ ]{_THEN.format(_STRICT)}"
+    rf"|(?:{_bracketed((*_AT_SAID, *_AT_WORDS))}|[ ]{_any_of(_AT_SAID[1:])}[ ]|[ ]@[ ]?|@[ ]){_THEN.format(_LOOSE)})"
 )
-_DOT = re.compile(r"(?i)[ ]?[\[({<][ ]?(?:dot|punkt|punto|point)[ ]?[\])}>][ ]?|(?<=[a-z0-9])[ ]dot[ ](?=[a-z0-9])")
+_LABEL = re.compile(r"(?i)[a-z0-9-]++")
+_NEXT_STRICT, _NEXT_LOOSE = (re.compile(rf"(?i){stop}(?=[a-z0-9-])") for stop in (_STRICT, _LOOSE))
+_DOT = re.compile(rf"(?i){_bracketed((*_DOT_SAID, *_DOT_WORDS))}|(?<=[a-z0-9])[ ]dot[ ](?=[a-z0-9])")
 _PLUS = re.compile(r"(?i)(?<!\w)plus[ ](?=[0-9])")
-_BRACKETED = re.compile(r"(?i)[\[({<][ ]?(?:at|dot|punkt|punto|point)[ ]?[\])}>]")
+_BRACKETED = re.compile(r"(?i)[\[({<][ ]?" + _any_of((*_AT_SAID, *_AT_WORDS, *_DOT_SAID, *_DOT_WORDS)) + r"[ ]?[\])}>]")
+_SAID = re.compile(rf"(?i)[ ]{_any_of(_AT_SAID)}[ ]|[ ]@|@[ ]")
+#: An edit of a text: where it starts and ends, and what stands there instead.
+Edit = tuple[int, int, str]
+
+
+def _addresses(text: str) -> Iterator[Edit]:
+    """The signs of addresses, and the dots of the domain after each."""
+    done = 0
+    while sign := _AT.search(text, done):
+        yield sign.start(), sign.end(), "@"
+        done = sign.end()
+        stops = _NEXT_STRICT if sign[0].lower() == " at " else _NEXT_LOOSE
+        while (label := _LABEL.match(text, done)) and (stop := stops.match(text, label.end())):
+            if stop[0] != ".":
+                yield stop.start(), stop.end(), "."
+            done = stop.end()
+
 
 #: Of each piece of a rewritten text: its start there, its start and end in the source, and whether it was rewritten.
 Piece = tuple[int, int, int, bool]
@@ -163,6 +228,10 @@ class Rewritten:
 
     def rewrite(self, pattern: re.Pattern, becomes: Callable[[re.Match], str]) -> Rewritten:
         """Every match of the pattern replaced."""
+        return self.edited((m.start(), m.end(), becomes(m)) for m in pattern.finditer(self.text))
+
+    def edited(self, edits: Iterable[Edit]) -> Rewritten:
+        """Every edit made; they come in order and do not overlap."""
         out, pieces, done, at = [], [], 0, 0
 
         def keep(a: int, b: int) -> None:
@@ -172,20 +241,22 @@ class Rewritten:
                 at += n
             out.append(self.text[a:b])
 
-        for m in pattern.finditer(self.text):
-            keep(done, m.start())
-            s, e, _ = self.source(m.start(), m.end())
-            new = becomes(m)
+        for start, end, new in edits:
+            keep(done, start)
+            s, e, _ = self.source(start, end)
             pieces.append((at, s, e, True))
             out.append(new)
             at += len(new)
-            done = m.end()
+            done = end
         if not pieces:
             return self
         keep(done, len(self.text))
         return Rewritten("".join(out), pieces)
 
 
+_LATIN_SIGNS = tuple(c for c in map(chr, range(0x80, 0x100)) if c in _ALIKE)
+
+
 def _may_look_alike(text: str) -> bool:
     if text.isascii():
         return False
@@ -193,7 +264,7 @@ def _may_look_alike(text: str) -> bool:
         text.encode("latin-1")
     except UnicodeEncodeError:
         return _ALIKE_RUN.search(text) is not None
-    return "\xa0" in text or "\xad" in text
+    return any(sign in text for sign in _LATIN_SIGNS)
 
 
 def _lower(text: str) -> str:
@@ -203,7 +274,27 @@ def _lower(text: str) -> str:
 
 def _may_be_spelled(lower: str) -> bool:
     """Whether a digit stands there as a word, between any characters that are not of words."""
-    return not _WORDS.keys().isdisjoint(_RUN.findall(lower))
+    return not _DIGIT_WORDS.isdisjoint(_RUN.findall(lower))
+
+
+def _digits_of(match: re.Match) -> str:
+    """The digits of words for them: tens take the digit after them in, and some words repeat it."""
+    out: list[str] = []
+    times, tens = 1, False
+    for word in re.split("[ -]", _lower(match[0])):
+        if word in _WORDS:
+            digit = str(_WORDS[word])
+            if tens and digit != "0":
+                out[-1] = out[-1][0] + digit
+            else:
+                out.append(digit * times)
+            times, tens = 1, False
+        elif word in _TIMES:
+            times, tens = _TIMES[word], False
+        else:
+            out.append(str(_TEENS.get(word) or _TENS[word]))
+            times, tens = 1, word in _TENS
+    return "".join(out)
 
 
 def rewritten(text: str) -> Rewritten:
@@ -213,9 +304,12 @@ def rewritten(text: str) -> Rewritten:
         plain = plain.rewrite(_ALIKE_RUN, lambda m: _ALIKE.get(m[0], ""))
     lower = _lower(plain.text)
     if _may_be_spelled(lower):
-        plain = plain.rewrite(_SPELLED, lambda m: "".join(str(_WORDS[w]) for w in re.split("[ -]", _lower(m[0]))))
-    if " dot " in lower or " at " in lower and "." in lower and _AT.search(plain.text) or any(b in lower for b in "[({<") and _BRACKETED.search(lower):
-        plain = plain.rewrite(_AT, lambda m: "@").rewrite(_DOT, lambda m: ".")
+        plain = plain.rewrite(_SPELLED, _digits_of)
+    bracketed = any(b in lower for b in "[({<") and _BRACKETED.search(lower) is not None
+    if bracketed or _SAID.search(lower):
+        plain = plain.edited(_addresses(plain.text))
+    if bracketed or " dot " in lower:
+        plain = plain.rewrite(_DOT, lambda m: ".")
     return plain.rewrite(_PLUS, lambda m: "+") if "plus " in lower else plain
 
 

@@ -1,5 +1,6 @@
 """Personal data, language and toxicity."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -44,7 +45,8 @@ def test_plain_spans_are_the_patterns():
         assert pii.base_spans(text) == plain(text)
 
 
-@pytest.mark.parametrize("text", ["1" * 200_000, "a" * 200_000, "a.b@" * 50_000, "1.1." * 50_000, "+1(" * 60_000, "1 2-" * 50_000])
+@pytest.mark.parametrize("text", ["1" * 200_000, "a" * 200_000, "a.b@" * 50_000, "1.1." * 50_000, "+1(" * 60_000, "1 2-" * 50_000,
+    "a at b dot " * 30_000, "dot at " * 50_000, "a@ b . " * 40_000, "(a) b." * 40_000, "double " * 40_000, "forty " * 40_000, "\u200b" * 200_000])
 def test_long_runs_are_read_in_linear_time(text):
     pii.all_spans(text)
 
@@ -60,6 +62,16 @@ def test_long_runs_are_read_in_linear_time(text):
         ("call plus four nine one seven one one two three four five six seven", "phone", "plus four nine one seven one one two three four five six seven"),
         ("４１１１ １１１１ １１１１ １１１１!", "card", "４１１１ １１１１ １１１１ １１１１"),
         ("at one nine two dot one six eight dot one dot one", "ip", "one nine two dot one six eight dot one dot one"),
+        ("call +\U0001d7e6\U0001d7eb \U0001d7e3\U0001d7e9\U0001d7e3 \U0001d7e3\U0001d7e4\U0001d7e5\U0001d7e6\U0001d7e7\U0001d7e8\U0001d7e9 now", "phone", "+\U0001d7e6\U0001d7eb \U0001d7e3\U0001d7e9\U0001d7e3 \U0001d7e3\U0001d7e4\U0001d7e5\U0001d7e6\U0001d7e7\U0001d7e8\U0001d7e9"),
+        ("host 192[.]168[.]1[.]1 is", "ip", "192[.]168[.]1[.]1"),
+        ("mail john@example[.]com x", "email", "john@example[.]com"),
+        ("ana arroba ejemplo punto com", "email", "ana arroba ejemplo punto com"),
+        ("jean arobase exemple point fr, merci", "email", "jean arobase exemple point fr"),
+        ("joe[\xe4t]mail.example.com", "email", "joe[\xe4t]mail.example.com"),
+        ("so joe(a)example(punkt)de now", "email", "joe(a)example(punkt)de"),
+        ("john @ example . com", "email", "john @ example . com"),
+        ("call plus four nine double one seven triple two three four five", "phone", "plus four nine double one seven triple two three four five"),
+        ("call plus forty nine one seven eleven two three four five six", "phone", "plus forty nine one seven eleven two three four five six"),
     ],
 )
 def test_disguises_map_back_to_the_source(text, kind, source):
@@ -74,6 +86,8 @@ def test_disguises_map_back_to_the_source(text, kind, source):
         ("email", "p\u0430ul.smith@example.com", "ul.smith@example.com"),
         ("email", "john@example.c\u043em", "john@example.c"),
         ("email", "jo\u200bhn@example.com", "hn@example.com"),
+        ("email", "\U0001d423ohn@example.com", "ohn@example.com"),
+        ("email", "\u24d9ohn@example.com", "ohn@example.com"),
         ("email", "ann@mail.example.com (dot) au", "ann@mail.example.com"),
         ("phone", "+49 171 123456\uff17", "+49 171 123456"),
     ],
@@ -99,7 +113,8 @@ def test_spelled_digits_touch_any_sign(kind, text):
     assert (kind, text.strip("()")) in alone and alone == [(k, beside[a:b]) for k, a, b in pii.all_spans(beside)[1]]
 
 
-@pytest.mark.parametrize("text", ["look at the dot", "meet me at noon. dot the i", "one two three", "un un un", "at 5 dot", "", "Arbeit (at) home"])
+@pytest.mark.parametrize("text", ["look at the dot", "meet me at noon. dot the i", "one two three", "un un un", "at 5 dot", "", "Arbeit (at) home",
+    "look at this point in time", "we met at noon . The rest", "see 5 (a) the rule. it", "Ann @ home. com on", "forty nine, twenty twenty", "2\xb73\xb75\xb77", "x\xb2"])
 def test_ordinary_text_is_left_alone(text):
     assert pii.all_spans(text) == ([], []) and pii.redact(text) == text
 
@@ -196,3 +211,30 @@ def test_label_model_trusts_good_voters():
     label = truth ^ (draw.random(2000) < 0.03)
     q = toxicity.label_model(np.hstack([good, noise]), label)
     assert ((q > 0.5) == truth).mean() > (label == truth).mean()
+
+
+@pytest.mark.parametrize(("tens", "digits"), [("forty nine", "49"), ("twenty twenty", "2020"), ("double two", "22"), ("ninety zero", "900"), ("nineteen-nine", "199"), ("double", None), ("forty double nine", "4099")])
+def test_numbers_as_words(tens, digits):
+    assert pii.rewritten(tens).text == (digits or tens)
+
+
+def test_every_ascii_letter_and_digit_is_known_in_other_shapes():
+    styles = [0x1D400, 0x1D434, 0x1D468, 0x1D4D0, 0x1D56C, 0x1D5A0, 0x1D5D4, 0x1D608, 0x1D63C, 0x1D670, 0xFF21, 0x24B6]
+    for start in styles:
+        assert "".join(pii._ALIKE[chr(start + k)] for k in range(26)) == "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for start in (0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6, 0xFF10, 0x0660, 0x0966):
+        assert "".join(pii._ALIKE[chr(start + k)] for k in range(10)) == "0123456789"
+
+
+def test_the_query_is_the_patterns_over_whole_texts(spark):
+    """Counts and hash of every document against the patterns as they stand."""
+    rows = {r["doc_id"]: r for r in QUERIES["op1_personal_data"](spark, SMALL).collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(docs)
+    for doc in docs:
+        spans = plain(doc["text"] or "")
+        row = rows[doc["doc_id"]]
+        assert [row[f"n_{kind}"] for kind in PATTERNS] == [sum(s[0] == kind for s in spans) for kind in PATTERNS]
+        said = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert row["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert set(said.split(",")) <= set(row["spans"].split(","))
