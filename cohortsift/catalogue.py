@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortsift.functions.checks import job_is_complete, valid_name
 from cohortsift.functions.display import display, joined, path_stems
-from cohortsift.operators import folds
+from cohortsift.operators import causal, folds
 from cohortsift.operators.joins import join
 from cohortsift.operators.numbering import number_rows
 from cohortsift.operators.paging import SortedPages, page, page_after, page_stats, show_page
@@ -757,6 +757,50 @@ def latest_state(spark: SparkSession, folder: str) -> DataFrame:
     return now.select(F.col("validation_hash").alias("user_id"), F.col("run_name").alias("last_type"))
 
 
+def _at_once(spark: SparkSession, folder: str) -> DataFrame:
+    """``events`` read as decisions of three writers, each of whom knows the others' up to 500 events ago."""
+    writer, turn = F.concat(F.lit("w"), F.col("event_id") % 3), F.col("event_id").cast("bigint")
+    others = [F.concat(F.lit("w"), (F.col("event_id") + k) % 3) for k in (1, 2)]
+    seen = F.create_map(others[0], turn - 500, others[1], turn - 500)
+    table = _table(spark, folder, "events")
+    told = table.select(
+        F.lpad(F.col("event_id").cast("string"), 20, "0").alias("event_id"),
+        F.col("ts").cast("timestamp").alias("at"),
+        "ts",
+        F.lit(DECISION).alias("kind"),
+        F.col("user_id").alias("validation_hash"),
+        *[F.lit(None).cast("string").alias(c) for c in ("sample_name", "run_name", "transcript_ID")],
+        (F.col("value") > 20).alias("accepted"),
+        F.array("event_type").alias("tags"),
+        *[x.alias(c) for x, c in ((writer, "writer"), (turn, "turn"), (seen, "seen"))],
+        F.lit("validation_events").alias("table_uuid"),
+    )
+    return causal.heads(told)
+
+
+_AT_ONCE = (
+    "with e as (select user_id h,event_id t,event_id%3 w,ts,value>20 acc,event_type tag from events),"
+    "last as (select * from e qualify row_number() over (partition by h,w order by t desc)=1),"
+    "heads as (select * from last l where not exists (select 1 from e f where f.h is not distinct from l.h and f.w<>l.w and f.t-500>=l.t)),"
+    "found as (select h,count(*) heads,count(distinct coalesce(cast(acc as varchar),'-')||coalesce(tag,'-'))>1 conflicting,"
+    "max_by(tag,row(ts,t)) tag from heads group by h) "
+)
+
+
+@query(_AT_ONCE + "select h user_id,heads,conflicting,tag from found")
+def decisions_settled(spark: SparkSession, folder: str) -> DataFrame:
+    """What stands of each user's decisions by who knew of which, and whether some made at once differ."""
+    now = causal.settled(_at_once(spark, folder))
+    return now.select(F.col("validation_hash").alias("user_id"), "heads", "conflicting", F.col("tags")[0].alias("tag"))
+
+
+@query(_AT_ONCE + "select h user_id,'w'||w writer,t turn,acc accepted from heads where h in (select h from found where conflicting)")
+def decision_conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    """The decisions made at once that differ, a row each."""
+    apart = causal.conflicts(_at_once(spark, folder))
+    return apart.select(F.col("validation_hash").alias("user_id"), "writer", "turn", "accepted")
+
+
 @query(
     "select user_id validation_hash,props comment,lpad(cast(event_id as varchar),20,'0') event_id,"
     "cast(row_number() over (partition by user_id order by ts,event_id) as bigint) turn from events where event_type<>'click'"

@@ -38,9 +38,12 @@ class Fold:
     parts: Callable[[DataFrame], dict[str, Column]]
     merges: dict[str, Callable[[str], Column]]
     present: Callable[[DataFrame], DataFrame]
+    #: The rows an event counts as, where it counts for more keys than its own.
+    spread: Callable[[DataFrame], DataFrame] | None = None
 
     def of(self, events: DataFrame) -> DataFrame:
         """The state the events add up to, a row for each key."""
+        events = events if self.spread is None else self.spread(events)
         shares = self.parts(events)
         return self.merged(events.select(*self.keys, *(share.alias(name) for name, share in shares.items())))
 
@@ -88,17 +91,17 @@ JOBS = Fold(
     _jobs_now,
 )
 
-_VERDICT = ("sample_name", "run_name", "transcript_ID", "accepted", "tags")
+VERDICT = ("sample_name", "run_name", "transcript_ID", "accepted", "tags")
 
 
 def _decision_parts(events: DataFrame) -> dict[str, Column]:
     said = when_said(events).alias("said")
     decided = F.col("kind") == DECISION
-    return {"last": F.when(decided, F.struct(said, *_VERDICT)), "spoken": decided | _is_remark()}
+    return {"last": F.when(decided, F.struct(said, *VERDICT)), "spoken": decided | _is_remark()}
 
 
 def _decisions_now(state: DataFrame) -> DataFrame:
-    return state.filter("spoken").select("validation_hash", *[F.col(f"last.{c}").alias(c) for c in _VERDICT])
+    return state.filter("spoken").select("validation_hash", *[F.col(f"last.{c}").alias(c) for c in VERDICT])
 
 
 DECISIONS = Fold(

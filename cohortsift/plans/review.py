@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cohortsift.functions.checks import job_is_complete, valid_name
-from cohortsift.operators import folds
+from cohortsift.operators import causal, folds
 from cohortsift.operators.recurrence import distinct_values
 from cohortsift.operators.relational import restrict
 from cohortsift.operators.search import search
@@ -48,6 +48,7 @@ class ReviewStore:
         self.log = ReviewLog(spark, root)
         self.job_state = FoldedLog(self.log, "job_events", folds.JOBS)
         self.decision_state = FoldedLog(self.log, "decision_events", folds.DECISIONS)
+        self.head_state = FoldedLog(self.log, "decision_events", causal.HEADS, "decision_heads")
 
     # -- jobs -----------------------------------------------------------------
 
@@ -55,6 +56,7 @@ class ReviewStore:
         """Take what was appended lately into the snapshots, which later looks start from."""
         self.job_state.advance()
         self.decision_state.advance()
+        self.head_state.advance()
 
     def jobs(self) -> DataFrame:
         return self.job_state.now()
@@ -115,6 +117,18 @@ class ReviewStore:
         events = [{"kind": review_log.DECISION, "table_uuid": table_uuid, **row} for row in rows]
         self.log.record("decision_events", events)
 
+    def session(self, table_uuid: str, username: str) -> ReviewSession:
+        """Somebody at work on a job, whose decisions say what they knew of."""
+        return ReviewSession(self, table_uuid, username)
+
+    def settled(self, table_uuid: str) -> DataFrame:
+        """Decisions of one job by who knew of which; ``conflicting`` where some were made at once and differ."""
+        return causal.settled(self.head_state.now(table_uuid)).drop("table_uuid")
+
+    def conflicts(self, table_uuid: str) -> DataFrame:
+        """The decisions of one job that were made at once and differ, a row each."""
+        return causal.conflicts(self.head_state.now(table_uuid)).drop("table_uuid")
+
     def comment(self, table_uuid: str, validation_hash: int, text: str, username: str) -> None:
         event = {
             "kind": review_log.REMARK,
@@ -191,3 +205,32 @@ class ReviewStore:
             export_csv(self.comments(table_uuid).drop("at"), comments)
         rows = self._report(job, "left") if spec is None else self._step(job, [spec], 0)
         export_csv(rows, folder)
+
+
+class ReviewSession:
+    """One reviewer's work on a job, from a first look on.
+
+    :meth:`look` takes notice of all decisions made so far; :meth:`decide` overrules those of the
+    last look only. One object is one writer: it decides from one thread.
+    """
+
+    def __init__(self, store: ReviewStore, table_uuid: str, username: str) -> None:
+        self.store, self.table_uuid, self.username = store, table_uuid, username
+        self.writer = review_log.next_event_id()
+        self.turn = 0
+        self.seen: dict[str, int] = {}
+        self.look()
+
+    def look(self) -> DataFrame:
+        """The decisions as they stand; later ones of this session overrule them."""
+        known = causal.last_seen(self.store.log.events_of("decision_events", self.table_uuid))
+        self.seen = {row["writer"]: row["turn"] for row in known.collect()}  # a row for each session of the job
+        return self.store.settled(self.table_uuid)
+
+    def decide(self, rows: Iterable[Mapping[str, Any]]) -> None:
+        """Record decisions as :meth:`ReviewStore.decide` does, with their place in the course of things."""
+        said = []
+        for row in rows:
+            self.turn += 1
+            said.append({"username": self.username, "writer": self.writer, "turn": self.turn, "seen": dict(self.seen), **row})
+        self.store.decide(self.table_uuid, said)

@@ -52,6 +52,10 @@ DECISION_EVENT = T.StructType(
         T.StructField("tags", T.ArrayType(T.StringType())),
         T.StructField("comment", T.StringType()),
         T.StructField("username", T.StringType()),
+        # Who knew of what (operators/causal.py); NULL where the writer does not say.
+        T.StructField("writer", T.StringType()),
+        T.StructField("turn", T.LongType()),
+        T.StructField("seen", T.MapType(T.StringType(), T.LongType())),
         T.StructField("table_uuid", T.StringType()),
     ]
 )
@@ -62,6 +66,7 @@ DECISION, REMARK = "decision", "comment"
 
 _PARTITIONS = {"job_events": [], "decision_events": ["table_uuid"]}
 _SCHEMAS = {"job_events": JOB_EVENT, "decision_events": DECISION_EVENT}
+_OPTIONAL = ("writer", "turn", "seen")
 # Keys that a partition's folder is named by as they are.
 _PLAIN_KEY = re.compile(r"[A-Za-z0-9_.-]+")
 
@@ -126,6 +131,7 @@ class ReviewLog:
     def _append(self, events: DataFrame, name: str) -> None:
         if "at" not in events.columns:
             events = events.withColumn("at", F.col("ts").cast("timestamp"))
+        events = events.select("*", *(F.lit(None).alias(c) for c in _OPTIONAL if name == "decision_events" and c not in events.columns))
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in _SCHEMAS[name].fields]
         self._write(events.select(*columns), name, self.root, "append")
 

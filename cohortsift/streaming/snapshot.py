@@ -52,10 +52,11 @@ class Commits:
 class FoldedLog:
     """The present state of the events ``name`` of a log under ``fold``."""
 
-    def __init__(self, log: ReviewLog, name: str, fold: Fold) -> None:
+    def __init__(self, log: ReviewLog, name: str, fold: Fold, label: str | None = None) -> None:
+        """``label`` names the snapshot where events have more than one fold."""
         self.log, self.name, self.fold = log, name, fold
         self.spark = log.spark
-        self.root = f"{log.root}/snapshots/{name}"
+        self.root = f"{log.root}/snapshots/{label or name}"
 
     # -- looking ----------------------------------------------------------------
 
