@@ -142,7 +142,7 @@ def _by_group(docs: np.ndarray, ties: np.ndarray, pairs: np.ndarray, buckets: in
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document of each group, with all its places; rows come sorted by group."""
+    """A row for each document of each group, with all its places; a group's rows come together."""
     held: list[tuple] = []
 
     def merge() -> Iterator[pa.RecordBatch]:
@@ -167,7 +167,7 @@ def _opened(ranges: bytes) -> np.ndarray:
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch], passed: list[tuple]) -> Iterator[dict[str, np.ndarray]]:
-    """The entries of each bucket; rows come sorted by bucket. Docs, ties and pairs of settled places go to ``passed``."""
+    """The entries of each bucket; its rows come together. Docs, ties and pairs of settled places go to ``passed``."""
     kinds = {"known": "u1", "hashes": "<u8", "more": "<u8", "docs": "<i8", "ties": "<i8", "places": "<i4"}
     held: list[tuple] = []
 
@@ -193,8 +193,9 @@ def _drained(passed: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
         passed.clear()
 
 
-def _dealt(packed: DataFrame) -> DataFrame:
-    return packed.repartition("bucket").sortWithinPartitions("bucket")
+def _dealt(packed: DataFrame, buckets: int) -> DataFrame:
+    """Each bucket as a partition of its own, so that no task has several and none waits empty."""
+    return packed.repartitionById(buckets, "bucket")
 
 
 def repeated_words(docs: DataFrame, window: int = 13, with_text: bool = True) -> DataFrame:
@@ -238,8 +239,8 @@ def repeated_words(docs: DataFrame, window: int = 13, with_text: bool = True) ->
     spread = F.when(F.col("settled"), F.pmod(F.xxhash64("docs"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
     packed = known_ids.select("doc_id", "text", "tie").mapInArrow(runs, PACKED)
     settled = packed.withColumn("settled", F.col("known") == F.lit(SETTLED))
-    survivors = _dealt(settled.withColumn("bucket", spread).drop("settled")).mapInArrow(surviving, _GROUPED)
-    survivors = _dealt(survivors).mapInArrow(_merged, _RANGES)
+    survivors = _dealt(settled.withColumn("bucket", spread).drop("settled"), buckets).mapInArrow(surviving, _GROUPED)
+    survivors = _dealt(survivors, buckets).mapInArrow(_merged, _RANGES)
 
     same = known_ids.select("doc_id", "tie", F.md5("text").alias("digest"))
     first = same.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last"))
@@ -291,8 +292,8 @@ def repeated_words(docs: DataFrame, window: int = 13, with_text: bool = True) ->
 
     searched = known_ids.join(marked, "doc_id").select("doc_id", "text", "tie", "found")
     second = searched.mapInArrow(windows, PACKED).withColumn("settled", F.col("known") == F.lit(SETTLED))
-    gone = _dealt(second.withColumn("bucket", spread).drop("settled")).mapInArrow(later, _GROUPED)
-    gone = _dealt(gone).mapInArrow(_merged, _RANGES)
+    gone = _dealt(second.withColumn("bucket", spread).drop("settled"), buckets).mapInArrow(later, _GROUPED)
+    gone = _dealt(gone, buckets).mapInArrow(_merged, _RANGES)
     removed = gone.unionByName(copies).groupBy("doc_id").agg(
         F.collect_list(F.struct("tie", F.coalesce("ranges", F.lit(b"copy")).alias("ranges"))).alias("gone")
     )
