@@ -11,6 +11,7 @@ import pytest
 from oracle import connect, duck_rows, spark_rows
 
 from cohortsift.llm import mixing
+from cohortsift.llm import near_copies as near
 from cohortsift.llm.graph import components
 from cohortsift.llm.near_copies import estimate, near_copies, registers, without_near_copies
 from cohortsift.llm.queries import ORACLES, QUERIES
@@ -83,6 +84,44 @@ def test_members_of_a_hub_are_compared_with_each_other(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_copies(table(spark, texts), 3, 85).collect()} == wanted
 
 
+def hub_cases():
+    draw = random.Random(4)
+    frame = [f"t{k}" for k in range(150)]
+    unlike = [" ".join(frame[:75] + [f"u{draw.randint(0, 10**7)}" for _ in range(50)] + frame[75:]) for _ in range(300)]
+    pool = [" ".join(frame[:75] + [f"p{draw.randint(0, 300)}" for _ in range(40)] + frame[75:]) for _ in range(150)]
+    edge = []  # about as alike as the bound asks for, some just below
+    for k in range(150):
+        own = list(frame)
+        for at in draw.sample(range(150), draw.randint(1, 4)):
+            own[at] = f"e{draw.randint(0, 40)}"
+        edge.append(" ".join(own))
+    return {"unlike": unlike, "pool": pool, "edge": edge, "all": unlike[:80] + pool[:80] + edge[:80]}
+
+
+@pytest.mark.parametrize("case", ["unlike", "pool", "edge", "all"])
+@pytest.mark.parametrize("light", [near.LIGHT, 3])
+def test_texts_of_one_template_lose_no_link(spark, monkeypatch, case, light):
+    """With pairs and with blocks, links between members of a hub are those of brute force."""
+    monkeypatch.setattr(near, "LIGHT", light)
+    texts = list(enumerate(hub_cases()[case]))
+    wanted = messy.components({i: messy.shingles(t, 3) for i, t in texts}, 85)
+    assert {r["doc_id"]: r["component_id"] for r in near_copies(table(spark, texts), 3, 85).collect()} == wanted
+
+
+def test_unlike_texts_of_one_template_are_not_paired(spark, monkeypatch):
+    """Half of each of 3000 texts is a template: hubs have thousands of members, but next to no pair is compared."""
+    kept = {}
+    prefixes, pairs = near._prefixes, near._rare_pairs
+    monkeypatch.setattr(near, "_prefixes", lambda *a: kept.setdefault("prefixes", prefixes(*a)))
+    monkeypatch.setattr(near, "_rare_pairs", lambda *a: kept.setdefault("pairs", pairs(*a)))
+    draw = random.Random(9)
+    frame = [f"t{k}" for k in range(60)]
+    texts = [(k, " ".join(frame + [f"u{draw.randint(0, 2000)}" for _ in range(30)])) for k in range(3000)]
+    rows = near_copies(table(spark, texts), 3, 85).collect()
+    assert all(r["kept"] for r in rows) and len(rows) == 3000
+    assert kept["pairs"].count() < 3000 and kept["prefixes"].where("times > 64").count() == 0
+
+
 def test_near_copies_of_odd_rows(spark):
     docs = messy.documents(spark)
     rows = collections.defaultdict(list)
