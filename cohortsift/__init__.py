@@ -10,7 +10,7 @@ from cohortsift.operators.paging import PageView, SortedPages, page, page_after,
 from cohortsift.operators.recurrence import distinct_values, run_recurrence, with_run_recurrence
 from cohortsift.operators.search import search
 from cohortsift.operators.selection import deep_page
-from cohortsift.plans.review import ReviewStore
+from cohortsift.plans.review import ReviewSession, ReviewStore
 from cohortsift.plans.spec import FieldSpec, FilterNode, JoinSpec, OrderKey, StepSpec, TableRef
 from cohortsift.plans.steps import StepPages, run_step, step_page, step_relation
 from cohortsift.sources.cohort import Cohort
@@ -31,6 +31,7 @@ __all__ = [
     "Manifest",
     "OrderKey",
     "PageView",
+    "ReviewSession",
     "ReviewStore",
     "SearchIndex",
     "SortedPages",
