@@ -47,8 +47,6 @@ CHUNK = 1 << 15
 BLOCK = 256
 #: Texts of a run, at most, whose pairs are formed; those of a more frequent run meet in blocks.
 LIGHT = 64
-#: Parts into which the texts of a run are dealt where its frequency is looked up.
-SALTS = 8
 #: Standard errors below the least similarity at which an estimate rules a link out.
 ERRORS = 6.0
 
@@ -217,9 +215,8 @@ def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """class, label, n, run and its frequency, for the runs of each member's prefix; of runs within one label none."""
     runs = _runs_of(members, sets)
     shared = runs.groupBy("run").agg(F.count("*").alias("times"), F.min("label").alias("low"), F.max("label").alias("high"))
-    shared = shared.where(F.col("low") < F.col("high")).select("run", "times", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = runs.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
-    found = salted.join(shared, ["run", "salt"])
+    shared = shared.where(F.col("low") < F.col("high")).select("run", "times")
+    found = runs.join(shared, "run")  # a run of many texts makes a large partition, which the adaptive plan splits
     own = Window.partitionBy("class")
     least = F.ceil(F.col("n") * percent / 100)
     ranked = found.withColumns({"rank": F.row_number().over(own.orderBy("times", "run")), "shared": F.count("*").over(own)})
