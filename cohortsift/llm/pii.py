@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortsift.llm.shingles import give_back
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -384,6 +386,7 @@ def redacted(text: str = "text") -> Column:
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
+        give_back()
         return pd.Series([redact(t) for t in texts], dtype=object)
 
     return clean(F.col(text))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +23,19 @@ TOGETHER, TEXTS = 1 << 21, 2000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its tasks, and Arrow and the C library keep what they freed."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
 
 def parts(batches: Iterator[pa.RecordBatch], texts: int = 1) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold a bounded number of bytes in the column ``texts``."""
+    give_back()  # what the tasks before this one left
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
@@ -33,6 +45,8 @@ def parts(batches: Iterator[pa.RecordBatch], texts: int = 1) -> Iterator[pa.Reco
             b = int(np.clip(np.searchsorted(ends, before + TOGETHER, side="right"), a + 1, a + TEXTS))
             yield batch.slice(a, b - a)
             a = b
+    batch = None
+    give_back()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
