@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from cohortsift.llm import tokens
 from cohortsift.llm.packing import exact_fill, packed, pieces, plan
 from cohortsift.llm.token_files import TokenFiles, write_token_files
 from cohortsift.llm.tokens import Encoder, default_vocabulary
@@ -128,3 +129,29 @@ def test_exact_fill_respects_how_many_there_are():
     assert exact_fill(left, 10) == (4, 3, 3)
     left[3] = 1
     assert exact_fill(left, 10) is None
+
+
+def test_signs_after_a_word_need_no_call_of_the_library():
+    path = default_vocabulary()
+    own, library = Encoder(path), Tokenizer.from_file(path)
+    texts = ["So wordyish### said,$$$ it.' and \"this\" naïveté!! (or not)", "one\nwordyish&&& two\nup!!\n", "a wordyish%%% wordyish", "a ''' 'tis x'll_ don't;"]
+    want = [b"".join(k.to_bytes(4, "little") for k in library.encode(t, add_special_tokens=False).ids) for t in texts]
+    asked = []
+    ids = own._ids
+    own._ids = lambda words: asked.extend(words) or ids(words)
+    assert own.encode(texts) == want
+    assert not any("wordyish" in w for w in asked)
+    own.encode(["z " + " ".join(f"wordyish{'#' * (k % 40)}" for k in range(200))])  # long ends go to the library
+    assert len(own._tails) < 40 and any("wordyish" in w for w in asked)
+
+
+def test_texts_are_coded_alike_whatever_is_remembered(monkeypatch):
+    path = default_vocabulary()
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    own = Encoder(path)
+    texts = [None, "", " ", "\n", "a", "a b", "\na b\n", "a\tb c", "a  b", " a b ", "é è\ncourir, là. ü", "x" * 100 + " " + "x" * 100, "1 2 3, 4.5", "a　b c"]
+    want = [b"".join(k.to_bytes(4, "little") for k in library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    for _ in range(4):
+        assert own.encode(texts) == want
+        assert [own.encode([t])[0] for t in texts] == want
