@@ -29,25 +29,43 @@ from cohortsift.llm.shared import stored
 #: Parts of an interval in one pass.
 BINS = 64
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
-#: Blocks of queries whose counts a task holds at once.
-HELD = 16
+#: Blocks of queries whose counts a task holds at once; panels of twice the average still fit.
+HELD = 2 * vectors.PANEL
 
 
-def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows of whole numbers, as 64-bit integers."""
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of whole numbers: as doubles if all are below 2 ** 53, else as 64-bit integers."""
     dim = min(a.shape[1], b.shape[1])
     a, b = a[:, :dim], b[:, :dim]
     if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * dim < 2.0**53:
-        return (a @ b.T).astype(np.int64)
+        return a @ b.T
     exact = np.frompyfunc(int, 1, 1)
     return np.clip(exact(a).dot(exact(b).T), LEAST, MOST).astype(np.int64)
 
 
+def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of whole numbers, as 64-bit integers."""
+    return _products(a, b).astype(np.int64)
+
+
 def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, query ids, scores, and which pairs count."""
+    """ids, query ids, scores (see ``_products``), and which pairs count."""
     ids, matrix = vectors.unpack(row)
     queries, asked = vectors.unpack(row, "q_")
-    return ids, queries, inner_products(matrix, asked), vectors.others(row, ids, queries)
+    return ids, queries, _products(matrix, asked), vectors.others(row, ids, queries)
+
+
+def _cells(scores: np.ndarray, counts: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """query * BINS + part of each score that counts and lies within its query's interval."""
+    inside = counts & (scores >= lo) & (scores <= hi)  # right for doubles too, as a bound that is rounded is beyond them all
+    step = _step(lo, hi)
+    bounded = scores.dtype == np.float64 and max(-int(lo.min(initial=0)), int(hi.max(initial=0))) < 1 << 51
+    if bounded and 4 * np.count_nonzero(inside) > inside.size:  # quotients of whole numbers below 2 ** 53 round to no other whole part
+        part = (scores - lo) / step.astype(np.float64)
+        return (part.astype(np.int64) + BINS * np.arange(len(lo)))[inside]
+    v, q = np.divmod(np.flatnonzero(inside), max(1, len(lo)))
+    part = (scores[v, q].astype(np.int64).astype(np.uint64) - lo[q].astype(np.uint64)) // step[q]
+    return q * BINS + part.astype(np.int64)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -77,10 +95,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, lo, hi = (np.frombuffer(row[c], "<i8") for c in ("q_row", "q_lo", "q_hi"))
             held[key] = (queries, own, lo, hi, np.zeros((len(queries), BINS), np.int64))
         _, _, lo, hi, total = held[key]
-        inside = counts & (scores >= lo) & (scores <= hi)
-        q = np.nonzero(inside)[1]
-        part = (scores[inside].astype(np.uint64) - lo[q].astype(np.uint64)) // _step(lo, hi)[q]
-        total += np.bincount(q * BINS + part.astype(np.int64), minlength=total.size).reshape(total.shape)
+        total += np.bincount(_cells(scores, counts, lo, hi), minlength=total.size).reshape(total.shape)
     yield from out()
 
 
@@ -102,11 +117,13 @@ def search(table: DataFrame, id_column: str = "vec_id", vector_column: str = "em
     def asked(state: DataFrame) -> DataFrame:
         return vectors.query_blocks(queries.join(state, ["vec_id", "row"]), ("row", "lo", "hi"), whole=True)
 
+    panels = vectors.panels(queries)
+
     width = 2 * bound + 1
     own = ["query_id", "query_row"]
     down = Window.partitionBy(*own).orderBy(F.col("hi").desc())
     while width > 1:
-        parts = vectors.meet(blocks, asked(state)).mapInArrow(_counted, "query_id long, query_row long, lo long, hi long, n long")
+        parts = vectors.meet(blocks, asked(state), panels).mapInArrow(_counted, "query_id long, query_row long, lo long, hi long, n long")
         summed = parts.groupBy(*own, "lo", "hi").agg(F.sum("n").alias("n"))
         reached = summed.withColumn("reached", F.sum("n").over(down))
         before = state.select(F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), "above", F.col("lo").alias("least"))
@@ -134,7 +151,7 @@ def search(table: DataFrame, id_column: str = "vec_id", vector_column: str = "em
         for row in _rows(batches):
             ids, asking, scores, counts = _scores(row)
             v, q = np.nonzero(counts & (scores >= np.frombuffer(row["q_lo"], "<i8")))
-            found = scores[v, q]
+            found = scores[v, q].astype(np.int64)
             order = np.lexsort((ids[v], ~found, q))  # ~x is -x - 1, without overflow
             v, q, found = v[order], q[order], found[order]
             first = np.searchsorted(q, q, side="left")
@@ -142,7 +159,7 @@ def search(table: DataFrame, id_column: str = "vec_id", vector_column: str = "em
             columns = [asking[q[best]], np.frombuffer(row["q_row"], "<i8")[q[best]], ids[v[best]], found[best]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "query_row", "vec_id", "score"])
 
-    final = vectors.meet(blocks, asked(state)).mapInArrow(kept, "query_id long, query_row long, vec_id long, score long")
+    final = vectors.meet(blocks, asked(state), panels).mapInArrow(kept, "query_id long, query_row long, vec_id long, score long")
     ranks = Window.partitionBy(*own).orderBy(F.col("score").desc(), "vec_id")
     best = final.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
     return vectors.repeated(best, queries).select("query_id", "rank", "vec_id", "score")

@@ -127,7 +127,7 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def compare_all(blocks: DataFrame, queries: DataFrame, k: int, rotation: np.ndarray) -> DataFrame:
+def compare_all(blocks: DataFrame, queries: DataFrame, k: int, rotation: np.ndarray, panels: int = 1) -> DataFrame:
     """The k best rows of each query among all, by comparing block with block."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,7 @@ def compare_all(blocks: DataFrame, queries: DataFrame, k: int, rotation: np.ndar
             best.add(asking[q], np.frombuffer(row["q_row"], "<i8")[q], ids[v], cosines(matrix[v], asked[q]), distance)
         yield from best.batches()
 
-    return vectors.meet(blocks, vectors.query_blocks(queries, ("row",))).mapInArrow(compared, FOUND)
+    return vectors.meet(blocks, vectors.query_blocks(queries, ("row",)), panels).mapInArrow(compared, FOUND)
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
@@ -246,6 +246,6 @@ def search(
     found = stored(best_of(probe(packed, queries, rotation, radius, k), k), "near-found")
     enough = found.groupBy("query_id", "query_row").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     rest = queries.join(enough, (queries.vec_id == enough.query_id) & (queries.row == enough.query_row), "left_anti")
-    exact = best_of(compare_all(blocks, rest, k, rotation), k)
+    exact = best_of(compare_all(blocks, rest, k, rotation, vectors.panels(queries)), k)
     done = found.join(enough, ["query_id", "query_row"], "left_semi")
     return vectors.repeated(done.unionByName(exact), queries).select("query_id", "rank", "vec_id", "score")

@@ -2,8 +2,9 @@
 
 A row of packed vectors holds the ids and the components of up to ``BLOCK`` vectors, so
 that a search works on matrices and Spark shuffles few rows. Blocks of the stated
-queries meet blocks of all vectors by a salt: each block of vectors lies in one salt, and
-each block of queries in every one.
+queries meet blocks of all vectors in a cartesian product: a task reads a part of the
+vectors where they lie and a panel of the queries. No block is copied before it is read,
+and neither side is broadcast, for which it would pass through the driver.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortsift.llm.shared import partitions
-
 BLOCK = 1024
+#: Blocks of queries in a panel, on average, and the bytes of their components at most.
+PANEL, PANEL_BYTES = 16, 1 << 25
 
 
 def clean(table: DataFrame, id_column: str, vector_column: str, k: int, nonzero: bool = False) -> DataFrame:
@@ -51,7 +52,7 @@ def repeated(found: DataFrame, queries: DataFrame) -> DataFrame:
 def pack(rows: DataFrame, longs: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """Blocks (n, dim, ids, matrix and one binary for each of ``longs``) of vec_id and vector.
 
-    Blocks form within Spark's partitions. With ``whole`` components become floor(256 x).
+    Blocks form within Spark's partitions. With ``whole`` components become floor(256 x), in as few bytes as hold a block's.
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,11 +80,13 @@ def _block(batches: list[pa.RecordBatch], longs: tuple[str, ...], whole: bool) -
     if whole:
         with np.errstate(over="ignore"):
             matrix = np.floor(np.clip(256.0 * matrix, -1.7e308, 1.7e308))
+    largest = np.abs(matrix).max(initial=0)
+    kind = "<i2" if whole and largest < 1 << 15 else "<i4" if whole and largest < 1 << 31 else "<f8"
     columns = [np.asarray(rows.column(c).to_numpy(), dtype="<i8").tobytes() for c in longs]
     return pa.RecordBatch.from_arrays(
         [pa.array([len(sizes)], pa.int32()), pa.array([matrix.shape[1]], pa.int32()),
          pa.array([np.asarray(rows.column("vec_id").to_numpy(), dtype="<i8").tobytes()], pa.binary()),
-         pa.array([matrix.astype("<f8").tobytes()], pa.binary()), *(pa.array([c], pa.binary()) for c in columns)],
+         pa.array([matrix.astype(kind).tobytes()], pa.binary()), *(pa.array([c], pa.binary()) for c in columns)],
         ["n", "dim", "ids", "matrix", *longs],
     )
 
@@ -93,19 +96,26 @@ def query_blocks(queries: DataFrame, longs: tuple[str, ...] = (), whole: bool =
     return pack(queries.repartition(F.xxhash64("vec_id")), longs, whole)
 
 
-def meet(blocks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every block of vectors beside every block of queries (whose columns begin with ``q_``)."""
-    salts = partitions(blocks.sparkSession)
-    dealt = blocks.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)))
+def panels(queries: DataFrame) -> int:
+    """How many panels to deal the blocks of these queries to; a task holds one panel."""
+    n, dim = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    return max(1, -(-n // (PANEL * BLOCK)), -(-n * (dim or 1) * 8 // PANEL_BYTES))
+
+
+def meet(blocks: DataFrame, queries: DataFrame, panels: int) -> DataFrame:
+    """Every block of vectors beside every block of queries (whose columns begin with ``q_``).
+
+    Spark takes blocks for small rows, so that it would choose to broadcast them; the hint rules that out.
+    """
     renamed = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns))
-    everywhere = renamed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return dealt.join(everywhere, "salt").drop("salt")
+    return blocks.crossJoin(renamed.repartition(panels).hint("shuffle_replicate_nl"))
 
 
 def unpack(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
     """ids and matrix of a packed row."""
-    n, dim = row[f"{prefix}n"], row[f"{prefix}dim"]
-    return np.frombuffer(row[f"{prefix}ids"], "<i8"), np.frombuffer(row[f"{prefix}matrix"], "<f8").reshape(n, dim)
+    n, dim, matrix = row[f"{prefix}n"], row[f"{prefix}dim"], row[f"{prefix}matrix"]
+    kind = {2: "<i2", 4: "<i4"}.get(len(matrix) // max(1, n * dim), "<f8")
+    return np.frombuffer(row[f"{prefix}ids"], "<i8"), np.frombuffer(matrix, kind).astype("<f8", copy=False).reshape(n, dim)
 
 
 def is_query(every: int) -> Column:
@@ -115,4 +125,7 @@ def is_query(every: int) -> Column:
 def others(row: dict, ids: np.ndarray, asking: np.ndarray) -> np.ndarray:
     """Which pairs of a row's vectors and queries count: all but a query with itself."""
     own, asked = np.frombuffer(row["row"], "<i8"), np.frombuffer(row["q_row"], "<i8")
-    return (ids[:, None] != asking[None, :]) | (own[:, None] != asked[None, :])
+    counts = np.ones((len(ids), len(asking)), bool)
+    q = np.flatnonzero(np.isin(asking, ids))  # none in most blocks
+    counts[:, q] = (ids[:, None] != asking[q]) | (own[:, None] != asked[q])
+    return counts

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from cohortsift.llm import exact_topk, multi_index
+from cohortsift.llm import exact_topk, multi_index, vectors
 from cohortsift.llm.queries import ORACLES, QUERIES
 from oracle import connect, duck_rows, spark_rows
 
@@ -58,6 +58,70 @@ def test_exact_topk_among_many_ties(spark):
     assert [(r["vec_id"], r["score"]) for r in found] == [(500, 196608), (0, 131072), (1, 131072), (2, 131072)]
 
 
+def test_blocks_of_queries_are_not_broadcast(spark):
+    draw = np.random.default_rng(3)
+    rows = [(i, draw.normal(size=64).tolist()) for i in range(4000)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")  # the queries are below it, their copies would be beyond
+    try:
+        found = exact_topk.search(table(spark, rows), every=50, k=3)
+        assert len(found.collect()) == 240
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = []  # depths of the broadcasts that a line of the plan stands below
+    for line in found._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [d for d in above if d < depth] + [depth] * ("BroadcastExchange" in line)
+        assert not above or "MapInArrow" not in line
+
+
+def test_exact_topk_with_many_panels_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PANEL", 1)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    draw = np.random.default_rng(4)
+    rows = [(i, np.float32(draw.normal(size=8)).tolist()) for i in range(700)]
+    assert vectors.panels(vectors.clean(table(spark, rows), "vec_id", "embedding", 4)) == 44
+    whole = np.floor(256 * np.array([v for _, v in rows]))
+    wanted = []
+    for q in range(0, 700, 10):
+        best = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:4]
+        wanted += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, exact_topk.search(table(spark, rows), every=10, k=4).collect())) == wanted
+
+
+def test_panels_hold_few_bytes(spark):
+    wide = spark.range(9).selectExpr("id AS vec_id", "array_repeat(0.5D, 1 << 20) AS vector")
+    assert vectors.panels(wide) == 3 and vectors.panels(wide.where("vec_id < 0")) == 1
+
+
+def test_whole_numbers_are_packed_in_few_bytes(spark):
+    for size, width in ((127.9, 2), (128.0, 4), (2.0**22, 4), (2.0**23, 8), (1e300, 8)):
+        rows = spark.createDataFrame([(1, [size, -0.3]), (2, [-0.25])], "vec_id long, vector array<double>").coalesce(1)
+        (block,) = [r.asDict() for r in vectors.pack(rows, whole=True).collect()]
+        ids, matrix = vectors.unpack(block)
+        assert len(block["matrix"]) == 4 * width and ids.tolist() == [1, 2]
+        assert matrix.dtype == np.float64 and matrix.tolist() == [[np.floor(256 * size), -77.0], [-64.0, 0.0]]
+
+
+def test_parts_of_intervals():
+    draw = np.random.default_rng(5)
+    for far in (100, 1 << 30, 1 << 50, 1 << 52, 1 << 62):
+        for kind in (np.float64, np.int64):
+            if far < 1 << 53 or kind == np.int64:
+                scores = draw.integers(-far, far, (40, 7)).astype(kind)
+                for wide in (2 * far, far // 3 + 1, 70):
+                    lo = draw.integers(-far, far, 7)
+                    lo[0], wide = -far, min(wide, exact_topk.MOST)
+                    hi = lo + np.minimum(wide, exact_topk.MOST - np.maximum(lo, 0))
+                    counts = draw.random((40, 7)) < 0.9
+                    found = np.sort(exact_topk._cells(scores, counts, lo, hi)).tolist()
+                    step = [(int(h) - int(x)) // exact_topk.BINS + 1 for x, h in zip(lo, hi)]
+                    wanted = [
+                        q * exact_topk.BINS + (int(s) - int(lo[q])) // step[q]
+                        for v, row in enumerate(scores) for q, s in enumerate(row) if counts[v, q] and lo[q] <= int(s) <= hi[q]
+                    ]
+                    assert found == sorted(wanted)
+
+
 def test_products_beyond_doubles_are_exact():
     a = np.array([[2.0**40, 3.0]])
     assert exact_topk.inner_products(a, np.array([[2.0**20, 1.0]])).tolist() == [[2**60 + 3]]
